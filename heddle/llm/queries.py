@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import exact_dedup, mixing, pieces, sharding, telephony
+from heddle.llm import exact_dedup, html_extract, mixing, pieces, pii, quality, secret_scan, sharding, telephony
 from heddle.llm.common import read
 
 #: The folder of public tokenizer files on the driver, and the model that is used.
@@ -19,11 +19,27 @@ def load_pieces(folder: str = TOKENIZERS) -> pieces.Pieces:
     return pieces.Pieces.load(f"{folder}/{MODEL}")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(read(spark, sf_dir, "documents"))
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(read(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(read(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.text_media(read(spark, sf_dir, "documents"), with_media=False)
 
@@ -72,7 +88,11 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 """
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op3_sharding": op3_sharding,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_secret_scans": op5_secret_scans,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_media_columns": op7_media_columns,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,

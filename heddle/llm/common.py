@@ -12,16 +12,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    """`df`, written to the cluster's checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only a session without one (a local test) gets
-    a temporary folder.
+    Only a session without one (a local test) gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="heddle-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def persisted(df: DataFrame) -> DataFrame:
+    """`df`, written to the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import exact_dedup, html_extract, mixing, pieces, pii, quality, secret_scan, sharding, telephony
+from heddle.llm import exact_dedup, html_extract, jaccard_join, mixing, pieces, pii, quality, secret_scan, sharding, telephony
 from heddle.llm.common import read
 
 #: The folder of public tokenizer files on the driver, and the model that is used.
@@ -19,6 +19,10 @@ def load_pieces(folder: str = TOKENIZERS) -> pieces.Pieces:
     return pieces.Pieces.load(f"{folder}/{MODEL}")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.assign(read(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 """
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_pii": op2_pii,
     "op3_sharding": op3_sharding,
     "op4_html_extraction": op4_html_extraction,

@@ -144,7 +144,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     all_base = F.concat(*[ranked(F.col(kind), kind, i) for i, kind in enumerate(KINDS)])
     # The key marks rows; it is fixed by being written.
     rows = persisted(rows.select(F.monotonically_increasing_id().alias("key"), "id", all_base.alias("base"), "runs"))
-    runs = rows.select("key", "base", F.inline("runs")).select("key", "base", "start", "end", F.rtrim(F.lit("="), F.col("value")).alias("run"))
+    runs = rows.select("key", "base", F.inline("runs")).select("key", "base", "start", "end", F.regexp_replace("value", "=+$", "").alias("run"))
     tested = text_likeness(measured(runs))
     sure = battery(discoveries(tested, fdr)).filter(F.least("p_uniform", "p_runs", "p_serial") * 3 >= level)
     new = sure.filter(~overlaps(F.col("base"), F.col("start"), F.col("end")))

@@ -8,10 +8,15 @@ is split again, by tokens chosen with a hash of its path, up to `levels` levels.
 this until the expected recall at the threshold reaches `recall`. What is still large after the last
 level (many sets that are truly alike) is compared in full, block against block, over many tasks.
 
+Later levels choose from a sketch of the set, its least hashes, which is the whole set where that is
+small. Brute force first compares sketches, which drops sets without any partner that could reach the
+threshold; the rest are compared on all their tokens, read from the texts once.
+
 Equal sets are one class from the start, so copies are neither shuffled nor compared. Buckets of the same
-members are compared once. A pair that several buckets hold is counted by the first of them only, so no
-list of pairs is ever written or made distinct: a bucket yields a count of links for each member and the
-edges of a spanning forest. Links between classes are weighed by the number of their documents.
+members are compared once. Sets that sketches connect, directly or through others, meet once more with
+all their tokens, so that every pair is counted in one place and no list of pairs is ever written or made
+distinct: a place yields a count of links for each member and the edges of a spanning forest. Links
+between classes are weighed by the number of their documents.
 
 Words are runs of characters other than white space; a text of fewer than `width` words is one shingle.
 
@@ -36,6 +41,9 @@ from heddle.llm.common import hash60, persisted, whole_text
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORDS: dict[str, int] = {}
+#: Tokens of a sketch. Sets at the threshold share two thirds of them or more; pairs that share less than
+#: this part are far below it (over four deviations).
+SKETCH, SKETCH_THRESHOLD, SKETCH_SHARED = 96, 0.4, 0.6
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,15 +83,16 @@ def chosen(tokens: np.ndarray, path: int, threshold: float, choices: float) -> n
     return hashes if limit >= 1 else hashes[hashes < np.uint64(int(limit * 2**64))]
 
 
-def needed_runs(threshold: float, choices: float, levels: int, recall: float) -> int:
+def needed_runs(threshold: float, choices: float, later: float, levels: int, recall: float) -> int:
     """Runs after which a pair at the threshold has met with probability `recall`, however deep its buckets.
 
     At the threshold t, sets of equal size share 2t / (1 + t) of their tokens, and the number of common
-    choices is about Poisson. A pair survives a level if one of them survives the next.
+    choices is about Poisson; sketches share two thirds or more. A pair survives a level if one of its
+    common choices survives the next.
     """
-    mean = choices * 2 / (1 + threshold)
     survive = 1.0
-    for _ in range(levels):
+    for level in reversed(range(levels)):
+        mean = later * 2 / 3 / SKETCH_SHARED if level else choices * 2 / (1 + threshold)
         survive = 1 - math.exp(-mean * survive)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survive)))
 
@@ -144,90 +153,125 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _choose_all(rows: DataFrame, seeds: list[int], threshold: float, choices: float, width: int) -> DataFrame:
-    """Each row's id and key, and its set's signature, size and first paths, from (id, key, text)."""
+    """Each row's id and key, and its set's signature, size, sketch and first paths, from (id, key, text)."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sigs, sizes, all_paths = [], [], []
+            sigs, sizes, sketches, all_paths = [], [], [], []
             for text in frame["text"]:
                 tokens = shingles(text, width)
                 sigs.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                 sizes.append(len(tokens))
-                all_paths.append(np.concatenate([chosen(tokens, s, threshold, choices) for s in seeds]).view(np.int64) if len(tokens) else np.empty(0, np.int64))
-            yield frame[["id", "key"]].assign(sig=sigs, n=sizes, paths=all_paths)
+                # Hashes are sorted and scattered: the first ones are a sample of the set.
+                sketches.append((tokens[:SKETCH] >> np.uint64(20)).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                all_paths.append(np.unique(np.concatenate([chosen(tokens, s, threshold, choices) for s in seeds])).view(np.int64) if len(tokens) else np.empty(0, np.int64))
+            yield frame[["id", "key"]].assign(sig=sigs, n=sizes, sketch=sketches, paths=all_paths)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(batches, f"id {kind}, key binary, sig binary, n long, paths array<long>")
+    return rows.mapInPandas(batches, f"id {kind}, key binary, sig binary, n long, sketch binary, paths array<long>")
+
 
+def _unpacked(sketch: bytes) -> np.ndarray:
+    """A sketch's tokens, of 44 bits in 6 bytes each."""
+    wide = np.zeros((len(sketch) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(sketch, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64)[:, 0]
 
-def _sets_of(rows: DataFrame, width: int) -> DataFrame:
-    """(rep, tokens) of (rep, text): the shingles as bytes."""
+
+def _choose_again(rows: DataFrame, choices: float) -> DataFrame:
+    """(rep, path): how each set of `rows` (rep, sketch, within) continues the large buckets that it is in."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 500):
-                part = frame.iloc[at : at + 500]
-                yield pd.DataFrame({"rep": part["rep"], "tokens": [shingles(t, width).tobytes() for t in part["text"]]})
+            for low in range(0, len(frame), 1000):
+                reps, paths = [], []
+                for rep, sketch, within in frame.iloc[low : low + 1000][["rep", "sketch", "within"]].itertuples(index=False, name=None):
+                    own = _unpacked(sketch)
+                    for path in within:
+                        new = chosen(own, int(path) & (1 << 64) - 1, SKETCH_SHARED, choices).view(np.int64)
+                        reps += [rep] * len(new)
+                        paths += new.tolist()
+                yield pd.DataFrame({"rep": pd.Series(reps, dtype=object), "path": pd.Series(paths, dtype=np.int64)})
+
+    return rows.mapInPandas(batches, "rep binary, path long")
+
+
+def _grouped(frames: Iterator[pd.DataFrame], each) -> Iterator[list]:
+    """The results of `each` (rows of one place) as a list per batch; a place's rows follow each other."""
+    held: list[tuple] = []
+    for frame in frames:
+        out: list = []
+        for row in frame.itertuples(index=False, name=None):
+            if held and held[0][0] != row[0]:
+                each(held, out)
+                held = []
+            held.append(row)
+        yield out
+    out = []
+    if held:
+        each(held, out)
+    yield out
+
+
+def _sides(rows: list[tuple]) -> tuple[list[tuple], int | None]:
+    """A place's rows, the left block first, and the size of that block; None where all are compared with all."""
+    rows = sorted(rows, key=lambda r: (r[1], r[2]))
+    sides = [r[1] for r in rows]
+    return rows, None if sides[-1] == 2 else sides.count(0)
+
+
+def _sketch_links(members: DataFrame) -> DataFrame:
+    """(a, b): edges of a spanning forest of each place's members that may reach the threshold, from (place, side, rep, sketch)."""
+
+    def compare(rows: list[tuple], out: list) -> None:
+        rows, left = _sides(rows)
+        if len(rows) < 2 or left == 0 or left == len(rows):
+            return
+        i, j = links_of([_unpacked(r[3]) for r in rows], SKETCH_THRESHOLD, left)
+        out += [(rows[a][2], rows[b][2]) for a, b in _forest(len(rows), i, j)]
 
-    return rows.mapInPandas(batches, "rep binary, tokens binary")
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in _grouped(frames, compare):
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return members.mapInPandas(batches, "a binary, b binary")
 
 
-def _choose_again(rows: DataFrame, threshold: float, choices: float) -> DataFrame:
-    """(rep, path): how each set of `rows` (rep, tokens, within) continues the large buckets that it is in."""
+def _with_tokens(rows: DataFrame, width: int) -> DataFrame:
+    """(place, side, rep, w, tokens) for each place of `rows` (rep, text, w, at: its places and sides)."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            reps, paths = [], []
-            for rep, tokens, within in zip(frame["rep"], frame["tokens"], frame["within"], strict=True):
-                own = np.frombuffer(tokens, np.uint64)
-                for path in within:
-                    new = chosen(own, int(path) & (1 << 64) - 1, threshold, choices).view(np.int64)
-                    reps += [rep] * len(new)
-                    paths += new.tolist()
-            yield pd.DataFrame({"rep": pd.Series(reps, dtype=object), "path": pd.Series(paths, dtype=np.int64)})
+            for low in range(0, len(frame), 200):
+                out = []
+                for rep, text, w, at in frame.iloc[low : low + 200][["rep", "text", "w", "at"]].itertuples(index=False, name=None):
+                    tokens = shingles(text, width).tobytes()
+                    out += [(a["place"], a["side"], rep, w, tokens) for a in at]
+                yield pd.DataFrame(out, columns=["place", "side", "rep", "w", "tokens"])
 
-    return rows.mapInPandas(batches, "rep binary, path long")
+    return rows.mapInPandas(batches, "place long, side int, rep binary, w long, tokens binary")
 
 
 def _compared(members: DataFrame, threshold: float) -> DataFrame:
-    """Links within buckets, from `members` (bucket, part, side, rep, w, paths, tokens), a bucket's rows together.
+    """Links within places, from `members` (place, side, rep, w, tokens); a pair is in one place only.
 
     A row (rep, links, other) adds `links` documents to a member's links; with `other`, it is an edge of
-    a spanning forest. `bucket` is the path that a pair must have first in common to count here.
+    a spanning forest.
     """
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        for frame in frames:
-            out: list[tuple[bytes, int, bytes | None]] = []
-            for row in zip(frame["bucket"], frame["part"], frame["side"], frame["rep"], frame["w"], frame["paths"], frame["tokens"], strict=True):
-                if held and held[0][:2] != row[:2]:
-                    compare(held, out)
-                    held = []
-                held.append(row)
-            yield pd.DataFrame(out, columns=["rep", "links", "other"])
-        if held:
-            out = []
-            compare(held, out)
-            yield pd.DataFrame(out, columns=["rep", "links", "other"])
-
     def compare(rows: list[tuple], out: list) -> None:
-        rows = sorted(rows, key=lambda r: (r[2], r[3]))
-        sides = [r[2] for r in rows]
-        left = sides.index(1) if sides[0] == 0 and 1 in sides else None
-        if len(rows) < 2 or (left is None and sides[0] != 2):
-            return
-        i, j = links_of([np.frombuffer(r[6], np.uint64) for r in rows], threshold, left)
-        if not len(i):
+        rows, left = _sides(rows)
+        if len(rows) < 2 or left == 0 or left == len(rows):
             return
-        paths = [set(r[5].tolist()) for r in rows]
-        here = rows[0][0]
-        own = np.array([here == min(paths[a] & paths[b]) for a, b in zip(i, j, strict=True)], bool)
-        i, j = i[own], j[own]
-        weights = np.array([r[4] for r in rows], np.int64)
+        i, j = links_of([np.frombuffer(r[4], np.uint64) for r in rows], threshold, left)
+        weights = np.array([r[3] for r in rows], np.int64)
         links = np.bincount(i, weights[j], len(rows)) + np.bincount(j, weights[i], len(rows))
-        out += [(rows[k][3], int(links[k]), None) for k in np.flatnonzero(links)]
-        out += [(rows[a][3], 0, rows[b][3]) for a, b in _forest(len(rows), i, j)]
+        out += [(rows[k][2], int(links[k]), None) for k in np.flatnonzero(links)]
+        out += [(rows[a][2], 0, rows[b][2]) for a, b in _forest(len(rows), i, j)]
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in _grouped(frames, compare):
+            yield pd.DataFrame(out, columns=["rep", "links", "other"])
 
     return members.mapInPandas(batches, "rep binary, links long, other binary")
 
@@ -237,8 +281,8 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
     Each round, every node takes the least root among its neighbours' and then its root's root.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).distinct()
-    both = persisted(both)
+    ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("next")), F.struct(F.col("b").alias("node"), F.col("a").alias("next")))
+    both = persisted(edges.select(F.inline(ways)).distinct())
     roots = persisted(both.groupBy("node").agg(F.least(F.min("next"), F.col("node")).alias("root")))
     for _ in range(most_rounds):
         near = both.join(roots.select(F.col("node").alias("next"), F.col("root").alias("r")), "next").groupBy("node").agg(F.min("r").alias("r"))
@@ -252,8 +296,8 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def buckets(sets: DataFrame, tokens_of, threshold: float, choices: float, levels: int, small: int) -> DataFrame:
-    """(path, members, rep): the buckets to compare, from `sets` (rep, paths).
+def buckets(sets: DataFrame, later: float, levels: int, small: int) -> DataFrame:
+    """(path, members, rep): the buckets to compare, from `sets` (rep, paths, sketch).
 
     Those with more than `small` members are those that the last level has left. Of buckets with the same
     members, one is kept.
@@ -261,8 +305,6 @@ def buckets(sets: DataFrame, tokens_of, threshold: float, choices: float, levels
     path = sets.select("rep", F.explode("paths").alias("path"))
     done = None
     for level in range(levels):
-        # A path that a set chooses twice counts once.
-        path = path.distinct()
         counts = path.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
         found = persisted(path.join(counts, "path"))
         last = level + 1 == levels
@@ -272,30 +314,29 @@ def buckets(sets: DataFrame, tokens_of, threshold: float, choices: float, levels
         if last or large.isEmpty():
             break
         within = large.groupBy("rep").agg(F.collect_list("path").alias("within"))
-        path = persisted(_choose_again(tokens_of(level, found).join(within, "rep"), threshold, choices))
-    # Signatures add up 60-bit hashes in two ways; equal ones with equal counts have the same members.
+        path = persisted(_choose_again(sets.select("rep", "sketch").join(within, "rep"), later).distinct())
+    # Signatures add up 60-bit hashes in three ways; equal ones with equal counts have the same members.
     low = F.lit((1 << 30) - 1)
     mark = [F.sum(part).alias(f"mark{i}") for i, part in enumerate((hash60(F.col("rep")).bitwiseAND(low), F.shiftright(hash60(F.col("rep")), 30), hash60(F.col("rep"), F.lit(1)).bitwiseAND(low)))]
     kept = done.groupBy("path", "members").agg(*mark).groupBy("members", "mark0", "mark1", "mark2").agg(F.min("path").alias("path")).select("path")
     return persisted(done.join(kept, "path"))
 
 
-def rows_to_compare(found: DataFrame, sets: DataFrame, tokens: DataFrame, small: int, block: int) -> DataFrame:
-    """The rows for `_compared`: buckets as they are, large ones as pairs of blocks of about `block` members."""
+def placed(found: DataFrame, small: int, block: int) -> DataFrame:
+    """(place, side, rep): a bucket is a place; a large one is a place for each pair of its blocks of about `block` members."""
     blocks = F.when(F.col("members") <= small, F.lit(1)).otherwise(F.ceil(F.col("members") / block)).cast("long")
     own = hash60(F.col("rep"), F.lit("block")) % F.col("blocks")
     parts = found.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    place = F.when(F.col("blocks") == 1, F.col("path")).otherwise(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    parts = parts.select(F.col("path").alias("bucket"), part.alias("part"), side.alias("side"), "rep")
-    # At most runs * choices ** levels buckets for a set.
-    of_set = found.groupBy("rep").agg(F.collect_list("path").alias("paths"))
-    whole = tokens.join(of_set, "rep").join(sets.select("rep", "w"), "rep")
-    rows = parts.join(whole, "rep")
-    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return parts.select(place.alias("place"), side.alias("side"), "rep")
+
+
+def together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("place").sortWithinPartitions("place")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, choices: float = 1.6, levels: int = 4, small: int = 64, block: int = 256, recall: float = 0.9999) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, choices: float = 1.6, later: float = 1.0, levels: int = 3, small: int = 128, sketch_block: int = 1024, block: int = 256, recall: float = 0.999) -> DataFrame:
     """(id, key, class_id, n_links) for each row of `docs`; `key` is a digest of the text.
 
     `class_id` is the least id of the rows connected by links, and `n_links` the number of other rows with a
@@ -303,31 +344,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """
     text = whole_text(text_col)
     texts = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
-    seeds = list(range(1, needed_runs(threshold, choices, levels, recall) + 1))
+    seeds = list(range(1, needed_runs(threshold, choices, later, levels, recall) + 1))
     rows = persisted(_choose_all(texts, seeds, threshold, choices, width))
-    grouped = rows.filter("n > 0").groupBy("sig").agg(F.min(F.struct("key", "id")).alias("first"), F.count(F.lit(1)).alias("w"), F.first("paths").alias("paths"))
-    sets = persisted(grouped.select("sig", F.col("first.key").alias("rep"), F.col("first.id").alias("rep_id"), "w", "paths"))
-    tokens = None
-
-    def tokens_of(level: int, found: DataFrame) -> DataFrame:
-        """The shingles of all sets that share a first bucket: read from their texts once."""
-        nonlocal tokens
-        if tokens is None:
-            wanted = found.select("rep").distinct().join(sets.select("rep", "rep_id"), "rep")
-            same = (texts["key"] == wanted["rep"]) & texts["id"].eqNullSafe(wanted["rep_id"])
-            # Rows that repeat an id and its text come several times.
-            tokens = persisted(_sets_of(texts.join(wanted, same).select("rep", "text"), width).dropDuplicates(["rep"]))
-        return tokens
-
-    found = buckets(sets, tokens_of, threshold, choices, levels, small)
-    linked = persisted(_compared(rows_to_compare(found, sets, tokens_of(0, found), small, block), threshold))
+    grouped = rows.filter("n > 0").groupBy("sig").agg(F.min(F.struct("key", "id")).alias("first"), F.count(F.lit(1)).alias("w"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
+    sets = persisted(grouped.select("sig", F.col("first.key").alias("rep"), F.col("first.id").alias("rep_id"), "w", "paths", "sketch"))
+    found = placed(buckets(sets, later, levels, small), small, sketch_block)
+    near = components(persisted(_sketch_links(together(found.join(sets.select("rep", "sketch"), "rep").select("place", "side", "rep", "sketch")))))
+    # Sets that sketches connect are compared in one place, so that no pair is compared twice.
+    sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    near = near.join(sizes, "root").select(F.xxhash64("root").alias("path"), "members", F.col("node").alias("rep"))
+    at = F.collect_list(F.struct("place", "side")).alias("at")
+    wanted = placed(near, block, block).groupBy("rep").agg(at).join(sets.select("rep", "rep_id", "w"), "rep")
+    same = (texts["key"] == wanted["rep"]) & texts["id"].eqNullSafe(wanted["rep_id"])
+    # Rows that repeat an id and its text come several times.
+    read = texts.join(wanted, same).select("rep", "text", "w", "at").dropDuplicates(["rep"])
+    linked = persisted(_compared(together(_with_tokens(read, width)), threshold))
     roots = components(linked.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = linked.filter("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     of_set = sets.select("sig", "rep", "w").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     of_set = of_set.select("sig", F.coalesce("root", "rep").alias("root"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    placed = persisted(rows.select("id", "key", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(of_set, "sig", "left").drop("sig"))
-    least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"))
-    return placed.join(least, "root", "left").select("id", "key", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    answers = persisted(rows.select("id", "key", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(of_set, "sig", "left").drop("sig"))
+    least = answers.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"))
+    return answers.join(least, "root", "left").select("id", "key", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -55,7 +55,7 @@ def corpus(seed=1):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 8, "block": 16}])
+@pytest.mark.parametrize("options", [{}, {"small": 8, "block": 16, "sketch_block": 16}])
 def test_links_equal_all_pairs(spark, options):
     texts = corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -86,9 +86,9 @@ def test_components(spark):
 
 
 def test_runs_reach_the_recall():
-    assert jaccard_join.needed_runs(0.8, 1.6, 1, 0.99) < jaccard_join.needed_runs(0.8, 1.6, 4, 0.9999)
+    assert jaccard_join.needed_runs(0.8, 1.6, 1.0, 1, 0.99) < jaccard_join.needed_runs(0.8, 1.6, 1.0, 4, 0.9999)
     rng = np.random.default_rng(0)
-    met, runs = 0, jaccard_join.needed_runs(0.8, 1.6, 1, 0.99)
+    met, runs = 0, jaccard_join.needed_runs(0.8, 1.6, 1.0, 1, 0.99)
     for _ in range(300):
         both = rng.integers(0, 2**63, 120).astype(np.uint64)
         a, b = both[:110], both[12:]  # 98 of 120: just above the threshold

@@ -30,7 +30,8 @@ ACCESS = r"AKIA[A-Z0-9]++"
 #: Runs of at least 24: shorter ones would be dropped as a whole.
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex")
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+=*+"
+#: A run may begin after an equals sign, as values of names and URL parameters do; padding belongs to the run before it.
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+=*+"
 #: Alphabets in the order in which they are tried.
 ALPHABETS = (
     ("decimal", "0123456789", "^[0-9]+$"),
@@ -74,10 +75,10 @@ def _pick(attribute) -> Column:
 
 
 def measured(runs: DataFrame) -> DataFrame:
-    """`runs` (run) with its encoding, alphabet size k, length n and ordered pairs of equal symbols."""
+    """`runs` (run) with its encoding, alphabet and its size k, length n and ordered pairs of equal symbols."""
     each = F.array_distinct(F.split("run", ""))
-    pairs = F.aggregate(each, F.lit(0), lambda total, c: total + F.when(c == "", 0).otherwise(F.pow(F.length("run") - F.length(F.replace("run", c, F.lit(""))), F.lit(2)).cast("int")))
-    return runs.withColumn("n", F.length("run")).withColumn("pairs", pairs - F.col("n")).withColumn("encoding", _pick(lambda name, _: name)).withColumn("k", _pick(lambda _, symbols: len(symbols)))
+    pairs = F.aggregate(each, F.lit(0).cast("long"), lambda total, c: total + F.when(c == "", 0).otherwise(F.pow(F.length("run") - F.length(F.replace("run", c, F.lit(""))), F.lit(2)).cast("long")))
+    return runs.withColumn("n", F.length("run").cast("long")).withColumn("pairs", pairs - F.col("n")).withColumn("encoding", _pick(lambda name, _: name)).withColumn("k", _pick(lambda _, symbols: len(symbols))).withColumn("symbols", _pick(lambda _, symbols: symbols))
 
 
 def text_likeness(runs: DataFrame) -> DataFrame:
@@ -117,20 +118,22 @@ def discoveries(runs: DataFrame, fdr: float) -> DataFrame:
 
 def battery(runs: DataFrame) -> DataFrame:
     """Adds the p-values p_uniform, p_runs and p_serial of a uniform, independent source."""
-    symbols = _pick(lambda _, symbols: symbols)
     n, k = F.col("n"), F.col("k")
-    runs = runs.withColumn("x", F.transform(F.filter(F.split("run", ""), lambda c: c != ""), lambda c: F.instr(symbols, c).cast("double") - 1))
+    most = (n - 1).cast("int")
+    runs = runs.withColumn("x", F.transform(F.filter(F.split("run", ""), lambda c: c != ""), lambda c: F.instr(F.col("symbols"), c).cast("double") - 1))
     # Chi-squared = k / n * (pairs + n) - n, from the coincidences of a uniform source.
     chi_z = (F.col("pairs") - n * (n - 1) / k) / F.sqrt(2 * n * (n - 1) / k * (1 - 1 / k))
     high = F.transform("x", lambda v: (v >= k / 2).cast("int"))
-    turns = lambda bits: F.aggregate(F.zip_with(F.slice(bits, 1, n - 1), F.slice(bits, 2, n - 1), lambda a, b: (a != b).cast("int")), F.lit(1), lambda t, v: t + v)
+    turns = lambda bits: F.aggregate(F.zip_with(F.slice(bits, 1, most), F.slice(bits, 2, most), lambda a, b: (a != b).cast("int")), F.lit(1), lambda t, v: t + v)
     ones = F.aggregate(high, F.lit(0), lambda t, v: t + v)
-    runs = runs.withColumn("ones", ones).withColumn("turns", turns(high)).withColumn("mean", F.aggregate("x", F.lit(0.0), lambda t, v: t + v) / n)
+    runs = runs.withColumn("ones", ones).withColumn("turns", turns(high))
     expected = 2 * F.col("ones") * (n - F.col("ones")) / n + 1
     spread = F.sqrt(F.greatest(F.lit(1e-9), (expected - 1) * (expected - 2) / (n - 1)))
-    off = lambda v: v - F.col("mean")
-    squares = F.aggregate("x", F.lit(0.0), lambda t, v: t + off(v) * off(v))
-    products = F.aggregate(F.zip_with(F.slice("x", 1, n - 1), F.slice("x", 2, n - 1), lambda a, b: off(a) * off(b)), F.lit(0.0), lambda t, v: t + v)
+    # Sums of whole numbers, from which the mean is taken afterwards: within the lambdas it would be computed for every symbol.
+    total = F.aggregate("x", F.lit(0.0), lambda t, v: t + v)
+    squares = F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v) - total * total / n
+    neighbours = F.aggregate(F.zip_with(F.slice("x", 1, most), F.slice("x", 2, most), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    products = neighbours - total / n * (2 * total - F.element_at("x", 1) - F.element_at("x", -1)) + (n - 1) * (total / n) * (total / n)
     serial = (products / F.greatest(squares, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
     return runs.withColumn("p_uniform", normal_tail(chi_z)).withColumn("p_runs", 2 * normal_tail(F.abs((F.col("turns") - expected) / spread))).withColumn("p_serial", 2 * normal_tail(F.abs(serial)))
 
@@ -146,7 +149,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     rows = persisted(rows.select(F.monotonically_increasing_id().alias("key"), "id", all_base.alias("base"), "runs"))
     runs = rows.select("key", "base", F.inline("runs")).select("key", "base", "start", "end", F.regexp_replace("value", "=+$", "").alias("run"))
     tested = text_likeness(measured(runs))
-    sure = battery(discoveries(tested, fdr)).filter(F.least("p_uniform", "p_runs", "p_serial") * 3 >= level)
+    # Written, so that the battery reads columns: pushed down with its filter, it would test every run, and find the alphabet anew for each symbol.
+    sure = battery(persisted(discoveries(tested, fdr))).filter(F.least("p_uniform", "p_runs", "p_serial") * 3 >= level)
     new = sure.filter(~overlaps(F.col("base"), F.col("start"), F.col("end")))
     added = new.groupBy("key").agg(F.collect_set(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.lit("random").alias("kind"), F.col("end"))).alias("added"))
     joined = rows.select("key", "id", "base").join(added, "key", "left")

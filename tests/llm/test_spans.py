@@ -92,6 +92,20 @@ def test_random_runs_are_discovered_and_words_are_not(spark):
     assert not any("random" in got[i] for i in range(50))
 
 
+def test_random_values_after_equals_signs_are_discovered(spark):
+    pick = random.Random(4)
+    letters = "etaoinshrdlucmfw"
+    rows = [(i, " ".join("".join(pick.choices(letters, weights=range(16, 0, -1), k=20)) for _ in range(20))) for i in range(50)]
+    values = ["".join(pick.choices(secret_scan.SYMBOLS[:64], k=40)) for _ in range(30)]
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "see https://a.example/x?id=7&sig={}&v=1 there", "pad QUJDREVGR0hJSktMTU5PUA=={}"]
+    places = {100 + i: (forms[i % 3].index("{"), v) for i, v in enumerate(values)}
+    rows += [(100 + i, forms[i % 3].format(v)) for i, v in enumerate(values)]
+    got = {r.doc_id: r.spans.split(",") for r in secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [i for i, (at, v) in places.items() if f"random:{at}:{at + len(v)}" in got[i]]
+    assert all(sum(i % 3 == k for i in found) >= 8 for k in range(3))
+    assert not any("random" in s for i in range(50) for s in got[i])
+
+
 def test_normal_tail(spark):
     for z in (-3.0, -1.0, 0.0, 0.5, 2.0, 5.0):
         got = spark.range(1).select(secret_scan.normal_tail(F.lit(z)).alias("p")).first().p

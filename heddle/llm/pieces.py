@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -294,10 +295,10 @@ class Pieces:
             paths = [known[unit] for unit in units] if None not in units else [own if unit is None else known[unit] for unit in units]
             ids, scores, losses = zip(*paths, strict=True) if paths else ((), (), ())
             score = float(sum(scores))
-            others = self._others(units, ids, score, losses, n) if n > 1 and units else []
-            yield score, np.array(list(chain.from_iterable(ids)), np.int32), others
+            flat = np.array(list(chain.from_iterable(ids)), np.int32)
+            yield score, flat, self._others(units, ids, flat, score, losses, n) if n > 1 and units else []
 
-    def _others(self, units: list[str], ids: tuple, score: float, losses: tuple, n: int) -> list[tuple[float, object]]:
+    def _others(self, units: list[str], ids: tuple, flat: np.ndarray, score: float, losses: tuple, n: int) -> list[tuple[float, object]]:
         """The second to n-th best choices of paths: only the n - 1 units of least loss can leave their best path."""
         losses = np.array(losses)
         kth = min(n - 1, len(losses)) - 1
@@ -306,13 +307,15 @@ class Pieces:
         at = [int(i) for i in np.flatnonzero(losses <= limit)[::-1] if np.isfinite(losses[i])]
         at = sorted(at, key=lambda i: losses[i])[: n - 1]
         options = [self.n_best(units[i], n) for i in at]
+        starts = np.cumsum([0, *map(len, ids)]) if at else None
 
         def maker(choice: tuple[int, ...]):
             def make() -> np.ndarray:
-                changed = list(ids)
-                for i, option, k in zip(at, options, choice, strict=True):
-                    changed[i] = option[k][1]
-                return np.array(list(chain.from_iterable(changed)), np.int32)
+                parts, done = [], 0
+                for i, option, k in sorted(zip(at, options, choice, strict=True), key=lambda x: x[0]):
+                    parts += [flat[done : starts[i]], np.array(option[k][1], np.int32)]
+                    done = starts[i + 1]
+                return np.concatenate([*parts, flat[done:]])
 
             return make
 
@@ -335,30 +338,45 @@ class Pieces:
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", n: int = 3, keep_ids: bool = True) -> DataFrame:
-    """Each row's id, n_pieces, score, n_best (scores, best first), ids_crc32 (of the best path's ids as
-    little-endian 32-bit integers), decodes (whether the ids give back the text) and, unless left out, ids."""
+    """Each row's id, n_pieces, score, n_best (score and ids of each segmentation, best first), ids_crc32 (of
+    the best path's ids as little-endian 32-bit integers), decodes (whether the best ids give back the text)
+    and, unless left out, the best ids once more as a column of their own."""
     import zlib
 
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, parts)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]), pa.int32()))
+
+    def batches(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
         own = sent.value
         gc.disable()  # remembered paths are many tuples and no cycles
-        for frame in frames:
-            for at in range(0, len(frame), 500):
-                rows, keys, texts = [], frame["id"][at : at + 500], frame["text"][at : at + 500].tolist()
-                for key, text, (score, ids, others) in zip(keys, texts, own.encode_many(texts, n), strict=True):
-                    row = [key, len(ids), score, [score, *(o for o, _ in others)], zlib.crc32(ids.astype("<i4").tobytes()), own.decode(ids.tolist()) == text]
-                    rows.append([*row, ids] if keep_ids else row)
-                yield pd.DataFrame(rows, columns=names)
+        for record in records:
+            for at in range(0, record.num_rows, 500):
+                part = record.slice(at, 500)
+                texts = part.column(1).to_pylist()
+                best, scores, crcs, right, paths, path_scores, ends = [], [], [], [], [], [], [0]
+                for text, (score, ids, others) in zip(texts, own.encode_many(texts, n), strict=True):
+                    best.append(ids)
+                    scores.append(score)
+                    crcs.append(zlib.crc32(ids.astype("<i4").tobytes()))
+                    right.append(own.decode(ids.tolist()) == text)
+                    paths += [ids, *(make() for _, make in others)]
+                    path_scores += [score, *(other for other, _ in others)]
+                    ends.append(len(paths))
+                each = pa.StructArray.from_arrays([pa.array(path_scores, pa.float64()), lists(paths)], ["score", "ids"])
+                n_best = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+                columns = [part.column(0), pa.array(list(map(len, best)), pa.int64()), pa.array(scores, pa.float64()), n_best, pa.array(crcs, pa.int64()), pa.array(right, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*columns, *([lists(best)] if keep_ids else [])], names)
 
     names = ["id", "n_pieces", "score", "n_best", "ids_crc32", "decodes", *(["ids"] if keep_ids else [])]
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_pieces long, score double, n_best array<double>, ids_crc32 long, decodes boolean" + ", ids array<int>" * keep_ids
+    schema = f"id {kind}, n_pieces long, score double, n_best array<struct<score:double,ids:array<int>>>, ids_crc32 long, decodes boolean" + ", ids array<int>" * keep_ids
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(batches, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(batches, schema).withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:

@@ -201,3 +201,16 @@ def test_real_vocabulary_round_trips(spark, data):
         best = own.best_of(unit)
         assert own.best(unit) == best and own.n_best(unit, 2)[0] == (best[1], best[0])
         assert own.n_best(unit, 2)[0][0] - own.n_best(unit, 2)[1][0] == best[2]
+
+
+def test_n_best_segmentations_come_back_from_spark(spark):
+    own = toy()
+    texts = ["ab", "abab ba", None, "", "aab abx a", "a\nb ▁a", "x", "ab" * 400]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    for keep_ids in (True, False):
+        got = {int(r.doc_id): r for r in pieces.encode(docs, own, n=5, keep_ids=keep_ids).collect()}
+        for i, text in enumerate(texts):
+            want = [(s, x.tolist()) for s, x in own.encode(text, 5)]
+            assert [(p.score, p.ids) for p in got[i].n_best] == want
+            assert all(own.decode(p.ids) == (text or "") for p in got[i].n_best)
+    assert pieces.encode(docs.limit(0), own, n=5).count() == 0

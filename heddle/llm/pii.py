@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import persisted, whole_text
-from heddle.llm.spans import counted, listed, located, ranked
+from heddle.llm.spans import counted, listed, located, overlaps, ranked
 
 LOCAL = "A-Za-z0-9._%+-"
 #: Matching may go on within a run of characters only where the last match ended.
@@ -31,6 +31,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens that may be identifiers, and the words before them.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Numbers written in parts with spaces between, which are one candidate.
+PARTS = r"(?<![^\x20\x09-\x0D])[+(]{0,2}+[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+(?![^\x20\x09-\x0D,;:!?\"']))++"
+#: Characters that a token needs to be a candidate.
+SHORTEST = 5
 BEFORE = r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
 
 
@@ -61,19 +65,21 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(key, start, end, token, pattern, seed) of each token of `rows` (key, base, tokens) after words.
+    """(key, start, end, token, pattern, seed) of each token of `rows` (key, spans, tokens) after words.
 
-    A token that begins a base span is a seed of its kind; those within one are left out.
+    A token that begins a base span is a seed of its kind and stands for the whole span, which may go on
+    over later tokens; those within one are left out. Other tokens need `SHORTEST` characters.
     """
-    each = rows.select("key", "base", F.inline("tokens"))
+    each = rows.select("key", "spans", F.inline("tokens"))
     lead = F.length(F.regexp_extract("value", r"^[^A-Za-z0-9@+(]*", 0))
     core = F.regexp_replace("value", r"^[^A-Za-z0-9@+(]*|[^A-Za-z0-9)]++$", "")
-    each = each.select("key", "base", (F.col("start") + lead).alias("start"), core.alias("token"), F.lower(F.regexp_replace("before", "[0-9]", "0")).alias("pattern"))
-    each = each.withColumn("end", F.col("start") + F.length("token")).filter("length(token) >= 5 AND pattern != ''")
-    at = F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    each = each.withColumn("at", at).filter((F.size("at") == 0) | F.exists("at", lambda s: s["start"] >= F.col("start")))
-    seed = F.when(F.size("at") > 0, F.col("at")[0]["kind"])
-    return each.select("key", "start", "end", "token", "pattern", seed.alias("seed"))
+    each = each.select("key", "spans", (F.col("start") + lead).alias("start"), core.alias("token"), F.lower(F.regexp_replace("before", "[0-9]", "0")).alias("pattern"))
+    each = each.withColumn("end", F.col("start") + F.length("token")).filter("token != '' AND pattern != ''")
+    each = each.withColumn("at", F.filter("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
+    each = each.withColumn("begun", F.get(F.filter("at", lambda s: s["start"] >= F.col("start")), F.lit(0)))
+    each = each.filter(F.col("begun").isNotNull() | ((F.size("at") == 0) & (F.length("token") >= SHORTEST)))
+    whole = lambda name, own: F.coalesce(F.col("begun")[name], F.col(own)).alias(own)
+    return each.select("key", whole("start", "start"), whole("end", "end"), whole("value", "token"), "pattern", F.col("begun")["kind"].alias("seed"))
 
 
 def trusted_patterns(found: DataFrame, rounds: int, seeds: int, least: float) -> DataFrame:
@@ -101,10 +107,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     base = base_spans(text)
     rows = rows.select("id", "text", *[spans.alias(kind) for kind, spans in base.items()])
-    tokens = _with_before(located(text, TOKEN, text.rlike("[0-9@]")), text)
+    valued = lambda kind: F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(kind).alias("kind")))
+    rows = rows.withColumn("spans", F.concat(*map(valued, KINDS))).withColumn("parts", located(text, PARTS, text.rlike(r"[0-9][0-9().-]*+\x20\(?[0-9]")))
+    rows = rows.withColumn("parts", F.filter("parts", lambda p: ~overlaps(F.col("spans"), p["start"], p["end"])))
+    single = F.filter(located(text, TOKEN, text.rlike("[0-9@]")), lambda t: ~F.exists("parts", lambda p: p["start"] == t["start"]))
+    tokens = _with_before(F.concat("parts", single), text)
     all_base = F.concat(*[ranked(F.col(kind), kind, i) for i, kind in enumerate(KINDS)])
     # The key marks rows; it is fixed by being written.
-    rows = persisted(rows.select(F.monotonically_increasing_id().alias("key"), "id", all_base.alias("base"), tokens.alias("tokens")))
+    rows = persisted(rows.select(F.monotonically_increasing_id().alias("key"), "id", all_base.alias("base"), "spans", tokens.alias("tokens")))
     found = occurrences(rows.filter(F.size("tokens") > 0))
     sure = trusted_patterns(found, rounds, seeds, least)
     new = found.filter("seed IS NULL").join(sure, "pattern")

@@ -80,6 +80,22 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[100].startswith("ctx_email:25:") and got[101] == "" and got[102] == ""
 
 
+def test_contexts_of_identifiers_with_spaces(spark):
+    pick = random.Random(6)
+    phones = [f"+1 (0{pick.randint(10, 99)}) 555-{pick.randint(1000, 9999)}" for _ in range(12)]
+    cards = []
+    while len(cards) < 12:
+        n = "4" + "".join(pick.choice("0123456789") for _ in range(15))
+        cards += [" ".join(n[i : i + 4] for i in range(0, 16, 4))] * luhn(n)
+    rows = [(i, f"some words please call me {p} today") for i, p in enumerate(phones)]
+    rows += [(20 + i, f"some words charged to card {c} today") for i, c in enumerate(cards)]
+    rows += [(100, "some words please call me 555 010 4477 today"), (101, "some words charged to card 4111 1111 1111 1112 today"), (102, "other words count 555 010 4477 today"), (103, "some words please call me 12 today")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == f"phone:26:{26 + len(p)}" for i, p in enumerate(phones))
+    assert all("card:27:46" in got[20 + i] for i in range(12))
+    assert (got[100], got[101], got[102], got[103]) == ("ctx_phone:26:38", "ctx_card:27:46", "", "")
+
+
 def test_random_runs_are_discovered_and_words_are_not(spark):
     pick = random.Random(3)
     letters = "etaoinshrdlucmfw"

@@ -17,7 +17,7 @@ TOKEN = re.compile(
     |<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|object|canvas)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)
     |<[!?][^>]*+>
     |</(?P<end>[a-z][^\s/>]*+)[^>]*+>
-    |<(?P<start>[a-z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]{0,4000}+"|'[^']{0,4000}+')*+)>
+    |<(?P<start>[a-z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<(?P<odd>[a-z][^\s/><]*+)[^<>]*+>
     |(?P<text>[^<]++|<)""",
     re.S | re.I | re.X,

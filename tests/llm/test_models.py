@@ -65,6 +65,14 @@ def test_any_page_parses(html):
     assert dom.features(page).shape[0] == len(page.tags) == len(page.parents)
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_long_attribute_values(quote):
+    value = "{a > b, <p class=x>c</p> & d} " * 1000
+    page = dom.parse(f"<p>before</p><div data-json={quote}{value}{quote} class='sidebar'>text</div><p>after")
+    assert [t for _, t, _ in page.blocks] == ["before", "text", "after"] and page.tags == ["html", "p", "div", "p"]
+    assert dom.hints(page.attrs[2])[list(dom.HINTS).index("side")] == 1
+
+
 def test_blocks():
     page = dom.parse('<p>a  <b>b</b>c<br>d<p>e &lt;f&gt;\n g<ul><li>h<li><a href="/x">i</a></ul><script>var t="</p>";</script>')
     assert [t for _, t, _ in page.blocks] == ["a bc", "d", "e <f> g", "h", "i"]

@@ -51,6 +51,11 @@ def tokens_to_patches(spark, d):
     return features.tokens_to_patches(Flow.of(spark, d).tokens().filter(F.col("category").isin("1", "2")), [6, 6])
 
 
+@query(sql.flow("SELECT category, image_id, layer, patch_id, list_transform(v, lambda x: round(x, 6)) AS v FROM features WHERE layer = 6"))
+def tokens_to_patches_all_categories(spark, d):
+    return features.tokens_to_patches(Flow.of(spark, d).tokens(), [6, 6])
+
+
 @query(sql.flow("SELECT category, image_id, layer, patch_id, CAST(patch_id % 2 AS DOUBLE) AS x, CAST(patch_id // 2 AS DOUBLE) AS y FROM features"))
 def patch_coordinates(spark, d):
     return features.with_coordinates(Flow.of(spark, d).features(), PATCHES).drop("v")

@@ -35,5 +35,15 @@ def test_query_equals_sql(spark, data, name):
     assert left == right
 
 
+def test_patches_of_all_categories_equal_sql(spark, data):
+    test_query_equals_sql(spark, data, "tokens_to_patches_all_categories")
+    got = registry.QUERIES["tokens_to_patches_all_categories"](spark, data)
+    every = {r.category for r in registry.QUERIES["l2_normalize"](spark, data).select("category").distinct().collect()}
+    assert {r.category for r in got.select("category").distinct().collect()} == every and len(every) > 2
+    # The older query is a restriction by category of this one.
+    some = registry.QUERIES["tokens_to_patches"](spark, data)
+    assert got.filter("category IN ('1', '2')").exceptAll(some).count() == some.exceptAll(got).count() == 0 < some.count() < got.count()
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10

@@ -1,9 +1,15 @@
 """Exact deduplication by skew-safe combining.
 
-Equal texts meet in three steps: within each map task (local combine), within a salted digest group,
-and across the salt winners of a digest. Every step groups by the content itself beside its digest,
-so that two texts sharing a digest never merge. A first count of bare digests keeps texts without any
-equal out of these steps, so that only text that repeats is moved.
+Equal texts meet in three steps, each of which groups by the content itself beside its digest, so that two
+texts sharing a digest never merge:
+
+1. within each map task, before anything is moved (the partial aggregation of the first exchange);
+2. within a salted digest group: the salt is the map task's, taken on the scan, so that a hot text is one row
+   of each map task and its salts go to different tasks;
+3. across the salt winners of a digest, at most `salts` rows for a content.
+
+Documents then find their group by (digest, spread), where the spread comes from the id; a group is repeated
+only for the spreads that its members have, so that a hot digest is shared out over `SPREADS` tasks.
 
 Defined results: null text is an empty text; empty texts are equal to each other; an empty table gives
 an empty result; null ids lose to any id, and a group of null ids only keeps a null id; rows that repeat
@@ -16,8 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import persisted, whole_text
+from heddle.llm.common import hash60, persisted, whole_text
 
+#: Tasks that a hot digest is shared out over: as many as a long has bits for.
+SPREADS = 63
 #: Runs of white space that aren't already a single space.
 WHITE_RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -30,49 +38,62 @@ def sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def salted(rows: DataFrame) -> DataFrame:
+    """The first two steps: (digest, salt, content, id, n, spreads) from `rows` (id, digest, content, spread, salt)."""
+    bit = F.expr("shiftleft(1L, spread)")
+    return rows.groupBy("digest", "salt", "content").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("spreads"))
+
+
 def repeated_groups(rows: DataFrame, salts: int) -> DataFrame:
-    """(digest, content, keep_id, group_size, keepers, variants) of contents that occur more than once.
+    """(digest, content, keep_id, group_size, variants, spreads) of contents that occur more than once.
 
-    `rows` has (id, digest, content). `variants` is the number of contents sharing the digest;
-    `content` is only filled where there are several.
+    `rows` has (id, digest, content, spread) and comes straight from a scan. `variants` is the number of
+    contents sharing the digest; `content` is only filled where there are several. `spreads` is the set of its
+    members' spreads, as bits.
     """
-    salt = (F.spark_partition_id() % salts).alias("salt")
-    often = rows.groupBy("digest", salt).count().groupBy("digest").agg(F.sum("count").alias("n")).filter("n > 1").select("digest")
-    merged = rows.join(often, "digest", "left_semi").groupBy("digest", salt, "content").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    groups = merged.groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    winners = salted(rows.withColumn("salt", F.spark_partition_id() % salts))
+    # By digest, which also serves the count of variants.
+    groups = winners.repartition(F.col("digest")).groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"), F.bit_or("spreads").alias("spreads"))
     groups = groups.withColumn("variants", F.count(F.lit(1)).over(Window.partitionBy("digest")))
     return groups.filter("group_size > 1 OR variants > 1").withColumn("content", F.when(F.col("variants") > 1, F.col("content")))
 
 
 def _resolved(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """`rows` (with digest, content) and the keep_id and group_size of their group, null for lone texts."""
-    plain = groups.filter("variants = 1").select("digest", "keep_id", "group_size")
-    clashing = groups.filter("variants > 1").select("digest", "content", "keep_id", "group_size")
+    """`rows` (with digest, content, spread) and the keep_id and group_size of their group, null for lone texts."""
+    each = F.filter(F.sequence(F.lit(0), F.lit(SPREADS - 1)), lambda i: F.getbit(F.col("spreads"), i) == 1)
+    shared = groups.withColumn("spread", F.explode(each)).drop("spreads")
+    plain = shared.filter("variants = 1").select("digest", "spread", "keep_id", "group_size")
+    clashing = shared.filter("variants > 1").select("digest", "spread", "content", "keep_id", "group_size")
     if clashing.isEmpty():
-        return rows.drop("content").join(plain, "digest", "left")
-    shared = clashing.select("digest").distinct()
-    safe = rows.join(shared, "digest", "left_anti").drop("content").join(plain, "digest", "left")
-    return safe.unionByName(rows.join(shared, "digest", "left_semi").join(clashing, ["digest", "content"], "left").drop("content"))
+        return rows.drop("content").join(plain, ["digest", "spread"], "left")
+    keys = clashing.select("digest", "spread").distinct()
+    safe = rows.join(keys, ["digest", "spread"], "left_anti").drop("content").join(plain, ["digest", "spread"], "left")
+    return safe.unionByName(rows.join(keys, ["digest", "spread"], "left_semi").join(clashing, ["digest", "spread", "content"], "left").drop("content"))
+
+
+def keyed(rows: DataFrame, digest) -> DataFrame:
+    """`rows` (id, content) with digest, spread and sha, the digest of SHA-256."""
+    own = digest(F.col("content"))
+    rows = rows.withColumn("digest", own).withColumn("spread", (hash60(F.col("id")) % SPREADS).cast("int"))
+    return rows.withColumn("sha", F.col("digest") if digest is sha256 else sha256(F.col("content")))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=sha256) -> DataFrame:
     """One row per document: its id, keep_id, group_size, kept and text_sha256."""
-    rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("content")).withColumn("digest", digest(F.col("content")))
-    groups = persisted(repeated_groups(rows, salts))
-    sha = F.col("digest") if digest is sha256 else sha256(F.col("content"))
-    found = _resolved(rows.withColumn("text_sha256", sha), groups)
+    rows = keyed(docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("content")), digest)
+    groups = persisted(repeated_groups(rows.drop("sha"), salts))
+    found = _resolved(rows, groups)
     size = F.coalesce("group_size", F.lit(1).cast("long"))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
-    return found.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return found.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=sha256) -> DataFrame:
     """The rows of `docs` that stay, with their columns as they were."""
-    columns = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).select("row", F.col(f"row.`{id_col}`").alias("id"), normalised(F.col(f"row.`{text_col}`")).alias("content"))
-    rows = rows.withColumn("digest", digest(F.col("content")))
-    groups = persisted(repeated_groups(rows.select("id", "digest", "content"), salts))
-    found = _resolved(rows.withColumn("sha", sha256(F.col("content"))) if digest is not sha256 else rows.withColumn("sha", F.col("digest")), groups)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col(f"row.`{id_col}`").alias("id"), normalised(F.col(f"row.`{text_col}`")).alias("content"))
+    rows = keyed(rows, digest)
+    groups = persisted(repeated_groups(rows.drop("row", "sha"), salts))
+    found = _resolved(rows, groups)
     alone = found.filter(F.col("group_size").isNull())
     keepers = found.filter(F.col("group_size").isNotNull() & F.col("id").eqNullSafe(F.col("keep_id")))
     # Rows that repeat the keeper's id as well: few, as only keepers come here.

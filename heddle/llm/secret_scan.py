@@ -1,13 +1,18 @@
 """Secrets in texts: base patterns, and a battery of randomness tests, with built-in functions only.
 
 Besides the matches of three base patterns, long runs of code-like characters are tested. The encoding of
-a run is inferred from its characters. A run is a discovery if it is unlike text and like chance:
-
-* Unlike text: the probability that symbols drawn as the corpus' own runs draw them would all lie in the
-  run's alphabet and coincide as rarely as they do. Discoveries are controlled by length: within each band
-  of lengths, the Benjamini-Hochberg bound holds the expected share of false ones at `fdr`.
-* Like chance: chi-squared uniformity over the alphabet, a runs test around the alphabet's middle, and
-  the serial correlation of neighbours; none may reject a uniform source, after Bonferroni, at `level`.
+a run is inferred from its characters. A run is a discovery if
+
+* the battery can tell: at the run's length, text in the corpus' own symbols would exceed the coincidences
+  of a uniform source by `POWER` deviations. Where an alphabet's own symbols are near uniform already (the
+  digits of card numbers) or the run is short, chance and text look alike, and nothing is discovered;
+* it is unlike text: the probability that symbols drawn as the corpus' runs draw them would all lie in the
+  run's alphabet and coincide as rarely as they do. Within each band of lengths, the Benjamini-Hochberg
+  bound holds the expected share of false discoveries at `fdr`;
+* it is like chance: chi-squared uniformity over the alphabet, a runs test around the alphabet's middle and
+  the serial correlation of neighbours give three p-values under a uniform, independent source, combined by
+  Fisher's method. Within each band of lengths, the Benjamini-Hochberg bound at `fdr` names the runs that
+  are not like chance, which go.
 
 Their kind is `random`. Defined results: null text is empty; a text of any length is read whole; runs
 that overlap a base span are left out; repeated rows and ids are documents of their own; an empty table
@@ -46,6 +51,8 @@ SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 BANDS = (16, 24, 32, 48, 80)
 #: Bins of -log10(p): tenths, up to 300.
 TENTHS = 3000
+#: Deviations between text and chance that the uniformity test needs: a level of 0.05 with a power of 0.99.
+POWER = 4.0
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -77,12 +84,14 @@ def _pick(attribute) -> Column:
 def measured(runs: DataFrame) -> DataFrame:
     """`runs` (run) with its encoding, alphabet and its size k, length n and ordered pairs of equal symbols."""
     each = F.array_distinct(F.split("run", ""))
-    pairs = F.aggregate(each, F.lit(0).cast("long"), lambda total, c: total + F.when(c == "", 0).otherwise(F.pow(F.length("run") - F.length(F.replace("run", c, F.lit(""))), F.lit(2)).cast("long")))
+    n_of = lambda c: F.length("run").cast("long") - F.length(F.replace("run", c, F.lit("")))
+    pairs = F.aggregate(F.filter(each, lambda c: c != ""), F.lit(0).cast("long"), lambda total, c: total + n_of(c) * n_of(c))
     return runs.withColumn("n", F.length("run").cast("long")).withColumn("pairs", pairs - F.col("n")).withColumn("encoding", _pick(lambda name, _: name)).withColumn("k", _pick(lambda _, symbols: len(symbols))).withColumn("symbols", _pick(lambda _, symbols: symbols))
 
 
 def text_likeness(runs: DataFrame) -> DataFrame:
-    """Adds `tenths`, minus ten times the logarithm of the probability of the run under the corpus' own symbols."""
+    """Adds `tenths`, minus ten times the logarithm of the probability of the run under the corpus' own symbols,
+    and `power`, the deviations by which such symbols would fail the uniformity test."""
     # A row per symbol, at most len(SYMBOLS) of them.
     counts = runs.groupBy(*[]).agg(*[F.sum(F.col("n") - F.length(F.replace("run", F.lit(c), F.lit("")))).alias(f"c{i}") for i, c in enumerate(SYMBOLS)]).first()
     seen = {c: (counts[i] or 0) + 1 for i, c in enumerate(SYMBOLS)}
@@ -97,15 +106,22 @@ def text_likeness(runs: DataFrame) -> DataFrame:
     mean = n * (n - 1) * s2
     spread = F.sqrt(F.greatest(F.lit(1e-9), 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)))
     fewer = F.log10(F.greatest(F.lit(1e-300), normal_tail((mean - F.col("pairs")) / spread)))
-    return runs.withColumn("tenths", F.least(F.lit(TENTHS), F.floor(-10 * (n * mass + fewer)).cast("int"))).withColumn("tenths", F.greatest(F.lit(0), F.col("tenths")))
+    k = F.col("k")
+    power = n * (n - 1) * (s2 - 1 / k) / F.sqrt(2 * n * (n - 1) / k * (1 - 1 / k))
+    return runs.withColumn("tenths", _tenths(-(n * mass + fewer))).withColumn("power", power)
+
+
+def _tenths(digits: Column) -> Column:
+    """Tenths of -log10(p), from 0 to TENTHS."""
+    return F.greatest(F.lit(0), F.floor(10 * F.least(F.lit(TENTHS / 10), digits)).cast("int"))
 
 
 def band(n: Column) -> Column:
     return sum(((n >= low).cast("int") for low in BANDS), F.lit(0))
 
 
-def discoveries(runs: DataFrame, fdr: float) -> DataFrame:
-    """The rows of `runs` (n, tenths) that the Benjamini-Hochberg bound of their length band lets through."""
+def significant(runs: DataFrame, fdr: float) -> DataFrame:
+    """`runs` (n, tenths) with `significant`: whether the Benjamini-Hochberg bound of their length band rejects them."""
     runs = runs.withColumn("band", band(F.col("n")))
     # At most len(BANDS) * TENTHS rows.
     bins = runs.groupBy("band", "tenths").agg(F.count(F.lit(1)).alias("count"))
@@ -113,11 +129,12 @@ def discoveries(runs: DataFrame, fdr: float) -> DataFrame:
     bins = bins.withColumn("ranks", F.sum("count").over(upper)).withColumn("all", F.sum("count").over(whole))
     # The largest p of a bin is 10 ** (-tenths / 10).
     bound = bins.filter(F.pow(F.lit(10.0), -F.col("tenths") / 10) <= fdr * F.col("ranks") / F.col("all")).groupBy("band").agg(F.min("tenths").alias("bound"))
-    return runs.join(F.broadcast(bound), "band").filter("tenths >= bound")
+    # One row per band.
+    return runs.join(F.broadcast(bound), "band", "left").withColumn("significant", F.coalesce(F.col("tenths") >= F.col("bound"), F.lit(False))).drop("bound", "band")
 
 
 def battery(runs: DataFrame) -> DataFrame:
-    """Adds the p-values p_uniform, p_runs and p_serial of a uniform, independent source."""
+    """Adds the p-values p_uniform, p_runs and p_serial of a uniform, independent source, and `p`, which combines them."""
     n, k = F.col("n"), F.col("k")
     most = (n - 1).cast("int")
     runs = runs.withColumn("x", F.transform(F.filter(F.split("run", ""), lambda c: c != ""), lambda c: F.instr(F.col("symbols"), c).cast("double") - 1))
@@ -135,10 +152,14 @@ def battery(runs: DataFrame) -> DataFrame:
     neighbours = F.aggregate(F.zip_with(F.slice("x", 1, most), F.slice("x", 2, most), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
     products = neighbours - total / n * (2 * total - F.element_at("x", 1) - F.element_at("x", -1)) + (n - 1) * (total / n) * (total / n)
     serial = (products / F.greatest(squares, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
-    return runs.withColumn("p_uniform", normal_tail(chi_z)).withColumn("p_runs", 2 * normal_tail(F.abs((F.col("turns") - expected) / spread))).withColumn("p_serial", 2 * normal_tail(F.abs(serial)))
+    tests = {"p_uniform": normal_tail(chi_z), "p_runs": 2 * normal_tail(F.abs((F.col("turns") - expected) / spread)), "p_serial": 2 * normal_tail(F.abs(serial))}
+    runs = runs.withColumns({name: F.least(F.lit(1.0), F.greatest(F.lit(1e-300), p)) for name, p in tests.items()})
+    # Fisher: twice the sum of -log(p) is chi-squared with six degrees of freedom, whose tail is closed.
+    h = -(F.log("p_uniform") + F.log("p_runs") + F.log("p_serial"))
+    return runs.withColumn("p", F.exp(-h) * (1 + h + h * h / 2))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01, level: float = 0.001) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01) -> DataFrame:
     """One row per document: its id, `base` and `added` spans (start, rank, kind, end)."""
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
@@ -150,7 +171,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     runs = rows.select("key", "base", F.inline("runs")).select("key", "base", "start", "end", F.regexp_replace("value", "=+$", "").alias("run"))
     tested = text_likeness(measured(runs))
     # Written, so that the battery reads columns: pushed down with its filter, it would test every run, and find the alphabet anew for each symbol.
-    sure = battery(persisted(discoveries(tested, fdr))).filter(F.least("p_uniform", "p_runs", "p_serial") * 3 >= level)
+    unlike_text = persisted(significant(tested.filter(F.col("power") >= POWER), fdr).filter("significant").drop("tenths", "significant"))
+    tried = persisted(battery(unlike_text).select("key", "base", "start", "end", "n", _tenths(-F.log10(F.greatest(F.lit(1e-300), F.col("p")))).alias("tenths")))
+    sure = significant(tried, fdr).filter("NOT significant")
     new = sure.filter(~overlaps(F.col("base"), F.col("start"), F.col("end")))
     added = new.groupBy("key").agg(F.collect_set(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.lit("random").alias("kind"), F.col("end"))).alias("added"))
     joined = rows.select("key", "id", "base").join(added, "key", "left")

@@ -1,10 +1,11 @@
 """Sharding by histogram sort, so that all shards hold nearly the same number of bytes.
 
-Rows have the order (hash of the text, hash of the id): equal texts are neighbours, and a group of
-copies may still be cut where it is larger than the tolerance. Candidate boundaries are probed by
+Rows have the order (hash of the text, hash of the id): equal texts have neighbouring slots, and a group of
+copies is cut only where it is larger than the tolerance. Candidate boundaries are probed by
 counting the exact bytes below them over all partitions; each round divides the cells that still hold a
-splitter, until every splitter is within tolerance or at a single row. Then one exchange by shard and
-run numbers the rows.
+splitter, until every splitter is within tolerance or at a single row. The same search, by rows instead of
+bytes, cuts the whole order into runs of about `rows_per_run` rows. Then one exchange by run sorts the rows;
+runs follow each other in the order, so slots count through a shard in the order of the keys.
 
 Defined results: a null text has one byte (its end mark) and the checksum of the empty text; null ids
 sort as a value of their own; an empty table gives an empty result; rows that repeat id and text stay
@@ -96,21 +97,33 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(text.cast("binary")).alias("crc"), hash60(text).alias("k1"), hash60(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("k2"))
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, rows_per_run: int = 250_000, tolerance: float = 0.005) -> DataFrame:
-    """One row per document: id, size, text_crc32, shard and slot.
+def below(cuts: list[tuple[int, int]]) -> Column:
+    """The number of `cuts` at or below a row's keys. `cuts` are in order."""
+    if not cuts:
+        return F.lit(0)
+    # Counted in an array of constants: a sum of as many comparisons would be too long a plan.
+    at = F.array(*[F.struct(F.lit(a).alias("k1"), F.lit(b).alias("k2")) for a, b in cuts])
+    return F.size(F.filter(at, lambda c: (c["k1"] < F.col("k1")) | ((c["k1"] == F.col("k1")) & (c["k2"] <= F.col("k2")))))
 
-    A shard is written as sorted runs, chosen by the second key so that no run takes a hot text alone;
-    slots count through its runs.
+
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, rows_per_run: int = 1_000_000, tolerance: float = 0.005) -> DataFrame:
+    """One row per document: id, size, text_crc32, shard and slot; a shard's slots are in the order of the keys.
+
+    Runs are at least 4 a shard and at most 1024 in all: the driver holds their splitters, 16 bytes each.
+    Rows of one id and text can't be told apart by keys and stay in one run.
     """
     keys = persisted(keyed(docs, id_col, text_col))
     cuts = splitters(keys.select("k1", "k2", "size"), shards, tolerance)
-    shard = sum((((F.col("k1") > a) | ((F.col("k1") == a) & (F.col("k2") >= b))).cast("int") for a, b in cuts), F.lit(0))
-    runs = min(4096, max(16, keys.count() // (shards * rows_per_run)))
-    placed = keys.withColumn("shard", shard).withColumn("run", (F.col("k2") % runs).cast("int"))
-    # At most shards * 4096 rows, whatever the input.
+    runs = min(1024, max(4 * shards, keys.count() // rows_per_run))
+    ends = sorted(set(splitters(keys.select("k1", "k2", F.lit(1).cast("long").alias("size")), runs, 0.25)) | set(cuts))
+    # Shards' own splitters end runs too, so that a run lies in one shard.
+    placed = keys.withColumn("run", below(ends))
+    shard_of = F.element_at(F.array(*[F.lit(sum(c <= e for c in cuts)) for e in [(-1, -1), *ends]]), F.col("run") + 1)
+    placed = placed.withColumn("shard", shard_of)
+    # At most 1024 + shards rows, whatever the input.
     sizes = placed.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("shard", "run", offset.alias("offset"))
-    nth = F.row_number().over(Window.partitionBy("shard", "run").orderBy("k1", "k2", "id")) - 1
-    numbered = placed.withColumn("nth", nth).join(F.broadcast(offsets), ["shard", "run"])
+    offsets = sizes.select("run", offset.alias("offset"))
+    nth = F.row_number().over(Window.partitionBy("run").orderBy("k1", "k2", "id")) - 1
+    numbered = placed.withColumn("nth", nth).join(F.broadcast(offsets), "run")
     return numbered.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("shard").cast("int").alias("shard"), (F.col("offset") + F.col("nth")).cast("long").alias("slot"))

@@ -48,6 +48,24 @@ def test_exact_dedup_of_repeated_rows_and_nulls(spark):
     assert exact_dedup.assign(empty).count() == exact_dedup.deduplicate(empty).count() == 0
 
 
+def test_a_hot_digest_goes_to_many_tasks(spark):
+    rows = [(i, "a hot text" if i % 2 else f"text {i}") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keyed = exact_dedup.keyed(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), exact_dedup.sha256)
+        winners = exact_dedup.salted(keyed.withColumn("salt", F.spark_partition_id() % 16)).filter("n > 1").collect()
+        assert len(winners) == 16 and sum(r.n for r in winners) == 10_000
+        groups = exact_dedup.repeated_groups(keyed, 16)
+        hot = exact_dedup._resolved(keyed, groups).filter("group_size > 1")
+        assert hot.select("spread").distinct().count() == exact_dedup.SPREADS
+        assert hot.count() == 10_000 and {(r.keep_id, r.group_size) for r in hot.collect()} == {(1, 10_000)}
+        assert exact_dedup.deduplicate(docs).count() == 10_001
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_shards_are_even_and_slots_gapless(spark):
     texts = ["word " * (i % 37) + str(i) for i in range(3000)] + ["copy of a hot text " * 5] * 1500
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -63,6 +81,28 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_slots_follow_the_order_of_a_sort(spark):
+    texts = ["word " * (i % 37) + str(i % 700) for i in range(3000)] + ["a hot text"] * 1500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r.id: (r.k1, r.k2) for r in sharding.keyed(docs, "doc_id", "text").collect()}
+    got = sharding.assign(docs, rows_per_run=100).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))] == sorted(keys, key=keys.get)
+    places = defaultdict(list)
+    for r in got:
+        places[texts[r.doc_id], r.shard].append(r.slot)
+    assert all(max(p) - min(p) == len(p) - 1 for p in places.values())
+
+
+def test_splitters_equal_a_sort(spark):
+    texts = ["x" * (i * 31 % 400) for i in range(2000)]
+    keys = sharding.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    rows = sorted((r.k1, r.k2, r.size) for r in keys.collect())
+    total, cuts = sum(r[2] for r in rows), sharding.splitters(keys.select("k1", "k2", "size"), 5, 0.001, 16)
+    for nth, cut in enumerate(cuts, 1):
+        passed = sum(size for a, b, size in rows if (a, b) < cut)
+        assert abs(passed - total * nth / 5) <= max(0.001 * total / 5, max(r[2] for r in rows))
+
+
 def test_shards_of_odd_tables(spark):
     got = sharding.assign(table(spark)).collect()
     assert len(got) == len(TEXTS) and {r.size for r in got if TEXTS[r.doc_id] is None} == {1}

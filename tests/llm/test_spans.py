@@ -126,3 +126,40 @@ def test_normal_tail(spark):
     for z in (-3.0, -1.0, 0.0, 0.5, 2.0, 5.0):
         got = spark.range(1).select(secret_scan.normal_tail(F.lit(z)).alias("p")).first().p
         assert math.isclose(got, math.erfc(z / math.sqrt(2)) / 2, rel_tol=1e-2, abs_tol=1e-6)
+
+
+def test_the_battery_equals_numpy(spark):
+    import numpy as np
+
+    pick = random.Random(8)
+    runs = ["".join(pick.choices(secret_scan.SYMBOLS[:64], k=n)) for n in (20, 40, 90)] + ["".join(pick.choices("0123456789abcdef", k=64)), "ab01" * 12, "f" * 60_000, "ABCDEFGH" * 5]
+    got = {r.run: r for r in secret_scan.battery(secret_scan.measured(spark.createDataFrame([(r,) for r in runs], "run string"))).collect()}
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    for run in runs:
+        r = got[run]
+        x = np.array([r.symbols.index(c) for c in run], float)
+        n, k = len(x), len(r.symbols)
+        pairs = sum(c * (c - 1) for c in np.bincount(x.astype(int)).tolist())
+        z = (pairs - n * (n - 1) / k) / math.sqrt(2 * n * (n - 1) / k * (1 - 1 / k))
+        high = x >= k / 2
+        turns, ones = 1 + np.count_nonzero(high[1:] != high[:-1]), int(high.sum())
+        mean = 2 * ones * (n - ones) / n + 1
+        sd = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+        d = x - x.mean()
+        serial = (d[1:] @ d[:-1] / max(d @ d, 1e-9) + 1 / n) * math.sqrt(n)
+        want = [min(1, max(1e-300, p)) for p in (tail(z), 2 * tail(abs((turns - mean) / sd)), 2 * tail(abs(serial)))]
+        h = -sum(map(math.log, want))
+        for own, p in zip((r.p_uniform, r.p_runs, r.p_serial, r.p), [*want, math.exp(-h) * (1 + h + h * h / 2)], strict=True):
+            assert math.isclose(own, p, rel_tol=0.05, abs_tol=1e-6), (run[:50], own, p)
+
+
+def test_numbers_of_the_length_of_keys_are_no_discoveries(spark):
+    pick = random.Random(9)
+    letters = "etaoinshrdlucmfw"
+    rows = [(i, " ".join("".join(pick.choices(letters, weights=range(16, 0, -1), k=20)) for _ in range(20))) for i in range(50)]
+    for n in (16, 24, 40, 64):
+        rows += [(1000 + 100 * n + i, "order " + "".join(pick.choices("0123456789", k=n)) + " sent") for i in range(40)]
+        rows += [(50_000 + 100 * n + i, "uses " + "".join(pick.choices(secret_scan.SYMBOLS[:64], k=n)) + " there") for i in range(40)]
+    found = {r.doc_id for r in secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string")).filter("spans LIKE '%random%'").collect()}
+    assert all(i >= 50_000 for i in found)
+    assert all(sum(50_000 + 100 * n <= i < 50_100 + 100 * n for i in found) >= least for n, least in ((40, 30), (64, 38)))

@@ -5,18 +5,24 @@ run's seed: a token is chosen where its hash falls below `choices` / (threshold
 above the threshold choose a common one with a probability that doesn't depend on their size. Sets that
 choose a token form a bucket. A bucket of at most `small` sets is compared by brute force; a larger one
 is split again, by tokens chosen with a hash of its path, up to `levels` levels. Independent runs repeat
-this until the expected recall at the threshold reaches `recall`. What is still large after the last
-level (many sets that are truly alike) is compared in full, block against block, over many tasks.
+this until the expected recall at the threshold reaches `recall`.
 
 Later levels choose from a sketch of the set, its least hashes, which is the whole set where that is
-small. Brute force first compares sketches, which drops sets without any partner that could reach the
-threshold; the rest are compared on all their tokens, read from the texts once.
+small. Brute force within a bucket compares sketches first; only sets with a partner that could reach the
+threshold meet again in the same bucket with all their tokens, read from the texts once.
 
-Equal sets are one class from the start, so copies are neither shuffled nor compared. Buckets of the same
-members are compared once. Sets that sketches connect, directly or through others, meet once more with
-all their tokens, so that every pair is counted in one place and no list of pairs is ever written or made
-distinct: a place yields a count of links for each member and the edges of a spanning forest. Links
-between classes are weighed by the number of their documents.
+A pair that meets in several buckets belongs to the one of least path: every set carries the paths of its
+buckets, and a bucket leaves out the pairs with a common path below its own. So links are counted once
+without writing or comparing lists of pairs: a bucket yields a count of links for each member and the edges
+of a spanning forest.
+
+What is still large after the last level are sets that are truly alike but not equal. Their pairs are many
+by themselves, so they are compared in blocks of at most `block` sets and `block_bytes` of tokens, each pair
+of blocks a task's work of its own; only counts leave it. A set is then copied once for each block of its
+bucket. No group is held by one task as a whole, and no pair is left out.
+
+Equal sets are one class from the start, so copies are neither shuffled nor compared. Links between classes
+are weighed by the number of their documents.
 
 Words are runs of characters other than white space; a text of fewer than `width` words is one shingle.
 
@@ -33,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.common import hash60, persisted, whole_text
@@ -44,6 +50,8 @@ _WORDS: dict[str, int] = {}
 #: Tokens of a sketch. Sets at the threshold share two thirds of them or more; pairs that share less than
 #: this part are far below it (over four deviations).
 SKETCH, SKETCH_THRESHOLD, SKETCH_SHARED = 96, 0.4, 0.6
+#: Words whose hashes a worker remembers (a few megabytes), and sets of a tile of a comparison.
+REMEMBERED, TILE = 50_000, 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -57,7 +65,7 @@ def _word_hash(word: str) -> int:
     found = _WORDS.get(word)
     if found is None:
         found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(_WORDS) >= 300_000:
+        if len(_WORDS) >= REMEMBERED:
             _WORDS.clear()
         _WORDS[word] = found
     return found
@@ -97,41 +105,61 @@ def needed_runs(threshold: float, choices: float, later: float, levels: int, rec
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survive)))
 
 
-def links_of(sets: list[np.ndarray], threshold: float, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i, j), i < j, with a Jaccard similarity of at least `threshold`; with `left`, only i < left <= j."""
+def _tiles(sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each tile of sets: the owner (within the tile) and token of each of their tokens, in the tokens' order, and the distinct tokens."""
+    out = []
+    for at in range(0, len(sets), TILE):
+        part = sets[at : at + TILE]
+        owner, token = np.repeat(np.arange(len(part)), [len(x) for x in part]), np.concatenate(part)
+        order = np.argsort(token, kind="stable")
+        out.append((owner[order], token[order], np.unique(token)))
+    return out
+
+
+def _common(a: tuple, b: tuple, width: int = 2048) -> np.ndarray:
+    """The numbers of common tokens of the sets of two tiles: only tokens that both tiles have are looked at."""
+    shared = a[2] if a is b else np.intersect1d(a[2], b[2], assume_unique=True)
+    common = np.zeros((TILE, TILE), np.float32)
+    if a is b:  # tokens of one set alone only matter on the diagonal, which nobody reads
+        shared = shared[np.diff(np.append(np.searchsorted(a[1], shared), len(a[1]))) > 1]
+    for low in range(0, len(shared), width):
+        tokens, sides = shared[low : low + width], []
+        for owner, token, _ in (a,) if a is b else (a, b):
+            first, last = np.searchsorted(token, tokens[0]), np.searchsorted(token, tokens[-1], "right")
+            at = np.searchsorted(tokens, token[first:last])
+            own = tokens[at] == token[first:last]
+            part = np.zeros((TILE, len(tokens)), np.float32)
+            part[owner[first:last][own], at[own]] = 1
+            sides.append(part)
+        common += sides[0] @ sides[-1].T
+    return common
+
+
+def links_of(sets: list[np.ndarray], lower: list[np.ndarray], threshold: float, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j), i < j, with a Jaccard similarity of at least `threshold` and no common element of `lower`.
+
+    With `left`, only pairs with i < left <= j. Sets are compared tile by tile.
+    """
     n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    first = np.arange(n) if left is None else np.arange(left)
-    if n <= 3:
-        pairs = [(i, j) for i in first for j in range(max(i + 1, left or 0), n) if _alike(sets[i], sets[j], threshold)]
-        return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
-    owner = np.repeat(np.arange(n), sizes)
-    _, token, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = seen[token] > 1
-    owner, token = owner[keep], token[keep]
-    _, token = np.unique(token, return_inverse=True)
-    width, common = 2048, np.zeros((n, n), np.float32)
-    order = np.argsort(token, kind="stable")
-    owner, token = owner[order], token[order]
-    for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
-        a, b = np.searchsorted(token, [low, low + width])
-        part = np.zeros((n, width), np.float32)
-        part[owner[a:b], token[a:b] - low] = 1
-        common += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - common
-    alike = (common >= threshold * union - 1e-6) & (common > 0)
-    i, j = np.nonzero(np.triu(alike, 1))
-    if left is not None:
-        across = (i < left) & (j >= left)
-        i, j = i[across], j[across]
-    return i, j
-
-
-def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common > 0 and common >= threshold * (len(a) + len(b) - common) - 1e-6
+    sizes = np.array([len(x) for x in sets], np.float32)
+    tiles, lowers, found = _tiles(sets), _tiles(lower), []
+    for p, a in enumerate(tiles):
+        for q in range(p, len(tiles)):
+            rows, columns = np.arange(p * TILE, min(n, (p + 1) * TILE)), np.arange(q * TILE, min(n, (q + 1) * TILE))
+            if left is not None and (rows[0] >= left or columns[-1] < left):
+                continue
+            common = _common(a, tiles[q])[: len(rows), : len(columns)]
+            alike = (common > 0) & (common >= threshold * (sizes[rows][:, None] + sizes[columns][None, :] - common) - 1e-4)
+            alike &= rows[:, None] < columns[None, :]
+            if left is not None:
+                alike &= (rows[:, None] < left) & (columns[None, :] >= left)
+            if alike.any():
+                alike &= _common(lowers[p], lowers[q])[: len(rows), : len(columns)] == 0
+            i, j = np.nonzero(alike)
+            found.append((rows[i], columns[j]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -220,51 +248,60 @@ def _sides(rows: list[tuple]) -> tuple[list[tuple], int | None]:
     return rows, None if sides[-1] == 2 else sides.count(0)
 
 
-def _sketch_links(members: DataFrame) -> DataFrame:
-    """(a, b): edges of a spanning forest of each place's members that may reach the threshold, from (place, side, rep, sketch)."""
+def _lower(rows: list[tuple]) -> list[np.ndarray]:
+    """The paths below a place's own that its members have."""
+    return [np.asarray(r[5], np.int64)[np.asarray(r[5], np.int64) < r[4]] for r in rows]
+
+
+def _pairs(rows: list[tuple], read, threshold: float) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """The rows (place, side, rep, set, path, paths, ...) of a place, and its own pairs of them."""
+    rows, left = _sides(rows)
+    if len(rows) < 2 or left == 0 or left == len(rows):
+        return rows, np.empty(0, np.int64), np.empty(0, np.int64)
+    return rows, *links_of([read(r[3]) for r in rows], _lower(rows), threshold, left)
+
+
+def _candidates(members: DataFrame) -> DataFrame:
+    """(path, rep): the sets with a partner whose similarity may reach the threshold, from (place, side, rep, sketch, path, paths)."""
 
     def compare(rows: list[tuple], out: list) -> None:
-        rows, left = _sides(rows)
-        if len(rows) < 2 or left == 0 or left == len(rows):
-            return
-        i, j = links_of([_unpacked(r[3]) for r in rows], SKETCH_THRESHOLD, left)
-        out += [(rows[a][2], rows[b][2]) for a, b in _forest(len(rows), i, j)]
+        rows, i, j = _pairs(rows, _unpacked, SKETCH_THRESHOLD)
+        out += [(rows[k][4], rows[k][2]) for k in np.union1d(i, j)]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out in _grouped(frames, compare):
-            yield pd.DataFrame(out, columns=["a", "b"])
+            yield pd.DataFrame(out, columns=["path", "rep"])
 
-    return members.mapInPandas(batches, "a binary, b binary")
+    return members.mapInPandas(batches, "path long, rep binary")
 
 
 def _with_tokens(rows: DataFrame, width: int) -> DataFrame:
-    """(place, side, rep, w, tokens) for each place of `rows` (rep, text, w, at: its places and sides)."""
+    """(place, side, rep, tokens, path, paths, w) for each place of `rows` (rep, text, w, paths, at: its places)."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for low in range(0, len(frame), 200):
+            for low in range(0, len(frame), 100):
                 out = []
-                for rep, text, w, at in frame.iloc[low : low + 200][["rep", "text", "w", "at"]].itertuples(index=False, name=None):
+                for rep, text, w, paths, at in frame.iloc[low : low + 100][["rep", "text", "w", "paths", "at"]].itertuples(index=False, name=None):
                     tokens = shingles(text, width).tobytes()
-                    out += [(a["place"], a["side"], rep, w, tokens) for a in at]
-                yield pd.DataFrame(out, columns=["place", "side", "rep", "w", "tokens"])
+                    out += [(a["place"], a["side"], rep, tokens, a["path"], paths, w) for a in at]
+                yield pd.DataFrame(out, columns=["place", "side", "rep", "tokens", "path", "paths", "w"])
 
-    return rows.mapInPandas(batches, "place long, side int, rep binary, w long, tokens binary")
+    return rows.mapInPandas(batches, "place long, side int, rep binary, tokens binary, path long, paths array<long>, w long")
 
 
 def _compared(members: DataFrame, threshold: float) -> DataFrame:
-    """Links within places, from `members` (place, side, rep, w, tokens); a pair is in one place only.
+    """Links within places, from `members` (place, side, rep, tokens, path, paths, w); a pair belongs to one place only.
 
     A row (rep, links, other) adds `links` documents to a member's links; with `other`, it is an edge of
     a spanning forest.
     """
 
     def compare(rows: list[tuple], out: list) -> None:
-        rows, left = _sides(rows)
-        if len(rows) < 2 or left == 0 or left == len(rows):
+        rows, i, j = _pairs(rows, lambda tokens: np.frombuffer(tokens, np.uint64), threshold)
+        if not len(i):
             return
-        i, j = links_of([np.frombuffer(r[4], np.uint64) for r in rows], threshold, left)
-        weights = np.array([r[3] for r in rows], np.int64)
+        weights = np.array([r[6] for r in rows], np.int64)
         links = np.bincount(i, weights[j], len(rows)) + np.bincount(j, weights[i], len(rows))
         out += [(rows[k][2], int(links[k]), None) for k in np.flatnonzero(links)]
         out += [(rows[a][2], 0, rows[b][2]) for a, b in _forest(len(rows), i, j)]
@@ -305,7 +342,8 @@ def buckets(sets: DataFrame, later: float, levels: int, small: int) -> DataFrame
     path = sets.select("rep", F.explode("paths").alias("path"))
     done = None
     for level in range(levels):
-        counts = path.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        # Written first, so that the join with a frequent path can be split over tasks.
+        counts = persisted(path.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
         found = persisted(path.join(counts, "path"))
         last = level + 1 == levels
         ready = found if last else found.filter(F.col("members") <= small)
@@ -319,24 +357,23 @@ def buckets(sets: DataFrame, later: float, levels: int, small: int) -> DataFrame
     low = F.lit((1 << 30) - 1)
     mark = [F.sum(part).alias(f"mark{i}") for i, part in enumerate((hash60(F.col("rep")).bitwiseAND(low), F.shiftright(hash60(F.col("rep")), 30), hash60(F.col("rep"), F.lit(1)).bitwiseAND(low)))]
     kept = done.groupBy("path", "members").agg(*mark).groupBy("members", "mark0", "mark1", "mark2").agg(F.min("path").alias("path")).select("path")
-    return persisted(done.join(kept, "path"))
+    return persisted(done.join(persisted(kept), "path"))
 
 
-def placed(found: DataFrame, small: int, block: int) -> DataFrame:
-    """(place, side, rep): a bucket is a place; a large one is a place for each pair of its blocks of about `block` members."""
-    blocks = F.when(F.col("members") <= small, F.lit(1)).otherwise(F.ceil(F.col("members") / block)).cast("long")
+def placed(found: DataFrame, blocks: Column) -> DataFrame:
+    """`found` (path, rep, ...) with place and side: a bucket is a place; one of several blocks is a place for each pair of them."""
     own = hash60(F.col("rep"), F.lit("block")) % F.col("blocks")
-    parts = found.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    parts = found.withColumn("blocks", F.greatest(F.lit(1), blocks).cast("long")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     place = F.when(F.col("blocks") == 1, F.col("path")).otherwise(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    return parts.select(place.alias("place"), side.alias("side"), "rep")
+    return parts.withColumn("place", place).withColumn("side", side).drop("blocks", "own", "other")
 
 
 def together(rows: DataFrame) -> DataFrame:
     return rows.repartition("place").sortWithinPartitions("place")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, choices: float = 1.6, later: float = 1.0, levels: int = 3, small: int = 128, sketch_block: int = 1024, block: int = 256, recall: float = 0.999) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, choices: float = 1.6, later: float = 1.0, levels: int = 4, small: int = 128, block: int = 1024, block_bytes: int = 16 << 20, recall: float = 0.999) -> DataFrame:
     """(id, key, class_id, n_links) for each row of `docs`; `key` is a digest of the text.
 
     `class_id` is the least id of the rows connected by links, and `n_links` the number of other rows with a
@@ -346,18 +383,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     texts = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
     seeds = list(range(1, needed_runs(threshold, choices, later, levels, recall) + 1))
     rows = persisted(_choose_all(texts, seeds, threshold, choices, width))
-    grouped = rows.filter("n > 0").groupBy("sig").agg(F.min(F.struct("key", "id")).alias("first"), F.count(F.lit(1)).alias("w"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
-    sets = persisted(grouped.select("sig", F.col("first.key").alias("rep"), F.col("first.id").alias("rep_id"), "w", "paths", "sketch"))
-    found = placed(buckets(sets, later, levels, small), small, sketch_block)
-    near = components(persisted(_sketch_links(together(found.join(sets.select("rep", "sketch"), "rep").select("place", "side", "rep", "sketch")))))
-    # Sets that sketches connect are compared in one place, so that no pair is compared twice.
-    sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    near = near.join(sizes, "root").select(F.xxhash64("root").alias("path"), "members", F.col("node").alias("rep"))
-    at = F.collect_list(F.struct("place", "side")).alias("at")
-    wanted = placed(near, block, block).groupBy("rep").agg(at).join(sets.select("rep", "rep_id", "w"), "rep")
+    grouped = rows.filter("n > 0").groupBy("sig").agg(F.min(F.struct("key", "id")).alias("first"), F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
+    sets = persisted(grouped.select("sig", F.col("first.key").alias("rep"), F.col("first.id").alias("rep_id"), "w", "n", "paths", "sketch"))
+    found = buckets(sets, later, levels, small)
+    # The paths of a set's buckets: a few for each run, whatever the input.
+    paths = persisted(found.groupBy("rep").agg(F.sort_array(F.collect_set("path")).alias("paths")))
+    met = found.join(sets.select("rep", "sketch").join(paths, "rep"), "rep")
+    near = _candidates(together(placed(met, F.ceil(F.col("members") / block)).select("place", "side", "rep", "sketch", "path", "paths")))
+    near = persisted(near.distinct().join(sets.select("rep", "rep_id", "w", "n"), "rep"))
+    weights = persisted(near.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.sum(8 * F.col("n")).alias("bytes")))
+    at = placed(near.join(weights, "path"), F.ceil(F.greatest(F.col("members") / block, F.col("bytes") / block_bytes)))
+    wanted = at.groupBy("rep", "rep_id", "w").agg(F.collect_list(F.struct("place", "side", "path")).alias("at")).join(paths, "rep")
     same = (texts["key"] == wanted["rep"]) & texts["id"].eqNullSafe(wanted["rep_id"])
     # Rows that repeat an id and its text come several times.
-    read = texts.join(wanted, same).select("rep", "text", "w", "at").dropDuplicates(["rep"])
+    read = texts.join(wanted, same).select("rep", "text", "w", "paths", "at").dropDuplicates(["rep"])
     linked = persisted(_compared(together(_with_tokens(read, width)), threshold))
     roots = components(linked.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = linked.filter("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))

@@ -55,7 +55,7 @@ def corpus(seed=1):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 8, "block": 16, "sketch_block": 16}])
+@pytest.mark.parametrize("options", [{}, {"small": 8, "block": 16}, {"small": 8, "block_bytes": 4000}])
 def test_links_equal_all_pairs(spark, options):
     texts = corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -156,7 +156,7 @@ def test_the_battery_equals_numpy(spark):
 def test_numbers_of_the_length_of_keys_are_no_discoveries(spark):
     pick = random.Random(9)
     letters = "etaoinshrdlucmfw"
-    rows = [(i, " ".join("".join(pick.choices(letters, weights=range(16, 0, -1), k=20)) for _ in range(20))) for i in range(50)]
+    rows = [(i, " ".join("".join(pick.choices(letters, weights=range(16, 0, -1), k=20)) for _ in range(20))) for i in range(300)]
     for n in (16, 24, 40, 64):
         rows += [(1000 + 100 * n + i, "order " + "".join(pick.choices("0123456789", k=n)) + " sent") for i in range(40)]
         rows += [(50_000 + 100 * n + i, "uses " + "".join(pick.choices(secret_scan.SYMBOLS[:64], k=n)) + " there") for i in range(40)]

@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import itertools
+import math
 import random
 import zlib
 
@@ -190,7 +191,7 @@ def exhaustive(own, unit):
 def test_n_best_equals_exhaustive_search(text):
     own = toy()
     units = own.units(text)
-    each = [exhaustive(own, u) if u is not None else [(own.unknown, own._own_mark()[0])] for u in units]
+    each = [exhaustive(own, u) if u is not None else [(own.unknown, own.known().path(None)[0])] for u in units]
     every = [sum(p[0] for p in c) for c in itertools.product(*each)]
     got = own.encode(text, 5)
     assert np.allclose([s for s, _ in got], heapq.nlargest(min(5, len(every)), every))
@@ -211,6 +212,28 @@ def test_real_vocabulary_round_trips(spark, data):
         assert own.n_best(unit, 2)[0][0] - own.n_best(unit, 2)[1][0] == best[2]
 
 
+def test_scores_are_log_probabilities_and_sums_are_exact():
+    own = queries.load_pieces()
+    assert abs(sum(math.exp(x) for x in own.scores.values()) - 1) < 1e-3
+    assert all(float(x / pieces.GRAIN).is_integer() for x in own.scores.values())
+    with open(f"{queries.TOKENIZERS}/{queries.MODEL}", "rb") as file:
+        assert pieces.model_type(file.read()) == pieces.BPE
+    text = "The committee decided that the international conference would be held in the following year."
+    best = own.encode(text, 4)
+    assert [s for s, _ in best] == sorted((s for s, _ in best), reverse=True)
+    spelled = {i: x for x, i in own.ids.items()}
+    assert all(abs(s - sum(own.scores[spelled[i]] for i in ids.tolist())) == 0 for s, ids in best)
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    own, other = queries.load_pieces(), queries.load_pieces()
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    texts = [" ".join(f"word{i * j % 37}" for j in range(30)) for i in range(40)] + ["", "▁"]
+    few = [(s, ids.tolist()) for i in range(0, len(texts), 5) for s, ids, _ in other.encode_many(texts[i : i + 5], 3)]
+    monkeypatch.undo()
+    assert few == [(s, ids.tolist()) for s, ids, _ in own.encode_many(texts, 3)]
+
+
 def test_n_best_segmentations_come_back_from_spark(spark):
     own = toy()
     texts = ["ab", "abab ba", None, "", "aab abx a", "a\nb ▁a", "x", "ab" * 400]

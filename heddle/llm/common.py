@@ -30,6 +30,14 @@ def persisted(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Bounds the rows of a batch that goes to a Python worker, for the rest of the session: a batch of documents
+    is held several times over, as Arrow, as strings and as results."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def whole_text(column: str | Column) -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm import boosting, dom
-from heddle.llm.common import hash60
+from heddle.llm.common import hash60, small_batches
 
 MAIN, REST = frozenset(("article", "main")), frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog"))
 
@@ -181,6 +181,7 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = 200, longest: in
 
 def extract(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", model: boosting.Trees | None = None, **options) -> DataFrame:
     """Each page's `id_cols` and its main text."""
+    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model or fit(pages, html_col, **options))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

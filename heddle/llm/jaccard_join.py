@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import hash60, persisted, whole_text
+from heddle.llm.common import hash60, persisted, small_batches, whole_text
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -379,6 +379,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     `class_id` is the least id of the rows connected by links, and `n_links` the number of other rows with a
     similarity of at least `threshold`.
     """
+    small_batches(docs.sparkSession)
     text = whole_text(text_col)
     texts = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
     seeds = list(range(1, needed_runs(threshold, choices, later, levels, recall) + 1))

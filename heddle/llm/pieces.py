@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.common import small_batches
+
 MARK = "▁"
 #: The score of a character without a piece, below the least score of any piece.
 UNKNOWN = 10.0
@@ -458,6 +460,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     and, unless left out, the best ids once more as a column of their own."""
     import zlib
 
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def lists(parts: list[np.ndarray]) -> pa.Array:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import hash60, persisted, whole_text
+from heddle.llm.common import hash60, persisted, small_batches, whole_text
 
 #: Hashed features of the scorer.
 DIMENSIONS = 1 << 12
@@ -62,7 +62,7 @@ def _bucket(token: bytes) -> int:
     found = _BUCKETS.get(token)
     if found is None:
         found = zlib.crc32(token) % DIMENSIONS
-        if len(_BUCKETS) < 100_000:
+        if len(_BUCKETS) < 20_000 and len(token) < 100:  # a few megabytes a worker
             _BUCKETS[token] = found
     return found
 
@@ -133,7 +133,7 @@ def features(reading: Reading) -> tuple[list[int], list[float]]:
     n = max(1, reading.words)
     found: dict[int, float] = {}
     for shape, k in reading.shapes.items():
-        at = _bucket(b"shape " + shape[:40])
+        at = _bucket(b"shape " + shape)
         found[at] = found.get(at, 0.0) + min(1.0, k / n)
     for name, share in (("doubled", reading.doubled), ("upper", reading.upper), ("bars", reading.bars), ("cells", reading.cells), ("stutter", reading.stutter), ("stale", 1 - reading.fresh), ("marks", reading.marks), ("lines", reading.line_repeats), ("ends", reading.ends)):
         found[_bucket(f"share {name} {min(9, int(share * 20))}".encode())] = 1.0
@@ -224,6 +224,7 @@ def fit_scorer(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, pr
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> tuple[LabelModel, Scorer]:
     """The label model of all documents and a scorer fitted on at most `sample` of them."""
+    small_batches(docs.sparkSession)
     total = docs.count()
     below = min(1 << 60, int((1 << 60) * sample / max(1, total)) + 1)
     key = hash60(F.coalesce(F.col(id_col).cast("string"), F.lit("")))

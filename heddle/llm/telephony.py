@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.common import small_batches
+
 UNIT = 64
 RATE, RESAMPLED = 8000, 16000
 MULAW, ALAW = 7, 6  # format tags of WAVE
@@ -148,6 +150,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Each text as telephony audio: its id, n_bytes, media (the WAVE file), pcm (the resampled WAVE file),
     and digests and features of what is read back. `with_media=False` leaves the two files out."""
 
+    small_batches(docs.sparkSession)
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             part, size = [], 0

@@ -1,13 +1,13 @@
 """Statistics with the semantics that the anomaly jobs need.
 
 Medians are the lower of two middle values, quantiles interpolate linearly, counts round half to even,
-and means skip NaN. `exact_quantile` gives the same quantiles where a group has too many distinct values
-for one reducer.
+and means skip NaN. Order statistics of groups of any size come from a histogram of distinct values whose
+running counts are taken within ranges of values, so that no task holds a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,21 +36,43 @@ def describe(column: str, parts: tuple[str, ...] = ("mean", "std", "min", "max",
     return [made[part].alias(f"{prefix or column}_{part}") for part in parts]
 
 
-def exact_quantile(df: DataFrame, keys: list[str], column: str, q: float, accuracy: int = 1000) -> DataFrame:
-    """(keys, quantile): linear quantiles of groups of any size.
+def running_sums(counts: DataFrame, keys: list[str], order: str, columns: list[str], descending: bool = False, parts: int = 32) -> DataFrame:
+    """`counts` with running_<column>: the sums of each column up to a row's own in the order within `keys`.
 
-    An approximate quantile on either side brackets the wanted ranks; one count says what lies below the
-    bracket, and only the values within it are ranked, which are about 4 / `accuracy` of a group. Groups of
-    up to 10 * `accuracy` values are ranked whole.
+    Approximate quantiles bound `parts` ranges of a group; sums run within a range, and those of the ranges
+    before are added. Where the bounds lie doesn't change the sums.
     """
-    low, high = max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)
-    values = df.select(*keys, F.col(column).cast("double").alias("value"))
-    ends = values.groupBy(*keys).agg(F.percentile_approx("value", F.lit(low), accuracy * 4).alias("low"), F.percentile_approx("value", F.lit(high), accuracy * 4).alias("high"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("n"))
-    ends = ends.withColumn("low", F.when((F.col("n") <= 10 * accuracy) | F.lit(low <= 0), F.col("least")).otherwise(F.col("low"))).withColumn("high", F.when((F.col("n") <= 10 * accuracy) | F.lit(high >= 1), F.col("most")).otherwise(F.col("high")))
-    placed = values.join(F.broadcast(ends), keys)
-    inside = placed.groupBy(*keys).agg(F.first("n").alias("n"), F.sum((F.col("value") < F.col("low")).cast("long")).alias("below"), F.sort_array(F.collect_list(F.when(F.col("value").between(F.col("low"), F.col("high")), F.col("value")))).alias("values"))
-    rank = F.lit(q) * (F.col("n") - 1)
-    at = F.floor(rank).cast("int")
-    first = F.element_at("values", (at - F.col("below") + 1).cast("int"))
-    second = F.element_at("values", F.least(at + 1, F.col("n") - 1).cast("int") - F.col("below").cast("int") + 1)
-    return inside.select(*keys, (first + (second - first) * (rank - F.floor(rank))).alias("quantile"))
+    grid = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx(order, grid, 1000).alias("bounds"))
+    nth = F.size(F.filter("bounds", lambda b: (b > F.col(order)) if descending else (b < F.col(order))))
+    ranged = counts.join(bounds, keys).withColumn("part", nth).drop("bounds")
+    totals = ranged.groupBy(*keys, "part").agg(*[F.sum(c).alias(f"part_{c}") for c in columns])
+    # A row per group and part.
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "part", *[F.coalesce(F.sum(f"part_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in columns])
+    within = Window.partitionBy(*keys, "part").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.join(totals, [*keys, "part"]).select(*counts.columns, *[(F.sum(c).over(within) + F.col(f"before_{c}")).alias(f"running_{c}") for c in columns])
+    return summed
+
+
+def values_at(df: DataFrame, keys: list[str], column: str, ranks: dict[str, Column]) -> DataFrame:
+    """(keys, a column for each of `ranks`): the values at ranks from 0, which are expressions of the group's count `total`."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    rows = running_sums(counts, keys, "value", ["n"]).join(totals, keys)
+    at = lambda rank: (F.col("running_n") > rank) & (F.col("running_n") - F.col("n") <= rank)
+    return rows.groupBy(*keys).agg(*[F.max(F.when(at(rank), F.col("value"))).alias(name) for name, rank in ranks.items()], F.first("total").alias("total"))
+
+
+def exact_median(df: DataFrame, keys: list[str], column: str, name: str = "median") -> DataFrame:
+    """(keys, median): lower medians of groups of any size."""
+    return values_at(df, keys, column, {name: F.floor((F.col("total") - 1) / 2)}).drop("total")
+
+
+def exact_quantile(df: DataFrame, keys: list[str], column: str, q: float) -> DataFrame:
+    """(keys, quantile): linear quantiles of groups of any size."""
+    if not 0 <= q <= 1:
+        raise ValueError("a quantile lies between 0 and 1")
+    rank = F.lit(float(q)) * (F.col("total") - 1)
+    found = values_at(df, keys, column, {"first": F.floor(rank), "second": F.least(F.floor(rank) + 1, F.col("total") - 1)})
+    return found.select(*keys, (F.col("first") + (F.col("second") - F.col("first")) * (rank - F.floor(rank))).alias("quantile"))

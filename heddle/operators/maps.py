@@ -139,6 +139,6 @@ def top_anomalies(scored: DataFrame, thresholds: DataFrame, n: int = 20) -> Data
     """The n images of highest score in each category, with the share of pixels at or above the threshold and
     the ceiling of their colour scale; equal scores go by image."""
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("image_score"), "image_id"))
-    rows = scored.withColumn("rank", rank).filter(F.col("rank") <= n).join(F.broadcast(thresholds.select("category", "pixel_threshold")), "category")
+    rows = scored.withColumn("rank", rank).filter(F.col("rank") <= n).join(thresholds.select("category", "pixel_threshold"), "category")
     mask = F.transform("map", lambda x: (x >= F.col("pixel_threshold")).cast("int"))
     return rows.withColumn("predicted_mask", mask).withColumn("color_ceiling", F.greatest(2.5 * F.col("pixel_threshold"), F.lit(1e-6))).drop("map")

@@ -90,6 +90,6 @@ def bank_faults(bank: DataFrame) -> DataFrame:
     """Per category and layer: rows, and how many have no finite numbers, another width or a place outside the grid."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     width = bank.groupBy("category", "layer").agg(F.max(F.size("v")).alias("width"))
-    rows = bank.join(F.broadcast(width), ["category", "layer"])
+    rows = bank.join(width, ["category", "layer"])
     count = lambda wrong: F.sum(wrong.cast("long"))
     return rows.groupBy("category", "layer").agg(F.count(F.lit(1)).alias("rows"), count(~finite).alias("not_finite"), count(F.size("v") != F.col("width")).alias("other_width"), count(~(F.col("x").between(0, 1) & F.col("y").between(0, 1))).alias("outside"))

@@ -1,16 +1,17 @@
 """Ranking and threshold metrics of scores against labels, per category.
 
 A histogram by category and score comes first, so that equal scores are one row and the running sums see
-as few rows as there are distinct scores. `running` ranks each category within one task; `running_ranged`
-spreads a category over ranges of scores and adds what lies in the ranges above.
+as few rows as there are distinct scores. Running sums are taken within ranges of scores, so that no task
+ranks a category.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.statistics import nan_mean
+from heddle.functions.statistics import nan_mean, running_sums
+from heddle.functions.storage import persisted
 
 NAN = float("nan")
 
@@ -20,39 +21,20 @@ def histogram(scored: DataFrame) -> DataFrame:
     return scored.groupBy("category", "score").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
 
 
-def running(counts: DataFrame) -> DataFrame:
-    """`counts` with tp and fp, the counts at or above each score."""
-    above = Window.partitionBy("category").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("tp", F.sum("p").over(above)).withColumn("fp", F.sum("n").over(above))
-
-
-def running_ranged(counts: DataFrame, parts: int = 32) -> DataFrame:
-    """The same for categories too large for one task: sums within ranges of scores, plus those of ranges above.
-
-    Approximate quantiles bound the ranges; where they lie doesn't change the sums.
-    """
-    bounds = counts.groupBy("category").agg(F.percentile_approx("score", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 1000).alias("bounds"))
-    part = F.size(F.filter("bounds", lambda b: b > F.col("score")))
-    ranged = counts.join(F.broadcast(bounds), "category").withColumn("part", part).drop("bounds")
-    totals = ranged.groupBy("category", "part").agg(F.sum("p").alias("part_p"), F.sum("n").alias("part_n"))
-    before = Window.partitionBy("category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # A row per category and part.
-    totals = totals.select("category", "part", F.coalesce(F.sum("part_p").over(before), F.lit(0)).alias("above_p"), F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("above_n"))
-    within = Window.partitionBy("category", "part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumn("tp", F.sum("p").over(within)).withColumn("fp", F.sum("n").over(within)).join(F.broadcast(totals), ["category", "part"])
-    return summed.withColumn("tp", F.col("tp") + F.col("above_p")).withColumn("fp", F.col("fp") + F.col("above_n")).drop("part", "above_p", "above_n")
-
-
-def ranking(scored: DataFrame, ranged: bool = False) -> DataFrame:
+def ranking(scored: DataFrame) -> DataFrame:
     """(category, auroc, average_precision, f1_oracle, threshold_oracle): all from one set of running sums.
 
     AUROC and average precision are NaN where only one class is there; the best F1 is 0 without positives.
     Of equal F1, the lowest threshold counts.
     """
-    counts = histogram(scored)
-    sums = running_ranged(counts) if ranged else running(counts)
+    return ranked(histogram(scored))
+
+
+def ranked(counts: DataFrame) -> DataFrame:
+    """`ranking` from a histogram."""
+    sums = running_sums(counts, ["category"], "score", ["p", "n"], descending=True).withColumnsRenamed({"running_p": "tp", "running_n": "fp"})
     totals = counts.groupBy("category").agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
-    rows = sums.join(F.broadcast(totals), "category")
+    rows = sums.join(totals, "category")
     tp, fp, p, n = (F.col(c).cast("double") for c in ("tp", "fp", "p", "n"))
     positives, negatives = F.col("positives").cast("double"), F.col("negatives").cast("double")
     f1 = F.when(F.col("positives") > 0, 2 * tp / (tp + fp + positives)).otherwise(F.lit(0.0))
@@ -69,18 +51,27 @@ def at_threshold(scored: DataFrame, thresholds: DataFrame, threshold: str = "thr
 
     Without any positive, true or predicted, F1 is 0 and IoU is 1.
     """
-    rows = scored.join(F.broadcast(thresholds.select("category", F.col(threshold).alias("at"))), "category")
-    hit, true = F.col("score") >= F.col("at"), F.col("label") == 1
-    count = lambda c: F.sum(c.cast("long"))
-    made = rows.groupBy("category").agg(count(hit & true).alias("tp"), count(hit & ~true).alias("fp"), count(~hit & true).alias("fn"))
+    return fixed(histogram(scored), thresholds, threshold)
+
+
+def fixed(counts: DataFrame, thresholds: DataFrame, threshold: str) -> DataFrame:
+    """`at_threshold` from a histogram."""
+    rows = counts.join(thresholds.select("category", F.col(threshold).alias("at")), "category")
+    hit = F.col("score") >= F.col("at")
+    count = lambda c, what: F.coalesce(F.sum(F.when(c, F.col(what))), F.lit(0))
+    made = rows.groupBy("category").agg(count(hit, "p").alias("tp"), count(hit, "n").alias("fp"), count(~hit, "p").alias("fn"))
     union = F.col("tp") + F.col("fp") + F.col("fn")
     share = lambda top, bottom, none: F.when(bottom > 0, top / bottom).otherwise(F.lit(none))
     return made.select("category", share(2.0 * F.col("tp"), union + F.col("tp"), 0.0).alias("f1_calibrated"), share(1.0 * F.col("tp"), union, 1.0).alias("iou_calibrated"))
 
 
-def binary_metrics(scored: DataFrame, thresholds: DataFrame, threshold: str, level: str, oracle: bool = True, ranged: bool = False) -> DataFrame:
-    """The six metrics of one level, their names led by `level`; without `oracle`, its two are NaN."""
-    rows = ranking(scored, ranged).join(at_threshold(scored, thresholds, threshold), "category")
+def binary_metrics(scored: DataFrame, thresholds: DataFrame, threshold: str, level: str, oracle: bool = True) -> DataFrame:
+    """The six metrics of one level, their names led by `level`; without `oracle`, its two are NaN.
+
+    The histogram is written once, so that the scores are made and read once.
+    """
+    counts = persisted(histogram(scored))
+    rows = ranked(counts).join(fixed(counts, thresholds, threshold), "category")
     names = {"auroc": "AUROC", "average_precision": "AUPR", "f1_calibrated": "F1_calibrated", "iou_calibrated": "IoU_calibrated", "f1_oracle": "F1_oracle", "threshold_oracle": "threshold_oracle"}
     value = lambda c: F.col(c) if oracle or "oracle" not in c else F.lit(NAN)
     return rows.select("category", *[value(c).alias(f"{level}_{name}") for c, name in names.items()])

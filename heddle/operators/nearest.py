@@ -1,8 +1,9 @@
 """Exact nearest neighbours under cosine distance plus a weighed distance of places.
 
-Both sides are packed into blocks of rows, joined by category and layer, and compared block against
-block by matrix products, so that pairs are never rows. The packed bank is broadcast only if its
-measured size is small; otherwise the blocks are shuffled.
+Both sides are packed into blocks of rows and compared block against block by matrix products, so that pairs
+are never rows. Query blocks of a category and layer are dealt to at most `SLICES` slices, and each slice gets
+the bank's blocks, so that a large category is searched by many tasks; adaptive execution broadcasts the
+packed bank instead where its size allows.
 """
 
 from __future__ import annotations
@@ -14,16 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Broadcast a bank of up to this many numbers (8 bytes each).
-BROADCAST_NUMBERS = 4_000_000
+#: Tasks that a category and layer are searched by; each gets a copy of its bank.
+SLICES = 64
 
 
 def packed(rows: DataFrame, ids: list[str], per_block: int, prefix: str) -> DataFrame:
     """(category, layer, block, ids.., x, y, v as arrays); blocks come from a hash, so their number follows the group."""
     sizes = rows.groupBy("category", "layer").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("blocks"))
     block = F.pmod(F.xxhash64(*ids), F.col("blocks"))
-    put = rows.join(F.broadcast(sizes), ["category", "layer"]).withColumn("block", block)
-    return put.groupBy("category", "layer", "block").agg(F.collect_list(F.struct(*ids, "x", "y", "v")).alias(prefix))
+    put = rows.join(sizes, ["category", "layer"]).withColumn("block", block)
+    return put.groupBy("category", "layer", "blocks", "block").agg(F.collect_list(F.struct(*ids, "x", "y", "v")).alias(prefix))
 
 
 def search_block(query: pd.DataFrame, bank: pd.DataFrame, weight: float) -> tuple[np.ndarray, np.ndarray]:
@@ -48,11 +49,13 @@ def nearest(queries: DataFrame, bank: DataFrame, weights: DataFrame | float = 0.
     elif weights < 0:
         raise ValueError("the spatial weight is negative")
     ids = ["image_id", "patch_id"]
-    left = packed(queries, ids, query_block, "queries")
-    left = left.join(F.broadcast(weighed), ["category", "layer"]) if isinstance(weights, DataFrame) else left.withColumn("weight", F.lit(float(weights)))
-    right = packed(bank, ["bank_id"], bank_block, "bank").drop("block")
-    numbers = bank.agg(F.sum(F.size("v") + 3)).first()[0] or 0
-    pairs = left.join(F.broadcast(right) if numbers <= BROADCAST_NUMBERS else right, ["category", "layer"])
+    left = packed(queries, ids, query_block, "queries").withColumn("slices", F.least("blocks", F.lit(SLICES)))
+    left = left.withColumn("slice", F.col("block") % F.col("slices"))
+    copies = queries.groupBy("category", "layer").agg(F.least(F.ceil(F.count(F.lit(1)) / query_block), F.lit(SLICES)).alias("slices"))
+    left = left.join(weighed, ["category", "layer"]) if isinstance(weights, DataFrame) else left.withColumn("weight", F.lit(float(weights)))
+    right = packed(bank, ["bank_id"], bank_block, "bank").join(copies, ["category", "layer"])
+    right = right.select("category", "layer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "bank")
+    pairs = left.join(right, ["category", "layer", "slice"])
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -57,7 +57,7 @@ def spatial_weights(reliability: DataFrame, mode: str = "adaptive", fixed: float
     elif mode == "fixed":
         weight, rows = F.lit(float(fixed)), reliability
     elif mode == "adaptive":
-        weight, rows = weight_of(F.col("reliability"), F.col("tau"), most), reliability.join(F.broadcast(layer_tau(reliability, quantile)), "layer")
+        weight, rows = weight_of(F.col("reliability"), F.col("tau"), most), reliability.join(layer_tau(reliability, quantile), "layer")
     else:
         raise ValueError(f"no such spatial mode: {mode}")
     return rows.select("category", "layer", weight.alias("spatial_weight"))

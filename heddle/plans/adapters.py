@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.functions.storage import persisted
 from heddle.operators import calibration, features, maps, memory, nearest, reliability, sampling
 
 LAYERS = {3: 0, 6: 32}
@@ -27,15 +27,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def kept(method):
-    """The step's table is made once for a flow, and cached: later steps read it several times.
-
-    Only steps much smaller than the features are marked so.
-    """
+    """The step's table is made once for a flow, and written to the shared folder: later steps read it several
+    times, plan it as a scan, and survive the loss of executors."""
 
     @wraps(method)
     def once(self):
         if method.__name__ not in self.made:
-            self.made[method.__name__] = method(self).persist(StorageLevel.MEMORY_AND_DISK)
+            self.made[method.__name__] = persisted(method(self))
         return self.made[method.__name__]
 
     return once
@@ -52,18 +50,10 @@ class Flow:
         """The flow over a directory; the last one of a session is kept, so that queries share its tables."""
         key = (spark.sparkContext.applicationId, sf_dir)
         if key not in _LAST:
-            for flow in _LAST.values():
-                flow.close()
             _LAST.clear()
             _LAST[key] = Flow(spark, sf_dir)
         return _LAST[key]
 
-    def close(self) -> None:
-        if self.spark.sparkContext._jsc:
-            for table in self.made.values():
-                table.unpersist()
-        self.made.clear()
-
     def tokens(self) -> DataFrame:
         """(category, image_id, layer, tokens): a class token of zeros, and the patches."""
         numbers = F.transform("embedding", lambda x: x.cast("double"))
@@ -134,10 +124,15 @@ class Flow:
     def fused(self) -> DataFrame:
         return calibration.fused(calibration.calibrated(self.test_scores(), self.layer_calibration()))
 
+    @kept
+    def all_calibration_maps(self) -> DataFrame:
+        return self._maps(self.calibration_scores())
+
     def calibration_maps(self, role: str | None = None) -> DataFrame:
-        rows = self._maps(self.calibration_scores())
+        rows = self.all_calibration_maps()
         return rows.join(self.splits().filter(F.col("role") == role).select("category", "image_id"), ["category", "image_id"], "left_semi") if role else rows
 
+    @kept
     def test_maps(self) -> DataFrame:
         return self._maps(self.test_scores())
 
@@ -149,6 +144,7 @@ class Flow:
         fit = self.calibration_maps("threshold_fit")
         return calibration.category_calibration(fit, self.calibration_maps("normal_validation"), self.image_scores(fit), self.splits(), topk_fraction=PIXEL_TOPK)
 
+    @kept
     def labelled_images(self) -> DataFrame:
         return self.image_scores(self.test_maps()).join(self.test_images(), ["category", "image_id"])
 

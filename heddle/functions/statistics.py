@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.functions.storage import persisted
+
 
 def lower_median(column: str) -> Column:
     return F.expr(f"percentile_disc(0.5D) WITHIN GROUP (ORDER BY `{column}`)")
@@ -56,8 +58,12 @@ def running_sums(counts: DataFrame, keys: list[str], order: str, columns: list[s
 
 
 def values_at(df: DataFrame, keys: list[str], column: str, ranks: dict[str, Column]) -> DataFrame:
-    """(keys, a column for each of `ranks`): the values at ranks from 0, which are expressions of the group's count `total`."""
+    """(keys, a column for each of `ranks`): the values at ranks from 0, which are expressions of the group's count `total`.
+
+    The histogram is written once, so that what `df` stands for is made and planned once.
+    """
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = persisted(counts)
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     rows = running_sums(counts, keys, "value", ["n"]).join(totals, keys)
     at = lambda rank: (F.col("running_n") > rank) & (F.col("running_n") - F.col("n") <= rank)

@@ -27,7 +27,7 @@ def ranking(scored: DataFrame) -> DataFrame:
     AUROC and average precision are NaN where only one class is there; the best F1 is 0 without positives.
     Of equal F1, the lowest threshold counts.
     """
-    return ranked(histogram(scored))
+    return ranked(persisted(histogram(scored)))
 
 
 def ranked(counts: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from heddle.functions.statistics import exact_quantile, lower_median, nan_mean
+from heddle.functions.statistics import exact_median, exact_quantile, lower_median, nan_mean, running_sums
 from heddle.functions.vectors import grid_side, l2_normalised
 from heddle.operators import calibration, features, maps, memory, metrics, nearest, reports, sampling
 from heddle.operators import reliability as rel
@@ -116,9 +117,9 @@ def test_nearest_breaks_ties_by_id_and_place(spark):
 @pytest.mark.parametrize("weight", [0.0, 0.3])
 @pytest.mark.parametrize("blocks", [(1024, 4096), (3, 2)])
 def test_nearest_equals_join(spark, monkeypatch, weight, blocks):
+    monkeypatch.setattr(nearest, "SLICES", 2 if blocks[0] == 3 else 64)
     query = features.with_coordinates(random_features(spark, 4, 4, seed=2), 4)
     bank = features.with_coordinates(random_features(spark, 5, 4, seed=3), 4).withColumn("bank_id", F.col("image_id") * 4 + F.col("patch_id"))
-    monkeypatch.setattr(nearest, "BROADCAST_NUMBERS", 0 if blocks[0] == 3 else 4_000_000)
     got = rows(nearest.nearest(query, bank, weight, *blocks), "image_id", "patch_id")
     want = rows(nearest.nearest_by_join(query, bank, weight), "image_id", "patch_id")
     assert [r[:4] + r[5:] for r in got] == [r[:4] + r[5:] for r in want]
@@ -171,8 +172,7 @@ def test_median_mad_and_clamp(spark):
 def test_pixel_thresholds_and_diagnostics(spark):
     table = spark.createDataFrame([("a", 0, [0.0, 1.0, 2.0, 3.0]), ("a", 1, [0.0, 2.0, 4.0, 6.0])], "category string, image_id long, map array<double>")
     for method, want in (("global_quantile", 2.0), ("image_max_quantile", 4.5), ("image_topk_quantile", 3.75)):
-        for large in (False, True):
-            assert calibration.pixel_threshold(table, method, 0.5, 0.5, 0.5, large).first().pixel_threshold == want
+        assert calibration.pixel_threshold(table, method, 0.5, 0.5, 0.5).first().pixel_threshold == want
     got = calibration.normal_diagnostics(table, spark.createDataFrame([("a", 4.0)], "category string, pixel_threshold double")).first()
     assert (got.normal_pixel_positive_rate, got.normal_image_positive_rate) == (0.25, 0.5)
     with pytest.raises(ValueError):
@@ -215,7 +215,16 @@ def test_ranged_sums_equal_windows(spark):
     rng = np.random.default_rng(5)
     scored = spark.createDataFrame([("ab"[i % 2], int(rng.integers(2)), float(rng.integers(50))) for i in range(400)], "category string, label int, score double")
     counts = metrics.histogram(scored)
-    assert rows(metrics.running_ranged(counts, 7), "category", "score") == rows(metrics.running(counts), "category", "score")
+    for descending in (False, True):
+        window = Window.partitionBy("category").orderBy(F.desc("score") if descending else F.asc("score")).rowsBetween(Window.unboundedPreceding, 0)
+        want = counts.withColumn("running_p", F.sum("p").over(window)).withColumn("running_n", F.sum("n").over(window))
+        assert rows(running_sums(counts, ["category"], "score", ["p", "n"], descending, 7), "category", "score") == rows(want, "category", "score")
+
+
+def test_values_of_one_hot_value(spark):
+    table = spark.createDataFrame([("a", 0.0)] * 3000 + [("a", float(i)) for i in range(1, 1001)], "category string, x double")
+    assert exact_median(table, ["category"], "x").first().median == 0.0
+    assert abs(exact_quantile(table, ["category"], "x", 0.9).first()["quantile"] - np.quantile([0.0] * 3000 + list(range(1, 1001)), 0.9)) < 1e-9
 
 
 def test_exact_quantile_equals_percentile(spark):

@@ -73,8 +73,59 @@ PARTS = {
 }
 
 
-def laid_out(main: list[str], spare: list[str], pick: random.Random) -> tuple[str, set[str]]:
-    """A page with the texts `main` in its main part and texts of `spare` around and within it; the texts around."""
+def chunks(text: str, most: int, pick: random.Random) -> list[str]:
+    """The words of a text in at most `most` parts of similar length."""
+    words = text.split()
+    n = min(len(words), pick.randint(1, most))
+    cuts = [len(words) * k // n for k in range(n + 1)] if n else [0]
+    return [" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def inline(text: str, pick: random.Random) -> str:
+    """An escaped text, at times with links and emphasis in it."""
+    words = [escape(w) for w in text.split()]
+    for tag in pick.choices(("a href=/x", "b", "em", "span"), (3, 1, 1, 1), k=pick.choice((0, 0, 0, 1, 2, 4))):
+        at = pick.randrange(len(words)) if words else 0
+        end = min(len(words), at + pick.randint(1, 5))
+        if words:
+            words[at], words[end - 1] = f"<{tag}>{words[at]}", f"{words[end - 1]}</{tag.split()[0]}>"
+    return " ".join(words)
+
+
+def laid_row(text: str, pick: random.Random) -> tuple[str, list[str]]:
+    """A text of an article as a paragraph, quotation, list, table, figure, code or the like, and its blocks."""
+    kind = pick.choices(("p", "quote", "list", "nested", "table", "figure", "pre", "terms", "heading", "div"), (50, 8, 8, 5, 8, 6, 4, 4, 5, 4))[0]
+    parts = chunks(text, 8, pick)
+    cells = [escape(x) for x in parts]
+    if kind == "quote":
+        return pick.choice(("<blockquote><p>{}</p></blockquote>", "<blockquote>{}</blockquote>", "<blockquote class=quote><p>{}</p></blockquote>")).format(escape(text)), [text]
+    if kind == "list":
+        tag = pick.choice(("ul", "ol"))
+        return f"<{tag}>" + "".join(f"<li>{x}</li>" for x in cells) + f"</{tag}>", parts
+    if kind == "nested" and len(parts) > 1:
+        return f"<ul><li>{cells[0]}<ul>" + "".join(f"<li>{x}</li>" for x in cells[1:]) + "</ul></li></ul>", parts
+    if kind == "table":
+        wide = pick.randint(1, 4)
+        lines = [cells[k : k + wide] for k in range(0, len(cells), wide)]
+        head = pick.random() < 0.5
+        rows = ["<tr>" + "".join(f"<{'th' if head and not k else 'td'}>{x}</{'th' if head and not k else 'td'}>" for x in line) + "</tr>" for k, line in enumerate(lines)]
+        return pick.choice(("<table>{}</table>", "<table class=data><tbody>{}</tbody></table>", "<div class=table-wrap><table>{}</table></div>")).format("".join(rows)), parts
+    if kind == "figure":
+        caption = " ".join(text.split()[: pick.randint(2, 20)])
+        return pick.choice(("<figure><img src=a.png><figcaption>{}</figcaption></figure>", "<figure><figcaption>{}</figcaption><img src=a.png></figure>")).format(escape(caption)), [caption]
+    if kind == "pre":
+        return f"<pre><code>{escape(text)}</code></pre>", [text]
+    if kind == "terms" and len(parts) > 1:
+        return "<dl>" + "".join(f"<{('dt', 'dd')[k % 2]}>{x}</{('dt', 'dd')[k % 2]}>" for k, x in enumerate(cells)) + "</dl>", parts
+    if kind == "heading":
+        head = " ".join(text.split()[: pick.randint(2, 8)])
+        rest = " ".join(text.split()[8:]) or head
+        return f"<h2>{escape(head)}</h2><p>{escape(rest)}</p>", [head, rest]
+    return (f"<div>{inline(text, pick)}</div>" if kind == "div" else f"<p>{inline(text, pick)}</p>"), [text]
+
+
+def laid_out(main: list[str], spare: list[str], pick: random.Random) -> tuple[str, list[str], set[str]]:
+    """A page with the texts `main` in its main part and texts of `spare` around and within it; the blocks of the main part, and the texts around."""
     around: set[str] = set()
 
     def words(low: int, high: int) -> str:
@@ -95,20 +146,29 @@ def laid_out(main: list[str], spare: list[str], pick: random.Random) -> tuple[st
             inner = f"<h3>{words(1, 3)}</h3>" * (pick.random() < 0.5) * (row != "li") + "".join(f"<{row}{pick.choice(('', ' class=comment'))}><p>{words(4, 60)}</p></{row}>" for _ in range(pick.randint(1, 5)))
         elif kind == "form":
             inner = f"<label>{words(1, 4)}</label><input name=q><button>{words(1, 2)}</button>"
+        elif pick.random() < 0.4:
+            inner = words(2, 60)
         else:
             row = pick.choice(("p", "span", "div"))
             inner = "".join(f"<{row}>{words(2, 25)}</{row}>" for _ in range(pick.randint(1, 3)))
         return f"<{tag}{mark}>{inner}</{tag}>"
 
     tag, name = pick.choice(PARTS["main"])
-    rows = [f"<h1>{escape(main[0])}</h1>", *(f"<p>{escape(x)}</p>" if pick.random() < 0.9 else f"<ul><li>{escape(x)}</li></ul>" for x in main[1:])]
-    for kind in pick.sample(("ad", "share", "side", "comment", "form"), pick.choice((0, 0, 1, 1, 2))):
-        rows.insert(pick.randint(1, len(rows)) if kind == "ad" else len(rows), part(kind))
+    short = pick.random() < 0.25
+    texts = [" ".join(x.split()) for x in main if x.split()]
+    if short:  # an article of one or two short lines
+        texts = [" ".join(x.split()[: pick.randint(1, 12)]) for x in texts[: pick.randint(1, 2)]]
+    made = [laid_row(x, pick) for x in texts[1:]]
+    if texts:
+        made.insert(0, (f"<p>{escape(texts[0])}</p>" if short and pick.random() < 0.5 else f"<h1>{escape(texts[0])}</h1>", [texts[0]]))
+    rows, inside = [r for r, _ in made], [b for _, blocks in made for b in blocks]
+    for kind in pick.sample(("ad", "ad", "ad", "share", "side", "comment", "form"), pick.choice((0, 1, 1, 2, 2))):
+        rows.insert(pick.randint(min(1, len(rows)), len(rows)) if kind == "ad" else len(rows), part(kind))
     body = f"<{tag}{f' class={chr(34)}{name}{chr(34)}' if name else ''}>{''.join(rows)}</{tag}>"
     before = [part(k) for k in ("notice", "header", "nav", "ad", "side", "form") if pick.random() < 0.5]
     after = [part(k) for k in ("share", "comment", "side", "ad", "notice", "form", "footer") if pick.random() < 0.5]
     wrap = pick.choice(("{}", '<div id="page">{}</div>', '<div class="wrapper"><div class="row">{}</div></div>'))
-    return f"<html><body>{wrap.format(''.join(before) + body + ''.join(after))}</body></html>", around
+    return f"<html><body>{wrap.format(''.join(before) + body + ''.join(after))}</body></html>", inside, around
 
 
 def fit_pages(pages: list[str], layouts: int = 4, seed: int = 4) -> boosting.Trees:
@@ -125,8 +185,8 @@ def fit_pages(pages: list[str], layouts: int = 4, seed: int = 4) -> boosting.Tre
         y.append(node_labels(page, labels))
     for main, _ in texts:
         for _ in range(layouts):
-            html, around = laid_out(main[: pick.randint(2, 40)], spare, pick)
-            page, wanted = dom.parse(html), {" ".join(t.split()) for t in main}
+            html, inside, around = laid_out(main[: pick.randint(2, 40)], spare, pick)
+            page, wanted = dom.parse(html), set(inside)
             # A text that stands both within and around says nothing about its node.
             labels = np.array([t in wanted and t not in around for _, t, _ in page.blocks])
             x.append(dom.features(page))
@@ -135,8 +195,12 @@ def fit_pages(pages: list[str], layouts: int = 4, seed: int = 4) -> boosting.Tre
     return boosting.fit(x[y >= 0], y[y >= 0].astype(float))
 
 
-def decode(page: dom.Page, p: np.ndarray, change: float = 1.0) -> list[bool]:
-    """For each node, whether its text is main: the best states of the tree, from its leaves up."""
+def decode(page: dom.Page, p: np.ndarray, change: float = 1.0, cut_change: float = 2.0) -> list[bool]:
+    """For each node, whether its text is main: the best states of the tree, from its leaves up.
+
+    Beginning a main part costs `change` in log-probability; cutting out of it costs `cut_change`, so that a
+    block within an article needs more evidence against it than one outside.
+    """
     n = len(page.tags)
     p = np.clip(p, 1e-4, 1 - 1e-4)
     yes, no = np.log(p), np.log(1 - p)
@@ -152,7 +216,7 @@ def decode(page: dom.Page, p: np.ndarray, change: float = 1.0) -> list[bool]:
     for i in range(n - 1, 0, -1):
         up = page.parents[i]
         cut[up] += cut[i]
-        inside[up] += max(inside[i], cut[i] - change)
+        inside[up] += max(inside[i], cut[i] - cut_change)
         outside[up] += max(outside[i], inside[i] - change)
     main = [False] * n
     state = ["out"] * n
@@ -161,7 +225,7 @@ def decode(page: dom.Page, p: np.ndarray, change: float = 1.0) -> list[bool]:
         if above == "out":
             state[i] = "in" if inside[i] - change > outside[i] else "out"
         else:
-            state[i] = "in" if above == "in" and inside[i] >= cut[i] - change else "cut"
+            state[i] = "in" if above == "in" and inside[i] >= cut[i] - cut_change else "cut"
         main[i] = state[i] == "in"
     return main
 

@@ -93,13 +93,68 @@ def test_extraction_of_known_and_new_layouts(spark, data, model):
         page = dom.parse(html)
         labels = html_extract.tag_labels(page)
         main = [t for (_, t, _), m in zip(page.blocks, labels, strict=True) if m]
-        for text, want in ((html, main), (html_extract.laid_out(main[:20], spare, pick)[0], main[:20])):
+        new, inside, _ = html_extract.laid_out(main[:20], spare, pick)
+        for text, want in ((html, main), (new, inside)):
             own = dom.parse(text)
             right += html_extract.main_text(own, model.probability(dom.features(own))) == "\n".join(want)
             total += 1
     assert right / total >= 0.9
 
 
+NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li><li><a href="/c">Contact</a></li></ul></nav>'
+ADVERT = '<div class="advert">' + "Buy the finest garden chairs of the whole region now, delivered to your door within two days. " * 4 + "</div>"
+FOOT = "<footer><p>Copyright 2024 The Example Company. All rights reserved.</p></footer>"
+SIDE = '<aside class="sidebar"><h3>Popular</h3><ul><li><a href="/1">Ten ways to cook rice</a></li><li><a href="/2">The best lakes</a></li></ul></aside>'
+COMMENTS = '<section class="comments"><h3>Comments</h3><div class="comment"><p>Great read, thank you so much for sharing this with us all!</p></div><div class="comment"><p>I disagree with the second point.</p></div></section>'
+P1 = "The old bridge over the river was closed last week, because engineers found cracks in two of its pillars during a routine inspection."
+P2 = "Repairs are expected to take about three months, and traffic will be led over the northern crossing until then, the city council said on Monday."
+#: Pages written by hand: their parts, and the blocks of the article.
+HANDMADE = {
+    "paragraphs": (NAV, f"<article><h1>Bridge closed</h1><p>{P1}</p><p>{P2}</p></article>", FOOT, ["Bridge closed", P1, P2]),
+    "table": (NAV, f"<article><h1>Opening hours</h1><p>{P1}</p><table><tr><th>Day</th><th>Hours</th></tr><tr><td>Monday</td><td>9 to 5</td></tr><tr><td>Sunday</td><td>closed</td></tr></table><p>{P2}</p></article>", FOOT, ["Opening hours", P1, "Day", "Hours", "Monday", "9 to 5", "Sunday", "closed", P2]),
+    "figure": (NAV, f"<article><h1>Bridge</h1><p>{P1}</p><figure><img src=b.jpg><figcaption>The bridge in 1950.</figcaption></figure><p>{P2}</p></article>", FOOT, ["Bridge", P1, "The bridge in 1950.", P2]),
+    "quotation": (NAV, f"<article><h1>Bridge</h1><p>{P1}</p><blockquote><p>We had no choice, the mayor said.</p></blockquote><p>{P2}</p></article>", FOOT, ["Bridge", P1, "We had no choice, the mayor said.", P2]),
+    "one line": (NAV, "<article><p>Closed today.</p></article>", ADVERT, ["Closed today."]),
+    "one line and heading": (NAV, "<main><h1>Notice</h1><p>The library opens at noon.</p></main>", FOOT, ["Notice", "The library opens at noon."]),
+    "list": (NAV, f"<article><h1>What to bring</h1><p>{P1}</p><ul><li>Warm clothes</li><li>A torch</li><li>Some food</li></ul></article>", FOOT, ["What to bring", P1, "Warm clothes", "A torch", "Some food"]),
+    "nested list": (NAV, f"<article><h1>Plan</h1><p>{P1}</p><ol><li>First day<ul><li>Arrival</li><li>Dinner</li></ul></li><li>Second day</li></ol><p>{P2}</p></article>", FOOT, ["Plan", P1, "First day", "Arrival", "Dinner", "Second day", P2]),
+    "code": (NAV, f"<article><h1>How to</h1><p>{P1}</p><pre><code>make install</code></pre><p>{P2}</p></article>", FOOT, ["How to", P1, "make install", P2]),
+    "headings": (NAV, f"<article><h1>Bridge</h1><h2>Cracks</h2><p>{P1}</p><h2>Repairs</h2><p>{P2}</p></article>", FOOT, ["Bridge", "Cracks", P1, "Repairs", P2]),
+    "terms": (NAV, f"<article><h1>Words</h1><p>{P1}</p><dl><dt>Pier</dt><dd>A pillar of a bridge.</dd><dt>Span</dt><dd>What lies between two piers.</dd></dl></article>", FOOT, ["Words", P1, "Pier", "A pillar of a bridge.", "Span", "What lies between two piers."]),
+    "sidebar": (NAV, f"<article><h1>Bridge</h1><p>{P1}</p><p>{P2}</p></article>", SIDE + FOOT, ["Bridge", P1, P2]),
+    "comments": (NAV, f"<article><h1>Bridge</h1><p>{P1}</p><p>{P2}</p></article>", COMMENTS + FOOT, ["Bridge", P1, P2]),
+    "comments within": (NAV, f"<article><h1>Bridge</h1><p>{P1}</p><p>{P2}</p>{COMMENTS}</article>", FOOT, ["Bridge", P1, P2]),
+    "advert within": (NAV, f"<article><h1>Bridge</h1><p>{P1}</p>{ADVERT}<p>{P2}</p></article>", FOOT, ["Bridge", P1, P2]),
+    "main tag": (NAV, f"<main><h1>Bridge</h1><p>{P1}</p><p>{P2}</p></main>", SIDE + FOOT, ["Bridge", P1, P2]),
+    "content class": ('<div class="menu"><a href="/">Home</a> <a href="/b">Blog</a></div>', f'<div class="content"><h1>Bridge</h1><p>{P1}</p><p>{P2}</p></div>', '<div class="footer">Copyright 2024 Example.</div>', ["Bridge", P1, P2]),
+    "no classes": ('<div><a href="/">Home</a> <a href="/b">Blog</a> <a href="/c">Shop</a></div>', f"<div><h1>Bridge</h1><p>{P1}</p><p>{P2}</p><p>{P1}</p></div>", "<footer>Copyright 2024 Example.</footer>", ["Bridge", P1, P2, P1]),
+    "cookie notice": ('<div class="cookie-notice"><p>We use cookies to improve your experience on our site.</p><button>Accept</button></div>' + NAV, f"<article><h1>Bridge</h1><p>{P1}</p><p>{P2}</p></article>", FOOT, ["Bridge", P1, P2]),
+    "form": (NAV, f"<article><h1>Bridge</h1><p>{P1}</p><p>{P2}</p></article>", '<form class="newsletter"><label>Your e-mail address</label><input name=e><button>Subscribe</button></form>' + FOOT, ["Bridge", P1, P2]),
+    "entities": (NAV, f"<article><h1>Caf&eacute; &amp; bar</h1><p>{P1}</p><p>Open &lt;daily&gt;   from\n9&nbsp;am.</p><p>{P2}</p></article>", FOOT, ["Café & bar", P1, "Open <daily> from 9 am.", P2]),
+    "line breaks": (NAV, f"<article><h1>Poem</h1><p>{P1}</p><p>One line<br>and another<br>and a third</p></article>", FOOT, ["Poem", P1, "One line", "and another", "and a third"]),
+    "links in text": (NAV, f'<article><h1>Bridge</h1><p>{P1} See <a href="/r">the full report</a> and <a href="/m">the map</a>.</p><p>{P2}</p></article>', FOOT, ["Bridge", P1 + " See the full report and the map.", P2]),
+    "wrapped": ('<div id="page">' + NAV, f'<div class="row"><div class="col"><article class="post"><h1>Bridge</h1><p>{P1}</p><p>{P2}</p></article></div></div>', FOOT + "</div>", ["Bridge", P1, P2]),
+}
+
+
+@pytest.mark.parametrize("name", HANDMADE)
+def test_extraction_of_handmade_pages(model, name):
+    before, article, after, blocks = HANDMADE[name]
+    page = dom.parse(f"<!DOCTYPE html><html><head><title>x</title></head><body>{before}{article}{after}</body></html>")
+    assert html_extract.main_text(page, model.probability(dom.features(page))).split("\n") == [" ".join(b.split()) for b in blocks]
+
+
+def test_extraction_of_held_out_pages(spark, data):
+    pages = [r.html for r in spark.read.parquet(f"{data}/pages.parquet").orderBy("page_id").collect()]
+    half = html_extract.fit_pages(pages[::2])
+    right = 0
+    for html in pages[1::2]:
+        page = dom.parse(html)
+        main = [t for (_, t, _), m in zip(page.blocks, html_extract.tag_labels(page), strict=True) if m]
+        right += html_extract.main_text(page, half.probability(dom.features(page))) == "\n".join(main)
+    assert right >= 0.95 * len(pages[1::2])
+
+
 def test_decoding_is_consistent(model):
     pick = random.Random(5)
     for _ in range(50):

@@ -195,11 +195,10 @@ def fit_pages(pages: list[str], layouts: int = 4, seed: int = 4) -> boosting.Tre
     return boosting.fit(x[y >= 0], y[y >= 0].astype(float))
 
 
-def decode(page: dom.Page, p: np.ndarray, change: float = 1.0, cut_change: float = 2.0) -> list[bool]:
+def decode(page: dom.Page, p: np.ndarray, change: float = 1.0, cut_change: float = 1.0) -> list[bool]:
     """For each node, whether its text is main: the best states of the tree, from its leaves up.
 
-    Beginning a main part costs `change` in log-probability; cutting out of it costs `cut_change`, so that a
-    block within an article needs more evidence against it than one outside.
+    Beginning a main part costs `change` in log-probability, and cutting out of it costs `cut_change`.
     """
     n = len(page.tags)
     p = np.clip(p, 1e-4, 1 - 1e-4)

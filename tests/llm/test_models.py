@@ -81,7 +81,8 @@ def test_blocks():
 
 @pytest.fixture(scope="module")
 def model(spark, data):
-    return html_extract.fit(spark.read.parquet(f"{data}/pages.parquet"))
+    # As many layouts as a table of more pages gives with the default.
+    return html_extract.fit(spark.read.parquet(f"{data}/pages.parquet"), layouts=16)
 
 
 def test_extraction_of_known_and_new_layouts(spark, data, model):
@@ -146,7 +147,7 @@ def test_extraction_of_handmade_pages(model, name):
 
 def test_extraction_of_held_out_pages(spark, data):
     pages = [r.html for r in spark.read.parquet(f"{data}/pages.parquet").orderBy("page_id").collect()]
-    half = html_extract.fit_pages(pages[::2])
+    half = html_extract.fit_pages(pages[::2], layouts=16)
     right = 0
     for html in pages[1::2]:
         page = dom.parse(html)

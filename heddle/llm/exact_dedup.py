@@ -4,12 +4,14 @@ Equal texts meet in three steps, each of which groups by the content itself besi
 texts sharing a digest never merge:
 
 1. within each map task, before anything is moved (the partial aggregation of the first exchange);
-2. within a salted digest group: the salt is the map task's, taken on the scan, so that a hot text is one row
-   of each map task and its salts go to different tasks;
-3. across the salt winners of a digest, at most `salts` rows for a content.
+2. within a digest group, which is salted where the digest is heavy: the salt is the map task's, taken on the
+   scan, so that a heavy text is one row of each map task and its salts go to different tasks;
+3. across the salt winners of a heavy digest, at most `salts` rows for a content.
 
-Documents then find their group by (digest, spread), where the spread comes from the id; a group is repeated
-only for the spreads that its members have, so that a hot digest is shared out over `SPREADS` tasks.
+A digest is heavy if it has more than `HEAVY_ROWS` documents and more than a `HEAVY`-th part of all; so there
+are fewer than `HEAVY` of them whatever the input, and their list may be broadcast. Documents then find their
+group by digest, and those of heavy digests by digest and spread, which comes from the id and shares a heavy
+digest out over `SPREADS` tasks.
 
 Defined results: null text is an empty text; empty texts are equal to each other; an empty table gives
 an empty result; null ids lose to any id, and a group of null ids only keeps a null id; rows that repeat
@@ -22,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import hash60, persisted, whole_text
+from heddle.llm.common import persisted, whole_text
 
-#: Tasks that a hot digest is shared out over: as many as a long has bits for.
-SPREADS = 63
+#: A heavy digest has more rows than this, and more than this part of all rows.
+HEAVY_ROWS, HEAVY = 1000, 10_000
+#: Tasks that the documents of a heavy digest are shared out over.
+SPREADS = 64
 #: Runs of white space that aren't already a single space.
 WHITE_RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -38,51 +42,50 @@ def sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def salted(rows: DataFrame) -> DataFrame:
-    """The first two steps: (digest, salt, content, id, n, spreads) from `rows` (id, digest, content, spread, salt)."""
-    bit = F.expr("shiftleft(1L, spread)")
-    return rows.groupBy("digest", "salt", "content").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("spreads"))
-
+def keyed(rows: DataFrame, digest) -> DataFrame:
+    """`rows` (id, content) with digest, heavy, and sha, the digest of SHA-256."""
+    rows = rows.withColumn("digest", digest(F.col("content")))
+    counts = rows.groupBy("digest").count()
+    # Fewer than HEAVY rows.
+    heavy = persisted(counts.filter(F.col("count") > max(HEAVY_ROWS, rows.count() // HEAVY)).select("digest", F.lit(True).alias("heavy")))
+    rows = rows.join(F.broadcast(heavy), "digest", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    return rows.withColumn("sha", F.col("digest") if digest is sha256 else sha256(F.col("content")))
 
-def repeated_groups(rows: DataFrame, salts: int) -> DataFrame:
-    """(digest, content, keep_id, group_size, variants, spreads) of contents that occur more than once.
 
-    `rows` has (id, digest, content, spread) and comes straight from a scan. `variants` is the number of
-    contents sharing the digest; `content` is only filled where there are several. `spreads` is the set of its
-    members' spreads, as bits.
-    """
-    winners = salted(rows.withColumn("salt", F.spark_partition_id() % salts))
-    # By digest, which also serves the count of variants.
-    groups = winners.repartition(F.col("digest")).groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"), F.bit_or("spreads").alias("spreads"))
-    groups = groups.withColumn("variants", F.count(F.lit(1)).over(Window.partitionBy("digest")))
-    return groups.filter("group_size > 1 OR variants > 1").withColumn("content", F.when(F.col("variants") > 1, F.col("content")))
+def salted(rows: DataFrame, salts: int) -> DataFrame:
+    """The first two steps: (digest, heavy, salt, content, id, n) from `rows` (id, digest, heavy, content), straight from a scan."""
+    salt = F.when(F.col("heavy"), F.spark_partition_id() % salts).otherwise(F.lit(0))
+    return rows.withColumn("salt", salt).groupBy("digest", "heavy", "salt", "content").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
 
 
-def _resolved(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """`rows` (with digest, content, spread) and the keep_id and group_size of their group, null for lone texts."""
-    each = F.filter(F.sequence(F.lit(0), F.lit(SPREADS - 1)), lambda i: F.getbit(F.col("spreads"), i) == 1)
-    shared = groups.withColumn("spread", F.explode(each)).drop("spreads")
-    plain = shared.filter("variants = 1").select("digest", "spread", "keep_id", "group_size")
-    clashing = shared.filter("variants > 1").select("digest", "spread", "content", "keep_id", "group_size")
-    if clashing.isEmpty():
-        return rows.drop("content").join(plain, ["digest", "spread"], "left")
-    keys = clashing.select("digest", "spread").distinct()
-    safe = rows.join(keys, ["digest", "spread"], "left_anti").drop("content").join(plain, ["digest", "spread"], "left")
-    return safe.unionByName(rows.join(keys, ["digest", "spread"], "left_semi").join(clashing, ["digest", "spread", "content"], "left").drop("content"))
+def groups_of(winners: DataFrame) -> DataFrame:
+    """The third step: (digest, heavy, content, keep_id, group_size); only heavy winners bring their content, others are groups already."""
+    alone = F.when(~F.col("heavy"), F.monotonically_increasing_id())
+    rows = winners.select("digest", "heavy", F.when(F.col("heavy"), F.col("content")).alias("content"), alone.alias("alone"), "id", "n")
+    return rows.groupBy("digest", "heavy", "content", "alone").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
-def keyed(rows: DataFrame, digest) -> DataFrame:
-    """`rows` (id, content) with digest, spread and sha, the digest of SHA-256."""
-    own = digest(F.col("content"))
-    rows = rows.withColumn("digest", own).withColumn("spread", (hash60(F.col("id")) % SPREADS).cast("int"))
-    return rows.withColumn("sha", F.col("digest") if digest is sha256 else sha256(F.col("content")))
+def _resolved(rows: DataFrame, salts: int) -> DataFrame:
+    """`rows` (with digest, heavy, content) and the keep_id and group_size of their group, null for lone texts."""
+    own = rows.select("id", "digest", "heavy", "content")
+    groups = persisted(groups_of(salted(own, salts)).select("digest", "heavy", "keep_id", "group_size"))
+    clashing = groups.groupBy("digest").count().filter("count > 1").select("digest")
+    spread = F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SPREADS)).cast("int")).otherwise(F.lit(0))
+    rows = rows.withColumn("spread", spread)
+    every = F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SPREADS - 1))).otherwise(F.array(F.lit(0))))
+    if clashing.isEmpty():
+        found = groups.filter("group_size > 1").select("digest", every.alias("spread"), "keep_id", "group_size")
+        return rows.drop("content").join(found, ["digest", "spread"], "left")
+    # Texts that share a digest: their groups are told apart by content.
+    whole = salted(own, salts).groupBy("digest", "heavy", "content").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    found = whole.filter("group_size > 1").select("digest", "content", every.alias("spread"), "keep_id", "group_size")
+    return rows.join(found, ["digest", "content", "spread"], "left").drop("content")
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=sha256) -> DataFrame:
     """One row per document: its id, keep_id, group_size, kept and text_sha256."""
     rows = keyed(docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("content")), digest)
-    groups = persisted(repeated_groups(rows.drop("sha"), salts))
-    found = _resolved(rows, groups)
+    found = _resolved(rows, salts)
     size = F.coalesce("group_size", F.lit(1).cast("long"))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return found.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
@@ -92,11 +95,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of `docs` that stay, with their columns as they were."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col(f"row.`{id_col}`").alias("id"), normalised(F.col(f"row.`{text_col}`")).alias("content"))
     rows = keyed(rows, digest)
-    groups = persisted(repeated_groups(rows.drop("row", "sha"), salts))
-    found = _resolved(rows, groups)
-    alone = found.filter(F.col("group_size").isNull())
-    keepers = found.filter(F.col("group_size").isNotNull() & F.col("id").eqNullSafe(F.col("keep_id")))
-    # Rows that repeat the keeper's id as well: few, as only keepers come here.
-    first = Window.partitionBy("sha", "id").orderBy(F.lit(1))
-    keepers = keepers.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
-    return alone.unionByName(keepers).select("row.*")
+    found = _resolved(rows, salts)
+    kept = found.filter(F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
+    repeated = rows.groupBy("digest", "id").count().filter("count > 1")
+    if not repeated.isEmpty():
+        first = Window.partitionBy("sha", "id").orderBy(F.lit(1))
+        kept = kept.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
+    return kept.select("row.*")

@@ -373,7 +373,7 @@ def together(rows: DataFrame) -> DataFrame:
     return rows.repartition("place").sortWithinPartitions("place")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, choices: float = 1.6, later: float = 1.0, levels: int = 4, small: int = 128, block: int = 1024, block_bytes: int = 16 << 20, recall: float = 0.999) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, choices: float = 1.6, later: float = 1.0, levels: int = 3, small: int = 128, block: int = 1024, block_bytes: int = 16 << 20, recall: float = 0.999) -> DataFrame:
     """(id, key, class_id, n_links) for each row of `docs`; `key` is a digest of the text.
 
     `class_id` is the least id of the rows connected by links, and `n_links` the number of other rows with a

@@ -24,8 +24,10 @@ def short(content):
     return F.substring(F.sha2(content, 256), 1, 1)
 
 
+@pytest.mark.parametrize("heavy", [1000, 3])
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, short])
-def test_exact_groups_compare_content(spark, digest):
+def test_exact_groups_compare_content(spark, monkeypatch, digest, heavy):
+    monkeypatch.setattr(exact_dedup, "HEAVY_ROWS", heavy)
     texts = TEXTS + [f"text {i % 60}" for i in range(150)]
     docs = table(spark, texts)
     groups = defaultdict(list)
@@ -55,10 +57,9 @@ def test_a_hot_digest_goes_to_many_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         keyed = exact_dedup.keyed(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), exact_dedup.sha256)
-        winners = exact_dedup.salted(keyed.withColumn("salt", F.spark_partition_id() % 16)).filter("n > 1").collect()
+        winners = exact_dedup.salted(keyed, 16).filter("heavy").collect()
         assert len(winners) == 16 and sum(r.n for r in winners) == 10_000
-        groups = exact_dedup.repeated_groups(keyed, 16)
-        hot = exact_dedup._resolved(keyed, groups).filter("group_size > 1")
+        hot = exact_dedup._resolved(keyed, 16).filter("group_size > 1")
         assert hot.select("spread").distinct().count() == exact_dedup.SPREADS
         assert hot.count() == 10_000 and {(r.keep_id, r.group_size) for r in hot.collect()} == {(1, 10_000)}
         assert exact_dedup.deduplicate(docs).count() == 10_001

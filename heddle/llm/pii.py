@@ -1,11 +1,16 @@
 """Personal data by bootstrapped contextual extraction, with built-in functions only.
 
-Valid matches of four base patterns (email, ip, card, phone) are the seeds. The words before a seed form
-a lexical pattern; every token with a digit or an at sign after the same words is an instance of that
-pattern. Scores go back and forth over this graph of patterns and instances for a few rounds: a pattern
-is trusted for the share of its occurrences that hold trusted instances, an instance for the patterns
-that it occurs with. Patterns of high confidence and enough different seeds then discover identifiers
-that no base pattern matches; their kinds are named ctx_email and so on.
+Valid matches of four base patterns (email, ip, card, phone) are the seeds. The words around a seed form
+lexical patterns, which back off from each other: the two words before it, the one word before it, that word
+with the token's shape, the word after it, and that word with the shape (a shape has one letter for a run of
+letters and one 0 for a run of digits). Every token with a digit or an at sign in the same surroundings is an
+instance of that pattern. Scores go back and forth over this graph of patterns and instances for a few rounds:
+a pattern is trusted for the share of its occurrences that hold trusted instances, an instance for the
+patterns that it occurs with. Patterns of high confidence and enough different seeds then discover
+identifiers that no base pattern matches; their kinds are named ctx_email and so on.
+
+Edges are summed by pattern and token before any join, and the joined sides are written first, so that
+adaptive execution can split a frequent pattern or token over tasks.
 
 Defined results: null text is empty; a text of any length is read whole; base spans of a kind are
 leftmost and do not overlap, spans of different kinds may; repeated rows and ids are documents of their
@@ -35,7 +40,12 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 PARTS = r"(?<![^\x20\x09-\x0D])[+(]{0,2}+[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+(?![^\x20\x09-\x0D,;:!?\"']))++"
 #: Characters that a token needs to be a candidate.
 SHORTEST = 5
-BEFORE = r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
+WHITE = r"\x20\x09-\x0D"
+#: In reversed text from a token backward, the two words before it; in text from a token's end, the word after it.
+BEFORE = rf"^[{WHITE}]*+([^{WHITE}]++)(?:[{WHITE}]++([^{WHITE}]++))?"
+AFTER = rf"^[^{WHITE}]*+[{WHITE}]++([^{WHITE}]++)"
+#: Characters around a token that are read first; where a word goes on beyond them, all of the text is.
+NEAR = 80
 
 
 def digits(value: Column) -> Column:
@@ -64,41 +74,61 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def shape(token: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(token, r"\p{L}++", "a"), "[0-9]++", "0")
+
+
+def patterns(token: Column, before: Column, earlier: Column, after: Column) -> Column:
+    """The patterns of a token after the words `earlier` and `before` and ahead of `after`; empty words make none."""
+    made = {"two before": (F.concat_ws(" ", earlier, before), (before != "") & (earlier != "")), "before": (before, before != ""), "before and shape": (F.concat_ws(" ", before, shape(token)), before != ""), "after": (after, after != ""), "shape and after": (F.concat_ws(" ", shape(token), after), after != "")}
+    each = [F.when(given, F.concat(F.lit(f"{name}: "), words)) for name, (words, given) in made.items()]
+    return F.filter(F.array(*each), lambda p: p.isNotNull())
+
+
+def witnesses(pattern: Column, seeds: int) -> Column:
+    """The number of different seeds that a pattern needs: the more it has backed off, the more."""
+    return F.when(pattern.startswith("two before"), F.lit(seeds)).when(pattern.startswith("before and shape") | pattern.startswith("shape and after"), F.lit(3 * seeds)).otherwise(F.lit(6 * seeds))
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(key, start, end, token, pattern, seed) of each token of `rows` (key, spans, tokens) after words.
+    """(key, start, end, token, pattern, seed) of each token of `rows` (key, spans, tokens) and each of its patterns.
 
     A token that begins a base span is a seed of its kind and stands for the whole span, which may go on
     over later tokens; those within one are left out. Other tokens need `SHORTEST` characters.
     """
     each = rows.select("key", "spans", F.inline("tokens"))
-    lead = F.length(F.regexp_extract("value", r"^[^A-Za-z0-9@+(]*", 0))
-    core = F.regexp_replace("value", r"^[^A-Za-z0-9@+(]*|[^A-Za-z0-9)]++$", "")
-    each = each.select("key", "spans", (F.col("start") + lead).alias("start"), core.alias("token"), F.lower(F.regexp_replace("before", "[0-9]", "0")).alias("pattern"))
-    each = each.withColumn("end", F.col("start") + F.length("token")).filter("token != '' AND pattern != ''")
+    lead = F.length(F.regexp_extract("value", r"^[^A-Za-z0-9@+(]*+", 0))
+    core = F.regexp_replace("value", r"^[^A-Za-z0-9@+(]*+|[^A-Za-z0-9)]++$", "")
+    words = [F.lower(F.regexp_replace(w, "[0-9]", "0")).alias(w) for w in ("before", "earlier", "after")]
+    each = each.select("key", "spans", (F.col("start") + lead).alias("start"), core.alias("token"), *words)
+    each = each.withColumn("end", F.col("start") + F.length("token")).filter("token != ''")
     each = each.withColumn("at", F.filter("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
     each = each.withColumn("begun", F.get(F.filter("at", lambda s: s["start"] >= F.col("start")), F.lit(0)))
     each = each.filter(F.col("begun").isNotNull() | ((F.size("at") == 0) & (F.length("token") >= SHORTEST)))
     whole = lambda name, own: F.coalesce(F.col("begun")[name], F.col(own)).alias(own)
-    return each.select("key", whole("start", "start"), whole("end", "end"), whole("value", "token"), "pattern", F.col("begun")["kind"].alias("seed"))
+    each = each.select("key", whole("start", "start"), whole("end", "end"), whole("value", "token"), F.when(F.col("begun").isNull(), F.col("after")).otherwise(F.col("begun")["after"]).alias("after"), "before", "earlier", F.col("begun")["kind"].alias("seed"))
+    after = F.lower(F.regexp_replace("after", "[0-9]", "0"))
+    return each.select("key", "start", "end", "token", F.explode(patterns(F.col("token"), F.col("before"), F.col("earlier"), after)).alias("pattern"), "seed")
 
 
 def trusted_patterns(found: DataFrame, rounds: int, seeds: int, least: float) -> DataFrame:
-    """(pattern, kind) of the patterns that end with confidence of `least` or more and `seeds` different seeds."""
-    edges = found.groupBy("pattern", "token").agg(F.count(F.lit(1)).alias("n"), F.min("seed").alias("seed"))
+    """(pattern, kind, confidence) of the patterns that end with confidence of `least` or more and `seeds` different seeds, or more where they have backed off."""
+    edges = persisted(found.groupBy("pattern", "token").agg(F.count(F.lit(1)).alias("n"), F.min("seed").alias("seed")))
     several = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("total"), F.count("seed").alias("seeded")).filter("tokens > 1 AND seeded > 0")
-    edges = persisted(edges.join(several.select("pattern", "total"), "pattern"))
+    edges = persisted(edges.join(persisted(several.select("pattern", "total")), "pattern"))
     start = edges.filter("seed IS NOT NULL").select("token", F.col("seed").alias("kind"), F.lit(1.0).alias("trust")).distinct()
-    trust, scored = start, None
+    trust, scored = persisted(start), None
+    enough = F.col("seeds") >= witnesses(F.col("pattern"), seeds)
     for _ in range(rounds):
         # Smoothed towards no trust, so that rare patterns need more than one witness.
         scored = edges.join(trust, "token").groupBy("pattern", "kind").agg((F.sum(F.col("n") * F.col("trust")) / (F.first("total") + 0.5)).alias("confidence"), F.countDistinct(F.when(F.col("seed") == F.col("kind"), F.col("token"))).alias("seeds"))
         scored = persisted(scored)
-        strong = scored.filter((F.col("confidence") >= least / 2) & (F.col("seeds") >= seeds))
+        strong = scored.filter((F.col("confidence") >= least / 2) & enough)
         spread = edges.join(strong, "pattern").groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))).alias("trust"))
-        trust = start.unionByName(spread).groupBy("token", "kind").agg(F.max("trust").alias("trust"))
+        trust = persisted(start.unionByName(spread).groupBy("token", "kind").agg(F.max("trust").alias("trust")))
     best = Window.partitionBy("pattern").orderBy(F.desc("confidence"), "kind")
-    sure = scored.filter((F.col("confidence") >= least) & (F.col("seeds") >= seeds))
-    return sure.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("pattern", "kind")
+    sure = scored.filter((F.col("confidence") >= least) & enough)
+    return sure.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("pattern", "kind", "confidence")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, seeds: int = 3, least: float = 0.8) -> DataFrame:
@@ -107,31 +137,47 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     base = base_spans(text)
     rows = rows.select("id", "text", *[spans.alias(kind) for kind, spans in base.items()])
-    valued = lambda kind: F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(kind).alias("kind")))
+    valued = lambda kind: F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), word_after(text, s["end"]).alias("after"), F.lit(kind).alias("kind")))
     rows = rows.withColumn("spans", F.concat(*map(valued, KINDS))).withColumn("parts", located(text, PARTS, text.rlike(r"[0-9][0-9().-]*+\x20\(?[0-9]")))
     rows = rows.withColumn("parts", F.filter("parts", lambda p: ~overlaps(F.col("spans"), p["start"], p["end"])))
     single = F.filter(located(text, TOKEN, text.rlike("[0-9@]")), lambda t: ~F.exists("parts", lambda p: p["start"] == t["start"]))
-    tokens = _with_before(F.concat("parts", single), text)
+    tokens = _with_words(F.concat("parts", single), text)
     all_base = F.concat(*[ranked(F.col(kind), kind, i) for i, kind in enumerate(KINDS)])
     # The key marks rows; it is fixed by being written.
     rows = persisted(rows.select(F.monotonically_increasing_id().alias("key"), "id", all_base.alias("base"), "spans", tokens.alias("tokens")))
     found = occurrences(rows.filter(F.size("tokens") > 0))
-    sure = trusted_patterns(found, rounds, seeds, least)
+    sure = persisted(trusted_patterns(found, rounds, seeds, least))
     new = found.filter("seed IS NULL").join(sure, "pattern")
+    # Of the kinds that a token's patterns name, the most confident one.
+    new = new.groupBy("key", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best")).select("key", "start", "end", "best.kind")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") + len(KINDS) - 1
     added = new.groupBy("key").agg(F.collect_set(F.struct(F.col("start"), rank.alias("rank"), F.concat(F.lit("ctx_"), F.col("kind")).alias("kind"), F.col("end"))).alias("added"))
     joined = rows.select("key", "id", "base").join(added, "key", "left")
     return joined.select(F.col("id").alias(id_col), "base", F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("added"))
 
 
-def _with_before(spans: Column, text: Column) -> Column:
-    """Spans with the two words before each, from at most 80 characters before it."""
+def word_after(text: Column, end: Column) -> Column:
+    """The word after the token that `end` lies in or ends, "" where there is none."""
+    near = F.substring(text, end + 1, F.lit(NEAR))
+    found = F.regexp_extract(near, AFTER, 0)
+    whole = F.when((F.length(near) == NEAR) & ((found == "") | (F.length(found) == NEAR)), F.substring(text, end + 1, F.length(text) - end)).otherwise(near)
+    return F.regexp_extract(whole, AFTER, 1)
+
+
+def words_before(text: Column, start: Column) -> Column:
+    """(before, earlier): the word before a token and the one before that, "" where there is none."""
+    near = F.reverse(F.substring(text, F.greatest(F.lit(0), start - NEAR) + 1, F.least(start, F.lit(NEAR))))
+    found = F.regexp_extract(near, BEFORE, 0)
+    whole = F.when((start > NEAR) & ((F.length(found) == NEAR) | (F.regexp_extract(near, BEFORE, 2) == "")), F.reverse(F.substring(text, F.lit(1), start))).otherwise(near)
+    return F.struct(F.reverse(F.regexp_extract(whole, BEFORE, 1)).alias("before"), F.reverse(F.regexp_extract(whole, BEFORE, 2)).alias("earlier"))
+
+
+def _with_words(spans: Column, text: Column) -> Column:
+    """Spans with the two words before each and the one after it."""
 
     def widened(s: Column) -> Column:
-        back = F.greatest(F.lit(0), s["start"] - 80)
-        words = F.regexp_extract(F.substring(text, back + 1, s["start"] - back), BEFORE, 0)
-        before = F.trim(F.regexp_replace(words, r"[\x20\x09-\x0D]+", " "))
-        return F.struct(s["start"].alias("start"), s["value"].alias("value"), before.alias("before"))
+        words = words_before(text, s["start"])
+        return F.struct(s["start"].alias("start"), s["value"].alias("value"), words["before"].alias("before"), words["earlier"].alias("earlier"), word_after(text, s["start"] + F.length(s["value"])).alias("after"))
 
     return F.transform(spans, widened)
 

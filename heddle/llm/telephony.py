@@ -2,7 +2,7 @@
 
 Companded samples are expanded by lookup tables; ADPCM blocks are decoded by numpy across blocks, one
 step of all blocks at a time. `store` keeps payload bytes as 8-bit samples of a WAVE file and
-`stored_payload` reads them back without loss.
+`stored_payload` reads them back without loss. A payload's checksum chooses its law.
 
 Defined results: null is an empty payload, which `padded` turns into one unit of zeros; a media value
 that is no WAVE file raises an error; an empty table gives an empty result; equal payloads give equal
@@ -51,6 +51,7 @@ def alaw_table() -> np.ndarray:
     return np.where(code & 0x80, magnitude, -magnitude).astype(np.int16)
 
 
+LAWS = {MULAW: "mulaw", ALAW: "alaw"}
 TABLES = {MULAW: mulaw_table(), ALAW: alaw_table()}
 
 
@@ -102,6 +103,11 @@ def store(payload: bytes, tag: int = MULAW) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
 
 
+def law_of(payload: bytes) -> int:
+    """The law that a payload is stored under: even checksums take mu-law, odd ones A-law."""
+    return ALAW if zlib.crc32(payload) & 1 else MULAW
+
+
 def stored_payload(media: bytes) -> tuple[bytes, int]:
     """The samples of a WAVE file and its format tag, by walking its chunks."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
@@ -147,8 +153,9 @@ def _adpcm_levels(payloads: list[bytes], unit: int) -> list[tuple[int, int]]:
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT, with_media: bool = True) -> DataFrame:
-    """Each text as telephony audio: its id, n_bytes, media (the WAVE file), pcm (the resampled WAVE file),
-    and digests and features of what is read back. `with_media=False` leaves the two files out."""
+    """Each text as telephony audio: its id, n_bytes, media (the WAVE file of companded samples), pcm (the WAVE file of
+    resampled PCM), and sizes, digests and features of both as read back. `with_media=False` leaves the two
+    files themselves out."""
 
     small_batches(docs.sparkSession)
 
@@ -166,19 +173,21 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def made(part: list[tuple[object, str]]) -> pd.DataFrame:
         raw = [text.encode("utf-8") for _, text in part]
-        media = [store(padded(x, unit)) for x in raw]
+        payloads = [padded(x, unit) for x in raw]
+        media = [store(x, law_of(x)) for x in payloads]
         back = [stored_payload(m) for m in media]
         rows = []
         for (key, _), text, m, (payload, tag), (a_rms, a_turns) in zip(part, raw, media, back, _adpcm_levels([p for p, _ in back], unit), strict=True):
             pcm = resample_double(expand(np.frombuffer(payload, np.uint8), tag))
             rms, turns = level(pcm)
-            feature = f"mulaw>pcm{RESAMPLED}:n={len(pcm)};rms={rms};turns={turns};adpcm:rms={a_rms};turns={a_turns}"
-            row = [key, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-unit:]), len(m), hashlib.sha256(m).hexdigest(), feature]
-            rows.append([*row, m, pcm_file(pcm)] if with_media else row)
+            file = pcm_file(pcm)
+            feature = f"{LAWS[tag]}>pcm{RESAMPLED}:n={len(pcm)};rms={rms};turns={turns};adpcm:rms={a_rms};turns={a_turns}"
+            row = [key, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-unit:]), len(m), hashlib.sha256(m).hexdigest(), len(file), hashlib.sha256(file).hexdigest(), feature]
+            rows.append([*row, m, file] if with_media else row)
         return pd.DataFrame(rows, columns=names)
 
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["media", "pcm"] if with_media else [])]
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm_bytes", "pcm_sha256", "feature", *(["media", "pcm"] if with_media else [])]
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, pcm binary" * with_media
+    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pcm_bytes long, pcm_sha256 string, feature string" + ", media binary, pcm binary" * with_media
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(batches, schema).withColumnRenamed("id", id_col)

@@ -205,6 +205,40 @@ def test_adpcm_equals_one_block_at_a_time():
     assert telephony.decode_adpcm(blocks).tolist() == [adpcm_one(b.tolist()) for b in blocks]
 
 
+def slow_expand(code, tag):
+    """One companded sample, bit by bit."""
+    if tag == telephony.MULAW:
+        code = 255 - code
+        value = ((code % 16 * 8 + 132) << (code // 16 % 8)) - 132
+        return -value if code >= 128 else value
+    code ^= 85
+    segment, value = code // 16 % 8, code % 16 * 16 + 8
+    value = value if segment == 0 else (value + 256) << (segment - 1)
+    return value if code >= 128 else -value
+
+
+def test_features_equal_plain_python(spark):
+    texts = ["", "a telephone rings", "é" * 90, "Zwölf Boxkämpfer " * 40, "x"] + [f"text {i} " * i for i in range(12)]
+    got = {r.doc_id: r for r in telephony.text_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    laws = set()
+    for i, text in enumerate(texts):
+        payload = telephony.padded(text.encode())
+        tag = telephony.law_of(payload)
+        laws.add(tag)
+        x = [slow_expand(c, tag) for c in payload]
+        pcm = []
+        for k in range(len(x)):
+            a, b, c, d = x[max(0, k - 1)], x[k], x[min(len(x) - 1, k + 1)], x[min(len(x) - 1, k + 2)]
+            pcm += [b, max(-32768, min(32767, (9 * (b + c) - a - d + 8) // 16))]
+        assert np.frombuffer(telephony.stored_payload(bytes(got[i].pcm))[0], "<i2").tolist() == pcm
+        blocks = [telephony.decode_adpcm(np.frombuffer(payload[k : k + 64], np.uint8).reshape(1, -1))[0].tolist() for k in range(0, len(payload), 64)]
+        rms = lambda v: round(math.sqrt(sum(y * y for y in v) / len(v)))
+        turns = lambda v: sum((a < 0) != (b < 0) for a, b in zip(v, v[1:], strict=False))
+        flat = [y for b in blocks for y in b]
+        assert got[i].feature == f"{telephony.LAWS[tag]}>pcm16000:n={len(pcm)};rms={rms(pcm)};turns={turns(pcm)};adpcm:rms={rms(flat)};turns={sum(map(turns, blocks))}"
+    assert laws == {telephony.MULAW, telephony.ALAW}
+
+
 def test_stored_payloads_come_back(spark):
     texts = [None, "", "a", "é" * 100, "x" * 64, "z" * 3_000_000, "a"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -212,10 +246,11 @@ def test_stored_payloads_come_back(spark):
     for i, text in enumerate(texts):
         raw = (text or "").encode()
         payload = telephony.padded(raw)
-        assert len(payload) % 64 == 0 and len(payload) > 0 and telephony.stored_payload(bytes(got[i].media)) == (payload, telephony.MULAW)
+        assert len(payload) % 64 == 0 and len(payload) > 0 and telephony.stored_payload(bytes(got[i].media)) == (payload, telephony.law_of(payload))
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert got[i].media_sha256 == hashlib.sha256(got[i].media).hexdigest() and got[i].media_bytes == len(got[i].media)
         assert telephony.stored_payload(bytes(got[i].pcm))[1] == 1
+        assert (got[i].pcm_bytes, got[i].pcm_sha256) == (len(got[i].pcm), hashlib.sha256(got[i].pcm).hexdigest())
     assert got[2].feature == got[6].feature and got[0].feature == got[1].feature
     assert telephony.text_media(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):

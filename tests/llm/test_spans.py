@@ -96,6 +96,40 @@ def test_contexts_of_identifiers_with_spaces(spark):
     assert (got[100], got[101], got[102], got[103]) == ("ctx_phone:26:38", "ctx_card:27:46", "", "")
 
 
+def filler(pick):
+    return "".join(pick.choices("abcdefghij", k=pick.randint(3, 9)))
+
+
+@pytest.mark.parametrize("place", ["before", "after", "shape"])
+def test_patterns_back_off(spark, place):
+    """Seeds and unseen forms share one word, on either side, or a word and a shape, between random words."""
+    pick = random.Random(11)
+    between = {"before": lambda x: f"{filler(pick)} phone {x} {filler(pick)}", "after": lambda x: f"{filler(pick)} {filler(pick)} {x} dialled", "shape": lambda x: f"{filler(pick)} of {x} {filler(pick)}"}[place]
+    number = lambda: f"({pick.randint(100, 999)}) {pick.randint(100, 999)}-{pick.randint(1000, 9999)}"
+    seeds = [f"+1 ({pick.randint(100, 999)}) {pick.randint(100, 999)}-{pick.randint(1000, 9999)}" for _ in range(30)]
+    # Of the shape of a card, but not all pass its check digits.
+    cards = []
+    while len(cards) < 30:
+        n = "4" + "".join(pick.choice("0123456789") for _ in range(15))
+        cards += ["-".join(n[i : i + 4] for i in range(0, 16, 4))] * luhn(n)
+    rows = [(i, f"{filler(pick)} " + between(x)) for i, x in enumerate(cards if place == "shape" else seeds)]
+    unseen = ["4111-1111-1111-1112", "4000-1234-1234-1230"] if place == "shape" else [number() for _ in range(10)]
+    rows += [(100 + i, f"{filler(pick)} " + between(x)) for i, x in enumerate(unseen)]
+    rows += [(1000 + i, f"{filler(pick)} {filler(pick)} {pick.randint(10_000, 99_999)} {filler(pick)} of {pick.randint(10_000, 99_999)} {filler(pick)}") for i in range(60)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kind = "ctx_card" if place == "shape" else "ctx_phone"
+    assert sum(kind in got[100 + i] for i in range(len(unseen))) >= 0.9 * len(unseen)
+    assert not any("ctx" in got[1000 + i] for i in range(60))
+
+
+def test_contexts_of_very_long_words(spark):
+    long = "w" * 500
+    rows = [(i, f"x {long} {long}b user{i}.name@mail{i}.example.com today") for i in range(12)]
+    rows += [(100, f"y {long} {long}b user77.name(at)mail7 today"), (101, f"y {long}c {long}d 123456789 then")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100].startswith(f"ctx_email:{2 + 500 + 1 + 501 + 1}:") and got[101] == ""
+
+
 def test_random_runs_are_discovered_and_words_are_not(spark):
     pick = random.Random(3)
     letters = "etaoinshrdlucmfw"

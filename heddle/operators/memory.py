@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,18 +15,26 @@ from heddle.operators.features import with_coordinates
 from heddle.operators.sampling import cap_candidates, order_hash, sample_patches
 
 
+def signs(width: int, dimensions: int, seed: int) -> np.ndarray:
+    """A seeded matrix of random signs over the root of `dimensions`; any SQL engine can make the same from MD5."""
+    sign = lambda i, j: 1.0 if hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest() < "8" else -1.0
+    return np.array([[sign(i, j) for j in range(dimensions)] for i in range(width)]) / np.sqrt(dimensions)
+
+
+def projected(v: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """The rows of `v` projected to `dimensions`, if that is fewer, and normalised."""
+    if 0 < dimensions < v.shape[1]:
+        v = v @ signs(v.shape[1], dimensions, seed)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
 def random_projection(features: DataFrame, dimensions: int, seed: int = 42) -> DataFrame:
-    """`features` with `v` projected to `dimensions` by a seeded Gaussian matrix, if that is fewer, and normalised."""
+    """`features` with `v` projected by a seeded matrix of signs, if that is narrower, and normalised."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                v = np.stack(frame["v"].to_numpy())
-                if 0 < dimensions < v.shape[1]:
-                    matrix = np.random.default_rng(seed).standard_normal((v.shape[1], dimensions)) / np.sqrt(dimensions)
-                    v = v @ matrix
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                frame = frame.assign(v=list(v))
+                frame = frame.assign(v=list(projected(np.stack(frame["v"].to_numpy()), dimensions, seed)))
             yield frame
 
     return features.mapInPandas(batches, features.schema)
@@ -41,12 +50,13 @@ def greedy_centers(v: np.ndarray, first: int, k: int) -> list[int]:
     return out
 
 
-def k_center(features: DataFrame, ratio: float = 0.1, most: int = 50_000, seed: int = 42, parts: int = 1) -> DataFrame:
+def k_center(features: DataFrame, ratio: float = 0.1, most: int = 50_000, seed: int = 42, parts: int = 1, projection: int = 0) -> DataFrame:
     """(category, layer, nth, image_id, patch_id) of a greedy k-center coreset of each category and layer.
 
     A group has at most `most` candidates, a seeded sample, while k is a part of the full group. With
     `parts` over 1, coresets of seeded parts are merged by a last greedy pass over their union: an
-    approximation for groups that one task should not hold.
+    approximation for groups that one task should not hold. Distances are taken between vectors projected
+    to `projection` dimensions, if that is fewer and not 0; the coreset's vectors keep their width.
     """
     if not 0 < ratio <= 1:
         raise ValueError("the ratio lies above 0 and is at most 1")
@@ -57,7 +67,8 @@ def k_center(features: DataFrame, ratio: float = 0.1, most: int = 50_000, seed:
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["image_id", "patch_id"], ignore_index=True)
-        at = greedy_centers(np.stack(group["v"].to_numpy()), int(group["hash"].argmin()), int(group["k"].iloc[0]))
+        v = np.stack(group["v"].to_numpy())
+        at = greedy_centers(projected(v, projection, seed) if projection else v, int(group["hash"].argmin()), int(group["k"].iloc[0]))
         return group.iloc[at][["category", "layer", "image_id", "patch_id", "v", "k", "hash"]].assign(nth=np.arange(len(at), dtype=np.int32))
 
     if parts > 1:
@@ -67,13 +78,13 @@ def k_center(features: DataFrame, ratio: float = 0.1, most: int = 50_000, seed:
     return chosen.select("category", "layer", "nth", "image_id", "patch_id", "v")
 
 
-def memory_bank(features: DataFrame, splits: DataFrame, patch_count: int, ratio: float = 0.1, sampling: str = "random", seed: int = 42) -> DataFrame:
+def memory_bank(features: DataFrame, splits: DataFrame, patch_count: int, ratio: float = 0.1, sampling: str = "random", seed: int = 42, projection: int = 0) -> DataFrame:
     """(category, layer, bank_id, source_id, patch_id, x, y, v) sampled from the patches of memory images."""
     own = features.join(splits.filter("role = 'memory'").select("category", "image_id"), ["category", "image_id"], "left_semi")
     if sampling == "random":
         chosen = sample_patches(own, ratio, seed)
     elif sampling == "kcenter":
-        chosen = k_center(own, ratio, seed=seed)
+        chosen = k_center(own, ratio, seed=seed, projection=projection)
     else:
         raise ValueError(f"no such sampling: {sampling}")
     # A bank is bounded by the ratio and by its cap; ids number its rows.

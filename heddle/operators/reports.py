@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.functions.fingerprints import config_fingerprint, protocol_fingerprint, threshold_parameters
 from heddle.functions.statistics import describe, nan_mean
 
 METHODS = ("global_quantile", "image_max_quantile", "image_topk_quantile")
@@ -67,15 +68,70 @@ def select_method(stability: DataFrame) -> DataFrame:
     return stability.orderBy(mean(image) + std(image), mean(pixel) + std(pixel), std(image), std(pixel), method_order()).limit(1)
 
 
-def selection_manifest(cases: DataFrame) -> DataFrame:
-    """One row: the selected method with its rates and risks, the split seeds, categories and oracle baseline."""
+def selection_manifest(cases: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """One row: the selected method with its rates and risks, the split seeds, categories and oracle baseline.
+
+    With `configs` (method, config_json), also what a later stage is held to: the selected method's threshold
+    parameters, its model seed, and the fingerprints of the protocol without and with the method.
+    """
     image, pixel = "normal_image_positive_rate", "normal_pixel_positive_rate"
     chosen = select_method(threshold_split_stability(cases))
     part = lambda m, short: [F.col(f"{m}_mean_across_splits").alias(f"{short}_mean"), F.col(f"{m}_std_across_splits").alias(f"{short}_std"), (F.col(f"{m}_mean_across_splits") + F.col(f"{m}_std_across_splits")).alias(f"{short}_risk")]
     seeds = cases.agg(F.sort_array(F.collect_set("threshold_split_seed")).alias("threshold_split_seeds"), F.sort_array(F.collect_set("category")).alias("development_categories"))
     row = chosen.select(F.lit(1).alias("schema_version"), F.col("method").alias("selected_method"), F.lit(SELECTION_RULE).alias("selection_rule"), *part(image, "image"), *part(pixel, "pixel"))
     # All three have one row.
-    return row.crossJoin(seeds).crossJoin(oracle_baseline(cases))
+    row = row.crossJoin(seeds).crossJoin(oracle_baseline(cases))
+    return row if configs is None else row.join(locked_fields(configs).withColumnRenamed("method", "selected_method"), "selected_method")
+
+
+#: What a validation stage must share with the manifest of the stage that selected its method.
+LOCKED = ("selected_parameters", "model_seed", "base_protocol_fingerprint", "selected_protocol_fingerprint", "threshold_split_seeds")
+
+
+def locked_fields(configs: DataFrame) -> DataFrame:
+    """`configs` with its config_json replaced by the fields that lock a protocol."""
+    made = {
+        "selected_parameters": threshold_parameters(F.col("config_json")), "model_seed": F.get_json_object("config_json", "$.experiment.seed").cast("int"),
+        "base_protocol_fingerprint": protocol_fingerprint(F.col("config_json")), "selected_protocol_fingerprint": protocol_fingerprint(F.col("config_json"), True),
+    }
+    return configs.select(*[c for c in configs.columns if c != "config_json"], *[c.alias(name) for name, c in made.items()])
+
+
+def manifest_faults(manifest: DataFrame, validation: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fields): the rows of `validation` (keys, config_json, threshold_split_seeds) that differ from the
+    one row of `manifest`, and in which locked fields."""
+    locked = manifest.select(*[F.col(f).alias(f"other_{f}") for f in LOCKED])
+    rows = locked_fields(validation).withColumn("threshold_split_seeds", F.sort_array("threshold_split_seeds"))
+    return rows.crossJoin(locked).select(*keys, _differing(LOCKED).alias("fields")).filter(F.size("fields") > 0)
+
+
+def _differing(fields) -> Column:
+    return F.filter(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"other_{f}")), F.lit(f)) for f in fields]), lambda f: f.isNotNull())
+
+
+#: A completion marker's fields and types, which are fixed by its format.
+MARKER = "status string, expected_categories array<string>, completed_categories array<string>, expected_count int, completed_count int, seed int, threshold_split_seed int, pixel_threshold_method string, active_layers array<int>, spatial_mode string, config_fingerprint string"
+
+
+def completion_faults(cases: DataFrame) -> DataFrame:
+    """(case_dir, fields): the cases that aren't complete, from (case_dir, config_json, metrics_json, marker_json).
+
+    `fields` names what the marker says otherwise than the configuration, `marker` where there is none, and
+    `categories` where the metrics list other categories than the configuration or in another order.
+    """
+    own = F.from_json("config_json", "struct<data:struct<categories:array<string>>,experiment:struct<seed:int>,calibration:struct<threshold_split_seed:int,pixel_threshold_method:string>,model:struct<active_layers:array<int>>,retrieval:struct<spatial_mode:string>>")
+    rows = cases.withColumn("own", own).withColumn("marker", F.from_json("marker_json", f"struct<{MARKER.replace(' ', ':').replace(',:', ',')}>"))
+    names = F.col("own.data.categories")
+    wanted = {
+        "status": F.lit("complete"), "expected_categories": names, "completed_categories": names, "expected_count": F.size(names), "completed_count": F.size(names), "seed": F.col("own.experiment.seed"),
+        "threshold_split_seed": F.col("own.calibration.threshold_split_seed"), "pixel_threshold_method": F.col("own.calibration.pixel_threshold_method"), "active_layers": F.col("own.model.active_layers"),
+        "spatial_mode": F.col("own.retrieval.spatial_mode"), "config_fingerprint": config_fingerprint(F.col("config_json")),
+    }
+    rows = rows.select("case_dir", "metrics_json", "marker_json", names.alias("names"), *[F.col(f"marker.{f}").alias(f) for f in wanted], *[c.alias(f"other_{f}") for f, c in wanted.items()])
+    listed = F.transform(F.from_json("metrics_json", "struct<categories:array<struct<category:string>>>")["categories"], lambda c: c["category"])
+    wrong = F.when(F.col("marker_json").isNull(), F.array(F.lit("marker"))).otherwise(_differing(wanted))
+    fields = F.concat(wrong, F.when(listed.eqNullSafe(F.col("names")), F.array().cast("array<string>")).otherwise(F.array(F.lit("categories"))))
+    return rows.select("case_dir", fields.alias("fields")).filter(F.size("fields") > 0)
 
 
 def layer_ablation_means(layers: DataFrame) -> DataFrame:
@@ -128,6 +184,18 @@ def pending_cases(grid: DataFrame, completed: DataFrame, keys: list[str]) -> Dat
     return grid.join(completed.select(*keys).distinct(), keys, "left_anti")
 
 
+def cases_to_run(desired: DataFrame, markers: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, found): the cases of `desired` (keys, categories, config_fingerprint) without a marker that fits.
+
+    A case is done if its marker (keys and the marker's fields) is complete, names just its categories, and has
+    the fingerprint of the configuration that is wanted now. `found` tells whether there is any marker.
+    """
+    rows = desired.join(markers.withColumnRenamed("config_fingerprint", "marker_fingerprint").withColumn("found", F.lit(True)), keys, "left")
+    n = F.size("categories")
+    done = (F.col("status") == "complete") & (F.col("expected_categories") == F.col("categories")) & (F.col("completed_categories") == F.col("categories")) & (F.col("expected_count") == n) & (F.col("completed_count") == n) & (F.col("marker_fingerprint") == F.col("config_fingerprint"))
+    return rows.filter(~F.coalesce(done, F.lit(False))).select(*keys, F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def duplicate_cases(cases: DataFrame, keys: list[str]) -> DataFrame:
     return cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("cases")).filter("cases > 1")
 
@@ -164,5 +232,4 @@ def stage_overlap(dev: DataFrame, validation: DataFrame) -> DataFrame:
 def mismatches(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """(keys, fields): rows of both sides whose fields differ, with the names of those that do."""
     other = right.select(*keys, *[F.col(f).alias(f"other_{f}") for f in fields])
-    differing = F.filter(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"other_{f}")), F.lit(f)) for f in fields]), lambda f: f.isNotNull())
-    return left.join(other, keys).select(*keys, differing.alias("fields")).filter(F.size("fields") > 0)
+    return left.join(other, keys).select(*keys, _differing(fields).alias("fields")).filter(F.size("fields") > 0)

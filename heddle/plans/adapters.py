@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.storage import persisted
@@ -93,9 +93,11 @@ class Flow:
         other = own.select(((F.col("category").cast("int") + 9) % 10).cast("string").alias("category"), "image_id", F.lit(1).alias("label"))
         return own.unionByName(other)
 
+    def test_patches(self) -> DataFrame:
+        return self.features().drop("category").join(self.test_images().select("category", "image_id"), "image_id")
+
     def test_features(self) -> DataFrame:
-        rows = self.features().drop("category").join(self.test_images().select("category", "image_id"), "image_id")
-        return features.with_coordinates(rows, PATCHES)
+        return features.with_coordinates(self.test_patches(), PATCHES)
 
     @kept
     def reliability(self) -> DataFrame:
@@ -202,3 +204,43 @@ def layer_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         name.alias("case"), F.col("o").alias("case_order"), F.col("c").cast("string").alias("category"), (10 * F.col("d")).alias("image_AUROC"), (10 * F.col("t")).alias("image_F1_calibrated"), (F.col("q") / 50).alias("image_F1_oracle"),
         (0.5 + 5 * F.col("d")).alias("pixel_AUROC"), (5 * F.col("t")).alias("pixel_F1_calibrated"), (F.col("q") / 40).alias("pixel_F1_oracle"),
     )
+
+
+#: A configuration with the fields that fingerprints read.
+CONFIG = {
+    "experiment": {"seed": 42}, "data": {"dataset": "suppliers", "image_size": 8, "resize_mode": "resize", "calibration_fraction": 0.2},
+    "model": {"checkpoint": "none", "active_layers": [3, 6], "token_norm": "none"}, "memory": {"sampling": "random", "ratio": 0.5, "projection_dim": 0, "max_candidates": 1000},
+    "retrieval": {"spatial_mode": "adaptive", "fixed_lambda": 0.05, "query_chunk_size": 64, "bank_chunk_size": 64, "lambda_max": 0.1, "tau_quantile": 0.8},
+    "calibration": {"mad_epsilon": 0.25, "threshold_fit_fraction": 0.5, "threshold_split_seed": 42, "pixel_threshold_method": "global_quantile", "pixel_quantile": 0.995, "pixel_image_quantile": 0.95, "pixel_topk_fraction": 0.05, "image_quantile": 0.99, "clamp_min_zero": True},
+    "inference": {"gaussian_sigma": 0.0, "image_score": "topk_mean", "image_topk_fraction": 0.1}, "evaluation": {"compute_oracle_f1": True},
+}
+
+
+def config_json(**changes: Column) -> Column:
+    """CONFIG as JSON, with columns for some of its fields: part__field=column."""
+    given = {tuple(name.split("__")): value for name, value in changes.items()}
+    parts = []
+    for part, fields in CONFIG.items():
+        own = {name: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for name, v in fields.items()} | {name: v for (p, name), v in given.items() if p == part}
+        parts.append(F.struct(*[v.alias(name) for name, v in own.items()]).alias(part))
+    return F.to_json(F.struct(*parts))
+
+
+def marked_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, case_dir, categories, config_json, metrics_json, and a marker's fields) for each supplier, a case whose
+    categories are its return flags. Faults are planted by the supplier's key: every 5th is incomplete, every 7th
+    has another seed, every 11th a stale fingerprint, every 13th no marker, every 17th metrics in another order."""
+    from heddle.functions.fingerprints import config_fingerprint
+
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.sort_array(F.collect_set("l_returnflag")).alias("categories"))
+    every = lambda n: F.col("k") % n == 0
+    done = F.when(every(5), F.slice("categories", 1, F.size("categories") - 1)).otherwise(F.col("categories"))
+    listed = F.transform(F.when(every(17), F.reverse("categories")).otherwise(F.col("categories")), lambda c: F.struct(c.alias("category")))
+    rows = rows.withColumn("config_json", config_json(data__categories=F.col("categories"))).withColumn("metrics_json", F.to_json(F.struct(listed.alias("categories"))))
+    config = CONFIG["calibration"]
+    marker = {
+        "status": F.when(every(5), "incomplete").otherwise("complete"), "expected_categories": F.col("categories"), "completed_categories": done, "expected_count": F.size("categories"), "completed_count": F.size(done),
+        "seed": F.when(every(7), 43).otherwise(42), "threshold_split_seed": F.lit(config["threshold_split_seed"]), "pixel_threshold_method": F.lit(config["pixel_threshold_method"]), "active_layers": F.array(F.lit(3), F.lit(6)),
+        "spatial_mode": F.lit("adaptive"), "config_fingerprint": F.when(every(11), "stale").otherwise(config_fingerprint(F.col("config_json"))),
+    }
+    return rows.select("k", F.col("k").cast("string").alias("case_dir"), "categories", "config_json", "metrics_json", *[c.alias(f) for f, c in marker.items()])

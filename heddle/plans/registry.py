@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.functions import fingerprints
 from heddle.functions.statistics import exact_quantile, linear_quantile
+from heddle.functions.storage import shared_folder
 from heddle.operators import calibration, features, maps, memory, metrics, nearest, reports, sampling
 from heddle.operators import reliability as rel
 from heddle.plans import adapters
 from heddle.plans import oracles as sql
 from heddle.plans.adapters import MAP_SIZE, PATCHES, PIXEL_TOPK, Flow
+from heddle.sources import artifacts
+from heddle.streaming.scoring import score_arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,11 +115,31 @@ def memory_kcenter(spark, d):
     return memory.k_center(own, 0.25).drop("v")
 
 
-@query()
+SIGNED = "list_transform(range(4), lambda j: list_sum(list_transform(range(8), lambda i: v[i + 1] * CASE WHEN substr(md5('42:' || i || ':' || j), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)) / 2)"
+UNIT = "list_transform(p, lambda x: x / greatest(sqrt(list_sum(list_transform(p, lambda y: y * y))), 1e-12::DOUBLE))"
+
+
+@query(sql.flow(f"SELECT category, image_id, layer, patch_id, list_transform({UNIT}, lambda x: round(x, 6)) AS v FROM (SELECT category, image_id, layer, patch_id, {SIGNED} AS p FROM features)"))
 def random_projection(spark, d):
     return memory.random_projection(Flow.of(spark, d).features(), 4)
 
 
+@query("WITH RECURSIVE " + sql.FLOW.strip() + f""",
+narrow AS (SELECT category, layer, image_id, patch_id, {UNIT} AS v FROM (SELECT category, layer, image_id, patch_id, {SIGNED} AS p FROM memory_ranked)),
+pool AS (SELECT category, layer, list(v ORDER BY image_id, patch_id) AS vs, list(image_id ORDER BY image_id, patch_id) AS ids, list(patch_id ORDER BY image_id, patch_id) AS ps,
+                list(md5((42 + layer) || ':' || image_id || ':' || patch_id) ORDER BY image_id, patch_id) AS hs, CAST(greatest(1, round_even(count(*) * 0.25::DOUBLE, 0)) AS INT) AS k FROM narrow GROUP BY ALL),
+walk AS (
+  SELECT category, layer, vs, ids, ps, k, 0 AS nth, list_position(hs, list_min(hs)) AS pick, list_transform(vs, lambda v: 1 - list_inner_product(v, vs[list_position(hs, list_min(hs))])) AS away FROM pool
+  UNION ALL
+  SELECT category, layer, vs, ids, ps, k, nth + 1, nx, list_transform(list_zip(away, vs), lambda z: least(z[1], 1 - list_inner_product(z[2], vs[nx])))
+  FROM (SELECT *, list_position(away, list_max(away)) AS nx FROM walk WHERE nth + 1 < k))
+SELECT category, layer, nth, ids[pick] AS image_id, ps[pick] AS patch_id FROM walk""")
+def memory_kcenter_projected(spark, d):
+    flow = Flow.of(spark, d)
+    own = flow.features().join(flow.splits().filter("role = 'memory'"), ["category", "image_id"], "left_semi")
+    return memory.k_center(own, 0.25, projection=4).drop("v")
+
+
 @query(sql.flow("SELECT category, layer, bank_id, source_id, patch_id, x, y, list_transform(v, lambda x: round(x, 6)) AS v FROM bank"))
 def memory_bank(spark, d):
     return Flow.of(spark, d).bank()
@@ -533,3 +558,85 @@ LABELS = "SELECT o_orderkey, CASE WHEN len(l) = 1 THEN 'block' || l[1] ELSE 'fus
 def case_label(spark, d):
     rows = adapters.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_set("l_linenumber")).alias("layers"))
     return rows.select("o_orderkey", reports.case_label(F.col("layers")).alias("case_label"))
+
+
+FAULTS = """SELECT CAST(k AS VARCHAR) AS case_dir, fields FROM (SELECT k, list_concat(CASE WHEN k % 13 = 0 THEN ['marker'] ELSE list_filter([CASE WHEN k % 5 = 0 THEN 'status' END, CASE WHEN k % 5 = 0 THEN 'completed_categories' END,
+ CASE WHEN k % 5 = 0 THEN 'completed_count' END, CASE WHEN k % 7 = 0 THEN 'seed' END, CASE WHEN k % 11 = 0 THEN 'config_fingerprint' END], lambda x: x IS NOT NULL) END, CASE WHEN k % 17 = 0 AND n > 1 THEN ['categories'] ELSE [] END) AS fields
+ FROM (SELECT l_suppkey AS k, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY 1)) WHERE len(fields) > 0"""
+
+
+@query(FAULTS)
+def completion_faults(spark, d):
+    rows = adapters.marked_cases(spark, d)
+    marker = F.when(F.col("k") % 13 != 0, F.to_json(F.struct(*[x.split()[0] for x in reports.MARKER.split(", ")])))
+    return reports.completion_faults(rows.select("case_dir", "config_json", "metrics_json", marker.alias("marker_json")))
+
+
+@query("SELECT CAST(k AS VARCHAR) AS case_dir, k % 13 <> 0 AS found FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem) WHERE k % 5 = 0 OR k % 11 = 0 OR k % 13 = 0")
+def cases_to_run(spark, d):
+    rows = adapters.marked_cases(spark, d)
+    desired = rows.select("case_dir", "categories", fingerprints.config_fingerprint(F.col("config_json")).alias("config_fingerprint"))
+    markers = rows.filter("k % 13 != 0").select("case_dir", "status", "expected_categories", "completed_categories", "expected_count", "completed_count", "config_fingerprint")
+    return reports.cases_to_run(desired, markers, ["case_dir"])
+
+
+@query(sql.cases(f"""SELECT k, fields FROM (SELECT k, list_filter([CASE WHEN p OR m THEN 'selected_parameters' END, CASE WHEN s THEN 'model_seed' END, CASE WHEN p OR s THEN 'base_protocol_fingerprint' END,
+ CASE WHEN p OR s OR m THEN 'selected_protocol_fingerprint' END, CASE WHEN k % 11 = 0 THEN 'threshold_split_seeds' END], lambda x: x IS NOT NULL) AS fields
+ FROM (SELECT k, k % 5 = 0 AS p, k % 7 = 0 AS s, ['global_quantile', 'image_max_quantile', 'image_topk_quantile'][k % 3 + 1] <> (SELECT method FROM {SELECTED}) AS m FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem))) WHERE len(fields) > 0"""))
+def manifest_faults(spark, d):
+    methods = F.array(*map(F.lit, reports.METHODS))
+    configs = spark.range(len(reports.METHODS)).select(methods[F.col("id").cast("int")].alias("method")).withColumn("config_json", adapters.config_json(calibration__pixel_threshold_method=F.col("method")))
+    rows = adapters.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")).distinct()
+    own = adapters.config_json(calibration__pixel_threshold_method=methods[(F.col("k") % 3).cast("int")], calibration__pixel_quantile=F.when(F.col("k") % 5 == 0, 0.9).otherwise(0.995), experiment__seed=F.when(F.col("k") % 7 == 0, 43).otherwise(42))
+    seeds = F.when(F.col("k") % 11 == 0, F.array(F.lit(42), F.lit(43))).otherwise(F.array(F.lit(44), F.lit(42), F.lit(43)))
+    return reports.manifest_faults(reports.selection_manifest(adapters.cases(spark, d), configs), rows.select("k", own.alias("config_json"), seeds.alias("threshold_split_seeds")), ["k"])
+
+
+@query("""SELECT o_orderkey, sha256('{"customer":{"key":' || o_custkey || '},"order":' || o_orderkey || ',"status":"' || o_orderstatus || '"}') AS fingerprint FROM orders""")
+def config_fingerprints(spark, d):
+    rows = adapters.read(spark, d, "orders")
+    text = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.lit("/elsewhere").alias("_config_path"), F.col("o_orderkey").alias("order"), F.struct(F.col("o_custkey").alias("key")).alias("customer")))
+    return rows.withColumn("config_json", text).select("o_orderkey", fingerprints.config_fingerprint(F.col("config_json")).alias("fingerprint"))
+
+
+# What is written and read again, or arrives as a stream
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/heddle-{uuid.uuid4().hex}"
+
+
+@query(sql.flow("SELECT category, layer, bank_id, source_id, patch_id, x, y, list_transform(v, lambda x: round(x, 6)) AS v FROM bank"))
+def memory_bank_stored(spark, d):
+    path = _folder(spark)
+    artifacts.write_bank(Flow.of(spark, d).bank(), path, ratio=adapters.RATIO)
+    return artifacts.read_bank(spark, path)
+
+
+@query(sql.flow("SELECT f.category, f.layer, f.image_id, f.patch_id, s.role, list_transform(f.v, lambda x: round(x, 6)) AS v FROM features f JOIN splits s ON f.category = s.category AND f.image_id = s.image_id WHERE s.role <> 'memory'"))
+def calibration_features_stored(spark, d):
+    flow, path = Flow.of(spark, d), _folder(spark)
+    artifacts.write_calibration_features(flow.features(), flow.splits(), PATCHES, path)
+    return artifacts.read_calibration_features(spark, path).select("category", "layer", "image_id", "patch_id", "role", "v")
+
+
+@query(sql.flow("SELECT r.category, r.layer, round(r.reliability, 6) AS reliability, round(t.tau, 6) AS tau, round(w.spatial_weight, 6) AS spatial_weight, round(m.median, 6) AS median, round(m.mad, 6) AS mad FROM reliability r JOIN tau t ON r.layer = t.layer JOIN weights w ON r.category = w.category AND r.layer = w.layer JOIN layer_calibration m ON r.category = m.category AND r.layer = m.layer"))
+def calibration_stored(spark, d):
+    flow, path = Flow.of(spark, d), _folder(spark)
+    artifacts.write_calibration(flow.reliability(), rel.layer_tau(flow.reliability()), flow.weights(), flow.layer_calibration(), path)
+    return artifacts.read_calibration(spark, path)
+
+
+@query("SELECT '| nation | customers | balance |' AS value UNION ALL SELECT '|---|---:|---:|' UNION ALL SELECT '| ' || n || ' | ' || c || ' | ' || printf('%.6f', b) || ' |' FROM (SELECT n_name AS n, count(*) AS c, max(c_acctbal) AS b FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)")
+def report_markdown(spark, d):
+    rows = adapters.read(spark, d, "customer").join(adapters.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    made = rows.groupBy(F.col("n_name").alias("nation")).agg(F.count(F.lit(1)).alias("customers"), F.max("c_acctbal").alias("balance"))
+    return artifacts.markdown(made, ["nation"])
+
+
+@query(ORACLES["calibrate_scores"])
+def streamed_scores(spark, d):
+    flow, path = Flow.of(spark, d), _folder(spark)
+    flow.test_patches().select("category", "image_id", "layer", "patch_id", "v").write.parquet(f"{path}/arrivals")
+    score_arrivals(spark, f"{path}/arrivals", flow.bank(), flow.weights(), flow.layer_calibration(), f"{path}/scores", f"{path}/progress", PATCHES, clamp=True).awaitTermination()
+    return spark.read.parquet(f"{path}/scores").select("category", "image_id", "layer", "patch_id", "score")

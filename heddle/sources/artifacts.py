@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.operators.features import with_coordinates
+
 
 def read_reports(spark: SparkSession, root: str, name: str = "metrics_summary.json", config: str = "resolved_config.json") -> DataFrame:
     """(case_dir, config_json, report_json) of root/*/; a case with a configuration but no report is an error."""
@@ -16,21 +18,52 @@ def read_reports(spark: SparkSession, root: str, name: str = "metrics_summary.js
     return found
 
 
-def write_bank(bank: DataFrame, path: str) -> None:
-    bank.write.mode("overwrite").partitionBy("category", "layer").parquet(path)
+def write_bank(bank: DataFrame, path: str, images: DataFrame | None = None, sampling: str = "random", ratio: float = 0.1) -> None:
+    """A bank by category and layer, and beside it what it was made by: sampling, ratio and, with `images`
+    (image_id, path), the paths of its sources."""
+    bank.write.mode("overwrite").partitionBy("category", "layer").parquet(f"{path}/bank")
+    made = bank.groupBy("category", "layer").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("v")).alias("width")).withColumn("sampling", F.lit(sampling)).withColumn("ratio", F.lit(float(ratio)))
+    made.write.mode("overwrite").parquet(f"{path}/metadata")
+    if images is not None:
+        bank.select("category", F.col("source_id").alias("image_id")).distinct().join(images.select("image_id", "path"), "image_id").write.mode("overwrite").parquet(f"{path}/sources")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("category", F.col("category").cast("string")).withColumn("layer", F.col("layer").cast("int"))
 
 
 def read_bank(spark: SparkSession, path: str) -> DataFrame:
-    """A written bank; one without rows is an error."""
-    rows = spark.read.parquet(path).withColumn("category", F.col("category").cast("string")).withColumn("layer", F.col("layer").cast("int"))
+    """A written bank; one without rows, or with other rows or widths than its metadata says, is an error."""
+    rows = _keyed(spark.read.parquet(f"{path}/bank"))
     if rows.isEmpty():
         raise ValueError(f"no memory bank in {path}")
+    found = rows.groupBy("category", "layer").agg(F.count(F.lit(1)).alias("found"), F.min(F.size("v")).alias("narrowest"), F.max(F.size("v")).alias("widest"))
+    said = spark.read.parquet(f"{path}/metadata")
+    odd = said.join(found, ["category", "layer"], "full").filter("NOT (rows <=> found AND width <=> narrowest AND width <=> widest)").select("category", "layer").take(5)
+    if odd:
+        raise ValueError(f"the memory bank in {path} differs from its metadata in {[tuple(r) for r in odd]}")
     return rows
 
 
-def write_calibration_features(features: DataFrame, splits: DataFrame, path: str) -> None:
-    """The patches of calibration images with their role, whether fit or validation."""
-    features.join(splits.filter("role != 'memory'"), ["category", "image_id"]).write.mode("overwrite").partitionBy("category", "layer").parquet(path)
+def write_calibration_features(features: DataFrame, splits: DataFrame, patch_count: int, path: str) -> None:
+    """The patches of calibration images with their places and role, whether fit or validation."""
+    own = with_coordinates(features.join(splits.filter("role != 'memory'").select("category", "image_id", "role"), ["category", "image_id"]), patch_count)
+    own.write.mode("overwrite").partitionBy("category", "layer").parquet(path)
+
+
+def read_calibration_features(spark: SparkSession, path: str) -> DataFrame:
+    return _keyed(spark.read.parquet(path))
+
+
+def write_calibration(reliability: DataFrame, tau: DataFrame, weights: DataFrame, layer_calibration: DataFrame, path: str) -> None:
+    """The record of a calibration, a row per category and layer: reliability, tau, spatial weight, median and MAD."""
+    keys = ["category", "layer"]
+    rows = reliability.select(*keys, "reliability").join(tau, "layer").join(weights, keys).join(layer_calibration.select(*keys, "median", "mad"), keys)
+    rows.write.mode("overwrite").json(path)
+
+
+def read_calibration(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("category string, layer int, reliability double, tau double, spatial_weight double, median double, mad double").json(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

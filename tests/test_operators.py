@@ -1,5 +1,7 @@
 """Hand-computed cases of every family of the anomaly jobs."""
 
+import itertools
+import json
 import math
 
 import numpy as np
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from heddle.functions import fingerprints
 from heddle.functions.statistics import exact_median, exact_quantile, lower_median, nan_mean, running_sums
 from heddle.functions.vectors import grid_side, l2_normalised
 from heddle.operators import calibration, features, maps, memory, metrics, nearest, reports, sampling
@@ -98,6 +101,19 @@ def test_k_center_covers_better_with_every_center(spark):
     assert memory.k_center(own, 1.0, most=7).count() == 7
 
 
+def test_k_center_of_projected_vectors_keeps_their_width(spark):
+    own = random_features(spark, 5, 4)
+    chosen = memory.k_center(own, 0.5, projection=4)
+    assert chosen.count() == memory.k_center(own, 0.5).count() and {len(r.v) for r in chosen.collect()} == {8}
+    for layer, group in itertools.groupby(sorted(own.collect(), key=lambda r: (r.layer, r.image_id, r.patch_id)), key=lambda r: r.layer):
+        group = list(group)
+        v = memory.projected(np.array([r.v for r in group]), 4, 42)
+        assert np.allclose(v, (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.array([r.v for r in group]) @ memory.signs(8, 4, 42)))
+        mine = [(r.image_id, r.patch_id) for r in sorted(chosen.filter(F.col("layer") == layer).collect(), key=lambda r: r.nth)]
+        at = [(r.image_id, r.patch_id) for r in group]
+        assert mine == [at[k] for k in memory.greedy_centers(v, at.index(mine[0]), len(mine))]
+
+
 def test_projection_only_reduces(spark):
     own = random_features(spark)
     assert {len(r.v) for r in memory.random_projection(own, 3).collect()} == {3}
@@ -292,3 +308,20 @@ def test_gates(spark):
     other = table.withColumn("model_seed", F.when(F.col("category") == "grid", 1).otherwise(42))
     keys = ["method", "threshold_split_seed", "category"]
     assert {tuple(r.fields) for r in reports.mismatches(table, other, keys, ["model_seed", "normal_validation_images"]).collect()} == {("model_seed",)}
+
+
+def test_completion_manifest_and_resume(spark):
+    from heddle.plans.adapters import config_json
+
+    config = spark.range(1).select(config_json(data__categories=F.array(F.lit("a"), F.lit("b")))).first()[0]
+    fingerprint = spark.createDataFrame([(config,)], "c string").select(fingerprints.config_fingerprint(F.col("c"))).first()[0]
+    good = {"status": "complete", "expected_categories": ["a", "b"], "completed_categories": ["a", "b"], "expected_count": 2, "completed_count": 2, "seed": 42, "threshold_split_seed": 42, "pixel_threshold_method": "global_quantile", "active_layers": [3, 6], "spatial_mode": "adaptive", "config_fingerprint": fingerprint}
+    metrics_of = lambda *names: json.dumps({"categories": [{"category": n} for n in names]})
+    cases = [("good", good, metrics_of("a", "b")), ("none", None, metrics_of("a", "b")), ("order", good, metrics_of("b", "a")), ("no metrics", good, None)]
+    cases += [(name, good | {name: other}, metrics_of("a", "b")) for name, other in (("status", "incomplete"), ("completed_count", 1), ("seed", 7), ("active_layers", [3]), ("config_fingerprint", "x"))]
+    rows = spark.createDataFrame([(n, config, m, marker and json.dumps(marker)) for n, marker, m in cases], "case_dir string, config_json string, metrics_json string, marker_json string")
+    got = {r.case_dir: r.fields for r in reports.completion_faults(rows).collect()}
+    assert got == {"none": ["marker"], "order": ["categories"], "no metrics": ["categories"]} | {n: [n] for n in ("status", "completed_count", "seed", "active_layers", "config_fingerprint")}
+    desired = spark.createDataFrame([(n, ["a", "b"], fingerprint) for n, _, _ in cases], "case_dir string, categories array<string>, config_fingerprint string")
+    markers = spark.createDataFrame([(n, *[m[f] for f in ("status", "expected_categories", "completed_categories", "expected_count", "completed_count", "config_fingerprint")]) for n, m, _ in cases if m], "case_dir string, status string, expected_categories array<string>, completed_categories array<string>, expected_count int, completed_count int, config_fingerprint string")
+    assert {r.case_dir: r.found for r in reports.cases_to_run(desired, markers, ["case_dir"]).collect()} == {"none": False, "status": True, "completed_count": True, "config_fingerprint": True}

@@ -133,6 +133,9 @@ def test_artifacts(spark, tmp_path):
     bank = spark.createDataFrame([("a", 3, 0, 1, 0, 0.0, 0.0, [1.0])], "category string, layer int, bank_id long, source_id long, patch_id int, x double, y double, v array<double>")
     artifacts.write_bank(bank, str(tmp_path / "bank"))
     assert artifacts.read_bank(spark, str(tmp_path / "bank")).select(*bank.columns).collect() == bank.collect()
+    bank.withColumn("v", F.array(F.lit(1.0), F.lit(2.0))).write.mode("append").partitionBy("category", "layer").parquet(str(tmp_path / "bank/bank"))
+    with pytest.raises(ValueError):  # another width than the metadata's
+        artifacts.read_bank(spark, str(tmp_path / "bank"))
     marker = artifacts.completion_marker(rows, rows.filter("category = 'a'"), 42, 1042, "global_quantile", [3, 6], "adaptive", "x").first()
     assert (marker.status, marker.expected_count, marker.completed_count) == ("incomplete", 2, 1)
     artifacts.write_bundle({"rows": rows.select("category")}, spark.createDataFrame([("dev",)], "stage string"), str(tmp_path / "bundle"))

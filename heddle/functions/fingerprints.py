@@ -1,4 +1,4 @@
-"""Fingerprints of experiment configurations, which are JSON texts in a column."""
+"""Fingerprints of experiment configurations, which are JSON texts in a column: a row per run, so few that Python may parse them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The fields of a configuration that a metric depends on, and their types.
+#: The fields of a configuration that a metric depends on and their types, which must stay for equal fingerprints.
 PROTOCOL = {
     "data": {"dataset": str, "image_size": int, "resize_mode": str, "calibration_fraction": float},
     "model": {"checkpoint": str, "active_layers": list, "token_norm": str},
@@ -19,6 +19,7 @@ PROTOCOL = {
     "inference": {"gaussian_sigma": float, "image_score": str, "image_topk_fraction": float},
     "evaluation": {"compute_oracle_f1": bool},
 }
+#: The threshold fields of a configuration.
 THRESHOLD = {"pixel_threshold_method": str, "pixel_quantile": float, "pixel_image_quantile": float, "pixel_topk_fraction": float}
 
 

@@ -124,26 +124,6 @@ def masks(images: DataFrame, size: int, mode: str = "resize") -> DataFrame:
     return images.mapInPandas(batches, "path string, mask array<int>")
 
 
-def grid_pool(size: int, side: int = 2):
-    """An extractor for `features.extract`: per cell of a grid its mean gray, place and 1, normalised; layer 6 is layer 3 turned by one.
-
-    It takes rows (category, image_id, tensor) of square tensors of `size`.
-    """
-
-    def extractor(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in frame.itertuples():
-            gray = np.asarray(row.tensor).reshape(3, size, size).mean(axis=0)
-            cells = gray.reshape(side, size // side, side, size // side).mean(axis=(1, 3)).ravel()
-            for patch, value in enumerate(cells):
-                v = np.array([value, patch % side / max(1, side - 1), patch // side / max(1, side - 1), 1.0])
-                v /= max(np.linalg.norm(v), 1e-12)
-                out += [(row.category, row.image_id, 3, patch, v), (row.category, row.image_id, 6, patch, np.roll(v, 1))]
-        return pd.DataFrame(out, columns=["category", "image_id", "layer", "patch_id", "v"])
-
-    return extractor
-
-
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of files."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,24 +27,39 @@ def png(path, pixels):
 
 @pytest.fixture
 def tree(tmp_path):
-    root = tmp_path / "toy_root"
-    gray = lambda v: np.full((16, 16, 3), v)
+    """Bolts on a dark plate, with a bright stain in the lower right of every faulty one."""
+    root = tmp_path / "plates"
+    plate = lambda shade: np.full((24, 18, 3), shade)
     for i in range(10):
-        png(root / f"toy/train/good/{i:03}.png", gray(100 + i % 2))
+        png(root / f"bolt/train/good/{i:03}.png", plate(60 + i % 3))
     for i in range(2):
-        png(root / f"toy/test/good/{i:03}.png", gray(100))
-        scratched, mask = gray(100), np.zeros((16, 16))
-        scratched[:8, :8], mask[:8, :8] = 255, 255
-        png(root / f"toy/test/scratch/{i:03}.png", scratched)
-        png(root / f"toy/ground_truth/scratch/{i:03}_mask.png", mask)
+        png(root / f"bolt/test/good/{i:03}.png", plate(61))
+        stained, mask = plate(61), np.zeros((24, 18))
+        stained[12:, 10:], mask[12:, 10:] = 210, 255
+        png(root / f"bolt/test/stain/{i:03}.png", stained)
+        png(root / f"bolt/ground_truth/stain/{i:03}_mask.png", mask)
     return root
 
 
+def brightness_profile(frame):
+    """An extractor: of each quarter of an image the share of pixels in four bands of brightness, and for layer 6 their squares."""
+    out = []
+    for row in frame.itertuples():
+        side = int((len(row.tensor) / 3) ** 0.5)
+        light = np.asarray(row.tensor).reshape(3, side, side).max(axis=0)
+        edges = np.quantile(np.linspace(-3, 3, 50), [0.25, 0.5, 0.75])
+        for patch, (top, left) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
+            part = light[top * side // 2 : (top + 1) * side // 2, left * side // 2 : (left + 1) * side // 2]
+            share = np.bincount(np.digitize(part.ravel(), edges), minlength=4) / part.size + 0.01 * part.mean()
+            out += [(row.category, row.image_id, layer, patch, v / np.linalg.norm(v)) for layer, v in ((3, share + 0.1), (6, share**2 + 0.1))]
+    return pd.DataFrame(out, columns=["category", "image_id", "layer", "patch_id", "v"])
+
+
 def test_records(spark, tree):
     got = images.image_records(spark, str(tree)).collect()
     assert len(got) == 14 and sum(r.is_train for r in got) == 10 and sum(r.label for r in got) == 2
     assert all(r.mask_path.endswith("_mask.png") for r in got if r.label)
-    (tree / "toy/ground_truth/scratch/001_mask.png").unlink()
+    (tree / "bolt/ground_truth/stain/001_mask.png").unlink()
     with pytest.raises(FileNotFoundError):
         images.image_records(spark, str(tree))
 
@@ -70,7 +86,7 @@ def test_small_tree_end_to_end(spark, tree):
     records = images.image_records(spark, str(tree)).cache()
     decoded = images.decode_images(spark, str(tree)).join(records.select("path", "category", "image_id"), "path")
     made = images.tensors(decoded.select("path", "height", "width", "channels", "bgr"), 16).join(records.select("path", "category", "image_id"), "path")
-    patches = features.extract(made.select("category", "image_id", "tensor"), images.grid_pool(16)).cache()
+    patches = features.extract(made.select("category", "image_id", "tensor"), brightness_profile).cache()
     normal = records.filter("is_train")
     splits = sampling.split_calibration(sampling.split_normal(normal, 0.2), 0.5).cache()
     assert {r.role: r["count"] for r in splits.groupBy("role").count().collect()} == {"memory": 8, "threshold_fit": 1, "normal_validation": 1}
@@ -101,6 +117,7 @@ def test_streaming_scores_each_file_once(spark, tmp_path):
     assert [(r.image_id, r.patch_id, round(r.score, 9)) for r in got] == [(r.image_id, r.patch_id, round(r.score, 9)) for r in want]
 
 
+#: The parts and field names of a configuration are fixed by its format.
 CONFIG = {
     "experiment": {"seed": 42}, "data": {"dataset": "toy", "image_size": 16, "resize_mode": "resize", "calibration_fraction": 0.2, "categories": ["é"]},
     "model": {"checkpoint": "none", "active_layers": [3, 6], "token_norm": "none"}, "memory": {"sampling": "random", "ratio": 0.5, "projection_dim": 0, "max_candidates": 10},

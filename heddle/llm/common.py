@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.functions.storage import persisted, shared_folder
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only a session without one (a local test) gets a temporary folder.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="heddle-checkpoint-"))
-    return context.getCheckpointDir()
+__all__ = ["hash60", "persisted", "read", "shared_folder", "small_batches", "whole_text"]
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    """`df`, written to the shared folder, with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

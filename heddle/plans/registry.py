@@ -640,3 +640,41 @@ def streamed_scores(spark, d):
     flow.test_patches().select("category", "image_id", "layer", "patch_id", "v").write.parquet(f"{path}/arrivals")
     score_arrivals(spark, f"{path}/arrivals", flow.bank(), flow.weights(), flow.layer_calibration(), f"{path}/scores", f"{path}/progress", PATCHES, clamp=True).awaitTermination()
     return spark.read.parquet(f"{path}/scores").select("category", "image_id", "layer", "patch_id", "score")
+
+
+# The same checks over tables with planted faults, so that they have something to find
+
+
+@query(sql.flow("SELECT category, layer, count(*) AS rows, count(*) FILTER (WHERE bank_id % 7 = 0 AND bank_id % 11 <> 0) AS not_finite, count(*) FILTER (WHERE bank_id % 11 = 0) AS other_width, count(*) FILTER (WHERE bank_id % 13 = 0) AS outside FROM bank GROUP BY ALL"))
+def memory_bank_faults(spark, d):
+    every = lambda n: F.col("bank_id") % n == 0
+    nan = F.when(every(7), F.transform("v", lambda x, i: F.when(i == 7, float("nan")).otherwise(x))).otherwise(F.col("v"))
+    bank = Flow.of(spark, d).bank().withColumn("v", nan).withColumn("v", F.when(every(11), F.slice("v", 1, 7)).otherwise(F.col("v")))
+    return memory.bank_faults(bank.withColumn("x", F.when(every(13), 2.0).otherwise(F.col("x"))))
+
+
+@query(sql.flow("SELECT category, count(*) AS images, count(*) FILTER (WHERE image_id % 5 <> 0 AND image_id % 7 <> 0) AS covered, count(*) FILTER (WHERE image_id % 5 = 0 OR image_id % 7 = 0) AS uncovered FROM normal_splits WHERE role = 'calibration' GROUP BY category"))
+def split_coverage_faults(spark, d):
+    flow = Flow.of(spark, d)
+    twice = flow.splits().filter("image_id % 7 = 0 AND image_id % 5 != 0")
+    return sampling.split_coverage(flow.normal_splits().filter("role = 'calibration'"), flow.splits().filter("image_id % 5 != 0").unionByName(twice))
+
+
+@query("""SELECT category, round(avg(o), 6) AS pixel_F1_oracle, round(max(o) - min(o), 6) AS max_difference, max(o) - min(o) <= 1e-8 AS shared
+ FROM (SELECT CAST(l_suppkey % 10 AS VARCHAR) AS category, CASE WHEN l_suppkey % 10 < 5 THEN 0.5::DOUBLE ELSE l_discount END AS o FROM lineitem) GROUP BY category""")
+def shared_oracle_differences(spark, d):
+    other = F.when(F.col("l_suppkey") % 10 < 5, 0.5).otherwise(F.col("l_discount"))
+    return reports.shared_oracle(adapters.read(spark, d, "lineitem").select((F.col("l_suppkey") % 10).cast("string").alias("category"), other.alias("pixel_F1_oracle")))
+
+
+@query("""SELECT vec_id AS image_id, list_transform(v, lambda x: round(x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12::DOUBLE), 6)) AS v
+ FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 5)) AS v FROM embeddings)""")
+def l2_normalize_scaled(spark, d):
+    rows = adapters.read(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 5)).alias("v"))
+    return features.normalised(rows)
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+def missing_cases_of_parts(spark, d):
+    sold = adapters.read(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
+    return reports.missing_cases(sold, adapters.read(spark, d, "part"), "p_partkey")

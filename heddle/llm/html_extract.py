@@ -235,11 +235,12 @@ def main_text(page: dom.Page, p: np.ndarray) -> str:
 
 
 def fit(pages: DataFrame, html_col: str = "html", sample: int = 200, longest: int = 100_000, layouts: int = 4) -> boosting.Trees:
-    """Trees fitted on at most `sample` pages of at most `longest` characters."""
+    """Trees fitted on at most `sample` different pages of at most `longest` characters: those of the least hashes."""
     found = pages.select(F.col(html_col).alias("html")).filter(F.char_length("html").between(1, longest)).withColumn("key", hash60(F.col("html")))
-    # About four times the sample is ordered, so that what tasks send doesn't grow with their number.
-    found = found.filter(F.col("key") <= int((1 << 60) * min(1.0, 4 * sample / max(1, pages.count()))))
-    return fit_pages([r["html"] for r in found.orderBy("key", "html").limit(sample).collect()], layouts)
+    # About four times the sample is ordered, so that what tasks send doesn't grow with their number. Copies count once.
+    different = found.agg(F.approx_count_distinct("key", 0.02)).first()[0]
+    found = found.filter(F.col("key") <= int((1 << 60) * min(1.0, 4 * sample / max(1, different)))).groupBy("key").agg(F.min("html").alias("html"))
+    return fit_pages([r["html"] for r in found.orderBy("key").limit(sample).collect()], layouts)
 
 
 def extract(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", model: boosting.Trees | None = None, **options) -> DataFrame:

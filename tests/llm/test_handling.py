@@ -56,7 +56,15 @@ def test_pages_that_repeat_or_clash(spark, data):
     pages = spark.createDataFrame([(i % 3, "u", page, "x", 1) for i in range(9)] + [(None, None, None, None, None)], "page_id long, url string, html string, text string, key0 int")
     got = html_extract.extract(pages, model=html_extract.fit(spark.read.parquet(f"{data}/pages.parquet"))).collect()
     assert len(got) == 10 and len({r.text for r in got if r.page_id is not None}) == 1 and [r.text for r in got if r.page_id is None] == [""]
-    assert html_extract.fit(pages).probability is not None
+
+
+def test_copies_of_a_page_count_once_in_training(spark, monkeypatch):
+    page = lambda i: f"<article><h1>Page {i}</h1><p>Words of page {i}.</p></article>"
+    pages = spark.createDataFrame([(page(0),)] * 900 + [(page(i),) for i in range(1, 60)], "html string")
+    taken = []
+    monkeypatch.setattr(html_extract, "fit_pages", lambda pages, layouts: taken.extend(pages))
+    html_extract.fit(pages, sample=40)
+    assert len(taken) == len(set(taken)) == 40
 
 
 BANDS = ((6, 20), (20, 60), (60, 200), (200, 1000))

@@ -59,16 +59,16 @@ def salted(rows: DataFrame, salts: int) -> DataFrame:
 
 
 def groups_of(winners: DataFrame) -> DataFrame:
-    """The third step: (digest, heavy, content, keep_id, group_size); only heavy winners bring their content, others are groups already."""
-    alone = F.when(~F.col("heavy"), F.monotonically_increasing_id())
-    rows = winners.select("digest", "heavy", F.when(F.col("heavy"), F.col("content")).alias("content"), alone.alias("alone"), "id", "n")
-    return rows.groupBy("digest", "heavy", "content", "alone").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    """The third step: (digest, heavy, keep_id, group_size); winners that aren't heavy are groups already."""
+    light = winners.filter(~F.col("heavy")).select("digest", "heavy", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    across = winners.filter("heavy").groupBy("digest", "heavy", "content").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    return light.unionByName(across.drop("content"))
 
 
 def _resolved(rows: DataFrame, salts: int) -> DataFrame:
     """`rows` (with digest, heavy, content) and the keep_id and group_size of their group, null for lone texts."""
     own = rows.select("id", "digest", "heavy", "content")
-    groups = persisted(groups_of(salted(own, salts)).select("digest", "heavy", "keep_id", "group_size"))
+    groups = persisted(groups_of(salted(own, salts)))
     clashing = groups.groupBy("digest").count().filter("count > 1").select("digest")
     spread = F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SPREADS)).cast("int")).otherwise(F.lit(0))
     rows = rows.withColumn("spread", spread)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import exact_dedup, html_extract, jaccard_join, mixing, pieces, pii, quality, secret_scan, sharding, telephony
+from heddle.llm import exact_dedup, html_extract, jaccard_join, mixing, negatives, pieces, pii, quality, secret_scan, sharding, telephony
 from heddle.llm.common import read
 
 #: The folder of public tokenizer files on the driver, and the model that is used.
@@ -91,6 +91,26 @@ p AS (
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, quota - before)) AS BIGINT) AS taken FROM p
 """
 
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), label, F.col("embedding"), F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM d a JOIN d b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+r AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+"""
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_pii": op2_pii,
@@ -102,5 +122,6 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mixing": op10_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
 }
-ORACLES = {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL, "op11_hard_negatives": OP11_SQL}

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that `stored` has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which spark.checkpoint.dir names.
@@ -26,3 +30,25 @@ def persisted(df: DataFrame) -> DataFrame:
     """`df`, written to the shared folder, with its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, written as Parquet to the shared folder and read again: the lineage is cut and later reads take only the columns they need."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/heddle-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes what `stored` has written in this application, and returns the number of folders.
+
+    For a caller who is done with all results that were built on it; it can't be read afterwards.
+    """
+    folders = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return len(folders)

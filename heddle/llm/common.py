@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.functions.storage import persisted, shared_folder
+from heddle.functions.storage import persisted, shared_folder, stored
 
-__all__ = ["hash60", "persisted", "read", "shared_folder", "small_batches", "whole_text"]
+__all__ = ["hash60", "limited_batches", "persisted", "read", "shared_folder", "small_batches", "stored", "whole_text"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +25,18 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(name, rows)
 
 
+@contextmanager
+def limited_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Bounds the rows of a batch that goes to a Python worker for the jobs that run within, and restores the setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows if int(before) <= 0 else min(rows, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def whole_text(column: str | Column) -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

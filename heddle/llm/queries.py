@@ -7,12 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import exact_dedup, html_extract, jaccard_join, mixing, negatives, pieces, pii, quality, secret_scan, sharding, telephony
+from heddle.llm import alignment, exact_dedup, html_extract, jaccard_join, mixing, negatives, pieces, pii, quality, secret_scan, sharding, telephony
 from heddle.llm.common import read
 
-#: The folder of public tokenizer files on the driver, and the model that is used.
+#: The folder of public tokenizer files on the driver, and the files that are used.
 TOKENIZERS = os.environ.get("HEDDLE_TOKENIZERS", "/opt/tokenizers")
-MODEL = "piece_bpe_32k.model"
+MODEL, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def load_pieces(folder: str = TOKENIZERS) -> pieces.Pieces:
@@ -111,6 +111,15 @@ r AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
 """
 
+
+def load_pair(folder: str = TOKENIZERS) -> alignment.Pair:
+    return alignment.Pair.load(f"{folder}/{BYTES}", f"{folder}/{MODEL}")
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), load_pair())
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_pii": op2_pii,
@@ -123,5 +132,6 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_mixing": op10_mixing,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
 }
 ORACLES = {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL, "op11_hard_negatives": OP11_SQL}

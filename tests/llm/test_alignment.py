@@ -3,7 +3,9 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from itertools import accumulate
 
+import numpy as np
 import pytest
 
 from heddle.llm import alignment, exchange, queries
@@ -22,7 +24,7 @@ def plain(texts):
             whole = (" " + text).encode()
             if b"".join(PAIR.a_bytes[i] for i in a) != whole or b"".join(PAIR.b_bytes[i] for i in b) != whole:
                 a, b = [], []
-        a_ends, b_ends = PAIR.ends(PAIR.a_bytes, a), PAIR.ends(PAIR.b_bytes, b)
+        a_ends, b_ends = (list(accumulate(len(spelled[i]) for i in ids)) for spelled, ids in ((PAIR.a_bytes, a), (PAIR.b_bytes, b)))
         groups = []
         last = 0
         for cut in sorted(set(a_ends) & set(b_ends)):
@@ -64,7 +66,7 @@ def test_long_texts_are_dealt_out(spark, monkeypatch):
     texts = [" ".join(pick.choice(words) for _ in range(n)) for n in (30, 300, 900)]
     texts += ["中文字符" * 200, "ab" * 700, "- " * 300, None, texts[1], "x ▁ y " * 100]
     want = plain(texts)
-    for name, value in (("LONG", 100), ("RANGE", 37), ("FAN", 2), ("BLOCK", 50)):
+    for name, value in (("LONG", 100), ("RANGE", 37), ("FAN", 2), ("BLOCK", 50), ("TEXTS", 2), ("REMEMBERED", 5), ("LARGE", 3)):
         monkeypatch.setattr(alignment, name, value)
     monkeypatch.setattr(exchange, "FAN", 2)
     assert aligned(spark, texts) == want
@@ -77,18 +79,24 @@ def test_fragments_compose_in_any_order():
         a_ends = sorted({*pick.sample(range(1, end + 1), pick.randrange(0, end)), end})
         b_ends = sorted({*pick.sample(range(1, end + 1), pick.randrange(0, end)), end})
         a, b = [pick.randrange(3) for _ in a_ends], [pick.randrange(3) for _ in b_ends]
-        want = alignment.fragment(a, a_ends, b, b_ends)
+        arrays = [np.array(x, np.int64) for x in (a, a_ends, b, b_ends)]
         bounds = sorted({0, end, *(pick.randrange(end + 1) for _ in range(6))})
         parts = []
         for lo, hi in zip(bounds, bounds[1:], strict=False):
-            one = [(i, e) for i, e in zip(a, a_ends, strict=True) if lo < e <= hi]
-            two = [(i, e) for i, e in zip(b, b_ends, strict=True) if lo < e <= hi]
-            parts.append(alignment.fragment([i for i, _ in one], [e for _, e in one], [i for i, _ in two], [e for _, e in two], inner=True))
+            one, two = (slice(*np.searchsorted(ends, [lo, hi], "right")) for ends in (arrays[1], arrays[3]))
+            parts.append(alignment.fragment(PAIR, arrays[0][one], arrays[1][one], arrays[2][two], arrays[3][two]))
         while len(parts) > 1:
             at = pick.randrange(len(parts) - 1)
-            parts[at : at + 2] = [alignment.composed(parts[at], parts[at + 1])]
-        got = alignment.composed(alignment.Fragment(True, ([], []), ([], []), "", 0, 0, {}), parts[0])
-        assert (got.groups, got.n_groups, got.n_links, dict(got.links)) == (want.groups, want.n_groups, want.n_links, dict(want.links)) and got.tail == ([], [])
+            parts[at : at + 2] = [alignment.composed(PAIR, parts[at], parts[at + 1])]
+        got = alignment.composed(PAIR, alignment.BEGIN, parts[0])
+        groups, last = [], 0
+        for cut in sorted(set(a_ends) & set(b_ends)):
+            groups.append(tuple([i for i, e in zip(ids, ends, strict=True) if last < e <= cut] for ids, ends in ((a, a_ends), (b, b_ends))))
+            last = cut
+        links = Counter(x << alignment.SHIFT | y for g in groups for x in g[0] for y in g[1])
+        assert got.groups == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        assert (got.n_a, got.n_b, got.n_groups, got.n_links, got.tail) == (len(a), len(b), len(groups), links.total(), ([], []))
+        assert dict(zip(*(x.tolist() for x in got.links), strict=True)) == links
 
 
 def test_empty_table(spark):
@@ -97,8 +105,6 @@ def test_empty_table(spark):
 
 @pytest.mark.parametrize("n", [1, 7])
 def test_sums_over_blocks(n):
-    import numpy as np
-
     codes = np.random.default_rng(n).integers(0, 50, 400).astype(np.uint64)
     got = dict(zip(*(x.tolist() for x in exchange.add_up(codes, np.ones(400, np.int64))), strict=True))
     assert got == Counter(codes.tolist())

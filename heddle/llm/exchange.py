@@ -49,7 +49,7 @@ def add_up(codes: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(codes, kind="stable")
     codes = codes[order]
     starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return (codes[starts], *[np.add.reduceat(v[order], starts) for v in values])
+    return (codes[starts], *[np.add.reduceat(v[order], starts, dtype=v.dtype) for v in values])
 
 
 def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:

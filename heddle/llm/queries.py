@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import alignment, exact_dedup, html_extract, jaccard_join, mixing, negatives, pieces, pii, quality, secret_scan, sharding, telephony
+from heddle.llm import alignment, exact_dedup, html_extract, jaccard_join, mixing, negatives, pieces, pii, pitman_yor, quality, secret_scan, sharding, telephony
 from heddle.llm.common import read
 
 #: The folder of public tokenizer files on the driver, and the files that are used.
@@ -120,6 +120,10 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.align(read(spark, sf_dir, "documents"), load_pair())
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.assess(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_pii": op2_pii,
@@ -133,5 +137,6 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 ORACLES = {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL, "op11_hard_negatives": OP11_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,7 +39,28 @@ def stored(df: DataFrame) -> DataFrame:
     folder = f"{shared_folder(spark)}/heddle-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    made = spark.read.schema(df.schema).parquet(folder)
+    made.heddle_folder = folder
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what `stored` has written for `df`, which isn't read any more, and lets Spark drop the shuffle files of
+    finished steps: it does so when the driver's objects for them are collected."""
+    spark = df.sparkSession
+    _WRITTEN.get(spark.sparkContext.applicationId, []).remove(df.heddle_folder)
+    _delete(spark, df.heddle_folder)
+    freed(spark)
+
+
+def freed(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> int:
@@ -47,8 +69,6 @@ def release(spark: SparkSession) -> int:
     For a caller who is done with all results that were built on it; it can't be read afterwards.
     """
     folders = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, folder)
     return len(folders)

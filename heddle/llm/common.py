@@ -8,9 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.functions.storage import persisted, shared_folder, stored
+from heddle.functions.storage import discard, freed, persisted, shared_folder, stored
 
-__all__ = ["hash60", "limited_batches", "persisted", "read", "shared_folder", "small_batches", "stored", "whole_text"]
+__all__ = ["discard", "freed", "hash60", "limited_batches", "persisted", "read", "shared_folder", "small_batches", "stored", "whole_text"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

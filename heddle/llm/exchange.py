@@ -62,6 +62,26 @@ def sized(column: pa.ChunkedArray, width: int = 8) -> np.ndarray:
     return np.array([len(x) // width for x in column.to_pylist()], np.int64)
 
 
+def shortened(codes: np.ndarray) -> bytes:
+    """The low 40 bits of codes: within a bucket of a million codes, one in a million others is taken for one of them."""
+    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def lengthened(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def narrow(numbers: np.ndarray, below: int) -> bytes:
+    """Whole numbers from 0 in as few bytes as `below` allows."""
+    return numbers.astype(np.uint8 if below <= 1 << 8 else np.uint16 if below <= 1 << 16 else np.uint32).tobytes()
+
+
+def widened(data: bytes, below: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if below <= 1 << 8 else np.uint16 if below <= 1 << 16 else np.uint32).astype(np.int64)
+
+
 def tree_sum(pieces: DataFrame, values: dict[str, type], groups: int) -> DataFrame:
     """(bucket, codes, values): one row for each bucket; `pieces` has bucket, grp from 0 below `groups`, codes and `values`."""
     schema = "bucket long, grp long, codes binary, " + ", ".join(f"{name} binary" for name in values)

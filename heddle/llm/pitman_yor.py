@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm import exchange
-from heddle.llm.common import limited_batches, stored
+from heddle.llm.common import discard, freed, limited_batches, stored
 
 #: Tokens of a block, bytes of a text that are read at a time, and pairs of a bucket.
 BLOCK, READ, BUCKET = 2_000_000, 1 << 22, 1_000_000
@@ -53,6 +53,17 @@ START, END = b" ^", b" $"
 HELD = 10
 
 
+def three(numbers: np.ndarray) -> bytes:
+    """Numbers of words in three bytes each: a block has fewer than 2**24."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def tokens_of(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<i4").ravel()
+
+
 class Words(dict):
     """Numbers of words in the order in which they come."""
 
@@ -92,7 +103,7 @@ class Block:
         keys, ids, held, first, tokens = zip(*self.parts, strict=True)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
         made = {"block": pa.array([number], pa.int64()), "starts": pa.array([self.starts], pa.int64()), "keys": pa.array([keys], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())), "first": pa.array([first], pa.list_(pa.int32()))}
-        made |= {"sizes": pa.array([[len(t) for t in tokens]], pa.list_(pa.int64())), "tokens": pa.array([np.concatenate(tokens).tobytes()], pa.binary()), "words": pa.array([hashes.tobytes()], pa.binary()), "ids": pa.array([list(ids)], pa.list_(id_type))}
+        made |= {"sizes": pa.array([[len(t) for t in tokens]], pa.list_(pa.int64())), "tokens": pa.array([three(np.concatenate(tokens))], pa.binary()), "words": pa.array([hashes.tobytes()], pa.binary()), "ids": pa.array([list(ids)], pa.list_(id_type))}
         return pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
 
@@ -124,7 +135,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: tokens, whether each trains, its distinct pairs as (context, word) numbers, and each token's pair."""
-    tokens, sizes = np.frombuffer(row["tokens"], np.int32), np.array(row["sizes"], np.int64)
+    tokens, sizes = tokens_of(row["tokens"]), np.array(row["sizes"], np.int64)
     n = len(row["words"]) // 8
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
@@ -150,6 +161,32 @@ def stirling(discount: float) -> np.ndarray:
     return made
 
 
+def packed_pairs(hashes: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> dict[str, bytes]:
+    """Pairs as places among the distinct words that they use."""
+    used = np.unique(np.concatenate([context, word]))
+    place = np.zeros(int(used[-1]) + 1 if len(used) else 0, np.int64)
+    place[used] = np.arange(len(used))
+    return {"words": hashes[used].tobytes(), "a": exchange.narrow(place[context], len(used)), "b": exchange.narrow(place[word], len(used)), "n": n.astype(np.int32).tobytes()}
+
+
+def summed_pairs(words: list[bytes], a: list[bytes], b: list[bytes], n: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words in order, and the places and sums of distinct pairs of packed pieces."""
+    each = [np.frombuffer(w, np.uint64) for w in words]
+    known = np.unique(np.concatenate(each))
+    pairs = []
+    for own, x, y in zip(each, a, b, strict=True):
+        at = np.searchsorted(known, own)
+        pairs.append(at[exchange.widened(x, len(own))] * len(known) + at[exchange.widened(y, len(own))])
+    pairs, sums = exchange.add_up(np.concatenate(pairs), np.frombuffer(b"".join(n), np.int32))
+    return known, pairs // max(len(known), 1), pairs % max(len(known), 1), sums
+
+
+def batch_of(made: list[dict], plain: tuple[str, ...], binary: tuple[str, ...]) -> pa.Table:
+    """Rows as a table; arrays as their bytes."""
+    raw = lambda v: v.tobytes() if isinstance(v, np.ndarray) else v
+    return pa.table({k: pa.array([raw(x.get(k)) for x in made], CELL_TYPES[k]) for k in (*plain, *binary)})
+
+
 def seat(customers: np.ndarray, weight: np.ndarray, more: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of cells with so many `customers` (1 or more), where a new table weighs `weight` + `more` for each table there is."""
     out = np.ones(len(customers), np.int64)
@@ -202,8 +239,10 @@ class Model:
     """The steps of a fit and of the scores, over stored tables."""
 
     def __init__(self, held: DataFrame, strength: float, burn: int, samples: int, seed: int) -> None:
+        if burn < 1 or samples < 1:
+            raise ValueError("at least one sweep comes before at least one sample")
         self.spark, self.held, self.strength, self.burn, self.samples, self.seed = held.sparkSession, held, strength, burn, samples, seed
-        size, self.n_blocks, self.starts = held.agg(F.coalesce(F.sum(F.octet_length("tokens") / 4), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("starts"), F.lit(0))).first()
+        size, self.n_blocks, self.starts = held.agg(F.coalesce(F.sum(F.octet_length("tokens") / 3), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("starts"), F.lit(0))).first()
         self.buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(size) // BUCKET)
         #: Groups for sums over blocks and over buckets of cells.
         self.groups = max(1, self.n_blocks)
@@ -216,18 +255,19 @@ class Model:
             for batch in batches:
                 for row in batch.to_pylist():
                     words = np.frombuffer(row["words"], np.uint64)
-                    tokens, trains = np.frombuffer(row["tokens"], np.int32), np.repeat(~np.array(row["held"], bool), row["sizes"])
+                    tokens, trains = tokens_of(row["tokens"]), np.repeat(~np.array(row["held"], bool), row["sizes"])
                     n = np.bincount(tokens[trains], minlength=len(words))
                     n[words == np.uint64(xxhash.xxh64_intdigest(START))] += row["starts"]
                     grp = int(exchange.mixed(np.array([row["block"]]))[0] % np.uint64(groups))
                     for bucket, at in exchange.dealt(words, buckets):
-                        yield pa.RecordBatch.from_pydict({"bucket": [bucket], "block": [row["block"]], "grp": [grp], "codes": [words[at].tobytes()], "n": [n[at].tobytes()]})
+                        yield pa.RecordBatch.from_pydict({"bucket": [bucket], "block": [row["block"]], "grp": [grp], "codes": [words[at].tobytes()], "n": [n[at].astype(np.int32).tobytes()]})
 
         used = self.held.select("block", "starts", "held", "sizes", "tokens", "words")
         return used.mapInArrow(deal, "bucket long, block long, grp long, codes binary, n binary")
 
     def dealt_pairs(self, counted: bool) -> DataFrame:
-        """(bucket, block, grp, contexts, runs, words, n) with `counted`, of pairs that train; else (bucket, block, grp, codes) of all pairs of each block."""
+        """(bucket, block, grp, words, a, b, n) with `counted`, of pairs that train: places of context and word among the piece's words, tokens;
+        else (bucket, block, grp, codes) of all pairs of each block."""
         buckets, groups = self.buckets, self.groups
 
         def deal(batches):
@@ -236,61 +276,43 @@ class Model:
                     hashes = np.frombuffer(row["words"], np.uint64)
                     _, trains, context, word, places = pairs_of(row)
                     grp = int(exchange.mixed(np.array([row["block"]]))[0] % np.uint64(groups))
-                    own = {"block": [row["block"]], "grp": [grp]}
                     codes = pair_codes(hashes[context], hashes[word])
                     n = np.bincount(places[trains], minlength=len(codes)) if counted else None
                     used = np.flatnonzero(n) if counted else np.arange(len(codes))
                     for bucket, at in exchange.dealt(codes[used], buckets):
                         at = used[at]
-                        if not counted:
-                            yield pa.RecordBatch.from_pydict({"bucket": [bucket]} | own | {"codes": [codes[at].tobytes()]})
-                            continue
-                        begins = np.flatnonzero(np.concatenate([[True], context[at][1:] != context[at][:-1]]))
-                        runs = np.diff(np.append(begins, len(at))).astype(np.int32)
-                        yield pa.RecordBatch.from_pydict({"bucket": [bucket]} | own | {"contexts": [hashes[context[at[begins]]].tobytes()], "runs": [runs.tobytes()], "words": [hashes[word[at]].tobytes()], "n": [n[at].astype(np.int32).tobytes()]})
+                        piece = packed_pairs(hashes, context[at], word[at], n[at]) if counted else {"codes": exchange.shortened(codes[at])}
+                        yield pa.RecordBatch.from_pydict({k: [v] for k, v in {"bucket": bucket, "block": row["block"], "grp": grp, **piece}.items()})
 
         used = self.held.select("block", "held", "first", "sizes", "tokens", "words")
-        return used.mapInArrow(deal, "bucket long, block long, grp long, " + ("contexts binary, runs binary, words binary, n binary" if counted else "codes binary"))
+        return used.mapInArrow(deal, "bucket long, block long, grp long, " + ("words binary, a binary, b binary, n binary" if counted else "codes binary"))
 
     def cells(self) -> DataFrame:
-        """Rows of three kinds: `cells` of a bucket (its lone pairs' codes; of the others the codes, places of context and word in its words, customers),
-        `asks` (the words of its cells by bucket of words) and `base` (the tables that lone pairs have, by bucket of words)."""
-        schema, buckets = "bucket long, grp long, contexts binary, runs binary, words binary, n binary", self.buckets
-
-        def unpacked(table: pa.Table):
-            contexts = np.repeat(exchange.joined(table["contexts"], np.uint64), exchange.joined(table["runs"], np.int32))
-            words, n = exchange.joined(table["words"], np.uint64), exchange.joined(table["n"], np.int32).astype(np.int64)
-            codes = pair_codes(contexts, words)
-            order = np.argsort(codes, kind="stable")
-            codes = codes[order]
-            begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            return codes[begins], contexts[order][begins], words[order][begins], np.add.reduceat(n[order], begins)
+        """Rows of kinds: `lone` (codes of a bucket's lone pairs), `cells` (of its others codes, places of context and word in its words, customers),
+        `words` (those words), `asks` (the same by bucket of words) and `base` (the tables that lone pairs have, by bucket of words)."""
+        schema, buckets = "bucket long, grp long, words binary, a binary, b binary, n binary", self.buckets
+        summed = lambda table: summed_pairs(*[table[c].to_pylist() for c in ("words", "a", "b", "n")])
 
         def add(table: pa.Table) -> pa.Table:
-            _, contexts, words, n = unpacked(table)
-            order = np.argsort(contexts, kind="stable")
-            contexts, words, n = contexts[order], words[order], n[order]
-            begins = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
-            return pa.table({"bucket": table["bucket"][:1], "grp": [table["up"][0].as_py()], "contexts": [contexts[begins].tobytes()], "runs": [np.diff(np.append(begins, len(contexts))).astype(np.int32).tobytes()], "words": [words.tobytes()], "n": [n.astype(np.int32).tobytes()]})
-
-        fields = ("codes", "a", "b", "n")
+            known, a, b, n = summed(table)
+            return pa.table({k: [v] for k, v in {"bucket": table["bucket"][0].as_py(), "grp": table["up"][0].as_py(), **packed_pairs(known, a, b, n)}.items()})
 
         def finish(table: pa.Table) -> pa.Table:
             bucket = table["bucket"][0].as_py()
-            codes, contexts, words, n = unpacked(table)
-            lone = n == 1
-            known, places = np.unique(np.concatenate([contexts[~lone], words[~lone]]), return_inverse=True)
-            made = [{"kind": "lone", "bucket": bucket, "block": bucket, "codes": codes[lone], "ones": int(lone.sum()), "twos": int((n == 2).sum())}]
-            made.append({"kind": "cells", "bucket": bucket, "block": bucket, "codes": codes[~lone], "a": places[: len(places) // 2].astype(np.int32), "b": places[len(places) // 2 :].astype(np.int32), "n": n[~lone]})
-            made.append({"kind": "words", "bucket": bucket, "block": bucket, "codes": known})
-            made += [{"kind": "asks", "bucket": to, "block": bucket, "codes": known[at]} for to, at in exchange.dealt(known, buckets)]
-            both = np.concatenate([contexts[lone], words[lone]])
-            first = np.arange(len(both)) < lone.sum()
-            single, tables, customers = exchange.add_up(both, first.astype(np.int32), (~first).astype(np.int32))
-            made += [{"kind": "base", "bucket": to, "block": bucket, "codes": single[at], "a": tables[at], "b": customers[at]} for to, at in exchange.dealt(single, buckets)]
-            columns = {name: [x.get(name) for x in made] for name in ("kind", "bucket", "block", "ones", "twos")}
-            columns |= {name: [x[name].tobytes() if name in x else None for x in made] for name in fields}
-            return pa.table({k: pa.array(v, CELL_TYPES[k]) for k, v in columns.items()})
+            known, a, b, n = summed(table)
+            lone, many = n == 1, n > 1
+            codes = pair_codes(known[a], known[b])
+            of_many, places = np.unique(np.concatenate([a[many], b[many]]), return_inverse=True)
+            asked = known[of_many]
+            of_base = np.unique(np.concatenate([a[lone], b[lone]]))
+            tables, customers = (np.bincount(x[lone], minlength=len(known))[of_base].astype(np.int32) for x in (a, b))
+            base = known[of_base]
+            made = [{"kind": "lone", "bucket": bucket, "block": bucket, "codes": exchange.shortened(codes[lone]), "ones": int(lone.sum()), "twos": int((n == 2).sum())}]
+            made.append({"kind": "cells", "bucket": bucket, "block": bucket, "codes": exchange.shortened(codes[many]), "a": places[: len(places) // 2].astype(np.int32), "b": places[len(places) // 2 :].astype(np.int32), "n": n[many]})
+            made.append({"kind": "words", "bucket": bucket, "block": bucket, "codes": asked})
+            made += [{"kind": "asks", "bucket": to, "block": bucket, "codes": asked[at]} for to, at in exchange.dealt(asked, buckets)]
+            made += [{"kind": "base", "bucket": to, "block": bucket, "codes": base[at], "a": tables[at], "b": customers[at]} for to, at in exchange.dealt(base, buckets)]
+            return batch_of(made, ("kind", "bucket", "block", "ones", "twos"), ("codes", "a", "b", "n"))
 
         pieces, groups = self.dealt_pairs(True).drop("block"), self.groups
         while groups > exchange.FAN:
@@ -300,9 +322,10 @@ class Model:
 
     def fit(self) -> None:
         """Samples the seatings; `words` has a table of words for each kept sample and `t` the tables of cells, summed over samples."""
+        made = self.made = self.cells()
+        freed(self.spark)
         self.asked = stored(self.dealt_words())
-        known = exchange.tree_sum(self.asked, {"n": np.int64}, self.groups)
-        made = self.cells()
+        known = exchange.tree_sum(self.asked, {"n": np.int32}, self.groups)
         of = lambda kind, *columns: made.filter(F.col("kind") == kind).select(*columns)
         ones, twos = made.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("twos"), F.lit(0))).first()
         self.discount = rated(ones, twos)
@@ -313,7 +336,7 @@ class Model:
         # The start is in the table of words but isn't a token.
         self.vocabulary, self.train_tokens = n_words - (self.starts > 0), n_tokens - self.starts
         self.asks = of("asks", "bucket", "block", grp, "codes")
-        self.lone, self.many, self.names = of("lone", "bucket", "codes"), of("cells", "bucket", "codes", "a", "b", "n"), of("words", "bucket", F.col("codes").alias("known"))
+        self.lone, self.codes, self.many, self.names = of("lone", "bucket", "codes"), of("cells", "bucket", "codes", "n"), of("cells", "bucket", "a", "b", "n"), of("words", "bucket", F.col("codes").alias("known"))
         self.kept, sums, self.t = [], None, None
         root = {"customers": 0, "tables": 0, "discount": self.discount}
         for sweep in range(self.burn + self.samples):
@@ -326,17 +349,18 @@ class Model:
                 self.kept.append((words, root))
             if sweep + 1 < self.burn + self.samples:
                 answers = exchange.answered(self.asks, words.select("bucket", "codes", "tables", "customers", "root"), self.buckets, self.told(root), "block long, bucket long, probability binary, tables binary")
-                sums = stored(self.sample(sums, answers, sweep + 1, sweep + 1 >= self.burn))
-        self.t = sums.filter("kind = 'cells'").select("bucket", "sum_t")
-        if self.burn == 0:
-            raise ValueError("at least one sweep comes before the samples")
+                before, sums = sums, stored(self.sample(sums, answers, sweep + 1, sweep + 1 >= self.burn))
+                discard(before)
+                if sweep < self.burn:
+                    discard(words)
+        self.t, self.last = sums.filter("kind = 'cells'").select("bucket", "sum_t"), sums
 
     @staticmethod
     def placed(known: DataFrame, base: DataFrame) -> DataFrame:
         """The words that train, their tokens and what lone pairs add: a row for each bucket."""
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
-            codes, n = exchange.joined(left["codes"], np.uint64), exchange.joined(left["n"], np.int64)
+            codes, n = exchange.joined(left["codes"], np.uint64), exchange.joined(left["n"], np.int32).astype(np.int64)
             codes, n = codes[n > 0], n[n > 0]
             tables, customers = np.zeros((2, len(codes)), np.int64)
             if right.num_rows:
@@ -351,7 +375,7 @@ class Model:
     def seated(self, sums: DataFrame, root: dict, sweep: int) -> DataFrame:
         """The parent's restaurant seated anew for the tables of all cells, by bucket of words."""
         sent = sums.filter("kind = 'sums'").select("bucket", F.col("block").alias("grp"), "codes", F.col("a").alias("tables"), F.col("b").alias("customers"))
-        total = exchange.tree_sum(sent, {"tables": np.int64, "customers": np.int64}, self.buckets)
+        total = exchange.tree_sum(sent, {"tables": np.int32, "customers": np.int32}, self.buckets)
         even, strength, seed = 1 / (self.vocabulary + 1), self.strength, self.seed
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -361,7 +385,7 @@ class Model:
             if right.num_rows:
                 at = np.searchsorted(codes, exchange.joined(right["codes"], np.uint64))
                 for to, c in ((tables, "tables"), (customers, "customers")):
-                    to[at] += exchange.joined(right[c], np.int64)
+                    to[at] += exchange.joined(right[c], np.int32)
             own = np.zeros(len(codes), np.int64)
             served = np.flatnonzero(customers)
             d = root["discount"]
@@ -387,7 +411,7 @@ class Model:
             probability = parent(customers, own)
             for block, asked in zip(left["block"].to_pylist(), left["codes"].to_pylist(), strict=True):
                 at = np.searchsorted(codes, np.frombuffer(asked, np.uint64))
-                yield {"block": block, "bucket": left["bucket"][0].as_py(), "probability": probability[at].tobytes(), "tables": tables[at].tobytes()}
+                yield {"block": block, "bucket": left["bucket"][0].as_py(), "probability": probability[at].astype(np.float32).tobytes(), "tables": tables[at].astype(np.int32).tobytes()}
 
         return answer
 
@@ -404,27 +428,24 @@ class Model:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {name: batch[name][i].as_py() for name in batch.schema.names}
-                    n = np.frombuffer(row["n"], np.int64)
+                    n = np.frombuffer(row["n"], np.int32).astype(np.int64)
                     context, word = np.frombuffer(row["a"], np.int32), np.frombuffer(row["b"], np.int32)
                     known = np.frombuffer(row["known"], np.uint64)
                     places = dict(exchange.dealt(known, buckets))
                     if begins:
-                        t, sum_t = np.ones(len(n), np.int64), np.zeros(len(n), np.int64)
+                        t, sum_t = np.ones(len(n), np.int64), np.zeros(len(n), np.int32)
                     else:
-                        old, sum_t = np.frombuffer(row["t"], np.int64), np.frombuffer(row["sum_t"], np.int64)
+                        old, sum_t = np.frombuffer(row["t"], np.int32), np.frombuffer(row["sum_t"], np.int32)
                         probability, tables = np.zeros(len(known)), np.zeros(len(known), np.int64)
                         for x in row["told"] or []:
                             at = places[x["of"]]
-                            probability[at], tables[at] = np.frombuffer(x["probability"]), np.frombuffer(x["tables"], np.int64)
+                            probability[at], tables[at] = np.frombuffer(x["probability"], np.float32), np.frombuffer(x["tables"], np.int32)
                         p = probability[word]
                         t = seat(n, (strength + d * (tables[context] - old)) * p, d * p, d, np.random.default_rng([seed, sweep, row["bucket"], 2]))
-                        sum_t = sum_t + t * keep
-                    by_context, by_word = (np.bincount(x, t, len(known)).astype(np.int64) for x in (context, word))
-                    made = [{"kind": "cells", "bucket": row["bucket"], "t": t, "sum_t": sum_t}]
+                    by_context, by_word = (np.bincount(x, t, len(known)).astype(np.int32) for x in (context, word))
+                    made = [{"kind": "cells", "bucket": row["bucket"], "t": t.astype(np.int32), "sum_t": (sum_t + t * keep).astype(np.int32)}]
                     made += [{"kind": "sums", "bucket": to, "block": row["bucket"], "codes": known[at], "a": by_context[at], "b": by_word[at]} for to, at in places.items()]
-                    columns = {name: [x.get(name) for x in made] for name in ("kind", "bucket", "block")}
-                    columns |= {name: [x[name].tobytes() if name in x else None for x in made] for name in ("codes", "a", "b", "t", "sum_t")}
-                    yield pa.RecordBatch.from_pydict({k: pa.array(v, CELL_TYPES[k]) for k, v in columns.items()})
+                    yield from batch_of(made, ("kind", "bucket", "block"), ("codes", "a", "b", "t", "sum_t")).to_batches()
 
         return rows.mapInArrow(draw, "kind string, bucket long, block long, codes binary, a binary, b binary, t binary, sum_t binary")
 
@@ -438,47 +459,52 @@ class Model:
         def answer(left: pa.Table, right: pa.Table):
             codes, n = exchange.joined(right["codes"], np.uint64), exchange.joined(right["n"], np.int64)
             of = lambda c: exchange.joined(right[c], np.int64)
-            left_over = np.stack([(strength + d * of(f"tables{k}")) / (strength + n) for k in range(len(parents))] + []).astype(np.float32)
+            share = np.stack([(strength + d * of(f"tables{k}")) / (strength + n) for k in range(len(parents))]).astype(np.float32)
             single = np.stack([p(of(f"customers{k}"), of(f"root{k}")) for k, p in enumerate(parents)]).astype(np.float32)
-            nothing = np.array([p(0, 0) for p in parents], np.float32)
+            # The last place is for unknown words. Words with the same counts are told together.
+            values = np.concatenate([np.vstack([n, share, single]), np.array([[0], *[[1]] * len(parents), *[[p(0, 0)] for p in parents]])], axis=1)
+            alike = np.append(n, 0)
+            for k in range(len(parents)):
+                for c in ("tables", "customers", "root"):
+                    alike = exchange.mixed(alike) + np.append(of(f"{c}{k}"), 0).astype(np.uint64)
             for block, asked in zip(left["block"].to_pylist(), left["codes"].to_pylist(), strict=True):
                 asked = np.frombuffer(asked, np.uint64)
                 at = np.searchsorted(codes, asked)
-                at[at == len(codes)] = 0
-                seen = codes[at] == asked if len(codes) else np.zeros(len(asked), bool)
-                at = at[seen]
-                share, alone, tokens = np.ones((len(parents), len(asked)), np.float32), np.repeat(nothing[:, None], len(asked), 1), np.zeros(len(asked), np.int64)
-                share[:, seen], alone[:, seen], tokens[seen] = left_over[:, at], single[:, at], n[at]
-                yield {"block": block, "bucket": left["bucket"][0].as_py(), "n": tokens.tobytes(), "share": share.tobytes(), "single": alone.tobytes()}
+                at[at < len(codes)] = np.where(codes[at[at < len(codes)]] == asked[at < len(codes)], at[at < len(codes)], len(codes))
+                _, first, which = np.unique(alike[at], return_index=True, return_inverse=True)
+                yield {"block": block, "bucket": left["bucket"][0].as_py(), "which": exchange.narrow(which, len(first)), "told": values[:, at[first]].tobytes()}
 
-        return exchange.answered(self.asked.select("bucket", "block", "grp", "codes"), table, self.groups, answer, "block long, bucket long, n binary, share binary, single binary")
+        return exchange.answered(self.asked.select("bucket", "block", "grp", "codes"), table, self.groups, answer, "block long, bucket long, which binary, told binary")
 
     def pair_answers(self) -> DataFrame:
         """For the pairs of each block: customers less the discount for each table, averaged over samples."""
         d, samples = self.discount, self.samples
-        table = self.lone.withColumnRenamed("codes", "lone").join(self.many.select("bucket", "codes", "n"), "bucket").join(self.t, "bucket")
+        table = self.lone.withColumnRenamed("codes", "lone").join(self.codes, "bucket").join(self.t, "bucket")
 
         def answer(left: pa.Table, right: pa.Table):
-            lone, codes = exchange.joined(right["lone"], np.uint64), exchange.joined(right["codes"], np.uint64)
-            rest = exchange.joined(right["n"], np.int64) - d * exchange.joined(right["sum_t"], np.int64) / samples
-            every = np.concatenate([lone, codes])
-            value = np.concatenate([np.full(len(lone), 1 - d), rest]).astype(np.float32)
-            order = np.argsort(every)
-            every, value = every[order], value[order]
+            lone, many = (exchange.lengthened(b"".join(right[c].to_pylist())) for c in ("lone", "codes"))
+            rest = exchange.joined(right["n"], np.int32) - d * exchange.joined(right["sum_t"], np.int32) / samples
+            # Unknown pairs have the place of a code beyond all.
+            codes = np.concatenate([lone, many, [1 << 41]]).astype(np.uint64)
+            value = np.concatenate([np.full(len(lone), 1 - d), rest, [0]]).astype(np.float32)
+            order = np.argsort(codes)
+            codes, value = codes[order], value[order]
             for block, asked in zip(left["block"].to_pylist(), left["codes"].to_pylist(), strict=True):
-                asked = np.frombuffer(asked, np.uint64)
-                found = np.zeros(len(asked), np.float32)
-                if len(every):
-                    at = np.minimum(np.searchsorted(every, asked), len(every) - 1)
-                    found = np.where(every[at] == asked, value[at], 0).astype(np.float32)
-                yield {"block": block, "bucket": left["bucket"][0].as_py(), "mass": found.tobytes()}
+                asked = exchange.lengthened(asked)
+                at = np.searchsorted(codes, asked)
+                told, which = np.unique(np.where(codes[at] == asked, value[at], np.float32(0)), return_inverse=True)
+                yield {"block": block, "bucket": left["bucket"][0].as_py(), "which": exchange.narrow(which, len(told)), "told": told.tobytes()}
 
-        return exchange.answered(self.dealt_pairs(False), table, self.groups, answer, "block long, bucket long, mass binary")
+        return exchange.answered(self.dealt_pairs(False), table, self.groups, answer, "block long, bucket long, which binary, told binary")
 
     def scores(self) -> DataFrame:
         """(key, id, held_out, n_tokens, n_known, base_score, score) of each part of a text."""
-        of_words = stored(self.word_answers()).groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "share", "single")).alias("of_words"))
-        of_pairs = stored(self.pair_answers()).groupBy("block").agg(F.collect_list(F.struct("bucket", "mass")).alias("of_pairs"))
+        answers = []
+        for made, *done in ((self.pair_answers, self.last, self.made), (self.word_answers, self.asked, self.known, *[words for words, _ in self.kept])):
+            answers.append(stored(made()))
+            for table in done:  # what isn't read any more
+                discard(table)
+        of_pairs, of_words = (a.groupBy("block").agg(F.collect_list(F.struct("bucket", "which", "told")).alias(name)) for a, name in zip(answers, ("of_pairs", "of_words"), strict=True))
         rows = self.held.join(of_words, "block").join(of_pairs, "block")
         buckets, samples, strength, vocabulary, train_tokens = self.buckets, self.samples, self.strength, self.vocabulary, self.train_tokens
         id_kind = dict(self.held.dtypes)["ids"].removeprefix("array<").removesuffix(">")
@@ -489,23 +515,25 @@ class Model:
                     row = {name: batch[name][i].as_py() for name in batch.schema.names if name != "ids"}
                     hashes = np.frombuffer(row["words"], np.uint64)
                     tokens, _, context, word, places = pairs_of(row)
-                    n, share, single = np.zeros(len(hashes), np.int64), np.ones((samples, len(hashes)), np.float32), np.zeros((samples, len(hashes)), np.float32)
+                    values = np.zeros((1 + 2 * samples, len(hashes)))
                     told = {x["bucket"]: x for x in row["of_words"]}
                     for bucket, at in exchange.dealt(hashes, buckets):
-                        x = told[bucket]
-                        n[at], share[:, at], single[:, at] = np.frombuffer(x["n"], np.int64), np.frombuffer(x["share"], np.float32).reshape(samples, -1), np.frombuffer(x["single"], np.float32).reshape(samples, -1)
-                    mass = np.zeros(len(context), np.float32)
-                    told = {x["bucket"]: x["mass"] for x in row["of_pairs"]}
+                        own = np.frombuffer(told[bucket]["told"]).reshape(len(values), -1)
+                        values[:, at] = own[:, exchange.widened(told[bucket]["which"], own.shape[1])]
+                    n, share, single = values[0], values[1 : 1 + samples], values[1 + samples :]
+                    mass = np.zeros(len(context))
+                    told = {x["bucket"]: x for x in row["of_pairs"]}
                     for bucket, at in exchange.dealt(pair_codes(hashes[context], hashes[word]), buckets):
-                        mass[at] = np.frombuffer(told[bucket], np.float32)
+                        own = np.frombuffer(told[bucket]["told"], np.float32)
+                        mass[at] = own[exchange.widened(told[bucket]["which"], len(own))]
                     probability = mass / (strength + n[context])
                     for k in range(samples):
-                        probability += share[k][context].astype(np.float64) * single[k][word] / samples
+                        probability += share[k][context] * single[k][word] / samples
                     base = np.log10((n + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
                     ends = np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
                     sums = lambda v: np.add.reduceat(v, ends[:-1])
-                    values = batch["ids"][i].values
-                    yield pa.RecordBatch.from_arrays([pa.array(row["keys"], pa.int64()), values, pa.array(row["held"], pa.bool_()), pa.array(row["sizes"], pa.int64()), pa.array(sums((n[tokens] > 0).astype(np.int64))), pa.array(sums(base[tokens])), pa.array(sums(np.log10(probability)[places]))], names=["key", "id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                    ids = batch["ids"][i].values
+                    yield pa.RecordBatch.from_arrays([pa.array(row["keys"], pa.int64()), ids, pa.array(row["held"], pa.bool_()), pa.array(row["sizes"], pa.int64()), pa.array(sums((n[tokens] > 0).astype(np.int64))), pa.array(sums(base[tokens])), pa.array(sums(np.log10(probability)[places]))], names=["key", "id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
         return rows.mapInArrow(score, f"key long, id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
@@ -527,5 +555,6 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stre
         with limited_batches(spark, 4):  # a row holds a block
             model.fit()
             parts = stored(model.scores())
+        discard(held)
     whole = parts.groupBy("key").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return whole.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(model.train_tokens)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -19,7 +19,11 @@ class Trees:
         return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], axis=1).astype(np.uint8) if len(x) else np.zeros((0, len(self.edges)), np.uint8)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        binned, rows = self.bins(x), np.arange(len(x))
+        # Only the features that trees ask for are binned.
+        used = np.unique(self.feature)
+        binned, rows = np.zeros(x.shape, np.uint8), np.arange(len(x))
+        for j in used:
+            binned[:, j] = np.searchsorted(self.edges[j], x[:, j], "left")
         z = np.full(len(x), self.start)
         inner = self.feature.shape[1]
         for feature, below, leaves in zip(self.feature, self.below, self.leaves, strict=True):

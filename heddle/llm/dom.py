@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 
@@ -12,9 +13,13 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag ends these open elements, unless one of the barriers is in between.
 ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tbody": ("thead tbody tfoot tr td th", ("table",)), "tfoot": ("thead tbody tfoot tr td th", ("table",)), "option": ("option", ("select",))}
+#: Elements whose content is no text of the page, up to their end tag; without one, or closed in their own tag, only the tag goes.
+#: A script or style that isn't closed takes the rest of the page with it.
+HIDDEN = frozenset("script style textarea title iframe noscript template canvas".split())
+#: Beside blocks, tags that end drawings in which they stand.
+BREAKS = frozenset("b big br code em font i img s small span strike strong sub sup tt u var".split())
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|object|canvas)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)
     |<[!?][^>]*+>
     |</(?P<end>[a-z][^\s/>]*+)[^>]*+>
     |<(?P<start>[a-z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
@@ -22,6 +27,7 @@ TOKEN = re.compile(
     |(?P<text>[^<]++|<)""",
     re.S | re.I | re.X,
 )
+CLOSES = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in (*HIDDEN, "svg")}
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Words of attributes by what they hint at.
 HINTS = {
@@ -73,14 +79,45 @@ def parse(html: str | None) -> Page:
         del stack[depth:]
         in_link = False
 
-    for found in TOKEN.finditer(html or ""):
+    html = html or ""
+    at, unclosed = 0, set()
+    #: Open drawings, and foreign objects within them.
+    drawn = within = 0
+
+    def close_of(tag: str, at: int) -> re.Match | None:
+        """The next end tag; where there is none, none is looked for again."""
+        found = None if tag in unclosed else CLOSES[tag].search(html, at)
+        if not found:
+            unclosed.add(tag)
+        return found
+
+    while at < len(html):
+        found = TOKEN.match(html, at)
+        at = found.end()
         kind = found.lastgroup
         if kind == "text":
+            if drawn:
+                continue
             parts.append(found["text"])
             if in_link:
                 linked += len(found["text"])
         elif kind in ("start", "attrs", "odd"):
             tag = (found["start"] or found["odd"]).lower()
+            # A slash after an unquoted value belongs to the value.
+            empty = found[0].endswith("/>") and not re.search(r"=[^\s\"'=]*/>$", found[0])
+            if tag in HIDDEN:
+                if not empty:
+                    closing = close_of(tag, at)
+                    at = closing.end() if closing else len(html) if tag in ("script", "style") else at
+                continue
+            if tag == "svg":
+                drawn += not empty and (drawn > 0 or close_of(tag, at) is not None)
+                continue
+            if drawn:
+                within += tag == "foreignobject" and not empty
+                if within or tag not in BLOCKS and tag not in BREAKS:
+                    continue
+                drawn = 0
             if tag in BLOCKS:
                 flush()
                 if tag in ("html", "body"):
@@ -118,7 +155,10 @@ def parse(html: str | None) -> Page:
                 in_link = True
         elif kind == "end":
             tag = found["end"].lower()
-            if tag in BLOCKS:
+            if drawn:
+                drawn -= tag == "svg"
+                within = max(0, within - (tag == "foreignobject")) if drawn else 0
+            elif tag in BLOCKS:
                 flush()
                 if tag not in ("html", "body"):
                     for depth in range(len(stack) - 1, 0, -1):
@@ -133,7 +173,9 @@ def parse(html: str | None) -> Page:
     return page
 
 
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+WORDS = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+(?![a-z])")
+#: Places that the words of attributes are hashed to.
+N_TOKENS = 48
 
 
 def hints(attrs: str) -> np.ndarray:
@@ -147,11 +189,22 @@ def hints(attrs: str) -> np.ndarray:
     return out
 
 
+def tokens(attrs: str) -> np.ndarray:
+    """The places of all attribute words, of whatever language."""
+    out = np.zeros(N_TOKENS, np.float32)
+    if attrs:
+        for a, b, c in NAMED.findall(attrs):
+            for word in WORDS.findall(a or b or c):
+                out[crc32(word.lower().encode("utf-8", "replace")) % N_TOKENS] = 1
+    return out
+
+
 def features(page: Page) -> np.ndarray:
     """A row for each node: own and inherited tags and attribute words, text density, depth, siblings."""
     n = len(page.tags)
     parents = page.parents
     own_hints = np.stack([hints(a) for a in page.attrs])
+    own_tokens = np.stack([tokens(a) for a in page.attrs])
     own_group = np.zeros((n, N_GROUPS), np.float32)
     for i, tag in enumerate(page.tags):
         at = GROUP_OF.get(tag)
@@ -166,7 +219,7 @@ def features(page: Page) -> np.ndarray:
         first[node] = min(first[node], k)
     sums[:, 4] = page.controls
     nodes, depth, children, nth, alike = np.ones(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    above_hints, above_group = np.zeros_like(own_hints), np.zeros((n, 6), np.float32)
+    above_hints, above_tokens, above_group = np.zeros_like(own_hints), np.zeros_like(own_tokens), np.zeros((n, 6), np.float32)
     by_parent: dict[tuple[int, str], int] = {}
     for i in range(1, n):
         p = parents[i]
@@ -175,6 +228,7 @@ def features(page: Page) -> np.ndarray:
         children[p] += 1
         by_parent[p, page.tags[i]] = by_parent.get((p, page.tags[i]), 0) + 1
         above_hints[i] = np.maximum(above_hints[p], own_hints[p])
+        above_tokens[i] = np.maximum(above_tokens[p], own_tokens[p])
         above_group[i] = np.maximum(above_group[p], own_group[p, :6])
     for i in range(n - 1, 0, -1):
         p = parents[i]
@@ -191,4 +245,4 @@ def features(page: Page) -> np.ndarray:
         np.log1p(chars), np.log1p(own), linked / np.maximum(1, chars), blocks, chars / np.maximum(1, blocks), chars / nodes, marks / np.maximum(1, chars) * 100, controls,
         depth, children, kin, nth / np.maximum(1, kin), alike, chars / total, chars / np.maximum(1, parent_chars), first / max(1, len(page.blocks)), np.full(n, np.log1p(total)), nodes,
     ], axis=1)
-    return np.hstack([numbers.astype(np.float32), own_hints, above_hints, own_group, above_group])
+    return np.hstack([numbers.astype(np.float32), own_hints, above_hints, own_group, above_group, own_tokens, above_tokens])

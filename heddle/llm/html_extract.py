@@ -1,6 +1,7 @@
 """Main text of web pages: gradient-boosted trees over the nodes of a page, decoded as a hierarchy.
 
-The trees score every block node from its text density, attribute words, depth and siblings. Decoding
+The trees score every block node from its text density, attribute words (all of them hashed, and those that hint at
+a part of a page), depth and siblings. Decoding
 chooses, over all nodes of a page at once, the most probable states: outside the main text, inside it,
 or cut out of it. A node inside follows its ancestors, and nothing below a cut comes back, so an
 ancestor's and a descendant's choice never contradict.
@@ -11,7 +12,8 @@ the same texts laid out anew with other tags, attribute words and orders, so tha
 than the table's own markup.
 
 Defined results: null and empty pages, and pages without text, give an empty text; pages of any length
-are read whole; unclosed and stray tags are closed or ignored; a table without any page to train on
+are read whole; unclosed and stray tags are closed or ignored; what stands in scripts, styles, templates, text fields,
+drawings (svg) and frames, and what browsers show only without scripts or canvases, is no text; a table without any page to train on
 falls back on training layouts of a few fixed words; extra columns are not read.
 """
 

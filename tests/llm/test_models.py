@@ -138,6 +138,82 @@ HANDMADE = {
 }
 
 
+LOSSLESS = ['<svg viewBox="0 0 1 1"/>', "<canvas/>", "<svg-icon>i</svg-icon>", "<object-list>i</object-list>", "<textarea-x>i</textarea-x>", '<svg viewBox="0 0 1 1">', "<canvas>", "<textarea>", "<iframe src=x>", "<noscript>", "<template/>", "<title-bar>i", "<script-x/>", "<object data=x>i</object>", "<video-player>i"]
+
+
+@pytest.mark.parametrize("odd", [*LOSSLESS, *[x.upper() for x in LOSSLESS]])
+def test_odd_elements_take_no_text_with_them(odd):
+    page = dom.parse(f"<article><h1>T</h1><p>First</p>{odd}<p>Second</p></article><p>Third")
+    assert [t for _, t, _ in page.blocks if t.lower() != "i"] == ["T", "First", "Second", "Third"] and ("i" in odd.split(">")[1].lower()[:1]) == (len(page.blocks) == 5)
+
+
+def test_hidden_elements_hide_what_they_hold():
+    page = dom.parse("""<p>a</p><svg><text>x</text><svg/><svg><g>y</g></svg><foreignObject><p>z</p></foreignObject>v</svg><p>b</p><SCRIPT data-a="1>2">if (a</b) "</p>"</SCRIPT ><p>c
+      <script src=/js/>w()</script><script src="x.js"/></p><p>d<style>p > a {}</style><noscript><p>js</p></noscript><textarea><p>t</p></textarea></p>e<template><p>f</template><p>g""")
+    assert [t for _, t, _ in page.blocks] == ["a", "b", "c", "d", "e", "g"]
+
+
+def test_elements_inserted_at_random_change_no_block():
+    pick = random.Random(3)
+    empty = ["<svg/>", "<svg><path d='M0 0'/></svg>", "<x-y a=1>", "</x-y>", "<img src=a>", "<wbr>", "<canvas></canvas>", "<script>1<2</script>", "<!-- <p> -->", "<svg-a/>", '<span title="<p>">', "</span>", "<math-x>", "<iframe src='a>b'></iframe>", "<object>", "</object>", "<style>p{}</style >", "<noscript/>"]
+    for _ in range(300):
+        words = [f"w{k}" for k in range(pick.randrange(1, 12))]
+        made = "".join("".join(pick.choices(empty, k=pick.randrange(3))) + f"<{tag}>{w}</{tag}>" for w in words for tag in [pick.choice(["p", "div", "li", "h2", "td"])])
+        assert [t for _, t, _ in dom.parse(made + "".join(pick.choices(empty, k=2))).blocks] == words
+
+
+def test_many_unclosed_elements_take_linear_time():
+    import time
+
+    began = time.time()
+    page = dom.parse("<textarea>a<svg>b<iframe>c" * 60_000 + "<p>end")
+    assert page.blocks[-1][1] == "end" and time.time() - began < 20
+
+
+def test_attribute_words_of_any_language_are_features():
+    a, b = (dom.features(dom.parse(f"<div class='{name}'><p>x</p></div>")) for name in ("хлебные-крошки", "contenido"))
+    assert (a[1] != b[1]).any() and (a[2] != b[2]).any() and (a[0] == b[0]).all()
+
+
+def test_decoding_finds_the_best_states():
+    """Against all ways to give the nodes of small trees their states."""
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        n = int(rng.integers(2, 7))
+        page = dom.Page(["html", *["div"] * (n - 1)], [""] * n, [-1, *[int(rng.integers(0, i)) for i in range(1, n)]], [0] * n)
+        page.blocks = [(i, "text", 0) for i in range(n) if rng.random() < 0.7] or [(n - 1, "text", 0)]
+        p = rng.random(n)
+        own = {i for i, _, _ in page.blocks}
+        full = {i for i in range(n) if any(_above(page.parents, k, i) for k in own)}
+
+        def worth(states):
+            total = 0.0
+            for i, state in enumerate(states):
+                above = states[page.parents[i]] if i else "out"  # noqa: B023
+                if (above, state) not in {("out", "out"), ("out", "in"), ("in", "in"), ("in", "cut"), ("cut", "cut")}:
+                    return -math.inf
+                total -= (above, state) in {("out", "in"), ("in", "cut")}
+                chance = p[i] if state == "in" else 1 - p[i]  # noqa: B023
+                total += math.log(np.clip(chance, 1e-4, 1)) if (i in own if state == "out" else i in full) else 0  # noqa: B023
+            return total
+
+        best = max(worth(s) for s in itertools.product(("out", "in", "cut"), repeat=n))
+        main = html_extract.decode(page, p)
+        begun, states = [False] * n, []
+        for i in range(n):
+            begun[i] = bool(i) and (begun[page.parents[i]] or main[page.parents[i]])
+            states.append("in" if main[i] else "cut" if begun[i] else "out")
+        assert abs(worth(states) - best) < 1e-9
+
+
+def _above(parents, node, ancestor):
+    while node >= 0:
+        if node == ancestor:
+            return True
+        node = parents[node]
+    return False
+
+
 @pytest.mark.parametrize("name", HANDMADE)
 def test_extraction_of_handmade_pages(model, name):
     before, article, after, blocks = HANDMADE[name]

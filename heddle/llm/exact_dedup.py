@@ -4,14 +4,13 @@ Equal texts meet in three steps, each of which groups by the content itself besi
 texts sharing a digest never merge:
 
 1. within each map task, before anything is moved (the partial aggregation of the first exchange);
-2. within a digest group, which is salted where the digest is heavy: the salt is the map task's, taken on the
-   scan, so that a heavy text is one row of each map task and its salts go to different tasks;
-3. across the salt winners of a heavy digest, at most `salts` rows for a content.
+2. within a salted digest group: the salt is the map task's, taken on the scan, so that a heavy text is one row
+   of each map task and its salts go to different tasks;
+3. across the salt winners of a digest, at most `salts` rows for a content.
 
-A digest is heavy if it has more than `HEAVY_ROWS` documents and more than a `HEAVY`-th part of all; so there
-are fewer than `HEAVY` of them whatever the input, and their list may be broadcast. Documents then find their
-group by digest, and those of heavy digests by digest and spread, which comes from the id and shares a heavy
-digest out over `SPREADS` tasks.
+Documents then find their group by digest. Groups that have more than `HEAVY_ROWS` documents and more than a
+`HEAVY`-th part of all, of which there are fewer than `HEAVY` whatever the input, are listed and broadcast; their
+documents look them up by digest and spread, which comes from the id and deals a group to `SPREADS` tasks.
 
 Defined results: null text is an empty text; empty texts are equal to each other; an empty table gives
 an empty result; null ids lose to any id, and a group of null ids only keeps a null id; rows that repeat
@@ -21,14 +20,14 @@ returns one of them). Extra columns, whatever their names, pass through `dedupli
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import persisted, whole_text
+from heddle.llm.common import freed, stored, whole_text
 
-#: A heavy digest has more rows than this, and more than this part of all rows.
+#: Groups of more rows than this, and more than this part of all rows, are spread over several tasks when rows look up their group.
 HEAVY_ROWS, HEAVY = 1000, 10_000
-#: Tasks that the documents of a heavy digest are shared out over.
+#: Tasks that the rows of such a group are dealt to.
 SPREADS = 64
 #: Runs of white space that aren't already a single space.
 WHITE_RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -43,42 +42,43 @@ def sha256(content: Column) -> Column:
 
 
 def keyed(rows: DataFrame, digest) -> DataFrame:
-    """`rows` (id, content) with digest, heavy, and sha, the digest of SHA-256."""
+    """`rows` (id, content) with digest, and sha, the digest of SHA-256."""
     rows = rows.withColumn("digest", digest(F.col("content")))
-    counts = rows.groupBy("digest").count()
-    # Fewer than HEAVY rows.
-    heavy = persisted(counts.filter(F.col("count") > max(HEAVY_ROWS, rows.count() // HEAVY)).select("digest", F.lit(True).alias("heavy")))
-    rows = rows.join(F.broadcast(heavy), "digest", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     return rows.withColumn("sha", F.col("digest") if digest is sha256 else sha256(F.col("content")))
 
 
 def salted(rows: DataFrame, salts: int) -> DataFrame:
-    """The first two steps: (digest, heavy, salt, content, id, n) from `rows` (id, digest, heavy, content), straight from a scan."""
-    salt = F.when(F.col("heavy"), F.spark_partition_id() % salts).otherwise(F.lit(0))
-    return rows.withColumn("salt", salt).groupBy("digest", "heavy", "salt", "content").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    """The first two steps: (digest, salt, content, id, n) from `rows` (id, digest, content), straight from a scan.
+
+    Tasks of the scan combine their own rows before any move; the rows of a salt are those of some tasks.
+    """
+    return rows.withColumn("salt", F.spark_partition_id() % salts).groupBy("digest", "salt", "content").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
 
 
 def groups_of(winners: DataFrame) -> DataFrame:
-    """The third step: (digest, heavy, keep_id, group_size); winners that aren't heavy are groups already."""
-    light = winners.filter(~F.col("heavy")).select("digest", "heavy", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
-    across = winners.filter("heavy").groupBy("digest", "heavy", "content").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return light.unionByName(across.drop("content"))
+    """The third step: (digest, content, keep_id, group_size), from at most as many winners of a content as there are salts."""
+    return winners.groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
 def _resolved(rows: DataFrame, salts: int) -> DataFrame:
-    """`rows` (with digest, heavy, content) and the keep_id and group_size of their group, null for lone texts."""
-    own = rows.select("id", "digest", "heavy", "content")
-    groups = persisted(groups_of(salted(own, salts)))
-    clashing = groups.groupBy("digest").count().filter("count > 1").select("digest")
-    spread = F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SPREADS)).cast("int")).otherwise(F.lit(0))
-    rows = rows.withColumn("spread", spread)
-    every = F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SPREADS - 1))).otherwise(F.array(F.lit(0))))
+    """`rows` (with digest, content) and the keep_id and group_size of their group, null for lone texts."""
+    own = rows.select("id", "digest", "content")
+    groups = stored(groups_of(salted(own, salts)).drop("content"))
+    freed(rows.sparkSession)
+    clashing = groups.groupBy("digest").count().filter("count > 1")
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    # Fewer than HEAVY rows.
+    many = F.col("group_size") > max(HEAVY_ROWS, total // HEAVY)
+    heavy = stored(groups.filter(many).select("digest").distinct())
+    rows = rows.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "digest", "left")
+    rows = rows.withColumn("spread", F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SPREADS)).cast("int")).otherwise(F.lit(0)))
+    every = F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SPREADS - 1))).otherwise(F.array(F.lit(0)))).alias("spread")
+    marked = lambda found: found.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "digest", "left")
     if clashing.isEmpty():
-        found = groups.filter("group_size > 1").select("digest", every.alias("spread"), "keep_id", "group_size")
+        found = marked(groups.filter("group_size > 1")).select("digest", every, "keep_id", "group_size")
         return rows.drop("content").join(found, ["digest", "spread"], "left")
     # Texts that share a digest: their groups are told apart by content.
-    whole = salted(own, salts).groupBy("digest", "heavy", "content").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    found = whole.filter("group_size > 1").select("digest", "content", every.alias("spread"), "keep_id", "group_size")
+    found = marked(groups_of(salted(own, salts)).filter("group_size > 1")).select("digest", "content", every, "keep_id", "group_size")
     return rows.join(found, ["digest", "content", "spread"], "left").drop("content")
 
 
@@ -98,7 +98,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = _resolved(rows, salts)
     kept = found.filter(F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
     repeated = rows.groupBy("digest", "id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        first = Window.partitionBy("sha", "id").orderBy(F.lit(1))
-        kept = kept.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
+    if not repeated.isEmpty():  # of rows that differ elsewhere, the first by all columns
+        kept = kept.groupBy("sha", "id").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return kept.select("row.*")

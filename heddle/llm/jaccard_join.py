@@ -404,8 +404,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     of_set = sets.select("sig", "rep", "w").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     of_set = of_set.select("sig", F.coalesce("root", "rep").alias("root"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     answers = persisted(rows.select("id", "key", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(of_set, "sig", "left").drop("sig"))
-    least = answers.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"))
-    return answers.join(least, "root", "left").select("id", "key", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # A class is named by its least id, null last; of texts that share it, the one of least key stands for the class.
+    least = answers.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    alone, own = F.col("root").isNull(), F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
+    named = answers.join(least, "root", "left")
+    return named.select("id", "key", F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | own).alias("stays"))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -414,17 +417,18 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` with the least id of their class, with their columns as they were.
+    """One row of each class: that of the least id (null last) and, where different texts share it, of the least digest.
+    Columns are as they were.
 
-    Rows that repeat both an id and its text count as one document.
+    Rows that repeat both an id and its text count as one document; if they differ elsewhere, the first by all columns stays.
     """
     found = persisted(classes(docs, id_col, text_col, **options))
-    gone = found.filter(~F.col("id").eqNullSafe(F.col("class_id"))).select("id", "key").distinct()
+    gone = found.filter(~F.col("stays")).select("id", "key").distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(whole_text(text_col))).alias("key"))
     gone = gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"))
     kept = rows.join(gone, (rows["key"] == gone["gone_key"]) & rows["id"].eqNullSafe(gone["gone_id"]), "left_anti")
     repeated = found.groupBy("id", "key").count().filter("count > 1")
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["id", "key"])
+        kept = kept.groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return kept.select("row.*")

@@ -3,13 +3,13 @@
 Targets share a budget by weight; a source stops at `max_epochs` times its size and its excess goes to
 the others by weight, until no source is above its cap. Each source then takes whole repetitions of
 every document, and its fractional repetition in a seeded order of documents: leading documents are
-taken once more, one document at the boundary with as many leading words as are left of the target.
+taken once more. The document at the boundary is taken whole or left out, whichever comes nearer to the target.
 
 The seeded order is cut by a histogram of hash buckets per source, so that only the documents of one
 bucket are ever ranked together, however large the source.
 
 Defined results: null text has no words; a null source is a source of its own, last in order; a source
-without words takes none; rows that repeat are documents of their own; an empty table gives an empty
+without words takes none; documents without words are repeated as often as their source is whole; rows that repeat are documents of their own; an empty table gives an empty
 result.
 """
 
@@ -67,7 +67,7 @@ def fill(sources: DataFrame, share: float = 1.5, max_epochs: float = 2.0) -> Dat
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20, share: float = 1.5, max_epochs: float = 2.0, cycle: tuple[float, ...] = CYCLE) -> DataFrame:
     """One row per document: `row` (the document), size, source_size, target, whole, part and taken.
 
-    `whole` counts its whole repetitions and `part` the words of its fractional one.
+    `whole` counts its whole repetitions, and `part` has its words if it is taken once more, else 0.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*columns).alias("row")).select("row", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{source_col}`").alias("source"), n_words(F.col(f"row.`{text_col}`")).alias("size"))
@@ -84,7 +84,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     within = Window.partitionBy("key", "bucket").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("key", key).join(buckets, ["key", "bucket"])
     left = F.col("quota") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0))
-    placed = placed.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    placed = placed.withColumn("part", F.when(2 * left > F.col("size"), F.col("size")).otherwise(F.lit(0)).cast("long"))
     return placed.select("row", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
 
 
@@ -94,21 +94,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return plan(used, id_col, text_col, source_col, **options).select(F.col(f"row.`{id_col}`").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None, **options) -> DataFrame:
-    """The mixed rows, with the columns of `docs`: a row for each repetition.
-
-    A document taken in part comes with its leading words, single spaces between them, and
-    `chars_col`, if given, counts the characters of this text.
-    """
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed rows, whole and as they were: a row for each repetition."""
     planned = plan(docs, id_col, text_col, source_col, **options)
-    whole_rows = F.col("whole") + (F.col("part") == F.col("size")).cast("long") * (F.col("size") > 0).cast("long")
-    cut = (F.col("part") > 0) & (F.col("part") < F.col("size"))
-    copies = F.concat(F.array_repeat(F.lit(False), whole_rows.cast("int")), F.when(cut, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    repeated = planned.select("row", "part", F.explode(copies).alias("cut"))
-    words = F.regexp_extract_all(whole_text(F.col(f"row.`{text_col}`")), F.lit(WORD), 0)
-    text = F.when(F.col("cut"), F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(F.col(f"row.`{text_col}`"))
-    repeated = repeated.withColumn("text", text)
-    changed = {text_col: F.col("text")}
-    if chars_col:
-        changed[chars_col] = F.when(F.col("cut"), F.char_length("text").cast("long")).otherwise(F.col(f"row.`{chars_col}`"))
-    return repeated.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    times = F.col("whole") + (F.col("part") > 0).cast("long")
+    repeated = planned.select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
+    return repeated.select("row.*")

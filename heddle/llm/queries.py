@@ -88,7 +88,7 @@ p AS (
   SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, CAST(round(q.target) AS BIGINT) - q.whole * q.source_size AS quota,
          CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, quota - before)) AS BIGINT) AS taken FROM p
+SELECT doc_id, size, source_size, target, CAST(whole * size + CASE WHEN 2 * (quota - before) > size THEN size ELSE 0 END AS BIGINT) AS taken FROM p
 """
 
 

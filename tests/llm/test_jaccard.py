@@ -94,3 +94,17 @@ def test_runs_reach_the_recall():
         a, b = both[:110], both[12:]  # 98 of 120: just above the threshold
         met += any(len(np.intersect1d(jaccard_join.chosen(a, s, 0.8, 1.6), jaccard_join.chosen(b, s, 0.8, 1.6))) for s in range(1, runs + 1))
     assert met >= 290
+
+
+def test_one_of_each_class_stays_with_null_and_repeated_ids(spark):
+    words = [f"word{k}" for k in range(200)]
+    near = lambda k: " ".join([*words[:-1], f"end{k}"])
+    other = lambda k: " ".join(w + "x" for w in near(k).split())
+    rows = [(None, near(1), "a"), (None, near(2), "b"), (5, other(1), "c"), (5, other(2), "d"), (7, "alone but with enough words here", "e"), (7, "alone but with enough words here", "f"), (None, "", "g")]
+    for order in (rows, rows[::-1]):
+        got = [tuple(r) for r in jaccard_join.keep_one(spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)).collect()]
+        assert len(got) == 4 and (7, "alone but with enough words here", "e") in got and (None, "", "g") in got
+        assert sum(r[0] is None and r[1] != "" for r in got) == sum(r[0] == 5 for r in got) == 1
+        kept = sorted(got, key=str)
+        assert order is rows or kept == first
+        first = kept

@@ -31,6 +31,8 @@ def test_stages(spark, data, tmp_path):
     for r in mixed:
         words[r["doc_id"]] += len(r["text"].split())
     assert all(words[i] == n for i, n in taken.items())
+    rows_of = {r["doc_id"]: r for r in single}
+    assert all(r == rows_of[r["doc_id"]] for r in mixed)  # whole texts, as they were
     assert Counter(r["doc_id"] for r in encoded) == Counter(r["doc_id"] for r in mixed)
     own = queries.load_pieces()
     text_of = {(r["doc_id"], r["text"]) for r in mixed}

@@ -36,7 +36,8 @@ def dealt(by: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     if not len(by):
         return
     at = bucket_of(by, buckets)
-    order = np.argsort(at, kind="stable")
+    # Short integers are sorted by radix.
+    order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")
     found, starts = np.unique(at[order], return_index=True)
     for bucket, places in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
         yield bucket, places
@@ -62,14 +63,14 @@ def sized(column: pa.ChunkedArray, width: int = 8) -> np.ndarray:
     return np.array([len(x) // width for x in column.to_pylist()], np.int64)
 
 
-def shortened(codes: np.ndarray) -> bytes:
-    """The low 40 bits of codes: within a bucket of a million codes, one in a million others is taken for one of them."""
-    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def shortened(codes: np.ndarray, width: int) -> bytes:
+    """Codes in `width` bytes each, which hold them."""
+    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def lengthened(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+def lengthened(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
 
 

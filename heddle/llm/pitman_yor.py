@@ -16,9 +16,9 @@ of their own. Predictive probabilities are averaged over the sweeps after `burn`
 
 Texts go in blocks of about `BLOCK` tokens. A block's distinct words and pairs are dealt to buckets by hash, so
 that a frequent context is spread over all buckets and counts once a block; buckets of cells and buckets of words
-exchange totals in each sweep, as packed arrays (`exchange`). Words are known by 64-bit hashes of theirs, pairs by
-64-bit hashes of those; among 10**9 words a clash is expected 0.03 times, and a clash of pairs only changes the
-model's score slightly. The discounts come from the numbers of cells with one and two customers.
+exchange totals in each sweep, as packed arrays (`exchange`). A bucket of cells gets a pair at most once a block, and
+their number grows with the tokens. Words are counted by 64-bit hashes of theirs: among 10**9 words a clash is expected
+0.03 times. Cells know words by the upper 48 bits; a clash there only joins two restaurants. The discounts come from the numbers of cells with one and two customers.
 
 Defined results: null and empty texts have the end token alone; a null id counts as the text '' in the choice of
 training texts; rows and ids that repeat are texts of their own; very long texts are split over blocks and
@@ -40,10 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm import exchange
-from heddle.llm.common import discard, freed, limited_batches, stored
+from heddle.llm.common import discard, freed, hash60, limited_batches, stored
 
-#: Tokens of a block, bytes of a text that are read at a time, and pairs of a bucket.
-BLOCK, READ, BUCKET = 2_000_000, 1 << 22, 1_000_000
+#: Tokens of a block, bytes of a text that are read at a time, and tokens for each bucket.
+BLOCK, READ, BUCKET = 2_000_000, 1 << 22, 3_000_000
 #: Customers up to which tables are drawn exactly; proposals for each larger cell, and the customers that are seated one by one.
 DRAWN, TRIES, EXACT = 64, 4, 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -53,6 +53,11 @@ START, END = b" ^", b" $"
 HELD = 10
 
 
+def key(hashes: np.ndarray) -> np.ndarray:
+    """How cells know words: the upper 48 bits of their hashes. Buckets of words go by it, and order by hash is order by key."""
+    return hashes >> np.uint64(16)
+
+
 def three(numbers: np.ndarray) -> bytes:
     """Numbers of words in three bytes each: a block has fewer than 2**24."""
     return numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
@@ -166,19 +171,20 @@ def packed_pairs(hashes: np.ndarray, context: np.ndarray, word: np.ndarray, n: n
     used = np.unique(np.concatenate([context, word]))
     place = np.zeros(int(used[-1]) + 1 if len(used) else 0, np.int64)
     place[used] = np.arange(len(used))
-    return {"words": hashes[used].tobytes(), "a": exchange.narrow(place[context], len(used)), "b": exchange.narrow(place[word], len(used)), "n": n.astype(np.int32).tobytes()}
+    return {"words": exchange.shortened(hashes[used], 6), "a": exchange.narrow(place[context], len(used)), "b": exchange.narrow(place[word], len(used)), "n": n.astype(np.int32).tobytes()}
 
 
-def summed_pairs(words: list[bytes], a: list[bytes], b: list[bytes], n: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words in order, and the places and sums of distinct pairs of packed pieces."""
-    each = [np.frombuffer(w, np.uint64) for w in words]
+def summed_pairs(words: list[bytes], a: list[bytes], b: list[bytes], n: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct words in order; the places and sums of the distinct pairs of packed pieces; and where among these each piece's pairs are."""
+    each = [exchange.lengthened(w, 6) for w in words]
     known = np.unique(np.concatenate(each))
     pairs = []
     for own, x, y in zip(each, a, b, strict=True):
         at = np.searchsorted(known, own)
         pairs.append(at[exchange.widened(x, len(own))] * len(known) + at[exchange.widened(y, len(own))])
-    pairs, sums = exchange.add_up(np.concatenate(pairs), np.frombuffer(b"".join(n), np.int32))
-    return known, pairs // max(len(known), 1), pairs % max(len(known), 1), sums
+    distinct, places = np.unique(np.concatenate(pairs), return_inverse=True)
+    sums = np.bincount(places, np.frombuffer(b"".join(n), np.int32), len(distinct)).astype(np.int64)
+    return known, distinct // max(len(known), 1), distinct % max(len(known), 1), sums, np.split(places, np.cumsum([len(p) for p in pairs])[:-1])
 
 
 def batch_of(made: list[dict], plain: tuple[str, ...], binary: tuple[str, ...]) -> pa.Table:
@@ -259,15 +265,16 @@ class Model:
                     n = np.bincount(tokens[trains], minlength=len(words))
                     n[words == np.uint64(xxhash.xxh64_intdigest(START))] += row["starts"]
                     grp = int(exchange.mixed(np.array([row["block"]]))[0] % np.uint64(groups))
-                    for bucket, at in exchange.dealt(words, buckets):
+                    for bucket, at in exchange.dealt(key(words), buckets):
                         yield pa.RecordBatch.from_pydict({"bucket": [bucket], "block": [row["block"]], "grp": [grp], "codes": [words[at].tobytes()], "n": [n[at].astype(np.int32).tobytes()]})
 
         used = self.held.select("block", "starts", "held", "sizes", "tokens", "words")
         return used.mapInArrow(deal, "bucket long, block long, grp long, codes binary, n binary")
 
-    def dealt_pairs(self, counted: bool) -> DataFrame:
-        """(bucket, block, grp, words, a, b, n) with `counted`, of pairs that train: places of context and word among the piece's words, tokens;
-        else (bucket, block, grp, codes) of all pairs of each block."""
+    def cells(self) -> DataFrame:
+        """Rows of kinds: `all` (tokens that train of each pair of a bucket), `places` (where among them a block's pairs are), `cells` (places of
+        context and word in the bucket's words, and customers, of those with two or more), `words` (those words), `asks` (the same by bucket of
+        words) and `base` (the tables that lone pairs have, by bucket of words)."""
         buckets, groups = self.buckets, self.groups
 
         def deal(batches):
@@ -275,50 +282,31 @@ class Model:
                 for row in batch.to_pylist():
                     hashes = np.frombuffer(row["words"], np.uint64)
                     _, trains, context, word, places = pairs_of(row)
-                    grp = int(exchange.mixed(np.array([row["block"]]))[0] % np.uint64(groups))
-                    codes = pair_codes(hashes[context], hashes[word])
-                    n = np.bincount(places[trains], minlength=len(codes)) if counted else None
-                    used = np.flatnonzero(n) if counted else np.arange(len(codes))
-                    for bucket, at in exchange.dealt(codes[used], buckets):
-                        at = used[at]
-                        piece = packed_pairs(hashes, context[at], word[at], n[at]) if counted else {"codes": exchange.shortened(codes[at])}
-                        yield pa.RecordBatch.from_pydict({k: [v] for k, v in {"bucket": bucket, "block": row["block"], "grp": grp, **piece}.items()})
-
-        used = self.held.select("block", "held", "first", "sizes", "tokens", "words")
-        return used.mapInArrow(deal, "bucket long, block long, grp long, " + ("words binary, a binary, b binary, n binary" if counted else "codes binary"))
-
-    def cells(self) -> DataFrame:
-        """Rows of kinds: `lone` (codes of a bucket's lone pairs), `cells` (of its others codes, places of context and word in its words, customers),
-        `words` (those words), `asks` (the same by bucket of words) and `base` (the tables that lone pairs have, by bucket of words)."""
-        schema, buckets = "bucket long, grp long, words binary, a binary, b binary, n binary", self.buckets
-        summed = lambda table: summed_pairs(*[table[c].to_pylist() for c in ("words", "a", "b", "n")])
-
-        def add(table: pa.Table) -> pa.Table:
-            known, a, b, n = summed(table)
-            return pa.table({k: [v] for k, v in {"bucket": table["bucket"][0].as_py(), "grp": table["up"][0].as_py(), **packed_pairs(known, a, b, n)}.items()})
+                    n = np.bincount(places[trains], minlength=len(context))
+                    for bucket, at in exchange.dealt(pair_codes(hashes[context], hashes[word]), buckets):
+                        piece = {"bucket": bucket, "block": row["block"], **packed_pairs(key(hashes), context[at], word[at], n[at])}
+                        yield pa.RecordBatch.from_pydict({k: [v] for k, v in piece.items()})
 
         def finish(table: pa.Table) -> pa.Table:
-            bucket = table["bucket"][0].as_py()
-            known, a, b, n = summed(table)
+            bucket, blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
+            known, a, b, n, places = summed_pairs(*[table[c].to_pylist() for c in ("words", "a", "b", "n")])
             lone, many = n == 1, n > 1
-            codes = pair_codes(known[a], known[b])
-            of_many, places = np.unique(np.concatenate([a[many], b[many]]), return_inverse=True)
+            of_many, sides = np.unique(np.concatenate([a[many], b[many]]), return_inverse=True)
             asked = known[of_many]
             of_base = np.unique(np.concatenate([a[lone], b[lone]]))
             tables, customers = (np.bincount(x[lone], minlength=len(known))[of_base].astype(np.int32) for x in (a, b))
             base = known[of_base]
-            made = [{"kind": "lone", "bucket": bucket, "block": bucket, "codes": exchange.shortened(codes[lone]), "ones": int(lone.sum()), "twos": int((n == 2).sum())}]
-            made.append({"kind": "cells", "bucket": bucket, "block": bucket, "codes": exchange.shortened(codes[many]), "a": places[: len(places) // 2].astype(np.int32), "b": places[len(places) // 2 :].astype(np.int32), "n": n[many]})
+            made = [{"kind": "all", "bucket": bucket, "block": bucket, "n": n.astype(np.int32), "ones": int(lone.sum()), "twos": int((n == 2).sum())}]
+            made += [{"kind": "places", "bucket": bucket, "block": block, "a": exchange.narrow(own, len(n))} for block, own in zip(blocks, places, strict=True)]
+            made.append({"kind": "cells", "bucket": bucket, "block": bucket, "a": sides[: len(sides) // 2].astype(np.int32), "b": sides[len(sides) // 2 :].astype(np.int32), "n": n[many].astype(np.int32)})
             made.append({"kind": "words", "bucket": bucket, "block": bucket, "codes": asked})
             made += [{"kind": "asks", "bucket": to, "block": bucket, "codes": asked[at]} for to, at in exchange.dealt(asked, buckets)]
             made += [{"kind": "base", "bucket": to, "block": bucket, "codes": base[at], "a": tables[at], "b": customers[at]} for to, at in exchange.dealt(base, buckets)]
             return batch_of(made, ("kind", "bucket", "block", "ones", "twos"), ("codes", "a", "b", "n"))
 
-        pieces, groups = self.dealt_pairs(True).drop("block"), self.groups
-        while groups > exchange.FAN:
-            pieces = pieces.withColumn("up", F.floor(F.col("grp") / exchange.FAN)).groupBy("bucket", "up").applyInArrow(add, schema)
-            groups = -(-groups // exchange.FAN)
-        return stored(pieces.groupBy("bucket").applyInArrow(finish, CELLS))
+        used = self.held.select("block", "held", "first", "sizes", "tokens", "words")
+        pieces = used.mapInArrow(deal, "bucket long, block long, words binary, a binary, b binary, n binary")
+        return stored(pieces.groupBy("bucket").applyInArrow(finish, CELLS).withColumn("grp", F.when(F.col("kind") == "places", F.pmod(hash60(F.col("block")), F.lit(groups))).otherwise(F.col("block"))))
 
     def fit(self) -> None:
         """Samples the seatings; `words` has a table of words for each kept sample and `t` the tables of cells, summed over samples."""
@@ -326,17 +314,17 @@ class Model:
         freed(self.spark)
         self.asked = stored(self.dealt_words())
         known = exchange.tree_sum(self.asked, {"n": np.int32}, self.groups)
-        of = lambda kind, *columns: made.filter(F.col("kind") == kind).select(*columns)
+        # Read anew for each kind, so that kinds can be joined.
+        of = lambda kind, *columns: self.spark.read.schema(made.schema).parquet(made.heddle_folder).filter(F.col("kind") == kind).select(*columns)
         ones, twos = made.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("twos"), F.lit(0))).first()
         self.discount = rated(ones, twos)
-        grp = F.col("block").alias("grp")
-        base = exchange.tree_sum(of("base", "bucket", grp, "codes", F.col("a").alias("tables"), F.col("b").alias("customers")), {"tables": np.int32, "customers": np.int32}, self.buckets)
+        base = exchange.tree_sum(of("base", "bucket", "grp", "codes", F.col("a").alias("tables"), F.col("b").alias("customers")), {"tables": np.int32, "customers": np.int32}, self.buckets)
         self.known = stored(self.placed(known, base))
         n_words, n_tokens = self.known.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
         # The start is in the table of words but isn't a token.
         self.vocabulary, self.train_tokens = n_words - (self.starts > 0), n_tokens - self.starts
-        self.asks = of("asks", "bucket", "block", grp, "codes")
-        self.lone, self.codes, self.many, self.names = of("lone", "bucket", "codes"), of("cells", "bucket", "codes", "n"), of("cells", "bucket", "a", "b", "n"), of("words", "bucket", F.col("codes").alias("known"))
+        self.asks = of("asks", "bucket", "block", "grp", "codes")
+        self.all, self.places, self.many, self.names = of("all", "bucket", "n"), of("places", "bucket", "block", "grp", "a"), of("cells", "bucket", "a", "b", "n"), of("words", "bucket", F.col("codes").alias("known"))
         self.kept, sums, self.t = [], None, None
         root = {"customers": 0, "tables": 0, "discount": self.discount}
         for sweep in range(self.burn + self.samples):
@@ -364,7 +352,7 @@ class Model:
             codes, n = codes[n > 0], n[n > 0]
             tables, customers = np.zeros((2, len(codes)), np.int64)
             if right.num_rows:
-                at = np.searchsorted(codes, exchange.joined(right["codes"], np.uint64))
+                at = np.searchsorted(key(codes), exchange.joined(right["codes"], np.uint64))
                 tables[at], customers[at] = exchange.joined(right["tables"], np.int32), exchange.joined(right["customers"], np.int32)
             row = {"bucket": [left["bucket"][0].as_py()], "n_words": [len(codes)], "n_tokens": [int(n.sum())]} | {k: [v.tobytes()] for k, v in (("codes", codes), ("n", n), ("tables", tables), ("customers", customers))}
             return pa.table(row)
@@ -383,7 +371,7 @@ class Model:
             codes = exchange.joined(left["codes"], np.uint64)
             tables, customers = (exchange.joined(left[c], np.int64).copy() for c in ("tables", "customers"))
             if right.num_rows:
-                at = np.searchsorted(codes, exchange.joined(right["codes"], np.uint64))
+                at = np.searchsorted(key(codes), exchange.joined(right["codes"], np.uint64))
                 for to, c in ((tables, "tables"), (customers, "customers")):
                     to[at] += exchange.joined(right[c], np.int32)
             own = np.zeros(len(codes), np.int64)
@@ -406,11 +394,11 @@ class Model:
         parent = self.parent(root)
 
         def answer(left: pa.Table, right: pa.Table):
-            codes = exchange.joined(right["codes"], np.uint64)
+            keys = key(exchange.joined(right["codes"], np.uint64))
             tables, customers, own = (exchange.joined(right[c], np.int64) for c in ("tables", "customers", "root"))
             probability = parent(customers, own)
             for block, asked in zip(left["block"].to_pylist(), left["codes"].to_pylist(), strict=True):
-                at = np.searchsorted(codes, np.frombuffer(asked, np.uint64))
+                at = np.searchsorted(keys, np.frombuffer(asked, np.uint64))
                 yield {"block": block, "bucket": left["bucket"][0].as_py(), "probability": probability[at].astype(np.float32).tobytes(), "tables": tables[at].astype(np.int32).tobytes()}
 
         return answer
@@ -479,23 +467,17 @@ class Model:
     def pair_answers(self) -> DataFrame:
         """For the pairs of each block: customers less the discount for each table, averaged over samples."""
         d, samples = self.discount, self.samples
-        table = self.lone.withColumnRenamed("codes", "lone").join(self.codes, "bucket").join(self.t, "bucket")
+        table = self.all.join(self.t, "bucket")
 
         def answer(left: pa.Table, right: pa.Table):
-            lone, many = (exchange.lengthened(b"".join(right[c].to_pylist())) for c in ("lone", "codes"))
-            rest = exchange.joined(right["n"], np.int32) - d * exchange.joined(right["sum_t"], np.int32) / samples
-            # Unknown pairs have the place of a code beyond all.
-            codes = np.concatenate([lone, many, [1 << 41]]).astype(np.uint64)
-            value = np.concatenate([np.full(len(lone), 1 - d), rest, [0]]).astype(np.float32)
-            order = np.argsort(codes)
-            codes, value = codes[order], value[order]
-            for block, asked in zip(left["block"].to_pylist(), left["codes"].to_pylist(), strict=True):
-                asked = exchange.lengthened(asked)
-                at = np.searchsorted(codes, asked)
-                told, which = np.unique(np.where(codes[at] == asked, value[at], np.float32(0)), return_inverse=True)
+            n, tables = (exchange.joined(right[c], np.int32).astype(np.int64) for c in ("n", "sum_t"))
+            value = np.where(n == 1, 1 - d, 0).astype(np.float32)
+            value[n > 1] = n[n > 1] - d * tables / samples
+            for block, places in zip(left["block"].to_pylist(), left["a"].to_pylist(), strict=True):
+                told, which = np.unique(value[exchange.widened(places, len(n))], return_inverse=True)
                 yield {"block": block, "bucket": left["bucket"][0].as_py(), "which": exchange.narrow(which, len(told)), "told": told.tobytes()}
 
-        return exchange.answered(self.dealt_pairs(False), table, self.groups, answer, "block long, bucket long, which binary, told binary")
+        return exchange.answered(self.places, table, self.groups, answer, "block long, bucket long, which binary, told binary")
 
     def scores(self) -> DataFrame:
         """(key, id, held_out, n_tokens, n_known, base_score, score) of each part of a text."""
@@ -517,7 +499,7 @@ class Model:
                     tokens, _, context, word, places = pairs_of(row)
                     values = np.zeros((1 + 2 * samples, len(hashes)))
                     told = {x["bucket"]: x for x in row["of_words"]}
-                    for bucket, at in exchange.dealt(hashes, buckets):
+                    for bucket, at in exchange.dealt(key(hashes), buckets):
                         own = np.frombuffer(told[bucket]["told"]).reshape(len(values), -1)
                         values[:, at] = own[:, exchange.widened(told[bucket]["which"], own.shape[1])]
                     n, share, single = values[0], values[1 : 1 + samples], values[1 + samples :]

@@ -112,11 +112,12 @@ def test_scores_use_the_sampled_tables(spark):
             pairs.update(zip([pitman_yor.START, *ts], ts, strict=False))
     code = lambda w: xxhash.xxh64_intdigest(w)
     t = {p: model.samples for p, n in pairs.items() if n == 1}
-    of_code = {int(pitman_yor.pair_codes(np.array([code(u)], np.uint64), np.array([code(w)], np.uint64))[0]) % 2**40: (u, w) for u, w in pairs}
-    for r in model.codes.join(model.t, "bucket").collect():
-        for k, n, s in zip(exchange.lengthened(r.codes).tolist(), np.frombuffer(r.n, np.int32).tolist(), np.frombuffer(r.sum_t, np.int32).tolist(), strict=True):
-            t[of_code[k]] = s
-            assert pairs[of_code[k]] == n and model.samples <= s <= model.samples * n
+    of_key = {code(w) >> 16: w for p in pairs for w in p}
+    for r in model.many.join(model.t, "bucket").join(model.names, "bucket").collect():
+        known = [of_key[k] for k in np.frombuffer(r.known, np.uint64).tolist()]
+        for u, w, n, s in zip(*(np.frombuffer(x, np.int32).tolist() for x in (r.a, r.b, r.n, r.sum_t)), strict=True):
+            t[known[u], known[w]] = s
+            assert pairs[known[u], known[w]] == n and model.samples <= s <= model.samples * n
     assert set(t) == set(pairs)
     contexts = defaultdict(int)
     for (u, _), n in pairs.items():

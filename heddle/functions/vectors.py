@@ -19,7 +19,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalised(v: Column) -> Column:
     norm = F.greatest(F.sqrt(total(F.transform(v, lambda x: x * x))), F.lit(LEAST_NORM))
-    return F.transform(v, lambda x: x / norm)
+    # Adding zero makes a negative zero a plain one, which engines print and compare alike.
+    return F.transform(v, lambda x: x / norm + 0.0)
 
 
 def patch_x(patch_id: Column, side: int) -> Column:

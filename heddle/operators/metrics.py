@@ -1,8 +1,7 @@
 """Ranking and threshold metrics of scores against labels, per category.
 
-A histogram by category and score comes first, so that equal scores are one row and the running sums see
-as few rows as there are distinct scores. Running sums are taken within ranges of scores, so that no task
-ranks a category.
+Running sums see a histogram by category and score, so that equal scores are one row, and are taken within
+ranges of scores, so that no task ranks a category. Counts at a threshold are plain sums of the rows.
 """
 
 from __future__ import annotations
@@ -11,14 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions.statistics import nan_mean, running_sums
-from heddle.functions.storage import persisted
+from heddle.functions.storage import stored
 
 NAN = float("nan")
 
 
+def counted(scored: DataFrame) -> DataFrame:
+    """(category, score, p, n) of each row."""
+    return scored.select("category", "score", F.col("label").cast("long").alias("p"), (1 - F.col("label")).cast("long").alias("n"))
+
+
 def histogram(scored: DataFrame) -> DataFrame:
     """(category, score, p, n): counts of labels 1 and 0."""
-    return scored.groupBy("category", "score").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
+    return counted(scored).groupBy("category", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
 
 def ranking(scored: DataFrame) -> DataFrame:
@@ -27,13 +31,14 @@ def ranking(scored: DataFrame) -> DataFrame:
     AUROC and average precision are NaN where only one class is there; the best F1 is 0 without positives.
     Of equal F1, the lowest threshold counts.
     """
-    return ranked(persisted(histogram(scored)))
+    return ranked(histogram(scored), counted(scored))
 
 
-def ranked(counts: DataFrame) -> DataFrame:
-    """`ranking` from a histogram."""
-    sums = running_sums(counts, ["category"], "score", ["p", "n"], descending=True).withColumnsRenamed({"running_p": "tp", "running_n": "fp"})
-    totals = counts.groupBy("category").agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+def ranked(counts: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """`ranking` from a histogram, and the rows that it counts where these are cheaper to read."""
+    rows = counts if rows is None else rows
+    sums = running_sums(counts, ["category"], "score", ["p", "n"], descending=True, rows=rows).withColumnsRenamed({"running_p": "tp", "running_n": "fp"})
+    totals = stored(rows.groupBy("category").agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives")))
     rows = sums.join(totals, "category")
     tp, fp, p, n = (F.col(c).cast("double") for c in ("tp", "fp", "p", "n"))
     positives, negatives = F.col("positives").cast("double"), F.col("negatives").cast("double")
@@ -51,12 +56,12 @@ def at_threshold(scored: DataFrame, thresholds: DataFrame, threshold: str = "thr
 
     Without any positive, true or predicted, F1 is 0 and IoU is 1.
     """
-    return fixed(histogram(scored), thresholds, threshold)
+    return fixed(counted(scored), thresholds, threshold)
 
 
 def fixed(counts: DataFrame, thresholds: DataFrame, threshold: str) -> DataFrame:
-    """`at_threshold` from a histogram."""
-    rows = counts.join(thresholds.select("category", F.col(threshold).alias("at")), "category")
+    """`at_threshold` from rows or a histogram: three sums, without moving a row where the thresholds are few."""
+    rows = counts.join(stored(thresholds.select("category", F.col(threshold).alias("at"))), "category")
     hit = F.col("score") >= F.col("at")
     count = lambda c, what: F.coalesce(F.sum(F.when(c, F.col(what))), F.lit(0))
     made = rows.groupBy("category").agg(count(hit, "p").alias("tp"), count(hit, "n").alias("fp"), count(~hit, "p").alias("fn"))
@@ -70,7 +75,7 @@ def binary_metrics(scored: DataFrame, thresholds: DataFrame, threshold: str, lev
 
     The histogram is written once, so that the scores are made and read once.
     """
-    counts = persisted(histogram(scored))
+    counts = stored(histogram(scored))
     rows = ranked(counts).join(fixed(counts, thresholds, threshold), "category")
     names = {"auroc": "AUROC", "average_precision": "AUPR", "f1_calibrated": "F1_calibrated", "iou_calibrated": "IoU_calibrated", "f1_oracle": "F1_oracle", "threshold_oracle": "threshold_oracle"}
     value = lambda c: F.col(c) if oracle or "oracle" not in c else F.lit(NAN)

@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.functions.storage import persisted
+from heddle.functions.storage import stored
 from heddle.operators import calibration, features, maps, memory, nearest, reliability, sampling
 
 LAYERS = {3: 0, 6: 32}
@@ -33,27 +33,22 @@ def kept(method):
     @wraps(method)
     def once(self):
         if method.__name__ not in self.made:
-            self.made[method.__name__] = persisted(method(self))
+            self.made[method.__name__] = stored(method(self))
         return self.made[method.__name__]
 
     return once
 
 
 class Flow:
-    """Every step's table, built on demand from one directory of driver tables."""
+    """Every step's table, built on demand from one directory of driver tables.
+
+    Steps are kept within a flow. A query makes a flow of its own, so that it reads its tables; a caller who wants
+    several results of one state of the tables asks one flow for them.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.embeddings, self.made = spark, read(spark, sf_dir, "embeddings"), {}
 
-    @staticmethod
-    def of(spark: SparkSession, sf_dir: str) -> Flow:
-        """The flow over a directory; the last one of a session is kept, so that queries share its tables."""
-        key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in _LAST:
-            _LAST.clear()
-            _LAST[key] = Flow(spark, sf_dir)
-        return _LAST[key]
-
     def tokens(self) -> DataFrame:
         """(category, image_id, layer, tokens): a class token of zeros, and the patches."""
         numbers = F.transform("embedding", lambda x: x.cast("double"))
@@ -163,9 +158,6 @@ class Flow:
         return normal.unionByName(anomalous)
 
 
-_LAST: dict[tuple[str, str], Flow] = {}
-
-
 def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(category, score, label) of line items: the price as a score of returns."""
     return read(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("category"), F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
@@ -206,7 +198,7 @@ def layer_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: A configuration with the fields that fingerprints read.
+#: A configuration with the fields that fingerprints read: fixed values.
 CONFIG = {
     "experiment": {"seed": 42}, "data": {"dataset": "suppliers", "image_size": 8, "resize_mode": "resize", "calibration_fraction": 0.2},
     "model": {"checkpoint": "none", "active_layers": [3, 6], "token_norm": "none"}, "memory": {"sampling": "random", "ratio": 0.5, "projection_dim": 0, "max_candidates": 1000},

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import fingerprints
-from heddle.functions.statistics import exact_quantile, linear_quantile
+from heddle.functions.statistics import exact_quantiles
 from heddle.functions.storage import shared_folder
 from heddle.operators import calibration, features, maps, memory, metrics, nearest, reports, sampling
 from heddle.operators import reliability as rel
@@ -48,56 +48,56 @@ def query(oracle: str | None = None):
 
 @query(sql.flow("SELECT category, image_id, layer, patch_id, list_transform(v, lambda x: round(x, 6)) AS v FROM features"))
 def l2_normalize(spark, d):
-    return features.normalised(Flow.of(spark, d).features())
+    return features.normalised(Flow(spark, d).features())
 
 
 @query(sql.flow("SELECT category, image_id, layer, patch_id, list_transform(v, lambda x: round(x, 6)) AS v FROM features WHERE layer = 6 AND category IN ('1', '2')"))
 def tokens_to_patches(spark, d):
-    return features.tokens_to_patches(Flow.of(spark, d).tokens().filter(F.col("category").isin("1", "2")), [6, 6])
+    return features.tokens_to_patches(Flow(spark, d).tokens().filter(F.col("category").isin("1", "2")), [6, 6])
 
 
 @query(sql.flow("SELECT category, image_id, layer, patch_id, list_transform(v, lambda x: round(x, 6)) AS v FROM features WHERE layer = 6"))
 def tokens_to_patches_all_categories(spark, d):
-    return features.tokens_to_patches(Flow.of(spark, d).tokens(), [6, 6])
+    return features.tokens_to_patches(Flow(spark, d).tokens(), [6, 6])
 
 
 @query(sql.flow("SELECT category, image_id, layer, patch_id, CAST(patch_id % 2 AS DOUBLE) AS x, CAST(patch_id // 2 AS DOUBLE) AS y FROM features"))
 def patch_coordinates(spark, d):
-    return features.with_coordinates(Flow.of(spark, d).features(), PATCHES).drop("v")
+    return features.with_coordinates(Flow(spark, d).features(), PATCHES).drop("v")
 
 
 @query(sql.flow("SELECT * FROM normal_splits"))
 def split_normal(spark, d):
-    return Flow.of(spark, d).normal_splits()
+    return Flow(spark, d).normal_splits()
 
 
 @query(sql.flow("SELECT * FROM splits"))
 def split_calibration(spark, d):
-    return Flow.of(spark, d).splits()
+    return Flow(spark, d).splits()
 
 
 @query(sql.flow("""SELECT category, list_sort(coalesce(list(image_id) FILTER (WHERE role = 'memory'), [])) AS memory, list_sort(coalesce(list(image_id) FILTER (WHERE role <> 'memory'), [])) AS calibration,
  list_sort(coalesce(list(image_id) FILTER (WHERE role = 'threshold_fit'), [])) AS threshold_fit, list_sort(coalesce(list(image_id) FILTER (WHERE role = 'normal_validation'), [])) AS normal_validation FROM splits GROUP BY category"""))
 def split_manifest(spark, d):
-    return sampling.split_manifest(Flow.of(spark, d).splits())
+    return sampling.split_manifest(Flow(spark, d).splits())
 
 
 @query(sql.flow("SELECT category, count(*) AS images, count(*) AS covered, CAST(0 AS BIGINT) AS uncovered FROM normal_splits WHERE role = 'calibration' GROUP BY category"))
 def split_coverage(spark, d):
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     return sampling.split_coverage(flow.normal_splits().filter("role = 'calibration'"), flow.splits())
 
 
 @query(sql.flow("SELECT category, layer, image_id, patch_id FROM memory_sample"))
 def memory_random(spark, d):
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     own = flow.features().join(flow.splits().filter("role = 'memory'"), ["category", "image_id"], "left_semi")
     return sampling.sample_patches(own, adapters.RATIO).select("category", "layer", "image_id", "patch_id")
 
 
 @query(sql.flow("SELECT category, layer, image_id, patch_id, n AS k_of FROM (SELECT *, row_number() OVER (PARTITION BY category, layer ORDER BY md5((42 + layer) || ':' || image_id || ':' || patch_id), image_id, patch_id) AS nth, count(*) OVER (PARTITION BY category, layer) AS n FROM features) WHERE nth <= 50"))
 def memory_candidate_cap(spark, d):
-    return sampling.cap_candidates(Flow.of(spark, d).features(), 50).select("category", "layer", "image_id", "patch_id", "k_of")
+    return sampling.cap_candidates(Flow(spark, d).features(), 50).select("category", "layer", "image_id", "patch_id", "k_of")
 
 
 @query("WITH RECURSIVE " + sql.FLOW.strip() + """,
@@ -110,7 +110,7 @@ walk AS (
   FROM (SELECT *, list_position(away, list_max(away)) AS nx FROM walk WHERE nth + 1 < k))
 SELECT category, layer, nth, ids[pick] AS image_id, ps[pick] AS patch_id FROM walk""")
 def memory_kcenter(spark, d):
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     own = flow.features().join(flow.splits().filter("role = 'memory'"), ["category", "image_id"], "left_semi")
     return memory.k_center(own, 0.25).drop("v")
 
@@ -121,7 +121,7 @@ UNIT = "list_transform(p, lambda x: x / greatest(sqrt(list_sum(list_transform(p,
 
 @query(sql.flow(f"SELECT category, image_id, layer, patch_id, list_transform({UNIT}, lambda x: round(x, 6)) AS v FROM (SELECT category, image_id, layer, patch_id, {SIGNED} AS p FROM features)"))
 def random_projection(spark, d):
-    return memory.random_projection(Flow.of(spark, d).features(), 4)
+    return memory.random_projection(Flow(spark, d).features(), 4)
 
 
 @query("WITH RECURSIVE " + sql.FLOW.strip() + f""",
@@ -135,24 +135,24 @@ walk AS (
   FROM (SELECT *, list_position(away, list_max(away)) AS nx FROM walk WHERE nth + 1 < k))
 SELECT category, layer, nth, ids[pick] AS image_id, ps[pick] AS patch_id FROM walk""")
 def memory_kcenter_projected(spark, d):
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     own = flow.features().join(flow.splits().filter("role = 'memory'"), ["category", "image_id"], "left_semi")
     return memory.k_center(own, 0.25, projection=4).drop("v")
 
 
 @query(sql.flow("SELECT category, layer, bank_id, source_id, patch_id, x, y, list_transform(v, lambda x: round(x, 6)) AS v FROM bank"))
 def memory_bank(spark, d):
-    return Flow.of(spark, d).bank()
+    return Flow(spark, d).bank()
 
 
 @query(sql.flow("SELECT category, count(*) AS memory_entries FROM bank GROUP BY category"))
 def memory_entries(spark, d):
-    return memory.memory_entries(Flow.of(spark, d).bank())
+    return memory.memory_entries(Flow(spark, d).bank())
 
 
 @query(sql.flow("SELECT category, layer, count(*) AS rows, CAST(0 AS BIGINT) AS not_finite, CAST(0 AS BIGINT) AS other_width, CAST(0 AS BIGINT) AS outside FROM bank GROUP BY ALL"))
 def memory_bank_checks(spark, d):
-    return memory.bank_faults(Flow.of(spark, d).bank())
+    return memory.bank_faults(Flow(spark, d).bank())
 
 
 # Nearest neighbours
@@ -160,19 +160,19 @@ def memory_bank_checks(spark, d):
 
 @query(sql.flow("SELECT category, image_id, layer, patch_id, round(min(cosine), 6) AS score, arg_min(bank_id, (cosine, bank_id)) AS bank_id FROM calibration_pairs GROUP BY ALL"))
 def nn_cosine(spark, d):
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     return nearest.nearest(flow.calibration_features(), flow.bank(), 0.0)
 
 
 @query(sql.flow("SELECT category, image_id, layer, patch_id, round(min(cosine + 0.1::DOUBLE * apart), 6) AS score, arg_min(bank_id, (cosine + 0.1::DOUBLE * apart, bank_id)) AS bank_id FROM calibration_pairs GROUP BY ALL"))
 def nn_spatial(spark, d):
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     return nearest.nearest(flow.calibration_features(), flow.bank(), 0.1)
 
 
 @query(sql.flow("SELECT category, image_id, layer, patch_id, round(score, 6) AS score FROM test_scores"))
 def patch_scores(spark, d):
-    return Flow.of(spark, d).test_scores().drop("bank_id")
+    return Flow(spark, d).test_scores().drop("bank_id")
 
 
 # Reliability and weights
@@ -180,39 +180,39 @@ def patch_scores(spark, d):
 
 @query(sql.flow("SELECT category, layer, round(same_position_distance, 6) AS same_position_distance FROM same_place"))
 def reliability_same_position(spark, d):
-    return rel.same_position_distance(Flow.of(spark, d).calibration_features()).drop("images")
+    return rel.same_position_distance(Flow(spark, d).calibration_features()).drop("images")
 
 
 @query(sql.flow("SELECT category, layer, round(cross_position_distance, 6) AS cross_position_distance FROM cross_place"))
 def reliability_cross_position(spark, d):
-    return rel.cross_position_distance(Flow.of(spark, d).calibration_features())
+    return rel.cross_position_distance(Flow(spark, d).calibration_features())
 
 
 @query(sql.flow("SELECT category, layer, round(same_position_distance, 6) AS same_position_distance, round(cross_position_distance, 6) AS cross_position_distance, round(reliability, 6) AS reliability FROM reliability"))
 def spatial_reliability(spark, d):
-    return Flow.of(spark, d).reliability()
+    return Flow(spark, d).reliability()
 
 
 @query(sql.flow("SELECT layer, round(tau, 6) AS tau FROM tau"))
 def layer_tau(spark, d):
-    return rel.layer_tau(Flow.of(spark, d).reliability())
+    return rel.layer_tau(Flow(spark, d).reliability())
 
 
 @query(sql.flow("SELECT category, layer, round(spatial_weight, 6) AS spatial_weight FROM weights"))
 def spatial_weights_adaptive(spark, d):
-    return Flow.of(spark, d).weights()
+    return Flow(spark, d).weights()
 
 
 @query(sql.flow("SELECT 'adaptive' AS mode, category, layer, round(spatial_weight, 6) AS spatial_weight FROM weights UNION ALL SELECT 'none', category, layer, 0.0 FROM weights UNION ALL SELECT 'fixed', category, layer, 0.05 FROM weights"))
 def spatial_weights_modes(spark, d):
-    rows = Flow.of(spark, d).reliability()
+    rows = Flow(spark, d).reliability()
     made = [rel.spatial_weights(rows, mode).select(F.lit(mode).alias("mode"), "category", "layer", "spatial_weight") for mode in ("adaptive", "none", "fixed")]
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 @query(sql.flow("SELECT layer, round(tau, 6) AS tau, category, round(reliability, 6) AS reliability FROM reliability JOIN tau USING (layer)"))
 def reliability_summary(spark, d):
-    rows = rel.reliability_summary(Flow.of(spark, d).reliability())
+    rows = rel.reliability_summary(Flow(spark, d).reliability())
     return rows.select("layer", "tau", F.explode("reliability_by_category").alias("category", "reliability"))
 
 
@@ -221,18 +221,18 @@ def reliability_summary(spark, d):
 
 @query(sql.flow("SELECT category, layer, round(median, 6) AS median, round(mad, 6) AS mad FROM layer_calibration"))
 def median_mad(spark, d):
-    return Flow.of(spark, d).layer_calibration()
+    return Flow(spark, d).layer_calibration()
 
 
 @query(sql.flow("SELECT category, image_id, layer, patch_id, round(greatest((score - median) / mad, 0), 6) AS score FROM test_scores JOIN layer_calibration USING (category, layer)"))
 def calibrate_scores(spark, d):
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     return calibration.calibrated(flow.test_scores(), flow.layer_calibration(), clamp=True).drop("bank_id")
 
 
 @query(sql.flow("SELECT category, image_id, patch_id, round(score, 6) AS score FROM fused"))
 def fused_scores(spark, d):
-    return Flow.of(spark, d).fused()
+    return Flow(spark, d).fused()
 
 
 @query(sql.lines("SELECT category, image_id, max(score) AS image_score FROM supplier_pixels GROUP BY ALL"))
@@ -258,11 +258,6 @@ def pixel_threshold_global(spark, d):
     return calibration.pixel_threshold(adapters.supplier_maps(spark, d), "global_quantile")
 
 
-@query(sql.lines("SELECT category, round(quantile_cont(score, 0.995), 6) AS pixel_threshold FROM supplier_pixels GROUP BY category"))
-def pixel_threshold_large(spark, d):
-    return calibration.pixel_threshold(adapters.supplier_maps(spark, d), "global_quantile")
-
-
 @query(sql.lines("SELECT category, round(quantile_cont(m, 0.95), 6) AS pixel_threshold FROM (SELECT category, image_id, max(score) AS m FROM supplier_pixels GROUP BY ALL) GROUP BY category"))
 def pixel_threshold_image_max(spark, d):
     return calibration.pixel_threshold(adapters.supplier_maps(spark, d), "image_max_quantile")
@@ -276,18 +271,18 @@ def pixel_threshold_image_topk(spark, d):
 @query(sql.lines("SELECT category, round(quantile_cont(score, 0.25), 6) AS q25, round(quantile_cont(score, 0.5), 6) AS q50 FROM lines GROUP BY category"))
 def quantile_bracketed(spark, d):
     rows = adapters.scored_lines(spark, d)
-    return exact_quantile(rows, ["category"], "score", 0.25).withColumnRenamed("quantile", "q25").join(exact_quantile(rows, ["category"], "score", 0.5).withColumnRenamed("quantile", "q50"), "category")
+    return exact_quantiles(rows, ["category"], "score", {"q25": 0.25, "q50": 0.5})
 
 
 @query(sql.flow("SELECT category, round(image_threshold, 6) AS image_threshold FROM image_thresholds"))
 def image_threshold(spark, d):
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     return calibration.image_threshold(flow.image_scores(flow.calibration_maps("threshold_fit")))
 
 
 @query(sql.flow("SELECT category, round(normal_pixel_positive_rate, 6) AS normal_pixel_positive_rate, round(normal_image_positive_rate, 6) AS normal_image_positive_rate FROM diagnostics"))
 def normal_diagnostics(spark, d):
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     return calibration.normal_diagnostics(flow.calibration_maps("normal_validation"), calibration.pixel_threshold(flow.calibration_maps("threshold_fit")))
 
 
@@ -296,12 +291,12 @@ def normal_diagnostics(spark, d):
  count(*) FILTER (WHERE role <> 'memory') AS normalization_fit_images, 'global_quantile' AS pixel_threshold_method, 'held_out_from_threshold_fit' AS normal_diagnostic_mode
  FROM splits JOIN pixel_thresholds USING (category) JOIN image_thresholds USING (category) JOIN diagnostics USING (category) GROUP BY ALL"""))
 def category_calibration(spark, d):
-    return Flow.of(spark, d).category_calibration()
+    return Flow(spark, d).category_calibration()
 
 
 @query(sql.flow("SELECT category, image_id, round(image_score, 6) AS image_score, label, CAST(image_score >= image_threshold AS INT) AS predicted FROM labelled_images JOIN image_thresholds USING (category)"))
 def threshold_predictions(spark, d):
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     limits = calibration.image_threshold(flow.image_scores(flow.calibration_maps("threshold_fit")))
     return calibration.threshold_predictions(flow.labelled_images(), limits, "image_score", "image_threshold")
 
@@ -311,7 +306,7 @@ def threshold_predictions(spark, d):
 
 @query(sql.flow("SELECT category, image_id, CAST(px AS INT) AS px, CAST(py AS INT) AS py, round(score, 6) AS score FROM pixels"))
 def upsample_maps(spark, d):
-    return maps.pixels(Flow.of(spark, d).test_maps(), MAP_SIZE)
+    return maps.pixels(Flow(spark, d).test_maps(), MAP_SIZE)
 
 
 @query("WITH " + sql.FLOW.strip() + """,
@@ -319,19 +314,19 @@ kernel AS (SELECT o, exp(-0.5::DOUBLE * o * o) / sum(exp(-0.5::DOUBLE * o * o))
 blur AS (SELECT i, CASE WHEN src < 0 THEN -1 - src WHEN src > 7 THEN 15 - src ELSE src END AS j, sum(w) AS w FROM (SELECT i, i + o AS src, w FROM range(8) r(i), kernel) GROUP BY ALL)
 SELECT category, image_id, CAST(bx.i AS INT) AS px, CAST(by_.i AS INT) AS py, round(sum(score * bx.w * by_.w), 6) AS score FROM pixels JOIN blur bx ON bx.j = px JOIN blur by_ ON by_.j = py GROUP BY ALL""")
 def gaussian_smooth(spark, d):
-    return maps.pixels(maps.smoothed(Flow.of(spark, d).test_maps(), 1.0), MAP_SIZE)
+    return maps.pixels(maps.smoothed(Flow(spark, d).test_maps(), 1.0), MAP_SIZE)
 
 
 @query(sql.flow("SELECT category, image_id, round(score, 6) AS score, label FROM labelled_pixels"))
 def pixel_labels(spark, d):
-    return Flow.of(spark, d).labelled_pixels()
+    return Flow(spark, d).labelled_pixels()
 
 
 @query(sql.flow("""SELECT category, image_id, round(image_score, 6) AS image_score, label, CAST(rank AS INT) AS rank, round(pixel_threshold, 6) AS pixel_threshold, predicted_mask, round(greatest(2.5::DOUBLE * pixel_threshold, 1e-6), 6) AS color_ceiling
  FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY image_score DESC, image_id) AS rank FROM labelled_images) JOIN pixel_thresholds USING (category)
  JOIN (SELECT category, image_id, list(CAST(score >= pixel_threshold AS INT) ORDER BY py, px) AS predicted_mask FROM pixels JOIN pixel_thresholds USING (category) GROUP BY ALL) USING (category, image_id) WHERE rank <= 5"""))
 def top_anomalies(spark, d):
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     rows = flow.test_maps()
     scored = rows.join(flow.image_scores(rows), ["category", "image_id"]).join(flow.test_images(), ["category", "image_id"])
     return maps.top_anomalies(scored, calibration.pixel_threshold(flow.calibration_maps("threshold_fit")), 5)
@@ -363,15 +358,10 @@ def ranking_with_ties(spark, d):
     return metrics.ranking(adapters.scored_events(spark, d))
 
 
-@query(RANKING_EVENTS)
-def ranking_ranged(spark, d):
-    return metrics.ranking(adapters.scored_events(spark, d))
-
-
 @query("WITH " + sql.LINES.strip() + ",\nlimits AS (SELECT category, quantile_cont(score, 0.75) AS threshold FROM lines GROUP BY category),\n" + sql.fixed("lines", "score", "limits", "threshold") + "\nSELECT category, round(f1_calibrated, 6) AS f1_calibrated, round(iou_calibrated, 6) AS iou_calibrated FROM fixed")
 def f1_iou_at_threshold(spark, d):
     rows = adapters.scored_lines(spark, d)
-    return metrics.at_threshold(rows, rows.groupBy("category").agg(linear_quantile("score", 0.75).alias("threshold")))
+    return metrics.at_threshold(rows, exact_quantiles(rows, ["category"], "score", {"threshold": 0.75}))
 
 
 def _both_levels(select: str) -> str:
@@ -385,7 +375,7 @@ def _both_levels(select: str) -> str:
 
 
 def _metric_rows(spark, d) -> DataFrame:
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     limits = flow.category_calibration()
     return metrics.category_metrics(flow.labelled_images().withColumnRenamed("image_score", "score"), flow.labelled_pixels(), limits)
 
@@ -412,7 +402,7 @@ def latency_per_image(spark, d):
 
 @query("WITH RECURSIVE " + sql.FLOW.strip() + ",\n" + sql.ranking("labelled_images", "image_score") + "\nSELECT category, round(auroc, 6) AS auroc FROM ranks")
 def auroc_pipeline(spark, d):
-    rows = Flow.of(spark, d).labelled_images().withColumnRenamed("image_score", "score")
+    rows = Flow(spark, d).labelled_images().withColumnRenamed("image_score", "score")
     return metrics.ranking(rows).select("category", "auroc")
 
 
@@ -609,20 +599,20 @@ def _folder(spark) -> str:
 @query(sql.flow("SELECT category, layer, bank_id, source_id, patch_id, x, y, list_transform(v, lambda x: round(x, 6)) AS v FROM bank"))
 def memory_bank_stored(spark, d):
     path = _folder(spark)
-    artifacts.write_bank(Flow.of(spark, d).bank(), path, ratio=adapters.RATIO)
+    artifacts.write_bank(Flow(spark, d).bank(), path, ratio=adapters.RATIO)
     return artifacts.read_bank(spark, path)
 
 
 @query(sql.flow("SELECT f.category, f.layer, f.image_id, f.patch_id, s.role, list_transform(f.v, lambda x: round(x, 6)) AS v FROM features f JOIN splits s ON f.category = s.category AND f.image_id = s.image_id WHERE s.role <> 'memory'"))
 def calibration_features_stored(spark, d):
-    flow, path = Flow.of(spark, d), _folder(spark)
+    flow, path = Flow(spark, d), _folder(spark)
     artifacts.write_calibration_features(flow.features(), flow.splits(), PATCHES, path)
     return artifacts.read_calibration_features(spark, path).select("category", "layer", "image_id", "patch_id", "role", "v")
 
 
 @query(sql.flow("SELECT r.category, r.layer, round(r.reliability, 6) AS reliability, round(t.tau, 6) AS tau, round(w.spatial_weight, 6) AS spatial_weight, round(m.median, 6) AS median, round(m.mad, 6) AS mad FROM reliability r JOIN tau t ON r.layer = t.layer JOIN weights w ON r.category = w.category AND r.layer = w.layer JOIN layer_calibration m ON r.category = m.category AND r.layer = m.layer"))
 def calibration_stored(spark, d):
-    flow, path = Flow.of(spark, d), _folder(spark)
+    flow, path = Flow(spark, d), _folder(spark)
     artifacts.write_calibration(flow.reliability(), rel.layer_tau(flow.reliability()), flow.weights(), flow.layer_calibration(), path)
     return artifacts.read_calibration(spark, path)
 
@@ -636,7 +626,7 @@ def report_markdown(spark, d):
 
 @query(ORACLES["calibrate_scores"])
 def streamed_scores(spark, d):
-    flow, path = Flow.of(spark, d), _folder(spark)
+    flow, path = Flow(spark, d), _folder(spark)
     flow.test_patches().select("category", "image_id", "layer", "patch_id", "v").write.parquet(f"{path}/arrivals")
     score_arrivals(spark, f"{path}/arrivals", flow.bank(), flow.weights(), flow.layer_calibration(), f"{path}/scores", f"{path}/progress", PATCHES, clamp=True).awaitTermination()
     return spark.read.parquet(f"{path}/scores").select("category", "image_id", "layer", "patch_id", "score")
@@ -649,13 +639,13 @@ def streamed_scores(spark, d):
 def memory_bank_faults(spark, d):
     every = lambda n: F.col("bank_id") % n == 0
     nan = F.when(every(7), F.transform("v", lambda x, i: F.when(i == 7, float("nan")).otherwise(x))).otherwise(F.col("v"))
-    bank = Flow.of(spark, d).bank().withColumn("v", nan).withColumn("v", F.when(every(11), F.slice("v", 1, 7)).otherwise(F.col("v")))
+    bank = Flow(spark, d).bank().withColumn("v", nan).withColumn("v", F.when(every(11), F.slice("v", 1, 7)).otherwise(F.col("v")))
     return memory.bank_faults(bank.withColumn("x", F.when(every(13), 2.0).otherwise(F.col("x"))))
 
 
 @query(sql.flow("SELECT category, count(*) AS images, count(*) FILTER (WHERE image_id % 5 <> 0 AND image_id % 7 <> 0) AS covered, count(*) FILTER (WHERE image_id % 5 = 0 OR image_id % 7 = 0) AS uncovered FROM normal_splits WHERE role = 'calibration' GROUP BY category"))
 def split_coverage_faults(spark, d):
-    flow = Flow.of(spark, d)
+    flow = Flow(spark, d)
     twice = flow.splits().filter("image_id % 7 = 0 AND image_id % 5 != 0")
     return sampling.split_coverage(flow.normal_splits().filter("role = 'calibration'"), flow.splits().filter("image_id % 5 != 0").unionByName(twice))
 
@@ -667,7 +657,7 @@ def shared_oracle_differences(spark, d):
     return reports.shared_oracle(adapters.read(spark, d, "lineitem").select((F.col("l_suppkey") % 10).cast("string").alias("category"), other.alias("pixel_F1_oracle")))
 
 
-@query("""SELECT vec_id AS image_id, list_transform(v, lambda x: round(x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12::DOUBLE), 6)) AS v
+@query("""SELECT vec_id AS image_id, list_transform(v, lambda x: round(x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12::DOUBLE), 6) + 0.0::DOUBLE) AS v
  FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 5)) AS v FROM embeddings)""")
 def l2_normalize_scaled(spark, d):
     rows = adapters.read(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 5)).alias("v"))

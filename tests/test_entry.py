@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 from heddle.plans import registry
 
-SAMPLE = ["tokens_to_patches", "split_calibration", "memory_kcenter", "nn_spatial", "auroc", "ranking_ranged", "pixel_threshold_large", "threshold_split_stability", "selection_manifest", "protocol_violations"]
+SAMPLE = ["tokens_to_patches", "split_calibration", "memory_kcenter", "nn_spatial", "auroc", "ranking_with_ties", "pixel_threshold_global", "quantile_bracketed", "f1_iou_at_threshold", "threshold_split_stability", "selection_manifest", "protocol_violations"]
 
 
 def text(value):
@@ -45,5 +45,22 @@ def test_patches_of_all_categories_equal_sql(spark, data):
     assert got.filter("category IN ('1', '2')").exceptAll(some).count() == some.exceptAll(got).count() == 0 < some.count() < got.count()
 
 
+def test_queries_read_their_tables_each_time(spark, data, tmp_path):
+    """A table that is written anew under the same path gives new results within a session."""
+    rows = spark.read.parquet(f"{data}/embeddings.parquet")
+    for kept in (rows, rows.filter("label < 5")):
+        kept.write.mode("overwrite").parquet(str(tmp_path / "embeddings.parquet"))
+        spark.catalog.refreshByPath(str(tmp_path))
+        assert registry.QUERIES["split_manifest"](spark, str(tmp_path)).count() == (10 if kept is rows else 5)
+
+
+def test_scaled_vectors_equal_sql_to_the_letter(spark, data):
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{data}/embeddings.parquet'")
+    want = {i: str(v) for i, v in db.sql(registry.ORACLES["l2_normalize_scaled"]).fetchall()}
+    got = {r.image_id: str(r.v) for r in registry.QUERIES["l2_normalize_scaled"](spark, data).collect()}
+    assert got == want and not any("-0.0," in v or "-0.0]" in v for v in got.values())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10

@@ -4,13 +4,15 @@ import itertools
 import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heddle.functions import fingerprints
-from heddle.functions.statistics import exact_median, exact_quantile, lower_median, nan_mean, running_sums
+from heddle.functions import statistics
+from heddle.functions.statistics import exact_median, exact_quantile, exact_quantiles, lower_median, nan_mean, running_sums
 from heddle.functions.vectors import grid_side, l2_normalised
 from heddle.operators import calibration, features, maps, memory, metrics, nearest, reports, sampling
 from heddle.operators import reliability as rel
@@ -243,6 +245,39 @@ def test_values_of_one_hot_value(spark):
     assert abs(exact_quantile(table, ["category"], "x", 0.9).first()["quantile"] - np.quantile([0.0] * 3000 + list(range(1, 1001)), 0.9)) < 1e-9
 
 
+def moved(spark) -> int:
+    """Bytes that shuffles have written so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    every = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+
+def test_quantiles_move_the_bracket_alone(spark, tmp_path):
+    spark.range(0, 8_000_000, 1, 4).selectExpr("CAST(id % 2 AS STRING) AS category", "CAST(hash(id) AS DOUBLE) + id / 1e7 AS x").write.parquet(str(tmp_path / "t"))
+    table, before = spark.read.parquet(str(tmp_path / "t")), moved(spark)
+    got = {r.category: r["quantile"] for r in exact_quantile(table, ["category"], "x", 0.25).collect()}
+    assert moved(spark) - before < 0.01 * 8_000_000 * 8
+    want = dict(duckdb.sql(f"SELECT category, quantile_cont(x, 0.25) FROM '{tmp_path}/t/*.parquet' GROUP BY 1").fetchall())
+    assert got.keys() == want.keys() and all(math.isclose(got[c], q, rel_tol=1e-12) for c, q in want.items())
+
+
+def test_brackets_that_miss_are_widened_and_large_ones_ranged(spark, monkeypatch):
+    table = spark.range(0, 30_000, 1, 3).selectExpr("CAST(id % 3 AS STRING) AS category", "CAST(hash(id) AS DOUBLE) AS x").unionByName(spark.createDataFrame([("few", 1.0), ("few", 2.0), ("none", None)], "category string, x double"))
+    want = {r.category: r.m for r in table.groupBy("category").agg(F.percentile("x", F.lit(0.37)).alias("m")).filter("category != 'none'").collect()}
+    monkeypatch.setattr(statistics, "SLACK", 1e-4)
+    monkeypatch.setattr(statistics, "ACCURACY", 10)
+    monkeypatch.setattr(statistics, "ORDERED", 20)
+    got = {r.category: r["quantile"] for r in exact_quantile(table, ["category"], "x", 0.37).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[c], want[c], rel_tol=1e-12) for c in want)
+
+
+def test_plan_of_ranking_moves_its_rows_twice(spark):
+    scored = spark.range(1000).selectExpr("CAST(id % 2 AS STRING) AS category", "CAST(id % 3 = 0 AS INT) AS label", "CAST(id AS DOUBLE) AS score")
+    plan = metrics.ranking(scored)._jdf.queryExecution().executedPlan().toString()
+    by = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert "SortMergeJoin" not in plan and len(by) == 3  # the histogram, the ranges, and a row per category and task
+
+
 def test_exact_quantile_equals_percentile(spark):
     rng = np.random.default_rng(6)
     values = {c: rng.normal(size=n) for c, n in (("a", 20_000), ("b", 1), ("c", 17))}

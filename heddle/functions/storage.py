@@ -37,7 +37,7 @@ def stored(df: DataFrame) -> DataFrame:
     """`df`, written as Parquet to the shared folder and read again: the lineage is cut and later reads take only the columns they need."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/heddle-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(folder)
     made = spark.read.schema(df.schema).parquet(folder)
     made.heddle_folder = folder

@@ -83,6 +83,15 @@ def widened(data: bytes, below: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8 if below <= 1 << 8 else np.uint16 if below <= 1 << 16 else np.uint32).astype(np.int64)
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Small whole numbers, as 32-bit ones that are compressed."""
+    return len(numbers).to_bytes(8, "little") + pa.compress(numbers.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def expanded(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], 4 * int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), "<i4").astype(np.int64)
+
+
 def tree_sum(pieces: DataFrame, values: dict[str, type], groups: int) -> DataFrame:
     """(bucket, codes, values): one row for each bucket; `pieces` has bucket, grp from 0 below `groups`, codes and `values`."""
     schema = "bucket long, grp long, codes binary, " + ", ".join(f"{name} binary" for name in values)

@@ -43,7 +43,7 @@ from heddle.llm import exchange
 from heddle.llm.common import discard, freed, hash60, limited_batches, stored
 
 #: Tokens of a block, bytes of a text that are read at a time, and tokens for each bucket.
-BLOCK, READ, BUCKET = 2_000_000, 1 << 22, 3_000_000
+BLOCK, READ, BUCKET = 1_500_000, 1 << 22, 3_000_000
 #: Customers up to which tables are drawn exactly; proposals for each larger cell, and the customers that are seated one by one.
 DRAWN, TRIES, EXACT = 64, 4, 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -167,11 +167,11 @@ def stirling(discount: float) -> np.ndarray:
 
 
 def packed_pairs(hashes: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> dict[str, bytes]:
-    """Pairs as places among the distinct words that they use."""
+    """Pairs, in order of context, as places among the distinct words that they use; contexts as steps from one to the next."""
     used = np.unique(np.concatenate([context, word]))
     place = np.zeros(int(used[-1]) + 1 if len(used) else 0, np.int64)
     place[used] = np.arange(len(used))
-    return {"words": exchange.shortened(hashes[used], 6), "a": exchange.narrow(place[context], len(used)), "b": exchange.narrow(place[word], len(used)), "n": n.astype(np.int32).tobytes()}
+    return {"words": exchange.shortened(hashes[used], 6), "a": exchange.squeezed(np.diff(place[context], prepend=0)), "b": exchange.narrow(place[word], len(used)), "n": exchange.squeezed(n)}
 
 
 def summed_pairs(words: list[bytes], a: list[bytes], b: list[bytes], n: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -181,9 +181,9 @@ def summed_pairs(words: list[bytes], a: list[bytes], b: list[bytes], n: list[byt
     pairs = []
     for own, x, y in zip(each, a, b, strict=True):
         at = np.searchsorted(known, own)
-        pairs.append(at[exchange.widened(x, len(own))] * len(known) + at[exchange.widened(y, len(own))])
+        pairs.append(at[exchange.expanded(x).cumsum()] * len(known) + at[exchange.widened(y, len(own))])
     distinct, places = np.unique(np.concatenate(pairs), return_inverse=True)
-    sums = np.bincount(places, np.frombuffer(b"".join(n), np.int32), len(distinct)).astype(np.int64)
+    sums = np.bincount(places, np.concatenate([exchange.expanded(x) for x in n]), len(distinct)).astype(np.int64)
     return known, distinct // max(len(known), 1), distinct % max(len(known), 1), sums, np.split(places, np.cumsum([len(p) for p in pairs])[:-1])
 
 
@@ -297,7 +297,7 @@ class Model:
             tables, customers = (np.bincount(x[lone], minlength=len(known))[of_base].astype(np.int32) for x in (a, b))
             base = known[of_base]
             made = [{"kind": "all", "bucket": bucket, "block": bucket, "n": n.astype(np.int32), "ones": int(lone.sum()), "twos": int((n == 2).sum())}]
-            made += [{"kind": "places", "bucket": bucket, "block": block, "a": exchange.narrow(own, len(n))} for block, own in zip(blocks, places, strict=True)]
+            made += [{"kind": "places", "bucket": bucket, "block": block, "a": exchange.shortened(own, 3 if len(n) < 1 << 24 else 5)} for block, own in zip(blocks, places, strict=True)]
             made.append({"kind": "cells", "bucket": bucket, "block": bucket, "a": sides[: len(sides) // 2].astype(np.int32), "b": sides[len(sides) // 2 :].astype(np.int32), "n": n[many].astype(np.int32)})
             made.append({"kind": "words", "bucket": bucket, "block": bucket, "codes": asked})
             made += [{"kind": "asks", "bucket": to, "block": bucket, "codes": asked[at]} for to, at in exchange.dealt(asked, buckets)]
@@ -474,7 +474,7 @@ class Model:
             value = np.where(n == 1, 1 - d, 0).astype(np.float32)
             value[n > 1] = n[n > 1] - d * tables / samples
             for block, places in zip(left["block"].to_pylist(), left["a"].to_pylist(), strict=True):
-                told, which = np.unique(value[exchange.widened(places, len(n))], return_inverse=True)
+                told, which = np.unique(value[exchange.lengthened(places, 3 if len(n) < 1 << 24 else 5)], return_inverse=True)
                 yield {"block": block, "bucket": left["bucket"][0].as_py(), "which": exchange.narrow(which, len(told)), "told": told.tobytes()}
 
         return exchange.answered(self.places, table, self.groups, answer, "block long, bucket long, which binary, told binary")
@@ -534,7 +534,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stre
     with limited_batches(spark):
         held = blocks(docs, id_col, text_col)
         model = Model(held, strength, burn, samples, seed)
-        with limited_batches(spark, 4):  # a row holds a block
+        with limited_batches(spark, 1):  # a row holds a block
             model.fit()
             parts = stored(model.scores())
         discard(held)

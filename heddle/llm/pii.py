@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import persisted, whole_text
-from heddle.llm.spans import counted, listed, located, overlaps, ranked
+from heddle.llm.spans import beside, counted, listed, located, ranked, uncovered
 
 LOCAL = "A-Za-z0-9._%+-"
 #: Matching may go on within a run of characters only where the last match ended.
@@ -44,8 +44,8 @@ WHITE = r"\x20\x09-\x0D"
 #: In reversed text from a token backward, the two words before it; in text from a token's end, the word after it.
 BEFORE = rf"^[{WHITE}]*+([^{WHITE}]++)(?:[{WHITE}]++([^{WHITE}]++))?"
 AFTER = rf"^[^{WHITE}]*+[{WHITE}]++([^{WHITE}]++)"
-#: Characters around a token that are read first; where a word goes on beyond them, all of the text is.
-NEAR = 80
+#: Texts are cut into pieces of so many characters; a piece and its neighbour have the words around a token, unless they are longer.
+PIECE = 256
 
 
 def digits(value: Column) -> Column:
@@ -91,24 +91,10 @@ def witnesses(pattern: Column, seeds: int) -> Column:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(key, start, end, token, pattern, seed) of each token of `rows` (key, spans, tokens) and each of its patterns.
-
-    A token that begins a base span is a seed of its kind and stands for the whole span, which may go on
-    over later tokens; those within one are left out. Other tokens need `SHORTEST` characters.
-    """
-    each = rows.select("key", "spans", F.inline("tokens"))
-    lead = F.length(F.regexp_extract("value", r"^[^A-Za-z0-9@+(]*+", 0))
-    core = F.regexp_replace("value", r"^[^A-Za-z0-9@+(]*+|[^A-Za-z0-9)]++$", "")
-    words = [F.lower(F.regexp_replace(w, "[0-9]", "0")).alias(w) for w in ("before", "earlier", "after")]
-    each = each.select("key", "spans", (F.col("start") + lead).alias("start"), core.alias("token"), *words)
-    each = each.withColumn("end", F.col("start") + F.length("token")).filter("token != ''")
-    each = each.withColumn("at", F.filter("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-    each = each.withColumn("begun", F.get(F.filter("at", lambda s: s["start"] >= F.col("start")), F.lit(0)))
-    each = each.filter(F.col("begun").isNotNull() | ((F.size("at") == 0) & (F.length("token") >= SHORTEST)))
-    whole = lambda name, own: F.coalesce(F.col("begun")[name], F.col(own)).alias(own)
-    each = each.select("key", whole("start", "start"), whole("end", "end"), whole("value", "token"), F.when(F.col("begun").isNull(), F.col("after")).otherwise(F.col("begun")["after"]).alias("after"), "before", "earlier", F.col("begun")["kind"].alias("seed"))
-    after = F.lower(F.regexp_replace("after", "[0-9]", "0"))
-    return each.select("key", "start", "end", "token", F.explode(patterns(F.col("token"), F.col("before"), F.col("earlier"), after)).alias("pattern"), "seed")
+    """(key, start, end, token, pattern, seed) of each token of `rows` (key, tokens) and each of its patterns."""
+    each = rows.select("key", F.inline("tokens"))
+    words = [F.lower(F.regexp_replace(w, "[0-9]", "0")) for w in ("before", "earlier", "after")]
+    return each.select("key", "start", "end", F.col("value").alias("token"), F.explode(patterns(F.col("value"), *words)).alias("pattern"), "seed")
 
 
 def trusted_patterns(found: DataFrame, rounds: int, seeds: int, least: float) -> DataFrame:
@@ -137,14 +123,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     base = base_spans(text)
     rows = rows.select("id", "text", *[spans.alias(kind) for kind, spans in base.items()])
-    valued = lambda kind: F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), word_after(text, s["end"]).alias("after"), F.lit(kind).alias("kind")))
-    rows = rows.withColumn("spans", F.concat(*map(valued, KINDS))).withColumn("parts", located(text, PARTS, text.rlike(r"[0-9][0-9().-]*+\x20\(?[0-9]")))
-    rows = rows.withColumn("parts", F.filter("parts", lambda p: ~overlaps(F.col("spans"), p["start"], p["end"])))
-    single = F.filter(located(text, TOKEN, text.rlike("[0-9@]")), lambda t: ~F.exists("parts", lambda p: p["start"] == t["start"]))
-    tokens = _with_words(F.concat("parts", single), text)
+    rows = rows.withColumn("pieces", F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0))
+    parts = located(text, PARTS, text.rlike(r"[0-9][0-9().-]*+\x20\(?[0-9]"))
+    rows = rows.withColumn("parts", uncovered(parts, *map(F.col, KINDS))).withColumn("single", located(text, TOKEN, text.rlike("[0-9@]")))
+    rows = rows.withColumn("tokens", joined_tokens(F.col("parts"), F.col("single"))).withColumn("tokens", F.filter(F.transform("tokens", bare), lambda t: t["value"] != ""))
+    for kind in KINDS:
+        rows = rows.withColumn(f"{kind}_by", beside(F.col("tokens"), F.col(kind)))
+    marked = F.arrays_zip(F.col("tokens").alias("token"), *[F.col(f"{kind}_by") for kind in KINDS])
+    rows = rows.withColumn("tokens", F.filter(F.transform(marked, candidate), lambda t: t["start"].isNotNull()))
+    tokens = F.transform("tokens", lambda t: with_words(t, F.col("pieces"), text))
     all_base = F.concat(*[ranked(F.col(kind), kind, i) for i, kind in enumerate(KINDS)])
     # The key marks rows; it is fixed by being written.
-    rows = persisted(rows.select(F.monotonically_increasing_id().alias("key"), "id", all_base.alias("base"), "spans", tokens.alias("tokens")))
+    rows = persisted(rows.select(F.monotonically_increasing_id().alias("key"), "id", all_base.alias("base"), tokens.alias("tokens")))
     found = occurrences(rows.filter(F.size("tokens") > 0))
     sure = persisted(trusted_patterns(found, rounds, seeds, least))
     new = found.filter("seed IS NULL").join(sure, "pattern")
@@ -156,30 +146,59 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     return joined.select(F.col("id").alias(id_col), "base", F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("added"))
 
 
-def word_after(text: Column, end: Column) -> Column:
+def joined_tokens(parts: Column, single: Column) -> Column:
+    """Numbers in parts, and the tokens that don't begin one, in order."""
+    alone = F.filter(F.arrays_zip(single.alias("token"), beside(single, parts).alias("by")), lambda x: x["by"]["begun"].isNull() | (x["by"]["begun"]["start"] != x["token"]["start"]))
+    return F.array_sort(F.concat(parts, F.transform(alone, lambda x: x["token"])))
+
+
+def bare(token: Column) -> Column:
+    """A token without the marks around it."""
+    start = token["start"] + F.length(F.regexp_extract(token["value"], r"^[^A-Za-z0-9@+(]*+", 0))
+    core = F.regexp_replace(token["value"], r"^[^A-Za-z0-9@+(]*+|[^A-Za-z0-9)]++$", "")
+    return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"))
+
+
+def candidate(x: Column) -> Column:
+    """(start, end, value, from, seed) of a token; start is null where it is none.
+
+    A token that begins a base span is a seed of its kind and stands for the whole span, which may go on
+    over later tokens; those within one are left out. Other tokens need `SHORTEST` characters.
+    """
+    token, begun = x["token"], F.lit(None).cast("struct<start:int,end:int,value:string,kind:string>")
+    covered = F.lit(False)
+    for kind in reversed(KINDS):
+        own = x[f"{kind}_by"]["begun"]
+        begun = F.when(own.isNotNull(), F.struct(own["start"].alias("start"), own["end"].alias("end"), own["value"].alias("value"), F.lit(kind).alias("kind"))).otherwise(begun)
+        covered = covered | x[f"{kind}_by"]["covered"]
+    stands = begun.isNotNull() | (~covered & (F.length(token["value"]) >= SHORTEST))
+    of = lambda name: F.coalesce(begun[name], token[name]).alias(name)
+    return F.struct(F.when(stands, F.coalesce(begun["start"], token["start"])).alias("start"), of("end"), of("value"), token["start"].alias("from"), begun["kind"].alias("seed"))
+
+
+def word_after(pieces: Column, text: Column, end: Column) -> Column:
     """The word after the token that `end` lies in or ends, "" where there is none."""
-    near = F.substring(text, end + 1, F.lit(NEAR))
+    piece = F.floor(end / PIECE).cast("int")
+    near = F.substring(F.concat(F.coalesce(F.get(pieces, piece), F.lit("")), F.coalesce(F.get(pieces, piece + 1), F.lit(""))), end - piece * PIECE + 1, F.lit(2 * PIECE))
     found = F.regexp_extract(near, AFTER, 0)
-    whole = F.when((F.length(near) == NEAR) & ((found == "") | (F.length(found) == NEAR)), F.substring(text, end + 1, F.length(text) - end)).otherwise(near)
+    whole = F.when((F.size(pieces) > piece + 2) & ((found == "") | (F.length(found) == F.length(near))), F.substring(text, end + 1, F.length(text) - end)).otherwise(near)
     return F.regexp_extract(whole, AFTER, 1)
 
 
-def words_before(text: Column, start: Column) -> Column:
+def words_before(pieces: Column, text: Column, start: Column) -> Column:
     """(before, earlier): the word before a token and the one before that, "" where there is none."""
-    near = F.reverse(F.substring(text, F.greatest(F.lit(0), start - NEAR) + 1, F.least(start, F.lit(NEAR))))
+    piece = F.floor(start / PIECE).cast("int")
+    both = F.concat(F.coalesce(F.get(pieces, piece - 1), F.lit("")), F.coalesce(F.get(pieces, piece), F.lit("")))
+    near = F.reverse(F.substring(both, F.lit(1), start - F.greatest(F.lit(0), piece - 1) * PIECE))
     found = F.regexp_extract(near, BEFORE, 0)
-    whole = F.when((start > NEAR) & ((F.length(found) == NEAR) | (F.regexp_extract(near, BEFORE, 2) == "")), F.reverse(F.substring(text, F.lit(1), start))).otherwise(near)
+    whole = F.when((piece > 1) & ((F.length(found) == F.length(near)) | (F.regexp_extract(near, BEFORE, 2) == "")), F.reverse(F.substring(text, F.lit(1), start))).otherwise(near)
     return F.struct(F.reverse(F.regexp_extract(whole, BEFORE, 1)).alias("before"), F.reverse(F.regexp_extract(whole, BEFORE, 2)).alias("earlier"))
 
 
-def _with_words(spans: Column, text: Column) -> Column:
-    """Spans with the two words before each and the one after it."""
-
-    def widened(s: Column) -> Column:
-        words = words_before(text, s["start"])
-        return F.struct(s["start"].alias("start"), s["value"].alias("value"), words["before"].alias("before"), words["earlier"].alias("earlier"), word_after(text, s["start"] + F.length(s["value"])).alias("after"))
-
-    return F.transform(spans, widened)
+def with_words(t: Column, pieces: Column, text: Column) -> Column:
+    """A candidate with the two words before its token and the one after it."""
+    words = words_before(pieces, text, t["from"])
+    return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), words["before"].alias("before"), words["earlier"].alias("earlier"), word_after(pieces, text, t["end"]).alias("after"), t["seed"].alias("seed"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

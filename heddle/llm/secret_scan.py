@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import persisted, whole_text
-from heddle.llm.spans import counted, listed, located, overlaps, ranked
+from heddle.llm.spans import beside, counted, listed, located, ranked
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
 ASSIGNED = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]{6,}+$"""
@@ -165,16 +165,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     base = base_spans(text)
     rows = rows.select("id", *[spans.alias(kind) for kind, spans in base.items()], located(text, RUN, text.rlike("[A-Za-z0-9+/_-]{16}")).alias("runs"))
+    for kind in KINDS:
+        rows = rows.withColumn(f"{kind}_by", F.transform(beside(F.col("runs"), F.col(kind)), lambda x: x["covered"]))
+    known = lambda x: x["assign_by"] | x["access_by"] | x["hex_by"]
+    marked = F.transform(F.arrays_zip("runs", *[f"{kind}_by" for kind in KINDS]), lambda x: F.struct(x["runs"]["start"].alias("start"), x["runs"]["end"].alias("end"), x["runs"]["value"].alias("value"), known(x).alias("known")))
+    rows = rows.withColumn("runs", marked)
     all_base = F.concat(*[ranked(F.col(kind), kind, i) for i, kind in enumerate(KINDS)])
     # The key marks rows; it is fixed by being written.
     rows = persisted(rows.select(F.monotonically_increasing_id().alias("key"), "id", all_base.alias("base"), "runs"))
-    runs = rows.select("key", "base", F.inline("runs")).select("key", "base", "start", "end", F.regexp_replace("value", "=+$", "").alias("run"))
+    runs = rows.select("key", F.inline("runs")).select("key", "known", "start", "end", F.regexp_replace("value", "=+$", "").alias("run"))
     tested = text_likeness(measured(runs))
     # Written, so that the battery reads columns: pushed down with its filter, it would test every run, and find the alphabet anew for each symbol.
     unlike_text = persisted(significant(tested.filter(F.col("power") >= POWER), fdr).filter("significant").drop("tenths", "significant"))
-    tried = persisted(battery(unlike_text).select("key", "base", "start", "end", "n", _tenths(-F.log10(F.greatest(F.lit(1e-300), F.col("p")))).alias("tenths")))
+    tried = persisted(battery(unlike_text).select("key", "known", "start", "end", "n", _tenths(-F.log10(F.greatest(F.lit(1e-300), F.col("p")))).alias("tenths")))
     sure = significant(tried, fdr).filter("NOT significant")
-    new = sure.filter(~overlaps(F.col("base"), F.col("start"), F.col("end")))
+    new = sure.filter(~F.col("known"))
     added = new.groupBy("key").agg(F.collect_set(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.lit("random").alias("kind"), F.col("end"))).alias("added"))
     joined = rows.select("key", "id", "base").join(added, "key", "left")
     return joined.select(F.col("id").alias(id_col), "base", F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")).alias("added"))

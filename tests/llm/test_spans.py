@@ -1,5 +1,7 @@
 """PII and secret scans against Python's own regular expressions, and what their methods add."""
 
+import time
+from collections import defaultdict
 import hashlib
 import math
 import random
@@ -197,3 +199,131 @@ def test_numbers_of_the_length_of_keys_are_no_discoveries(spark):
     found = {r.doc_id for r in secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string")).filter("spans LIKE '%random%'").collect()}
     assert all(i >= 50_000 for i in found)
     assert all(sum(50_000 + 100 * n <= i < 50_100 + 100 * n for i in found) >= least for n, least in ((40, 30), (64, 38)))
+
+
+# The methods' own parts, against plain versions
+
+
+def plain_trust(edges, rounds, seeds, least):
+    """`edges`: {(pattern, token): (n, seed or None)}; the same scores with dicts."""
+    tokens_of = defaultdict(dict)
+    for (pattern, token), (n, _) in edges.items():
+        tokens_of[pattern][token] = n
+    seed_of = {token: seed for (_, token), (_, seed) in edges.items() if seed}
+    used = {p: t for p, t in tokens_of.items() if len(t) > 1 and any(edges[p, x][1] for x in t)}
+    start = {(t, k): 1.0 for t, k in seed_of.items()}
+    trust, scored = dict(start), {}
+    need = lambda p: seeds if p.startswith("two before") else 3 * seeds if p.startswith(("before and shape", "shape and after")) else 6 * seeds
+    for _ in range(rounds):
+        scored = {}
+        for p, tokens in used.items():
+            for kind in {k for t, k in trust if t in tokens}:
+                sure = sum(n * trust.get((t, kind), 0.0) for t, n in tokens.items()) / (sum(tokens.values()) + 0.5)
+                scored[p, kind] = (sure, sum(seed_of.get(t) == kind for t in tokens))
+        spread = defaultdict(lambda: 1.0)
+        for (p, kind), (sure, k) in scored.items():
+            if sure >= least / 2 and k >= need(p):
+                for t in used[p]:
+                    spread[t, kind] *= max(1e-6, 1 - sure)
+        trust = dict(start)
+        for key, left in spread.items():
+            trust[key] = max(trust.get(key, 0.0), 1 - left)
+    best = {}
+    for (p, kind), (sure, k) in sorted(scored.items()):
+        if sure >= least and k >= need(p) and sure > best.get(p, ("", 0.0))[1]:
+            best[p] = (kind, sure)
+    return best
+
+
+def test_pattern_graph_equals_a_plain_one(spark):
+    pick = random.Random(8)
+    names = ["two before: a b", "two before: c d", "before: a", "after: x", "before and shape: a a0", "shape and after: a0 x", "two before: e f"]
+    for _ in range(3):
+        seed_of = {f"t{i}": pick.choice(["email", "phone", None]) for i in range(40)}
+        found = []
+        for _ in range(400):
+            token, group = pick.choice(list(seed_of)), pick.choice(names)
+            if pick.random() < 0.7 and seed_of[token] is None and group != "after: x":
+                continue
+            found.append((group, token, seed_of[token]))
+        edges = {}
+        for p, t, s in found:
+            edges[p, t] = (edges.get((p, t), (0, s))[0] + 1, s)
+        want = plain_trust(edges, 3, 2, 0.6)
+        got = {r.pattern: (r.kind, r.confidence) for r in pii.trusted_patterns(spark.createDataFrame(found, "pattern string, token string, seed string"), 3, 2, 0.6).collect()}
+        assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-9 for p in want)
+
+
+def test_false_discovery_control_equals_a_plain_one(spark):
+    pick = random.Random(9)
+    runs = [(i, pick.choice([16, 20, 30, 60, 100]), pick.choice([pick.randrange(40), pick.randrange(200)])) for i in range(800)]
+    got = {r.id: r.significant for r in secret_scan.significant(spark.createDataFrame(runs, "id int, n long, tenths int"), 0.01).collect()}
+    of_band = defaultdict(list)
+    for i, n, tenths in runs:
+        of_band[sum(n >= low for low in secret_scan.BANDS)].append((10 ** (-tenths / 10), i))
+    want = {}
+    for each in of_band.values():
+        each.sort()
+        k = max((r for r, (p, _) in enumerate(each, 1) if p <= 0.01 * r / len(each)), default=0)
+        bound = each[k - 1][0] if k else -1.0
+        want.update((i, p <= bound) for p, i in each)
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def planted(pick, n):
+    """(texts, unseen forms): base forms and forms that no base pattern matches, in the same surroundings, among other numbers."""
+    base = {"email": lambda: f"user{pick.randrange(10**6)}@mail{pick.randrange(99)}.example.org", "ip": lambda: ".".join(str(pick.randrange(1, 255)) for _ in range(4)), "phone": lambda: f"+{pick.randrange(10, 99)} {pick.randrange(100, 999)} {pick.randrange(10**6, 10**7)}"}
+    odd = {"email": lambda: f"user{pick.randrange(10**6)}@intranet", "ip": lambda: f"{pick.randrange(1, 255)}.{pick.randrange(1, 255)}.{pick.randrange(300, 999)}.{pick.randrange(1, 255)}", "phone": lambda: f"0{pick.randrange(10**8, 10**9)}", "card": lambda: "4929" + str(pick.randrange(10**8, 10**9 - 1))[:7] + "x"}
+    base["card"] = lambda: luhn_number(pick)
+    lead = {"email": "please write to", "ip": "the server at", "phone": "or call us", "card": "paid with card"}
+    texts, hidden = [], []
+    for i in range(n):
+        kind = pick.choice(list(lead))
+        unseen = pick.random() < 0.25
+        value = (odd if unseen else base)[kind]()
+        noise = f"In {pick.randrange(1900, 2030)} we sold {pick.randrange(10**5, 10**6)} items of batch b{pick.randrange(10**4, 10**5)} there."
+        texts.append(f"{noise} Then {lead[kind]} {value} for more. {noise}")
+        if unseen:
+            hidden.append((i, kind, len(noise) + len(f" Then {lead[kind]} ")))
+    return texts, hidden
+
+
+def luhn_number(pick):
+    digits = [pick.randrange(10) for _ in range(15)]
+    total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits))
+    return "".join(map(str, digits)) + str(-total % 10)
+
+
+def test_unseen_forms_of_every_kind_are_found(spark):
+    texts, hidden = planted(random.Random(10), 1200)
+    got = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {(r.doc_id, x.split(":")[0][4:], int(x.split(":")[1])) for r in got for x in r.spans.split(",") if x.startswith("ctx_")}
+    for kind in pii.KINDS:
+        want, own = {h for h in hidden if h[1] == kind}, {f for f in found if f[1] == kind}
+        assert len(want & own) >= 0.9 * len(want) > 40 and len(want & own) >= 0.9 * len(own), (kind, len(want), len(own), len(want & own))
+
+
+def test_secrets_without_a_pattern_are_found(spark):
+    pick = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = [w for w in ("internationalization configuration management documentation applications environments responsibility implementation").split()]
+    texts, hidden = [], set()
+    for i in range(900):
+        if i % 3 == 0:
+            texts.append("key " + "".join(pick.choices(alphabet, k=64)) + " end")
+            hidden.add(i)
+        else:
+            texts.append("see " + "-".join(pick.choices(words, k=4)) + " end")
+    got = {r.doc_id: "random" in r.spans for r in secret_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hits, false = sum(got[i] for i in hidden), sum(v for i, v in got.items() if i not in hidden)
+    assert hits >= 0.9 * len(hidden) and false <= 0.01 * max(1, hits + false), (hits, len(hidden), false)
+
+
+def test_many_tokens_and_spans_in_one_text(spark):
+    pick = random.Random(12)
+    text = " ".join(pick.choice([f"w{i}", f"a{i}@b.com", f"10.0.0.{i % 256}", f"{pick.getrandbits(100):025x}"]) for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = pii.report(docs).first()
+    assert (r.n_email, r.n_ip) == (sum("@" in w for w in text.split()), sum(w.startswith("10.0.") for w in text.split()))
+    assert secret_scan.report(docs).first().n_hex == len(re.findall(r"(?<![0-9a-f])[0-9a-f]{24,}", text)) and time.time() - began < 60

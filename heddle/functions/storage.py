@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Removes what `stored` has written for `df`, which isn't read any more, and lets Spark drop the shuffle files of
-    finished steps: it does so when the driver's objects for them are collected."""
+    """Removes what `stored` has written for `df`, which isn't read any more, and lets Spark drop shuffle files."""
     spark = df.sparkSession
     _WRITTEN.get(spark.sparkContext.applicationId, []).remove(df.heddle_folder)
     _delete(spark, df.heddle_folder)
@@ -54,8 +54,12 @@ def discard(df: DataFrame) -> None:
 
 
 def freed(spark: SparkSession) -> None:
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark drop the shuffle files of finished steps: it does so when the driver's objects for them are collected,
+    which takes two rounds, since what the first one finds only then lets go of the rest."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def _delete(spark: SparkSession, folder: str) -> None:

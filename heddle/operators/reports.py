@@ -204,26 +204,6 @@ def missing_cases(cases: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     return expected.select(key).distinct().join(cases.select(key), key, "left_anti")
 
 
-def protocol_violations(cases: DataFrame, constant: tuple[str, ...] = ("model_seed", "protocol_fingerprint", "stage", "category_order")) -> DataFrame:
-    """(method, rule, found) for each broken rule: methods, split seeds, constant fields, held-out diagnostics."""
-    methods = cases.select("method").distinct()
-    expected = cases.sparkSession.createDataFrame([(m,) for m in METHODS], "method string")
-    unknown = methods.exceptAll(expected).select("method", F.lit("unexpected method").alias("rule"), F.lit(1).cast("long").alias("found"))
-    absent = expected.exceptAll(methods).select("method", F.lit("missing method").alias("rule"), F.lit(0).cast("long").alias("found"))
-    pairs = cases.select("method", "threshold_split_seed").distinct()
-    lacking = methods.crossJoin(cases.select("threshold_split_seed").distinct()).exceptAll(pairs).groupBy("method").agg(F.count(F.lit(1)).alias("found"))
-    rules = [unknown, absent, lacking.select("method", F.lit("missing split seeds").alias("rule"), "found")]
-    for name in constant:
-        if name in cases.columns:
-            rules.append(cases.groupBy("method").agg(F.countDistinct(name).alias("found")).filter("found > 1").select("method", F.lit(f"{name} varies").alias("rule"), "found"))
-    for name, wrong in (("not held out", F.col("normal_diagnostic_mode") != "held_out_from_threshold_fit"), ("no validation images", F.col("normal_validation_images") < 1)):
-        rules.append(cases.filter(wrong).groupBy("method").agg(F.count(F.lit(1)).alias("found")).select("method", F.lit(name).alias("rule"), "found"))
-    out = rules[0]
-    for more in rules[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 def stage_overlap(dev: DataFrame, validation: DataFrame) -> DataFrame:
     """Categories in both stages; sound stages share none."""
     return dev.select("category").intersect(validation.select("category"))

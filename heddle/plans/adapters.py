@@ -236,3 +236,55 @@ def marked_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         "spatial_mode": F.lit("adaptive"), "config_fingerprint": F.when(every(11), "stale").otherwise(config_fingerprint(F.col("config_json"))),
     }
     return rows.select("k", F.col("k").cast("string").alias("case_dir"), "categories", "config_json", "metrics_json", *[c.alias(f) for f, c in marker.items()])
+
+
+def _faulty(n: int) -> Column:
+    return F.col("k") % n == 0
+
+
+def gated_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, method, threshold_split_seed, config_json, metrics_json): a case for each supplier, with faults by its key."""
+    from heddle.operators.reports import METHODS
+
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")).distinct()
+    method = F.when(_faulty(31), "another").otherwise(F.element_at(F.array(*map(F.lit, METHODS)), (F.col("k") % 3 + 1).cast("int")))
+    config = config_json(
+        experiment__seed=F.when(_faulty(5), 43).otherwise(42), experiment__protocol_stage=F.when(_faulty(7), "validation").otherwise("development"), data__categories=F.array(*map(F.lit, "abc")),
+        calibration__pixel_quantile=F.when(_faulty(11), 0.9).otherwise(0.995), memory__ratio=F.when(_faulty(13), 0.25).otherwise(0.5), model__active_layers=F.when(_faulty(29), F.array(F.lit(6), F.lit(3))).otherwise(F.array(F.lit(3), F.lit(6))),
+    )
+    row = lambda c: F.struct(F.lit(c).alias("category"), (F.when(_faulty(19), "same_images").otherwise("held_out_from_threshold_fit") if c == "b" else F.lit("held_out_from_threshold_fit")).alias("normal_diagnostic_mode"), (F.when(_faulty(23), 0).otherwise(2) if c == "c" else F.lit(2)).alias("normal_validation_images"))
+    listed = F.array(*map(row, "abc"))
+    metrics = F.to_json(F.struct(F.when(_faulty(17), F.reverse(listed)).otherwise(listed).alias("categories")))
+    return rows.select("k", method.alias("method"), (42 + F.floor(F.col("k") / 3) % 3).cast("int").alias("threshold_split_seed"), config.alias("config_json"), metrics.alias("metrics_json"))
+
+
+def gated_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, case, config_json, metrics_json): a layer study for each supplier, whose cases are its line numbers; each differs in one of nine fields."""
+    from heddle.operators.reports import LAYER_CASES
+
+    rows = read(spark, sf_dir, "lineitem").filter("l_linenumber <= 5").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("n")).distinct()
+    other = lambda i, a, b: F.when((F.col("k") + F.col("n")) % 9 == i, b).otherwise(a)
+    config = config_json(
+        experiment__seed=other(0, 42, 7), data__image_size=other(1, 8, 16), data__calibration_fraction=other(2, 0.2, 0.25), model__checkpoint=other(3, "none", "some"), model__token_norm=other(4, "none", "l2"),
+        memory__sampling=other(5, "random", "k_center"), memory__ratio=other(6, 0.5, 0.1), retrieval__spatial_mode=other(7, "adaptive", "none"), retrieval__lambda_max=other(8, 0.1, 0.2),
+    )
+    listed = F.array(*[F.struct(F.lit(c).alias("category")) for c in "abc"])
+    metrics = F.to_json(F.struct(F.when(F.col("n") % 4 == 0, F.reverse(listed)).otherwise(listed).alias("categories")))
+    return rows.select("k", F.element_at(F.array(*map(F.lit, LAYER_CASES)), F.col("n").cast("int")).alias("case"), config.alias("config_json"), metrics.alias("metrics_json"))
+
+
+def staged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, dev_json, validation_json, selection_json, validation_selection_json): summaries of two stages for each customer with orders, with faults by its key."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    method = F.lit("global_quantile")
+    names = lambda low, high: F.array(*[F.lit(f"c{i}") for i in range(low, high)])
+    selection = lambda kept: F.to_json(F.struct(method.alias("selected_method"), F.lit("f1").alias("selected_protocol_fingerprint"), F.struct(F.lit(0.995).alias("pixel_quantile")).alias("selected_parameters"), kept.alias("note")))
+    mode = lambda n: F.when(_faulty(n), "same_images").otherwise("held_out_from_threshold_fit").alias("normal_diagnostic_mode")
+    dev = F.struct(F.when(_faulty(2), "validation").otherwise("development").alias("stage"), F.lit(42).alias("model_seed"), F.array(F.lit(42), F.lit(43)).alias("threshold_split_seeds"), F.lit("b1").alias("base_protocol_fingerprint"), mode(29), names(0, 5).alias("categories"))
+    shared = F.when(_faulty(37) & _faulty(41), names(4, 13)).when(_faulty(37), names(4, 14)).when(_faulty(41), names(5, 14)).otherwise(names(5, 15))
+    validation = F.struct(
+        F.when(_faulty(3), "development").otherwise("validation").alias("stage"), F.when(_faulty(7), F.array(method, F.lit("other"))).otherwise(F.array(method)).alias("methods"), F.when(_faulty(11), 43).otherwise(42).alias("model_seed"),
+        F.when(_faulty(13), F.array(F.lit(42))).otherwise(F.array(F.lit(42), F.lit(43))).alias("threshold_split_seeds"), F.when(_faulty(17), "b2").otherwise("b1").alias("base_protocol_fingerprint"),
+        F.struct(F.when(_faulty(19), "f2").otherwise("f1").alias("global_quantile")).alias("method_protocol_fingerprints"), F.struct(F.struct(F.when(_faulty(23), 0.9).otherwise(0.995).alias("pixel_quantile")).alias("global_quantile")).alias("threshold_parameters"), mode(31), shared.alias("categories"),
+    )
+    return rows.select("k", F.to_json(dev).alias("dev_json"), F.to_json(validation).alias("validation_json"), selection(F.lit("kept")).alias("selection_json"), selection(F.when(_faulty(5), "changed").otherwise("kept")).alias("validation_selection_json"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from heddle.functions import fingerprints
 from heddle.functions.statistics import exact_quantiles
 from heddle.functions.storage import shared_folder
-from heddle.operators import calibration, features, maps, memory, metrics, nearest, reports, sampling
+from heddle.operators import calibration, features, gates, maps, memory, metrics, nearest, reports, sampling
 from heddle.operators import reliability as rel
 from heddle.plans import adapters
 from heddle.plans import oracles as sql
@@ -528,11 +528,43 @@ def missing_cases(spark, d):
     return reports.missing_cases(adapters.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), adapters.read(spark, d, "customer"), "c_custkey")
 
 
-@query(sql.cases("""SELECT method, 'model_seed varies' AS rule, count(DISTINCT category) AS found FROM cases GROUP BY method
- UNION ALL SELECT method, 'not held out', count(*) FROM cases WHERE threshold_split_seed = 44 GROUP BY method"""))
+#: Written from the rules of the threshold study; the moduli are those of `adapters.gated_cases`.
+THRESHOLD_FAULTS = """WITH c AS (SELECT DISTINCT l_suppkey AS k FROM lineitem)
+SELECT k, 'model seed' AS rule, 'experiment.seed' AS path FROM c WHERE k % 5 = 0
+UNION ALL SELECT k, 'stage', 'experiment.protocol_stage' FROM c WHERE k % 7 = 0
+UNION ALL SELECT k, 'threshold parameters', 'calibration.pixel_quantile' FROM c WHERE k % 11 = 0
+UNION ALL SELECT k, 'base protocol', 'calibration.pixel_quantile' FROM c WHERE k % 11 = 0
+UNION ALL SELECT k, 'base protocol', 'memory.ratio' FROM c WHERE k % 13 = 0
+UNION ALL SELECT k, 'base protocol', 'model.active_layers' FROM c WHERE k % 29 = 0
+UNION ALL SELECT k, 'category order', 'categories' FROM c WHERE k % 17 = 0
+UNION ALL SELECT k, 'not held out', 'b' FROM c WHERE k % 19 = 0
+UNION ALL SELECT k, 'no validation images', 'c' FROM c WHERE k % 23 = 0
+UNION ALL SELECT DISTINCT NULL, 'unexpected method', 'another' FROM c WHERE k % 31 = 0"""
+
+
+@query(THRESHOLD_FAULTS.replace("FROM c WHERE", "FROM c WHERE k % 31 <> 0 AND").replace("k % 31 <> 0 AND k % 31 = 0", "k % 31 = 0"))
 def protocol_violations(spark, d):
-    mode = F.when(F.col("threshold_split_seed") == 44, "same_images").otherwise("held_out_from_threshold_fit")
-    return reports.protocol_violations(adapters.cases(spark, d).withColumn("model_seed", F.col("category")).withColumn("normal_diagnostic_mode", mode))
+    return gates.threshold_faults(adapters.gated_cases(spark, d), ["k"])
+
+
+@query("""WITH c AS (SELECT DISTINCT l_suppkey AS k, l_linenumber AS n FROM lineitem WHERE l_linenumber <= 5), s AS (SELECT DISTINCT k FROM c),
+labels AS (SELECT k, n, ['block3', 'block6', 'block9', 'block12', 'fusion_3_6_9_12'][n] AS "case" FROM c),
+ref AS (SELECT k, min(n) AS n FROM c GROUP BY k)
+SELECT l.k, "case", 'protocol' AS rule, path FROM labels l JOIN ref r ON l.k = r.k AND l.n <> r.n,
+ (SELECT unnest(['experiment.seed', 'data.image_size', 'data.calibration_fraction', 'model.checkpoint', 'model.token_norm', 'memory.sampling', 'memory.ratio', 'retrieval.spatial_mode', 'retrieval.lambda_max']) AS path, unnest(range(9)) AS i) p
+ WHERE ((l.k + l.n) % 9 = i) <> ((l.k + r.n) % 9 = i)
+UNION ALL SELECT l.k, "case", 'category order', 'categories' FROM labels l JOIN ref r ON l.k = r.k WHERE (l.n % 4 = 0) <> (r.n % 4 = 0)
+UNION ALL SELECT k, m, 'missing case', NULL FROM s, (SELECT unnest(['block3', 'block6', 'block9', 'block12', 'fusion_3_6_9_12']) AS m) WHERE (k, m) NOT IN (SELECT k, "case" FROM labels)""")
+def layer_protocol_faults(spark, d):
+    return gates.layer_faults(adapters.gated_layers(spark, d), ["k", "case"], ["k"])
+
+
+@query("""SELECT k, list_filter([CASE WHEN k % 2 = 0 THEN 'dev stage' END, CASE WHEN k % 3 = 0 THEN 'validation stage' END, CASE WHEN k % 5 = 0 THEN 'selection kept' END, CASE WHEN k % 7 = 0 THEN 'only the selected method' END,
+ CASE WHEN k % 11 = 0 THEN 'model seed' END, CASE WHEN k % 13 = 0 THEN 'split seeds' END, CASE WHEN k % 17 = 0 THEN 'base protocol' END, CASE WHEN k % 19 = 0 THEN 'selected protocol' END, CASE WHEN k % 23 = 0 THEN 'locked parameters' END,
+ CASE WHEN k % 29 = 0 THEN 'dev diagnostics' END, CASE WHEN k % 31 = 0 THEN 'validation diagnostics' END, CASE WHEN k % 37 = 0 THEN 'disjoint categories' END, CASE WHEN k % 41 = 0 THEN 'category counts' END], lambda x: x IS NOT NULL) AS rules
+ FROM (SELECT DISTINCT o_custkey AS k FROM orders) WHERE len(rules) > 0""")
+def stage_protocol_faults(spark, d):
+    return gates.stage_faults(adapters.staged_pairs(spark, d), ["k"])
 
 
 @query("SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS category FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT CAST(l_suppkey AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R'")

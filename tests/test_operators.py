@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import copy
 import math
 
 import duckdb
@@ -14,7 +15,8 @@ from heddle.functions import fingerprints
 from heddle.functions import statistics
 from heddle.functions.statistics import exact_median, exact_quantile, exact_quantiles, lower_median, nan_mean, running_sums
 from heddle.functions.vectors import grid_side, l2_normalised
-from heddle.operators import calibration, features, maps, memory, metrics, nearest, reports, sampling
+from heddle.plans import adapters
+from heddle.operators import gates, calibration, features, maps, memory, metrics, nearest, reports, sampling
 from heddle.operators import reliability as rel
 
 FEATURES = "category string, image_id long, layer int, patch_id int, v array<double>"
@@ -311,9 +313,92 @@ def test_threshold_reports(spark):
     stability = reports.threshold_split_stability(table)
     assert stability.count() == 3 and reports.select_method(stability).first().method == "global_quantile"
     assert reports.oracle_baseline(table).first().max_difference == 0.0
-    assert reports.protocol_violations(table).count() == 0
-    broken = table.filter("method != 'image_max_quantile' AND NOT (method = 'image_topk_quantile' AND threshold_split_seed = 43)")
-    assert {(r.method, r.rule) for r in reports.protocol_violations(broken).collect()} == {("image_max_quantile", "missing method"), ("image_topk_quantile", "missing split seeds")}
+
+
+def study(spark, change=lambda method, seed, config, rows: None, methods=reports.METHODS):
+    """A threshold study of some methods and two split seeds, whose cases `change` spoils."""
+    out = []
+    for method in methods:
+        for seed in (42, 43):
+            config = copy.deepcopy(adapters.CONFIG)
+            config["experiment"]["protocol_stage"] = "development" if len(methods) > 1 else "validation"
+            config["data"]["categories"] = ["bottle", "grid"]
+            config["calibration"]["pixel_threshold_method"] = method
+            rows = [{"category": c, "normal_diagnostic_mode": "held_out_from_threshold_fit", "normal_validation_images": 1} for c in ("bottle", "grid")]
+            change(method, seed, config, rows)
+            out.append((method, seed, json.dumps(config), json.dumps({"categories": rows})))
+    return spark.createDataFrame(out, "method string, threshold_split_seed int, config_json string, metrics_json string")
+
+
+KEYS = ["method", "threshold_split_seed"]
+TOPK, MAXQ = "image_topk_quantile", "image_max_quantile"
+
+
+def spoil(path, value, when=lambda m, s: (m, s) == (TOPK, 43)):
+    def change(method, seed, config, rows):
+        part, name = path.split(".")
+        if when(method, seed):
+            if value is None:
+                config[part].pop(name)
+            else:
+                config[part][name] = value
+
+    return change
+
+
+@pytest.mark.parametrize(
+    "change, rule, cases",
+    [
+        (spoil("experiment.protocol_stage", "validation"), "stage", {(TOPK, 43)}),
+        (spoil("experiment.seed", 7, lambda m, s: m == MAXQ), "model seed", {(MAXQ, 42), (MAXQ, 43)}),  # a whole method
+        (spoil("memory.ratio", 0.1), "base protocol", {(TOPK, 43)}),
+        (spoil("model.active_layers", [6, 3], lambda m, s: m == MAXQ), "base protocol", {(MAXQ, 42), (MAXQ, 43)}),
+        (spoil("inference.gaussian_sigma", None), "base protocol", {(TOPK, 43)}),
+        (spoil("calibration.pixel_threshold_method", "other"), "threshold parameters", {(TOPK, 43)}),
+    ],
+)
+def test_threshold_gate_finds_each_fault(spark, change, rule, cases):
+    found = {(r.rule, r.method, r.threshold_split_seed) for r in gates.threshold_faults(study(spark, change), KEYS).collect()}
+    assert found == {(rule, *c) for c in cases}
+
+
+def test_threshold_gate_reads_metrics_and_methods(spark):
+    assert gates.threshold_faults(study(spark), KEYS).count() == 0
+    assert gates.threshold_faults(study(spark, methods=(TOPK,)), KEYS, (TOPK,)).count() == 0
+    # Numbers are alike however they are written.
+    assert gates.threshold_faults(study(spark, spoil("data.image_size", 8.0)), KEYS).count() == 0
+
+    def rows_spoiled(method, seed, config, rows):
+        if (method, seed) == (MAXQ, 42):
+            rows.reverse()
+            rows[0]["normal_diagnostic_mode"] = "same_images"
+            del rows[1]["normal_validation_images"]
+
+    got = {(r.rule, r.method, r.path) for r in gates.threshold_faults(study(spark, rows_spoiled), KEYS).collect()}
+    assert got == {("category order", MAXQ, "categories"), ("not held out", MAXQ, "grid"), ("no validation images", MAXQ, "bottle")}
+    broken = study(spark).filter(f"method != '{MAXQ}' AND NOT (method = '{TOPK}' AND threshold_split_seed = 43)").unionByName(study(spark, methods=("odd", "odd2")).filter("method = 'odd'"))
+    assert {(r.rule, r.path) for r in gates.threshold_faults(broken, KEYS).collect()} == {("missing method", MAXQ), ("missing split seeds", TOPK), ("unexpected method", "odd")}
+
+
+def test_values_of_a_path_are_counted_over_all_cases(spark):
+    values = gates.config_values(study(spark, spoil("memory.ratio", 0.1)), KEYS)
+    counted = {r.path: (r.different, r.cases) for r in gates.spread(values).collect()}
+    assert counted["memory.ratio"] == (2, 6) and counted["experiment.seed"] == (1, 6) and counted["calibration.pixel_threshold_method"] == (3, 6)
+
+
+@pytest.mark.parametrize("path, value", [("experiment.seed", 1), ("data.image_size", 1), ("data.calibration_fraction", 0.9), ("model.checkpoint", "x"), ("model.token_norm", "x"), ("memory.sampling", "x"), ("memory.ratio", 0.9), ("retrieval.spatial_mode", "x"), ("retrieval.lambda_max", None)])
+def test_layer_gate_finds_each_field(spark, path, value):
+    rows = []
+    for case in reports.LAYER_CASES:
+        config = copy.deepcopy(adapters.CONFIG)
+        config["model"]["active_layers"] = [len(rows)]  # may differ
+        if case == "block9":
+            spoil(path, value, lambda m, s: True)("", 0, config, [])
+        listed = ["b", "a"] if case == "block12" else ["a", "b"]
+        rows.append((1, case, json.dumps(config), json.dumps({"categories": [{"category": c} for c in listed]})))
+    table = spark.createDataFrame(rows, "k int, case string, config_json string, metrics_json string")
+    assert {tuple(r)[1:] for r in gates.layer_faults(table, ["k", "case"], ["k"]).collect()} == {("block9", "protocol", path), ("block12", "category order", "categories")}
+    assert ("block3", "missing case", None) in {tuple(r)[1:] for r in gates.layer_faults(table.filter("case != 'block3'"), ["k", "case"], ["k"]).collect()}
 
 
 def test_selection_ignores_pixel_f1(spark):

@@ -43,7 +43,7 @@ from heddle.llm import exchange
 from heddle.llm.common import discard, freed, hash60, limited_batches, stored
 
 #: Tokens of a block, bytes of a text that are read at a time, and tokens for each bucket.
-BLOCK, READ, BUCKET = 1_500_000, 1 << 22, 3_000_000
+BLOCK, READ, BUCKET = 1_000_000, 1 << 22, 3_000_000
 #: Customers up to which tables are drawn exactly; proposals for each larger cell, and the customers that are seated one by one.
 DRAWN, TRIES, EXACT = 64, 4, 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

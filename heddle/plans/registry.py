@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from heddle.functions import fingerprints
 from heddle.functions.statistics import exact_quantiles
-from heddle.functions.storage import shared_folder
+from heddle.functions.storage import shared_folder, stored
 from heddle.operators import calibration, features, gates, maps, memory, metrics, nearest, reports, sampling
 from heddle.operators import reliability as rel
 from heddle.plans import adapters
 from heddle.plans import oracles as sql
 from heddle.plans.adapters import MAP_SIZE, PATCHES, PIXEL_TOPK, Flow
 from heddle.sources import artifacts
-from heddle.streaming.scoring import score_arrivals
+from heddle.streaming.scoring import decide_arrivals, image_decisions, score_arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -664,6 +664,18 @@ def streamed_scores(spark, d):
     return spark.read.parquet(f"{path}/scores").select("category", "image_id", "layer", "patch_id", "score")
 
 
+@query(sql.flow("SELECT category, image_id, round(image_score, 6) AS image_score, CAST(image_score >= image_threshold AS INT) AS predicted FROM labelled_images JOIN image_thresholds USING (category)"))
+def streamed_decisions(spark, d):
+    """Every image's patches are spread over several files, of which two are read at a time."""
+    flow, path = Flow(spark, d), _folder(spark)
+    flow.test_patches().select("category", "image_id", "layer", "patch_id", "v").repartition(8, "layer", "patch_id").write.parquet(f"{path}/arrivals")
+    limits = stored(calibration.image_threshold(flow.image_scores(flow.calibration_maps("threshold_fit"))))
+    bank, weights, layers = flow.bank(), flow.weights(), flow.layer_calibration()
+    decide = lambda patches: image_decisions(patches, bank, weights, layers, limits, PATCHES, MAP_SIZE, topk_fraction=adapters.IMAGE_TOPK)
+    decide_arrivals(spark, f"{path}/arrivals", list(adapters.LAYERS), PATCHES, decide, f"{path}/decisions", f"{path}/progress", files_per_batch=2).awaitTermination()
+    return spark.read.parquet(f"{path}/decisions").filter("complete").select("category", "image_id", "image_score", "predicted")
+
+
 # The same checks over tables with planted faults, so that they have something to find
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from heddle.functions import fingerprints
 from heddle.operators import calibration, features, maps, memory, nearest, sampling
+from heddle.operators.features import FEATURES
 from heddle.sources import artifacts, images
-from heddle.streaming.scoring import score_arrivals
+from heddle.streaming.scoring import decide_arrivals, score_arrivals
 
 
 def png(path, pixels):
@@ -173,3 +175,44 @@ def test_reports_without_metrics_are_errors(spark, tmp_path):
 def test_file_digest(spark, tmp_path):
     (tmp_path / "f").write_bytes(b"abc")
     assert images.file_digests(spark, str(tmp_path / "f")).first().sha256 == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_images_are_decided_once_whatever_the_files(spark, tmp_path):
+    """Images split over files, a failure in the middle, a restart, late copies and an image that never is complete."""
+    arrivals, out, progress = (str(tmp_path / n) for n in ("arrivals", "out", "progress"))
+    patches = [("a", image, layer, p, [float(image), float(layer + p)]) for image in range(6) for layer in (3, 6) for p in range(4)]
+
+    def send(rows):
+        spark.createDataFrame(rows, FEATURES).coalesce(1).write.mode("append").parquet(arrivals)
+
+    def decide(found):
+        if fails:
+            raise RuntimeError("lost")
+        return found.groupBy("category", "image_id").agg(F.sum(F.aggregate("v", F.lit(0.0), lambda t, x: t + x)).alias("image_score"), F.count(F.lit(1)).alias("patches"))
+
+    def run(**options):
+        decide_arrivals(spark, arrivals, [3, 6], 4, decide, out, progress, files_per_batch=1, **options).awaitTermination()
+
+    fails = False
+    send([r for r in patches if r[2] == 3 and r[1] < 5])
+    run()
+    assert spark.read.parquet(out).count() == 0
+    fails = True
+    send([r for r in patches if r[2] == 6 and r[1] < 3] + patches[:5])  # some come again
+    with pytest.raises(Exception, match="lost"):
+        run()
+    fails = False
+    run()
+    send([r for r in patches if r[2] == 6 and r[1] in (3, 4)] + [patches[0], patches[-1]])
+    run()
+    got = {r.image_id: (r.image_score, r.patches, r.complete) for r in spark.read.parquet(out).collect()}
+    want = {i: (float(sum(sum(r[4]) for r in patches if r[1] == i)), 8, True) for i in range(5)}
+    assert got == want and spark.read.parquet(out).count() == 5
+    time.sleep(1.5)
+    send([("b", 1, 3, 0, [0.0, 0.0])])
+    run(timeout_ms=1)
+    time.sleep(1)
+    send([("b", 2, 3, 0, [0.0, 0.0])])
+    run(timeout_ms=1)
+    late = {(r.category, r.image_id) for r in spark.read.parquet(out).filter("NOT complete").collect()}
+    assert ("b", 1) in late and spark.read.parquet(out).filter("complete").count() == 5

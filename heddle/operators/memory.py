@@ -11,30 +11,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.statistics import rounded_count
+from heddle.functions.storage import stored
 from heddle.operators.features import with_coordinates
 from heddle.operators.sampling import cap_candidates, order_hash, sample_patches
 
 
+#: Images whose patches a window numbers at once.
+NUMBERED = 256
+
+
 def signs(width: int, dimensions: int, seed: int) -> np.ndarray:
     """A seeded matrix of random signs over the root of `dimensions`; any SQL engine can make the same from MD5."""
     sign = lambda i, j: 1.0 if hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest() < "8" else -1.0
     return np.array([[sign(i, j) for j in range(dimensions)] for i in range(width)]) / np.sqrt(dimensions)
 
 
-def projected(v: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
-    """The rows of `v` projected to `dimensions`, if that is fewer, and normalised."""
+def normals(width: int, dimensions: int, seed: int) -> np.ndarray:
+    """A seeded matrix of normal numbers over the root of `dimensions`: each entry's MD5 gives two uniform numbers of
+    52 bits, and these a normal one (Box and Muller), so that any SQL engine can make the same."""
+
+    def normal(i: int, j: int) -> float:
+        digest = hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest()
+        first, second = (int(digest[:13], 16) + 1) / 2**52, int(digest[13:26], 16) / 2**52
+        return float(np.sqrt(-2 * np.log(first)) * np.cos(2 * np.pi * second))
+
+    return np.array([[normal(i, j) for j in range(dimensions)] for i in range(width)]) / np.sqrt(dimensions)
+
+
+def projected(v: np.ndarray, dimensions: int, seed: int, entries: str = "normal") -> np.ndarray:
+    """The rows of `v` projected to `dimensions`, if that is fewer, by a matrix of `normal` or `sign` entries, and normalised."""
     if 0 < dimensions < v.shape[1]:
-        v = v @ signs(v.shape[1], dimensions, seed)
+        v = v @ {"normal": normals, "sign": signs}[entries](v.shape[1], dimensions, seed)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def random_projection(features: DataFrame, dimensions: int, seed: int = 42) -> DataFrame:
-    """`features` with `v` projected by a seeded matrix of signs, if that is narrower, and normalised."""
+def random_projection(features: DataFrame, dimensions: int, seed: int = 42, entries: str = "normal") -> DataFrame:
+    """`features` with `v` projected by a seeded matrix of `normal` or `sign` entries, if that is narrower, and normalised."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                frame = frame.assign(v=list(projected(np.stack(frame["v"].to_numpy()), dimensions, seed)))
+                frame = frame.assign(v=list(projected(np.stack(frame["v"].to_numpy()), dimensions, seed, entries)))
             yield frame
 
     return features.mapInPandas(batches, features.schema)
@@ -50,13 +67,14 @@ def greedy_centers(v: np.ndarray, first: int, k: int) -> list[int]:
     return out
 
 
-def k_center(features: DataFrame, ratio: float = 0.1, most: int = 50_000, seed: int = 42, parts: int = 1, projection: int = 0) -> DataFrame:
+def k_center(features: DataFrame, ratio: float = 0.1, most: int = 50_000, seed: int = 42, parts: int = 1, projection: int = 0, entries: str = "normal") -> DataFrame:
     """(category, layer, nth, image_id, patch_id) of a greedy k-center coreset of each category and layer.
 
     A group has at most `most` candidates, a seeded sample, while k is a part of the full group. With
     `parts` over 1, coresets of seeded parts are merged by a last greedy pass over their union: an
     approximation for groups that one task should not hold. Distances are taken between vectors projected
-    to `projection` dimensions, if that is fewer and not 0; the coreset's vectors keep their width.
+    to `projection` dimensions by a matrix of `entries`, if that is fewer and not 0; the coreset's vectors
+    keep their width.
     """
     if not 0 < ratio <= 1:
         raise ValueError("the ratio lies above 0 and is at most 1")
@@ -68,7 +86,7 @@ def k_center(features: DataFrame, ratio: float = 0.1, most: int = 50_000, seed:
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["image_id", "patch_id"], ignore_index=True)
         v = np.stack(group["v"].to_numpy())
-        at = greedy_centers(projected(v, projection, seed) if projection else v, int(group["hash"].argmin()), int(group["k"].iloc[0]))
+        at = greedy_centers(projected(v, projection, seed, entries) if projection else v, int(group["hash"].argmin()), int(group["k"].iloc[0]))
         return group.iloc[at][["category", "layer", "image_id", "patch_id", "v", "k", "hash"]].assign(nth=np.arange(len(at), dtype=np.int32))
 
     if parts > 1:
@@ -78,18 +96,32 @@ def k_center(features: DataFrame, ratio: float = 0.1, most: int = 50_000, seed:
     return chosen.select("category", "layer", "nth", "image_id", "patch_id", "v")
 
 
+def numbered(chosen: DataFrame) -> DataFrame:
+    """`chosen` with `bank_id`: a row's place, from 0, by image and patch within its category and layer.
+
+    Images that lie close by id form a span. A window numbers the rows of one span, at most `NUMBERED` images, and adds
+    how many lie in the spans before, which come from counts: no task holds the vectors of a category and layer.
+    """
+    keys = ["category", "layer"]
+    rows = chosen.withColumn("span", F.floor(F.col("image_id") / NUMBERED))
+    spans = rows.groupBy(*keys, "span").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*keys, "span", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "span").orderBy("image_id", "patch_id")) - 1
+    return rows.join(spans, [*keys, "span"]).withColumn("bank_id", (F.col("before") + nth).cast("long")).drop("span", "before")
+
+
 def memory_bank(features: DataFrame, splits: DataFrame, patch_count: int, ratio: float = 0.1, sampling: str = "random", seed: int = 42, projection: int = 0) -> DataFrame:
     """(category, layer, bank_id, source_id, patch_id, x, y, v) sampled from the patches of memory images."""
     own = features.join(splits.filter("role = 'memory'").select("category", "image_id"), ["category", "image_id"], "left_semi")
     if sampling == "random":
         chosen = sample_patches(own, ratio, seed)
     elif sampling == "kcenter":
-        chosen = k_center(own, ratio, seed=seed, projection=projection)
+        # Written once, since numbering reads it twice.
+        chosen = stored(k_center(own, ratio, seed=seed, projection=projection))
     else:
         raise ValueError(f"no such sampling: {sampling}")
-    # A bank is bounded by the ratio and by its cap; ids number its rows.
-    nth = F.row_number().over(Window.partitionBy("category", "layer").orderBy("image_id", "patch_id")) - 1
-    rows = with_coordinates(chosen.withColumn("bank_id", nth.cast("long")), patch_count)
+    rows = with_coordinates(numbered(chosen), patch_count)
     return rows.select("category", "layer", "bank_id", F.col("image_id").alias("source_id"), "patch_id", "x", "y", "v")
 
 

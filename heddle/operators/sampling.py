@@ -46,11 +46,13 @@ def split_normal(images: DataFrame, fraction: float = 0.2, seed: int = 42) -> Da
 
 
 def split_calibration(splits: DataFrame, fraction: float = 0.5, seed: int = 1042) -> DataFrame:
-    """The same with calibration images divided into threshold_fit and normal_validation."""
+    """The same with calibration images divided into threshold_fit and normal_validation; a category with one alone is an error."""
     if not 0 < fraction < 1:
         raise ValueError("the fit fraction lies between 0 and 1")
     chosen = splits.filter("role = 'calibration'").drop("role")
-    rows = flagged(chosen, ["category"], ["image_id"], seed, lambda n: F.least(F.greatest(F.lit(1), rounded_count(n, fraction)), n - 1))
+    few = F.concat(F.lit("one calibration image in category "), F.col("category"), F.lit("; both parts need one"))
+    fit = lambda n: F.when(n < 2, F.raise_error(few)).otherwise(F.least(F.greatest(F.lit(1), rounded_count(n, fraction)), n - 1))
+    rows = flagged(chosen, ["category"], ["image_id"], seed, fit)
     rows = rows.select("category", "image_id", F.when(F.col("taken"), "threshold_fit").otherwise("normal_validation").alias("role"))
     return splits.filter("role = 'memory'").unionByName(rows)
 

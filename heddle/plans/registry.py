@@ -116,12 +116,16 @@ def memory_kcenter(spark, d):
 
 
 SIGNED = "list_transform(range(4), lambda j: list_sum(list_transform(range(8), lambda i: v[i + 1] * CASE WHEN substr(md5('42:' || i || ':' || j), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)) / 2)"
+#: Box and Muller on two words of 52 bits of each entry's MD5.
+_WORD = "('0x' || substr(md5('42:' || i || ':' || j), {at}, 13))::BIGINT::DOUBLE"
+_NORMAL = f"sqrt(-2 * ln(({_WORD.format(at=1)} + 1) / 4503599627370496::DOUBLE)) * cos(2 * pi() * {_WORD.format(at=14)} / 4503599627370496::DOUBLE)"
+NORMAL = f"list_transform(range(4), lambda j: list_sum(list_transform(range(8), lambda i: v[i + 1] * {_NORMAL})) / 2)"
 UNIT = "list_transform(p, lambda x: x / greatest(sqrt(list_sum(list_transform(p, lambda y: y * y))), 1e-12::DOUBLE))"
 
 
 @query(sql.flow(f"SELECT category, image_id, layer, patch_id, list_transform({UNIT}, lambda x: round(x, 6)) AS v FROM (SELECT category, image_id, layer, patch_id, {SIGNED} AS p FROM features)"))
 def random_projection(spark, d):
-    return memory.random_projection(Flow(spark, d).features(), 4)
+    return memory.random_projection(Flow(spark, d).features(), 4, entries="sign")
 
 
 @query("WITH RECURSIVE " + sql.FLOW.strip() + f""",
@@ -135,6 +139,18 @@ walk AS (
   FROM (SELECT *, list_position(away, list_max(away)) AS nx FROM walk WHERE nth + 1 < k))
 SELECT category, layer, nth, ids[pick] AS image_id, ps[pick] AS patch_id FROM walk""")
 def memory_kcenter_projected(spark, d):
+    flow = Flow(spark, d)
+    own = flow.features().join(flow.splits().filter("role = 'memory'"), ["category", "image_id"], "left_semi")
+    return memory.k_center(own, 0.25, projection=4, entries="sign").drop("v")
+
+
+@query(ORACLES["random_projection"].replace(SIGNED, NORMAL))
+def normal_projection(spark, d):
+    return memory.random_projection(Flow(spark, d).features(), 4)
+
+
+@query(ORACLES["memory_kcenter_projected"].replace(SIGNED, NORMAL))
+def memory_kcenter_normal(spark, d):
     flow = Flow(spark, d)
     own = flow.features().join(flow.splits().filter("role = 'memory'"), ["category", "image_id"], "left_semi")
     return memory.k_center(own, 0.25, projection=4).drop("v")

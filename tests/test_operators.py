@@ -107,17 +107,40 @@ def test_k_center_covers_better_with_every_center(spark):
 
 def test_k_center_of_projected_vectors_keeps_their_width(spark):
     own = random_features(spark, 5, 4)
-    chosen = memory.k_center(own, 0.5, projection=4)
+    chosen = memory.k_center(own, 0.5, projection=4, entries="sign")
     assert chosen.count() == memory.k_center(own, 0.5).count() and {len(r.v) for r in chosen.collect()} == {8}
     for layer, group in itertools.groupby(sorted(own.collect(), key=lambda r: (r.layer, r.image_id, r.patch_id)), key=lambda r: r.layer):
         group = list(group)
-        v = memory.projected(np.array([r.v for r in group]), 4, 42)
+        v = memory.projected(np.array([r.v for r in group]), 4, 42, "sign")
         assert np.allclose(v, (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.array([r.v for r in group]) @ memory.signs(8, 4, 42)))
         mine = [(r.image_id, r.patch_id) for r in sorted(chosen.filter(F.col("layer") == layer).collect(), key=lambda r: r.nth)]
         at = [(r.image_id, r.patch_id) for r in group]
         assert mine == [at[k] for k in memory.greedy_centers(v, at.index(mine[0]), len(mine))]
 
 
+def test_normal_projection_keeps_distances():
+    """The entries are normal, and distances of projected pairs are near those before: the error falls with the root of the width."""
+    entries = memory.normals(200, 100, 42) * 10
+    assert abs(entries.mean()) < 0.02 and abs(entries.std() - 1) < 0.02 and abs((entries**4).mean() - 3) < 0.2
+    assert (memory.normals(3, 2, 1) == memory.normals(3, 2, 1)).all() and (memory.normals(3, 2, 1) != memory.normals(3, 2, 2)).all()
+    v = np.random.default_rng(5).standard_normal((60, 200))
+    first, second = np.triu_indices(60, 1)
+    apart = lambda x: np.linalg.norm(x[first] - x[second], axis=1)
+    error = {d: np.std(apart(v @ memory.normals(200, d, 7)) / apart(v) - 1) for d in (25, 100)}
+    assert error[25] < 1.5 / np.sqrt(2 * 25) and error[100] < 1.5 / np.sqrt(2 * 100)
+
+
+def test_bank_ids_are_dense_and_need_no_window_of_a_category(spark, monkeypatch):
+    own = random_features(spark, 40, 4)
+    monkeypatch.setattr(memory, "NUMBERED", 3)
+    made = memory.numbered(own.withColumn("image_id", F.col("image_id") * 7 - 50))
+    by_layer = itertools.groupby(sorted(made.collect(), key=lambda r: (r.category, r.layer, r.image_id, r.patch_id)), key=lambda r: (r.category, r.layer))
+    assert all([r.bank_id for r in group] == list(range(160)) for _, group in by_layer)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2 and [line for line in windows if "row_number()" in line and "span" in line]
+
+
 def test_projection_only_reduces(spark):
     own = random_features(spark)
     assert {len(r.v) for r in memory.random_projection(own, 3).collect()} == {3}
@@ -146,6 +169,30 @@ def test_nearest_equals_join(spark, monkeypatch, weight, blocks):
     assert np.allclose([r[4] for r in got], [r[4] for r in want])
 
 
+def test_nearest_sends_a_bank_once_a_slice(spark, monkeypatch):
+    """However many blocks of queries there are, and a query once a block of the bank."""
+    monkeypatch.setattr(nearest, "SLICES", 3)
+    bank = features.with_coordinates(random_features(spark, 5, 4, seed=3), 4).withColumn("bank_id", F.col("image_id") * 4 + F.col("patch_id"))
+    for images in (12, 48):
+        query = features.with_coordinates(random_features(spark, images, 4, seed=2), 4)
+        sent = dict(nearest.arranged(query, bank, 0.1, 4, 8).groupBy("is_query").count().collect())
+        assert sent == {False: 3 * bank.count(), True: 3 * query.count()}  # 3 slices, and 20 rows in blocks of 8
+    assert nearest.nearest(query, bank.limit(0)).count() == nearest.nearest(query.limit(0), bank).count() == 0
+
+
+def test_reliability_needs_two_images(spark):
+    one = random_features(spark, 1, 4)
+    with pytest.raises(Exception, match="reliability needs two"):
+        rel.spatial_reliability(one).collect()
+    single = rel.spatial_reliability(random_features(spark, 3, 4).filter("patch_id = 0")).first()
+    assert single.cross_position_distance == 0.0 and single.same_position_distance > 0
+    plan = rel.mean_pair_distance(one, ["category", "layer", "image_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    splits = spark.createDataFrame([("a", 1, "calibration"), ("a", 2, "memory")], "category string, image_id long, role string")
+    with pytest.raises(Exception, match="both parts need one"):
+        sampling.split_calibration(splits).collect()
+
+
 def test_reliability_ranks_aligned_places_higher(spark):
     rng = np.random.default_rng(0)
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from heddle.functions import fingerprints
 from heddle.functions.statistics import exact_quantiles
@@ -665,6 +668,47 @@ def calibration_stored(spark, d):
     return artifacts.read_calibration(spark, path)
 
 
+@query(ORACLES["category_metrics"])
+def summary_stored(spark, d):
+    path, rows = _folder(spark), stored(_metric_rows(spark, d))
+    artifacts.write_summary(rows, path)
+    return spark.read.schema(StructType().add("categories", ArrayType(rows.schema))).json(f"{path}/json").select(F.inline("categories"))
+
+
+@query(ORACLES["threshold_stability"])
+def bundle_stored(spark, d):
+    path, rows = _folder(spark), stored(reports.threshold_stability(adapters.cases(spark, d)))
+    artifacts.write_bundle({"stability": rows}, spark.range(1).select(F.lit("development").alias("stage")), path)
+    return spark.read.schema(StructType().add("stability", ArrayType(rows.schema))).json(path).select(F.inline("stability"))
+
+
+@query(ORACLES["threshold_by_split"])
+def runs_published(spark, d):
+    """A run for each method, of which one fails after its first table; what is then still to be done is run again."""
+    root, rows = _folder(spark), stored(adapters.cases(spark, d))
+    names = stored(rows.select("category").distinct())
+    methods = spark.createDataFrame([(m, m) for m in reports.METHODS], "case_dir string, config_fingerprint string")
+    wanted = methods.crossJoin(names.agg(F.sort_array(F.collect_set("category")).alias("categories")))
+
+    def lost():
+        raise OSError("a table that can't be made")
+
+    def publish(method: str, extra: dict) -> None:
+        own = rows.filter(F.col("method") == method)
+        marker = lambda: artifacts.completion_marker(names, own, 42, 42, method, list(adapters.LAYERS), "adaptive", method)
+        artifacts.publish_run(spark, f"{root}/{method}", {"by_split": lambda: reports.threshold_by_split(own), **extra}, marker)
+
+    for method in reports.METHODS:
+        with suppress(OSError):
+            publish(method, {"more": lost} if method == reports.METHODS[1] else {})
+    # As many as there are methods.
+    for case in reports.cases_to_run(wanted, artifacts.published_markers(spark, root), ["case_dir"]).collect():
+        publish(case.case_dir, {})
+    done = artifacts.published_markers(spark, root).collect()
+    tables = [artifacts.read_run(spark, f"{root}/{case.case_dir}", "by_split") for case in done]
+    return reduce(DataFrame.unionByName, tables)
+
+
 @query("SELECT '| nation | customers | balance |' AS value UNION ALL SELECT '|---|---:|---:|' UNION ALL SELECT '| ' || n || ' | ' || c || ' | ' || printf('%.6f', b) || ' |' FROM (SELECT n_name AS n, count(*) AS c, max(c_acctbal) AS b FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)")
 def report_markdown(spark, d):
     rows = adapters.read(spark, d, "customer").join(adapters.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.operators.features import with_coordinates
 
+#: A published run's marker within its folder, and what its attempts are called.
+PUBLISHED, ATTEMPT = "complete", "attempt-"
+
 
 def read_reports(spark: SparkSession, root: str, name: str = "metrics_summary.json", config: str = "resolved_config.json") -> DataFrame:
     """(case_dir, config_json, report_json) of root/*/; a case with a configuration but no report is an error."""
@@ -123,3 +129,45 @@ def completion_marker(expected: DataFrame, completed: DataFrame, seed: int, spli
         status.alias("status"), "expected_categories", "completed_categories", F.size("expected_categories").alias("expected_count"), F.size("completed_categories").alias("completed_count"), F.lit(seed).alias("seed"),
         F.lit(split_seed).alias("threshold_split_seed"), F.lit(method).alias("pixel_threshold_method"), F.array(*map(F.lit, layers)).alias("active_layers"), F.lit(mode).alias("spatial_mode"), F.lit(fingerprint).alias("config_fingerprint"),
     )
+
+
+def publish_run(spark: SparkSession, path: str, tables: dict[str, Callable[[], DataFrame]], marker: Callable[[], DataFrame]) -> None:
+    """A run's tables and its one-row marker in the folder `path`, so that a run which fails half-way shows as not done.
+
+    The marker of an earlier run goes first. Tables are made in turn and written to the folder of this attempt; the marker,
+    which names the attempt, is written there too and moved to its place when all else is done. Earlier attempts go last.
+    """
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    files = at(PUBLISHED).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(at(PUBLISHED), True)
+    attempt = f"{ATTEMPT}{uuid.uuid4().hex}"
+    for name, make in tables.items():
+        make().write.parquet(f"{path}/{attempt}/{name}")
+    marker().withColumn("attempt", F.lit(attempt)).coalesce(1).write.json(f"{path}/{attempt}/{PUBLISHED}")
+    if not files.rename(at(f"{attempt}/{PUBLISHED}"), at(PUBLISHED)):
+        raise OSError(f"the marker of {attempt} could not be moved to {path}/{PUBLISHED}")
+    for found in files.listStatus(at("")):
+        name = found.getPath().getName()
+        if name.startswith(ATTEMPT) and name != attempt:
+            files.delete(found.getPath(), True)
+
+
+def published_markers(spark: SparkSession, root: str) -> DataFrame:
+    """(case_dir, the marker's fields, attempt) of the runs root/*/ that are published; none where no marker is."""
+    from heddle.operators.reports import MARKER
+
+    schema, places = f"{MARKER}, attempt string", spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{PUBLISHED}")
+    found = places.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(places)
+    if not found:
+        return spark.createDataFrame([], f"case_dir string, {schema}")
+    rows = spark.read.schema(schema).json(f"{root}/*/{PUBLISHED}")
+    return rows.select(F.regexp_extract(F.input_file_name(), rf"/([^/]+)/{PUBLISHED}/[^/]+$", 1).alias("case_dir"), "*")
+
+
+def read_run(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of the published run in the folder `path`; a run without a marker is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{PUBLISHED}")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise FileNotFoundError(f"no published run in {path}")
+    attempt = spark.read.schema("attempt string").json(f"{path}/{PUBLISHED}").first().attempt
+    return spark.read.parquet(f"{path}/{attempt}/{table}")

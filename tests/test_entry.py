@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 from heddle.plans import registry
 
-SAMPLE = ["tokens_to_patches", "split_calibration", "memory_kcenter", "memory_kcenter_normal", "normal_projection", "memory_bank", "spatial_reliability", "nn_spatial", "auroc", "ranking_with_ties", "pixel_threshold_global", "quantile_bracketed", "f1_iou_at_threshold", "threshold_split_stability", "selection_manifest", "protocol_violations", "layer_protocol_faults", "stage_protocol_faults"]
+SAMPLE = ["tokens_to_patches", "split_calibration", "memory_kcenter", "memory_kcenter_normal", "normal_projection", "memory_bank", "spatial_reliability", "nn_spatial", "auroc", "ranking_with_ties", "pixel_threshold_global", "quantile_bracketed", "f1_iou_at_threshold", "threshold_split_stability", "selection_manifest", "protocol_violations", "layer_protocol_faults", "stage_protocol_faults", "summary_stored", "bundle_stored", "runs_published"]
 
 
 def text(value):

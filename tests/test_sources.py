@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.functions import fingerprints
-from heddle.operators import calibration, features, maps, memory, nearest, sampling
+from heddle.operators import calibration, features, maps, memory, nearest, reports, sampling
 from heddle.operators.features import FEATURES
 from heddle.sources import artifacts, images
 from heddle.streaming.scoring import decide_arrivals, score_arrivals
@@ -161,6 +161,32 @@ def test_artifacts(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "bundle")).first().stage == "dev"
 
 
+def test_a_run_that_fails_leaves_no_marker(spark, tmp_path):
+    names = spark.createDataFrame([("a",), ("b",)], "category string")
+    marker = lambda: artifacts.completion_marker(names, names, 42, 1042, "global_quantile", [3, 6], "adaptive", "x")
+    desired = spark.createDataFrame([(case, ["a", "b"], "x") for case in ("one", "two")], "case_dir string, categories array<string>, config_fingerprint string")
+    to_run = lambda: {r.case_dir: r.found for r in reports.cases_to_run(desired, artifacts.published_markers(spark, str(tmp_path)), ["case_dir"]).collect()}
+    publish = lambda case, **tables: artifacts.publish_run(spark, str(tmp_path / case), tables, marker)
+    values = lambda case: sorted(r.category for r in artifacts.read_run(spark, str(tmp_path / case), "metrics").collect())
+    assert to_run() == {"one": False, "two": False}
+    for case in ("one", "two"):
+        publish(case, metrics=lambda: names)
+    assert to_run() == {} and values("two") == ["a", "b"]
+
+    def no_table():
+        raise RuntimeError("no table")
+
+    for broken in (no_table, lambda: names.select(F.raise_error("no task"))):
+        with pytest.raises(Exception, match="no ta"):
+            publish("two", metrics=lambda: names.filter("category = 'a'"), scores=broken)
+        assert to_run() == {"two": False} and values("one") == ["a", "b"]
+        with pytest.raises(FileNotFoundError):
+            values("two")
+    publish("two", metrics=lambda: names.filter("category = 'b'"))
+    assert to_run() == {} and values("two") == ["b"]
+    assert len([f for f in (tmp_path / "two").iterdir() if f.name.startswith("attempt-")]) == 1
+
+
 def test_reports_without_metrics_are_errors(spark, tmp_path):
     for name in ("x", "y"):
         (tmp_path / name).mkdir()

@@ -58,17 +58,6 @@ def key(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(16)
 
 
-def three(numbers: np.ndarray) -> bytes:
-    """Numbers of words in three bytes each: a block has fewer than 2**24."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-
-
-def tokens_of(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    return out.view("<i4").ravel()
-
-
 class Words(dict):
     """Numbers of words in the order in which they come."""
 
@@ -108,7 +97,7 @@ class Block:
         keys, ids, held, first, tokens = zip(*self.parts, strict=True)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
         made = {"block": pa.array([number], pa.int64()), "starts": pa.array([self.starts], pa.int64()), "keys": pa.array([keys], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())), "first": pa.array([first], pa.list_(pa.int32()))}
-        made |= {"sizes": pa.array([[len(t) for t in tokens]], pa.list_(pa.int64())), "tokens": pa.array([three(np.concatenate(tokens))], pa.binary()), "words": pa.array([hashes.tobytes()], pa.binary()), "ids": pa.array([list(ids)], pa.list_(id_type))}
+        made |= {"sizes": pa.array([[len(t) for t in tokens]], pa.list_(pa.int64())), "tokens": pa.array([exchange.squeezed(np.concatenate(tokens))], pa.binary()), "words": pa.array([hashes.tobytes()], pa.binary()), "ids": pa.array([list(ids)], pa.list_(id_type))}
         return pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
 
@@ -138,16 +127,24 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(used.mapInArrow(gather, f"{BLOCKS}, ids array<{dict(used.dtypes)['id']}>"))
 
 
-def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: tokens, whether each trains, its distinct pairs as (context, word) numbers, and each token's pair."""
-    tokens, sizes = tokens_of(row["tokens"]), np.array(row["sizes"], np.int64)
-    n = len(row["words"]) // 8
+def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: tokens, whether each trains, its words in order of their hashes, its distinct pairs in order as (context, word) places
+    among these, and each token's pair."""
+    tokens, sizes = exchange.expanded(row["tokens"]), np.array(row["sizes"], np.int64)
+    order = np.argsort(np.frombuffer(row["words"], np.uint64))
+    n, rank = len(order), np.empty(len(order), np.int64)
+    rank[order] = np.arange(n)
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[np.cumsum(sizes) - sizes] = row["first"]
     trains = np.repeat(~np.array(row["held"], bool), sizes)
-    pairs, places = np.unique(before.astype(np.int64) * n + tokens, return_inverse=True)
-    return tokens, trains, pairs // n, pairs % n, places
+    pairs, places = np.unique(rank[before] * n + rank[tokens], return_inverse=True)
+    return tokens, trains, order, pairs // n, pairs % n, places
+
+
+def group_of(block: int, groups: int) -> int:
+    """The group of a block in sums, of so many `groups`."""
+    return int(exchange.mixed(np.array([block]))[0] % np.uint64(groups))
 
 
 def pair_codes(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -167,7 +164,7 @@ def stirling(discount: float) -> np.ndarray:
 
 
 def packed_pairs(hashes: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> dict[str, bytes]:
-    """Pairs, in order of context, as places among the distinct words that they use; contexts as steps from one to the next."""
+    """Pairs, in order of context, as places among the distinct words that they use; contexts as steps from one to the next. The words come in order."""
     used = np.unique(np.concatenate([context, word]))
     place = np.zeros(int(used[-1]) + 1 if len(used) else 0, np.int64)
     place[used] = np.arange(len(used))
@@ -248,31 +245,43 @@ class Model:
         if burn < 1 or samples < 1:
             raise ValueError("at least one sweep comes before at least one sample")
         self.spark, self.held, self.strength, self.burn, self.samples, self.seed = held.sparkSession, held, strength, burn, samples, seed
-        size, self.n_blocks, self.starts = held.agg(F.coalesce(F.sum(F.octet_length("tokens") / 3), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("starts"), F.lit(0))).first()
+        size, self.n_blocks, self.starts = held.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("starts"), F.lit(0))).first()
         self.buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(size) // BUCKET)
         #: Groups for sums over blocks and over buckets of cells.
         self.groups = max(1, self.n_blocks)
 
     def dealt_words(self) -> DataFrame:
-        """(bucket, block, grp, codes, n): the words of each block and their training tokens; the start counts as often as training texts start."""
+        """(bucket, block, grp, codes): the words of each block."""
         buckets, groups = self.buckets, self.groups
 
         def deal(batches):
             for batch in batches:
                 for row in batch.to_pylist():
                     words = np.frombuffer(row["words"], np.uint64)
-                    tokens, trains = tokens_of(row["tokens"]), np.repeat(~np.array(row["held"], bool), row["sizes"])
+                    for bucket, at in exchange.dealt(key(words), buckets):
+                        yield pa.RecordBatch.from_pydict({"bucket": [bucket], "block": [row["block"]], "grp": [group_of(row["block"], groups)], "codes": [words[at].tobytes()]})
+
+        return self.held.select("block", "words").mapInArrow(deal, "bucket long, block long, grp long, codes binary")
+
+    def counted_words(self) -> DataFrame:
+        """(bucket, grp, codes, n): the words of each block and their training tokens; the start counts as often as training texts start."""
+        buckets, groups = self.buckets, self.groups
+
+        def deal(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    words = np.frombuffer(row["words"], np.uint64)
+                    tokens, trains = exchange.expanded(row["tokens"]), np.repeat(~np.array(row["held"], bool), row["sizes"])
                     n = np.bincount(tokens[trains], minlength=len(words))
                     n[words == np.uint64(xxhash.xxh64_intdigest(START))] += row["starts"]
-                    grp = int(exchange.mixed(np.array([row["block"]]))[0] % np.uint64(groups))
                     for bucket, at in exchange.dealt(key(words), buckets):
-                        yield pa.RecordBatch.from_pydict({"bucket": [bucket], "block": [row["block"]], "grp": [grp], "codes": [words[at].tobytes()], "n": [n[at].astype(np.int32).tobytes()]})
+                        yield pa.RecordBatch.from_pydict({"bucket": [bucket], "grp": [group_of(row["block"], groups)], "codes": [words[at].tobytes()], "n": [n[at].astype(np.int32).tobytes()]})
 
         used = self.held.select("block", "starts", "held", "sizes", "tokens", "words")
-        return used.mapInArrow(deal, "bucket long, block long, grp long, codes binary, n binary")
+        return used.mapInArrow(deal, "bucket long, grp long, codes binary, n binary")
 
     def cells(self) -> DataFrame:
-        """Rows of kinds: `all` (tokens that train of each pair of a bucket), `places` (where among them a block's pairs are), `cells` (places of
+        """Rows of kinds: `all` (tokens that train of each pair of a bucket), `places` (where among them a block's pairs are, as steps), `cells` (places of
         context and word in the bucket's words, and customers, of those with two or more), `words` (those words), `asks` (the same by bucket of
         words) and `base` (the tables that lone pairs have, by bucket of words)."""
         buckets, groups = self.buckets, self.groups
@@ -280,8 +289,8 @@ class Model:
         def deal(batches):
             for batch in batches:
                 for row in batch.to_pylist():
-                    hashes = np.frombuffer(row["words"], np.uint64)
-                    _, trains, context, word, places = pairs_of(row)
+                    _, trains, order, context, word, places = pairs_of(row)
+                    hashes = np.frombuffer(row["words"], np.uint64)[order]
                     n = np.bincount(places[trains], minlength=len(context))
                     for bucket, at in exchange.dealt(pair_codes(hashes[context], hashes[word]), buckets):
                         piece = {"bucket": bucket, "block": row["block"], **packed_pairs(key(hashes), context[at], word[at], n[at])}
@@ -297,7 +306,7 @@ class Model:
             tables, customers = (np.bincount(x[lone], minlength=len(known))[of_base].astype(np.int32) for x in (a, b))
             base = known[of_base]
             made = [{"kind": "all", "bucket": bucket, "block": bucket, "n": n.astype(np.int32), "ones": int(lone.sum()), "twos": int((n == 2).sum())}]
-            made += [{"kind": "places", "bucket": bucket, "block": block, "a": exchange.shortened(own, 3 if len(n) < 1 << 24 else 5)} for block, own in zip(blocks, places, strict=True)]
+            made += [{"kind": "places", "bucket": bucket, "block": block, "a": exchange.squeezed(np.diff(own, prepend=0))} for block, own in zip(blocks, places, strict=True)]
             made.append({"kind": "cells", "bucket": bucket, "block": bucket, "a": sides[: len(sides) // 2].astype(np.int32), "b": sides[len(sides) // 2 :].astype(np.int32), "n": n[many].astype(np.int32)})
             made.append({"kind": "words", "bucket": bucket, "block": bucket, "codes": asked})
             made += [{"kind": "asks", "bucket": to, "block": bucket, "codes": asked[at]} for to, at in exchange.dealt(asked, buckets)]
@@ -312,8 +321,7 @@ class Model:
         """Samples the seatings; `words` has a table of words for each kept sample and `t` the tables of cells, summed over samples."""
         made = self.made = self.cells()
         freed(self.spark)
-        self.asked = stored(self.dealt_words())
-        known = exchange.tree_sum(self.asked, {"n": np.int32}, self.groups)
+        known = exchange.tree_sum(self.counted_words(), {"n": np.int32}, self.groups)
         # Read anew for each kind, so that kinds can be joined.
         of = lambda kind, *columns: self.spark.read.schema(made.schema).parquet(made.heddle_folder).filter(F.col("kind") == kind).select(*columns)
         ones, twos = made.agg(F.coalesce(F.sum("ones"), F.lit(0)), F.coalesce(F.sum("twos"), F.lit(0))).first()
@@ -462,7 +470,7 @@ class Model:
                 _, first, which = np.unique(alike[at], return_index=True, return_inverse=True)
                 yield {"block": block, "bucket": left["bucket"][0].as_py(), "which": exchange.narrow(which, len(first)), "told": values[:, at[first]].tobytes()}
 
-        return exchange.answered(self.asked.select("bucket", "block", "grp", "codes"), table, self.groups, answer, "block long, bucket long, which binary, told binary")
+        return exchange.answered(self.dealt_words(), table, self.groups, answer, "block long, bucket long, which binary, told binary")
 
     def pair_answers(self) -> DataFrame:
         """For the pairs of each block: customers less the discount for each table, averaged over samples."""
@@ -474,7 +482,7 @@ class Model:
             value = np.where(n == 1, 1 - d, 0).astype(np.float32)
             value[n > 1] = n[n > 1] - d * tables / samples
             for block, places in zip(left["block"].to_pylist(), left["a"].to_pylist(), strict=True):
-                told, which = np.unique(value[exchange.lengthened(places, 3 if len(n) < 1 << 24 else 5)], return_inverse=True)
+                told, which = np.unique(value[exchange.expanded(places).cumsum()], return_inverse=True)
                 yield {"block": block, "bucket": left["bucket"][0].as_py(), "which": exchange.narrow(which, len(told)), "told": told.tobytes()}
 
         return exchange.answered(self.places, table, self.groups, answer, "block long, bucket long, which binary, told binary")
@@ -482,7 +490,7 @@ class Model:
     def scores(self) -> DataFrame:
         """(key, id, held_out, n_tokens, n_known, base_score, score) of each part of a text."""
         answers = []
-        for made, *done in ((self.pair_answers, self.last, self.made), (self.word_answers, self.asked, self.known, *[words for words, _ in self.kept])):
+        for made, *done in ((self.pair_answers, self.last, self.made), (self.word_answers, self.known, *[words for words, _ in self.kept])):
             answers.append(stored(made()))
             for table in done:  # what isn't read any more
                 discard(table)
@@ -496,26 +504,26 @@ class Model:
                 for i in range(batch.num_rows):
                     row = {name: batch[name][i].as_py() for name in batch.schema.names if name != "ids"}
                     hashes = np.frombuffer(row["words"], np.uint64)
-                    tokens, _, context, word, places = pairs_of(row)
+                    tokens, _, order, context, word, places = pairs_of(row)
                     values = np.zeros((1 + 2 * samples, len(hashes)))
                     told = {x["bucket"]: x for x in row["of_words"]}
                     for bucket, at in exchange.dealt(key(hashes), buckets):
                         own = np.frombuffer(told[bucket]["told"]).reshape(len(values), -1)
                         values[:, at] = own[:, exchange.widened(told[bucket]["which"], own.shape[1])]
-                    n, share, single = values[0], values[1 : 1 + samples], values[1 + samples :]
+                    count, (n, share, single) = values[0], np.split(values[:, order], [1, 1 + samples])
                     mass = np.zeros(len(context))
                     told = {x["bucket"]: x for x in row["of_pairs"]}
-                    for bucket, at in exchange.dealt(pair_codes(hashes[context], hashes[word]), buckets):
+                    for bucket, at in exchange.dealt(pair_codes(hashes[order][context], hashes[order][word]), buckets):
                         own = np.frombuffer(told[bucket]["told"], np.float32)
                         mass[at] = own[exchange.widened(told[bucket]["which"], len(own))]
-                    probability = mass / (strength + n[context])
+                    probability = mass / (strength + n[0][context])
                     for k in range(samples):
                         probability += share[k][context] * single[k][word] / samples
-                    base = np.log10((n + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
+                    base = np.log10((count + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
                     ends = np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
                     sums = lambda v: np.add.reduceat(v, ends[:-1])
                     ids = batch["ids"][i].values
-                    yield pa.RecordBatch.from_arrays([pa.array(row["keys"], pa.int64()), ids, pa.array(row["held"], pa.bool_()), pa.array(row["sizes"], pa.int64()), pa.array(sums((n[tokens] > 0).astype(np.int64))), pa.array(sums(base[tokens])), pa.array(sums(np.log10(probability)[places]))], names=["key", "id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(row["keys"], pa.int64()), ids, pa.array(row["held"], pa.bool_()), pa.array(row["sizes"], pa.int64()), pa.array(sums((count[tokens] > 0).astype(np.int64))), pa.array(sums(base[tokens])), pa.array(sums(np.log10(probability)[places]))], names=["key", "id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
         return rows.mapInArrow(score, f"key long, id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 

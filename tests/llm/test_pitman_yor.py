@@ -145,3 +145,31 @@ def test_scores_use_the_sampled_tables(spark):
     for i, x in rows:
         ts = tokens_of(x)
         assert abs(got[i] - sum(math.log10(probability(u, w)) for u, w in zip([pitman_yor.START, *ts], ts, strict=False))) < 1e-3
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [5, -3, 2**31 - 1, -(2**31)], range(100_000)])
+def test_squeezed_numbers_come_back(numbers):
+    numbers = np.array(numbers, np.int64)
+    assert exchange.expanded(exchange.squeezed(numbers)).tolist() == numbers.tolist()
+    assert len(numbers) < 1000 or len(exchange.squeezed(np.diff(numbers, prepend=0))) < len(numbers) / 50
+
+
+def test_blocks_keep_their_pairs_in_few_bytes(spark):
+    """Where a block's pairs are among a bucket's: the places of all its pairs, each once, as steps of less than two bytes."""
+    pick = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(pick.choices(words, [1 / (k + 1) for k in range(3000)], k=100))) for i in range(2000)]
+    held = pitman_yor.blocks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    made = pitman_yor.Model(held, 1.0, 2, 2, 3).cells().collect()
+    size_of = {r.bucket: len(r.n) // 4 for r in made if r.kind == "all"}
+    found, of_block, n_bytes = defaultdict(set), Counter(), 0
+    for r in made:
+        if r.kind == "places":
+            at = exchange.expanded(r.a).cumsum()
+            assert (np.diff(at) > 0).all()  # in order, as the pairs are
+            found[r.bucket].update(at.tolist())
+            of_block[r.block] += len(at)
+            n_bytes += len(r.a)
+    assert found == {bucket: set(range(n)) for bucket, n in size_of.items()}
+    assert of_block == {r.block: len(pitman_yor.pairs_of(r.asDict())[3]) for r in held.collect()}
+    assert n_bytes < 2 * of_block.total()

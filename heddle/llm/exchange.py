@@ -63,17 +63,6 @@ def sized(column: pa.ChunkedArray, width: int = 8) -> np.ndarray:
     return np.array([len(x) // width for x in column.to_pylist()], np.int64)
 
 
-def shortened(codes: np.ndarray, width: int) -> bytes:
-    """Codes in `width` bytes each, which hold them."""
-    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def lengthened(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
-
-
 def narrow(numbers: np.ndarray, below: int) -> bytes:
     """Whole numbers from 0 in as few bytes as `below` allows."""
     return numbers.astype(np.uint8 if below <= 1 << 8 else np.uint16 if below <= 1 << 16 else np.uint32).tobytes()
@@ -83,14 +72,18 @@ def widened(data: bytes, below: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8 if below <= 1 << 8 else np.uint16 if below <= 1 << 16 else np.uint32).astype(np.int64)
 
 
-def squeezed(numbers: np.ndarray) -> bytes:
-    """Small whole numbers, as 32-bit ones that are compressed: all first bytes, all second ones, and so on, since the upper ones are mostly equal."""
-    return len(numbers).to_bytes(8, "little") + pa.compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+def squeezed(numbers: np.ndarray, kind: str = "<i4") -> bytes:
+    """Numbers of a kind, compressed: all first bytes, all second ones, and so on, since some of these are mostly equal."""
+    planes = numbers.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def expanded(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data[8:], 4 * int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+def expanded(data: bytes, kind: str = "<i4") -> np.ndarray:
+    """What `squeezed` was given; 32-bit whole numbers as 64-bit ones."""
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], width * int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8).reshape(width, -1)
+    made = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return made.astype(np.int64) if kind == "<i4" else made
 
 
 def tree_sum(pieces: DataFrame, values: dict[str, type], groups: int) -> DataFrame:

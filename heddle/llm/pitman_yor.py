@@ -164,16 +164,16 @@ def stirling(discount: float) -> np.ndarray:
 
 
 def packed_pairs(hashes: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> dict[str, bytes]:
-    """Pairs, in order of context, as places among the distinct words that they use; contexts as steps from one to the next. The words come in order."""
+    """Pairs, in order of context, as places among the distinct words that they use; contexts, and words by their keys, as steps from one to the next."""
     used = np.unique(np.concatenate([context, word]))
     place = np.zeros(int(used[-1]) + 1 if len(used) else 0, np.int64)
     place[used] = np.arange(len(used))
-    return {"words": exchange.shortened(hashes[used], 6), "a": exchange.squeezed(np.diff(place[context], prepend=0)), "b": exchange.narrow(place[word], len(used)), "n": exchange.squeezed(n)}
+    return {"words": exchange.squeezed(np.diff(hashes[used], prepend=np.uint64(0)), "<u8"), "a": exchange.squeezed(np.diff(place[context], prepend=0)), "b": exchange.narrow(place[word], len(used)), "n": exchange.squeezed(n)}
 
 
 def summed_pairs(words: list[bytes], a: list[bytes], b: list[bytes], n: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct words in order; the places and sums of the distinct pairs of packed pieces; and where among these each piece's pairs are."""
-    each = [exchange.lengthened(w, 6) for w in words]
+    each = [exchange.expanded(w, "<u8").cumsum() for w in words]
     known = np.unique(np.concatenate(each))
     pairs = []
     for own, x, y in zip(each, a, b, strict=True):
@@ -468,7 +468,10 @@ class Model:
                 at = np.searchsorted(codes, asked)
                 at[at < len(codes)] = np.where(codes[at[at < len(codes)]] == asked[at < len(codes)], at[at < len(codes)], len(codes))
                 _, first, which = np.unique(alike[at], return_index=True, return_inverse=True)
-                yield {"block": block, "bucket": left["bucket"][0].as_py(), "which": exchange.narrow(which, len(first)), "told": values[:, at[first]].tobytes()}
+                # In order, equal numbers come together, so that whole ones compress better than their first, second and later bytes.
+                own = values[:, at[first]]
+                order = np.lexsort(own[::-1])
+                yield {"block": block, "bucket": left["bucket"][0].as_py(), "which": exchange.squeezed(np.argsort(order)[which]), "told": exchange.squeezed(own[:, order].ravel().view(np.uint8), "u1")}
 
         return exchange.answered(self.dealt_words(), table, self.groups, answer, "block long, bucket long, which binary, told binary")
 
@@ -483,7 +486,7 @@ class Model:
             value[n > 1] = n[n > 1] - d * tables / samples
             for block, places in zip(left["block"].to_pylist(), left["a"].to_pylist(), strict=True):
                 told, which = np.unique(value[exchange.expanded(places).cumsum()], return_inverse=True)
-                yield {"block": block, "bucket": left["bucket"][0].as_py(), "which": exchange.narrow(which, len(told)), "told": told.tobytes()}
+                yield {"block": block, "bucket": left["bucket"][0].as_py(), "which": exchange.squeezed(which), "told": exchange.squeezed(told, "<f4")}
 
         return exchange.answered(self.places, table, self.groups, answer, "block long, bucket long, which binary, told binary")
 
@@ -508,14 +511,13 @@ class Model:
                     values = np.zeros((1 + 2 * samples, len(hashes)))
                     told = {x["bucket"]: x for x in row["of_words"]}
                     for bucket, at in exchange.dealt(key(hashes), buckets):
-                        own = np.frombuffer(told[bucket]["told"]).reshape(len(values), -1)
-                        values[:, at] = own[:, exchange.widened(told[bucket]["which"], own.shape[1])]
+                        own = exchange.expanded(told[bucket]["told"], "u1").view(np.float64).reshape(len(values), -1)
+                        values[:, at] = own[:, exchange.expanded(told[bucket]["which"])]
                     count, (n, share, single) = values[0], np.split(values[:, order], [1, 1 + samples])
                     mass = np.zeros(len(context))
                     told = {x["bucket"]: x for x in row["of_pairs"]}
                     for bucket, at in exchange.dealt(pair_codes(hashes[order][context], hashes[order][word]), buckets):
-                        own = np.frombuffer(told[bucket]["told"], np.float32)
-                        mass[at] = own[exchange.widened(told[bucket]["which"], len(own))]
+                        mass[at] = exchange.expanded(told[bucket]["told"], "<f4")[exchange.expanded(told[bucket]["which"])]
                     probability = mass / (strength + n[0][context])
                     for k in range(samples):
                         probability += share[k][context] * single[k][word] / samples

@@ -154,6 +154,11 @@ def test_squeezed_numbers_come_back(numbers):
     assert len(numbers) < 1000 or len(exchange.squeezed(np.diff(numbers, prepend=0))) < len(numbers) / 50
 
 
+@pytest.mark.parametrize("numbers, kind", [(np.array([0, 2**48 - 1, 2**64 - 1], np.uint64), "<u8"), (np.array([1 / 3, -0.0, 1e-300]), "<f8"), (np.array([1 / 3, 2], np.float32), "<f4"), (np.array([], np.float32), "<f4")])
+def test_squeezed_numbers_of_other_kinds_come_back(numbers, kind):
+    assert exchange.expanded(exchange.squeezed(numbers, kind), kind).tobytes() == numbers.tobytes()
+
+
 def test_blocks_keep_their_pairs_in_few_bytes(spark):
     """Where a block's pairs are among a bucket's: the places of all its pairs, each once, as steps of less than two bytes."""
     pick = random.Random(7)

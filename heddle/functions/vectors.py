@@ -18,9 +18,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalised(v: Column) -> Column:
-    norm = F.greatest(F.sqrt(total(F.transform(v, lambda x: x * x))), F.lit(LEAST_NORM))
-    # Adding zero makes a negative zero a plain one, which engines print and compare alike.
-    return F.transform(v, lambda x: x / norm + 0.0)
+    """A null component stays null and adds nothing to the norm; a zero keeps its sign."""
+    norm = F.greatest(F.sqrt(total(F.transform(v, lambda x: F.coalesce(x * x, F.lit(0.0))))), F.lit(LEAST_NORM))
+    return F.transform(v, lambda x: x / norm)
+
+
+def six_digits(x: Column) -> Column:
+    """A double to six digits, half away from zero; unlike with Spark's `round`, a zero keeps the sign of `x`, as in DuckDB."""
+    near = F.signum(x) * F.round(F.abs(x) * 1e6) / 1e6
+    return F.when(F.abs(x * 1e6) < float("inf"), near).otherwise(x)
 
 
 def patch_x(patch_id: Column, side: int) -> Column:

@@ -22,17 +22,22 @@ def selected_layers(wanted: list[int], available: int) -> list[int]:
     return sorted(set(wanted))
 
 
-def tokens_to_patches(tokens: DataFrame, layers: list[int], available: int = 12) -> DataFrame:
-    """(category, image_id, layer, patch_id, v) of (.., layer, tokens): the first token, the class token, goes."""
+def patches_of(tokens: DataFrame, layers: list[int], available: int = 12) -> DataFrame:
+    """(category, image_id, layer, patch_id, v) of (.., layer, tokens), as they are: the first token, the class token, goes."""
     rows = tokens.filter(F.col("layer").isin(selected_layers(layers, available)))
     each = rows.select("category", "image_id", "layer", F.posexplode("tokens").alias("at", "v")).filter("at > 0")
-    return each.select("category", "image_id", "layer", (F.col("at") - 1).alias("patch_id"), l2_normalised(F.col("v")).alias("v"))
+    return each.select("category", "image_id", "layer", (F.col("at") - 1).alias("patch_id"), "v")
 
 
 def normalised(features: DataFrame) -> DataFrame:
     return features.withColumn("v", l2_normalised(F.col("v")))
 
 
+def tokens_to_patches(tokens: DataFrame, layers: list[int], available: int = 12) -> DataFrame:
+    """`patches_of` the tokens, normalised."""
+    return normalised(patches_of(tokens, layers, available))
+
+
 def with_coordinates(rows: DataFrame, patch_count: int) -> DataFrame:
     side = grid_side(patch_count)
     return rows.withColumn("x", patch_x(F.col("patch_id"), side)).withColumn("y", patch_y(F.col("patch_id"), side))

@@ -59,6 +59,9 @@ class Flow:
             rows.append(self.embeddings.select(F.col("label").cast("string").alias("category"), F.col("vec_id").alias("image_id"), F.lit(layer).alias("layer"), F.array(first, *parts).alias("tokens")))
         return rows[0].unionByName(rows[1])
 
+    def patches(self) -> DataFrame:
+        return features.patches_of(self.tokens(), list(LAYERS))
+
     def features(self) -> DataFrame:
         return features.tokens_to_patches(self.tokens(), list(LAYERS))
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StructType
 from heddle.functions import fingerprints
 from heddle.functions.statistics import exact_quantiles
 from heddle.functions.storage import shared_folder, stored
+from heddle.functions.vectors import six_digits
 from heddle.operators import calibration, features, gates, maps, memory, metrics, nearest, reports, sampling
 from heddle.operators import reliability as rel
 from heddle.plans import adapters
@@ -32,7 +33,7 @@ def rounded(df: DataFrame) -> DataFrame:
     for f in df.schema:
         kind = f.dataType.simpleString()
         c = F.col(f"`{f.name}`")
-        out.append((F.round(c, 6) if kind == "double" else F.transform(c, lambda x: F.round(x, 6)) if kind == "array<double>" else c).alias(f.name))
+        out.append((F.round(c, 6) if kind == "double" else F.transform(c, six_digits) if kind == "array<double>" else c).alias(f.name))
     return df.select(*out)
 
 
@@ -51,7 +52,7 @@ def query(oracle: str | None = None):
 
 @query(sql.flow("SELECT category, image_id, layer, patch_id, list_transform(v, lambda x: round(x, 6)) AS v FROM features"))
 def l2_normalize(spark, d):
-    return features.normalised(Flow(spark, d).features())
+    return features.normalised(Flow(spark, d).patches())
 
 
 @query(sql.flow("SELECT category, image_id, layer, patch_id, list_transform(v, lambda x: round(x, 6)) AS v FROM features WHERE layer = 6 AND category IN ('1', '2')"))
@@ -765,7 +766,8 @@ def shared_oracle_differences(spark, d):
  FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 5)) AS v FROM embeddings)""")
 def l2_normalize_scaled(spark, d):
     rows = adapters.read(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 5)).alias("v"))
-    return features.normalised(rows)
+    # Adding zero makes a negative zero a plain one, after rounding as in the SQL.
+    return rounded(features.normalised(rows)).withColumn("v", F.transform("v", lambda x: x + 0.0))
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")

@@ -1,9 +1,12 @@
 """The driver contract, and a sample of queries against their DuckDB forms."""
 
 import os
+from functools import reduce
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from heddle.plans import registry
@@ -62,5 +65,38 @@ def test_scaled_vectors_equal_sql_to_the_letter(spark, data):
     assert got == want and not any("-0.0," in v or "-0.0]" in v for v in got.values())
 
 
+def odd_embeddings(spark, data, folder):
+    """Numbers that round to a negative zero, halves of the last digit, zeros of both signs, tiny norms, no numbers."""
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").filter("vec_id < 10")
+    plain = lambda x, i: x
+    changed = [
+        plain,
+        lambda x, i: F.when(i % 8 == 1, -1e-8).when(i % 8 == 2, 1e-8).otherwise(x),
+        lambda x, i: F.when(i % 8 == 0, 1.0).when(i % 8 == 1, 5e-7).when(i % 8 == 2, -5e-7).otherwise(0.0),
+        lambda x, i: F.when(i % 3 == 0, x).otherwise(x * -0.0),
+        lambda x, i: x * 1e-14,
+        lambda x, i: x * 1e30,
+        lambda x, i: F.when(i % 8 == 3, float("nan")).when(i % 8 == 4, float("inf")).otherwise(x),
+        lambda x, i: F.when(i % 5 != 0, x),
+    ]
+    parts = [rows.select((F.col("vec_id") + 100 * n).alias("vec_id"), F.transform("embedding", change).cast("array<float>").alias("embedding"), "label") for n, change in enumerate(changed)]
+    reduce(DataFrame.unionByName, parts).write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def letters(spark, folder, name):
+    """The rows of a query and of its SQL, as text of all digits and signs."""
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    want = db.sql(registry.ORACLES[name])
+    return sorted(str([r[c] for c in want.columns]) for r in registry.QUERIES[name](spark, folder).collect()), sorted(str(list(r)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["l2_normalize", "tokens_to_patches_all_categories", "l2_normalize_scaled"])
+def test_normalised_odd_vectors_equal_sql_to_the_letter(spark, data, tmp_path, name):
+    got, want = letters(spark, odd_embeddings(spark, data, tmp_path), name)
+    assert got == want and (any("-0.0," in row for row in got) == (name != "l2_normalize_scaled"))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10

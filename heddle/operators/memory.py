@@ -7,17 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.statistics import rounded_count
 from heddle.functions.storage import stored
+from heddle.functions.vectors import LEAST_NORM
 from heddle.operators.features import with_coordinates
 from heddle.operators.sampling import cap_candidates, order_hash, sample_patches
 
 
 #: Images whose patches a window numbers at once.
 NUMBERED = 256
+#: Rows whose components are summed at once, which then stay in the CPU's cache.
+SUMMED = 1024
 
 
 def signs(width: int, dimensions: int, seed: int) -> np.ndarray:
@@ -39,22 +44,50 @@ def normals(width: int, dimensions: int, seed: int) -> np.ndarray:
 
 
 def projected(v: np.ndarray, dimensions: int, seed: int, entries: str = "normal") -> np.ndarray:
-    """The rows of `v` projected to `dimensions`, if that is fewer, by a matrix of `normal` or `sign` entries, and normalised."""
-    if 0 < dimensions < v.shape[1]:
-        v = v @ {"normal": normals, "sign": signs}[entries](v.shape[1], dimensions, seed)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-
-
-def random_projection(features: DataFrame, dimensions: int, seed: int = 42, entries: str = "normal") -> DataFrame:
-    """`features` with `v` projected by a seeded matrix of `normal` or `sign` entries, if that is narrower, and normalised."""
+    """The rows of `v` projected to `dimensions`, if that is fewer, by a matrix of `normal` or `sign` entries, and normalised.
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                frame = frame.assign(v=list(projected(np.stack(frame["v"].to_numpy()), dimensions, seed, entries)))
-            yield frame
+    Sums run in the order of the components, so that a row gives the same bits in any batch, and in SQL.
+    """
+    if 0 < dimensions < v.shape[1]:
+        matrix, sums = {"normal": normals, "sign": signs}[entries](v.shape[1], dimensions, seed), np.zeros((len(v), dimensions))
+        for at in range(0, len(v), SUMMED):
+            for x, row in zip(v[at : at + SUMMED].T, matrix, strict=True):
+                sums[at : at + SUMMED] += x[:, None] * row
+        v = sums
+    squares = np.zeros(len(v))
+    for x in v.T:
+        squares += x * x
+    return v / np.maximum(np.sqrt(squares), LEAST_NORM)[:, None]
+
+
+def random_projection(features: DataFrame, dimensions: int, seed: int = 42, entries: str = "normal", width: int = 0) -> DataFrame:
+    """`features` with `v` projected by a seeded matrix of `normal` or `sign` entries, if that is narrower, and normalised.
+
+    A null component adds nothing to a sum. A vector that is null or cut short counts as `width` wide; one that is projected
+    without having a number gives nulls.
+    """
 
-    return features.mapInPandas(batches, features.schema)
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            if not len(batch):
+                continue
+            at = batch.schema.get_field_index("v")
+            old = batch.column(at)
+            size, given = pc.fill_null(pc.list_value_length(old), 0).to_numpy(), old.flatten()
+            v = np.zeros((len(batch), max(int(size.max()), width)))
+            inside = np.arange(v.shape[1]) < size[:, None]
+            known = np.zeros(v.shape, bool)
+            v[inside], known[inside] = pc.fill_null(given, 0.0).to_numpy(), given.is_valid().to_numpy(zero_copy_only=False)
+            narrowed = np.maximum(size, width) > dimensions if dimensions > 0 else np.zeros(len(batch), bool)
+            if narrowed.any():
+                inside[narrowed], known[narrowed] = np.arange(v.shape[1]) < dimensions, known[narrowed].any(axis=1, keepdims=True)
+                v[narrowed, :dimensions] = projected(v[narrowed], dimensions, seed, entries)
+            v[~narrowed] = projected(v[~narrowed], 0, seed)
+            ends = pa.array(np.concatenate([[0], inside.sum(axis=1).cumsum()]), pa.int32())
+            new = pa.ListArray.from_arrays(ends, pa.array(v[inside], mask=~known[inside]), mask=pa.array(pc.is_null(old).to_numpy(zero_copy_only=False) & ~narrowed))
+            yield batch.set_column(at, "v", new)
+
+    return features.mapInArrow(batches, features.schema)
 
 
 def greedy_centers(v: np.ndarray, first: int, k: int) -> list[int]:

@@ -129,7 +129,7 @@ UNIT = "list_transform(p, lambda x: x / greatest(sqrt(list_sum(list_transform(p,
 
 @query(sql.flow(f"SELECT category, image_id, layer, patch_id, list_transform({UNIT}, lambda x: round(x, 6)) AS v FROM (SELECT category, image_id, layer, patch_id, {SIGNED} AS p FROM features)"))
 def random_projection(spark, d):
-    return memory.random_projection(Flow(spark, d).features(), 4, entries="sign")
+    return memory.random_projection(Flow(spark, d).features(), 4, entries="sign", width=adapters.WIDTH)
 
 
 @query("WITH RECURSIVE " + sql.FLOW.strip() + f""",
@@ -150,7 +150,7 @@ def memory_kcenter_projected(spark, d):
 
 @query(ORACLES["random_projection"].replace(SIGNED, NORMAL))
 def normal_projection(spark, d):
-    return memory.random_projection(Flow(spark, d).features(), 4)
+    return memory.random_projection(Flow(spark, d).features(), 4, width=adapters.WIDTH)
 
 
 @query(ORACLES["memory_kcenter_projected"].replace(SIGNED, NORMAL))

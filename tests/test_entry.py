@@ -4,11 +4,13 @@ import os
 from functools import reduce
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from heddle.operators import memory
 from heddle.plans import registry
 
 SAMPLE = ["tokens_to_patches", "split_calibration", "memory_kcenter", "memory_kcenter_normal", "normal_projection", "memory_bank", "spatial_reliability", "nn_spatial", "auroc", "ranking_with_ties", "pixel_threshold_global", "quantile_bracketed", "f1_iou_at_threshold", "threshold_split_stability", "selection_manifest", "protocol_violations", "layer_protocol_faults", "stage_protocol_faults", "summary_stored", "bundle_stored", "runs_published"]
@@ -66,7 +68,7 @@ def test_scaled_vectors_equal_sql_to_the_letter(spark, data):
 
 
 def odd_embeddings(spark, data, folder):
-    """Numbers that round to a negative zero, halves of the last digit, zeros of both signs, tiny norms, no numbers."""
+    """Numbers that round to a negative zero, halves of the last digit, zeros of both signs, tiny norms, no numbers, parts of vectors."""
     rows = spark.read.parquet(f"{data}/embeddings.parquet").filter("vec_id < 10")
     plain = lambda x, i: x
     changed = [
@@ -79,7 +81,8 @@ def odd_embeddings(spark, data, folder):
         lambda x, i: F.when(i % 8 == 3, float("nan")).when(i % 8 == 4, float("inf")).otherwise(x),
         lambda x, i: F.when(i % 5 != 0, x),
     ]
-    parts = [rows.select((F.col("vec_id") + 100 * n).alias("vec_id"), F.transform("embedding", change).cast("array<float>").alias("embedding"), "label") for n, change in enumerate(changed)]
+    vectors = [F.transform("embedding", change) for change in changed] + [F.lit(None), F.slice("embedding", 1, 60), F.slice("embedding", 1, 0)]
+    parts = [rows.select((F.col("vec_id") + 100 * n).alias("vec_id"), v.cast("array<float>").alias("embedding"), "label") for n, v in enumerate(vectors)]
     reduce(DataFrame.unionByName, parts).write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
@@ -98,5 +101,21 @@ def test_normalised_odd_vectors_equal_sql_to_the_letter(spark, data, tmp_path, n
     assert got == want and (any("-0.0," in row for row in got) == (name != "l2_normalize_scaled"))
 
 
+@pytest.mark.parametrize("name", ["random_projection"])
+def test_projected_odd_vectors_equal_sql_to_the_letter(spark, data, tmp_path, name):
+    got, want = letters(spark, odd_embeddings(spark, data, tmp_path), name)
+    assert got == want and any("None, None, None, None" in row for row in got)
+
+
+@pytest.mark.parametrize("name", ["random_projection"])
+def test_projection_that_rounds_to_a_negative_zero_equals_sql(spark, tmp_path, name):
+    """Vectors of two numbers, the second a bit more or less than would make the first projected one zero."""
+    entries = memory.projected(np.eye(8), 4, 42, "sign" if name == "random_projection" else "normal")
+    patches = [[1.0, float(-entries[0, 0] / entries[1, 0]) + more, *[0.0] * 6] for more in (3e-7, -3e-7)]
+    spark.createDataFrame([(n, patch * 8, 1) for n, patch in enumerate(patches)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = letters(spark, str(tmp_path), name)
+    assert got == want and any("-0.0" in row for row in got)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10

@@ -148,6 +148,24 @@ def test_projection_only_reduces(spark):
     assert np.allclose(same.v, own.orderBy("image_id", "patch_id").first().v)
 
 
+@pytest.mark.parametrize("entries", ["sign", "normal"])
+def test_projection_gives_a_row_the_same_bits_in_any_batch(entries):
+    v = np.random.default_rng(8).standard_normal((40, 60))
+    whole = memory.projected(v, 7, 42, entries)
+    assert all((memory.projected(v[at : at + n], 7, 42, entries) == whole[at : at + n]).all() for n in (1, 3, 40) for at in range(0, 40, n))
+
+
+def test_projection_of_nulls_and_short_vectors(spark):
+    vectors = [[3.0, None, 4.0], [1.0, 2.0], None, [None, None, None], []]
+    own = spark.createDataFrame([("a", n, 3, 0, v) for n, v in enumerate(vectors)], FEATURES).repartition(2)
+    known = {n: [x or 0.0 for x in v] + [0.0] * (3 - len(v)) for n, v in enumerate(vectors) if v}
+    want = {n: list(memory.projected(np.array([v]), 2, 42)[0]) if any(v) else [None, None] for n, v in known.items()}
+    got = {r.image_id: r.v for r in memory.random_projection(own, 2).collect()}
+    assert got == want | {1: [1 / 5**0.5, 2 / 5**0.5], 2: None, 4: []}
+    got = {r.image_id: r.v for r in memory.random_projection(own, 2, width=3).collect()}
+    assert got == want | {2: [None, None], 4: [None, None]}
+
+
 def test_nearest_breaks_ties_by_id_and_place(spark):
     bank = spark.createDataFrame([("a", 3, 0, 9, 0.0, 0.0, [1.0, 0.0]), ("a", 3, 1, 9, 1.0, 1.0, [1.0, 0.0])], "category string, layer int, bank_id long, source_id long, x double, y double, v array<double>")
     query = spark.createDataFrame([("a", 1, 3, 3, 1.0, 1.0, [1.0, 0.0])], "category string, image_id long, layer int, patch_id int, x double, y double, v array<double>")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,35 +27,49 @@ NUMBERED = 256
 SUMMED = 1024
 
 
-def signs(width: int, dimensions: int, seed: int) -> np.ndarray:
-    """A seeded matrix of random signs over the root of `dimensions`; any SQL engine can make the same from MD5."""
+def sign_factors(width: int, dimensions: int, seed: int) -> tuple[np.ndarray]:
+    """A seeded matrix of random signs; any SQL engine can make the same from MD5."""
     sign = lambda i, j: 1.0 if hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest() < "8" else -1.0
-    return np.array([[sign(i, j) for j in range(dimensions)] for i in range(width)]) / np.sqrt(dimensions)
+    return (np.array([[sign(i, j) for j in range(dimensions)] for i in range(width)]),)
 
 
-def normals(width: int, dimensions: int, seed: int) -> np.ndarray:
-    """A seeded matrix of normal numbers over the root of `dimensions`: each entry's MD5 gives two uniform numbers of
-    52 bits, and these a normal one (Box and Muller), so that any SQL engine can make the same."""
+def signs(width: int, dimensions: int, seed: int) -> np.ndarray:
+    """A seeded matrix of random signs over the root of `dimensions`."""
+    return sign_factors(width, dimensions, seed)[0] / np.sqrt(dimensions)
+
 
-    def normal(i: int, j: int) -> float:
+def normal_factors(width: int, dimensions: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose products, entry by entry, are seeded normal numbers: each entry's MD5 gives two uniform numbers
+    of 52 bits, and these a normal one (Box and Muller), so that any SQL engine can make the same."""
+
+    def factors(i: int, j: int) -> tuple[float, float]:
         digest = hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest()
         first, second = (int(digest[:13], 16) + 1) / 2**52, int(digest[13:26], 16) / 2**52
-        return float(np.sqrt(-2 * np.log(first)) * np.cos(2 * np.pi * second))
+        return math.sqrt(-2 * math.log(first)), math.cos(2 * math.pi * second)
+
+    radius, cosine = np.array([[factors(i, j) for j in range(dimensions)] for i in range(width)]).transpose(2, 0, 1)
+    return radius, cosine
 
-    return np.array([[normal(i, j) for j in range(dimensions)] for i in range(width)]) / np.sqrt(dimensions)
+
+def normals(width: int, dimensions: int, seed: int) -> np.ndarray:
+    """A seeded matrix of normal numbers over the root of `dimensions`."""
+    radius, cosine = normal_factors(width, dimensions, seed)
+    return radius * cosine / np.sqrt(dimensions)
 
 
 def projected(v: np.ndarray, dimensions: int, seed: int, entries: str = "normal") -> np.ndarray:
     """The rows of `v` projected to `dimensions`, if that is fewer, by a matrix of `normal` or `sign` entries, and normalised.
 
-    Sums run in the order of the components, so that a row gives the same bits in any batch, and in SQL.
+    Sums run in the order of the components, and a component is multiplied by one factor of its entry after the other, so
+    that a row gives the same bits in any batch, and in SQL.
     """
     if 0 < dimensions < v.shape[1]:
-        matrix, sums = {"normal": normals, "sign": signs}[entries](v.shape[1], dimensions, seed), np.zeros((len(v), dimensions))
+        factors = {"normal": normal_factors, "sign": sign_factors}[entries](v.shape[1], dimensions, seed)
+        sums = np.zeros((len(v), dimensions))
         for at in range(0, len(v), SUMMED):
-            for x, row in zip(v[at : at + SUMMED].T, matrix, strict=True):
-                sums[at : at + SUMMED] += x[:, None] * row
-        v = sums
+            for x, *row in zip(v[at : at + SUMMED].T, *factors, strict=True):
+                sums[at : at + SUMMED] += reduce(np.multiply, row, x[:, None])
+        v = sums / np.sqrt(dimensions)
     squares = np.zeros(len(v))
     for x in v.T:
         squares += x * x

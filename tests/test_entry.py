@@ -101,20 +101,34 @@ def test_normalised_odd_vectors_equal_sql_to_the_letter(spark, data, tmp_path, n
     assert got == want and (any("-0.0," in row for row in got) == (name != "l2_normalize_scaled"))
 
 
-@pytest.mark.parametrize("name", ["random_projection"])
+@pytest.mark.parametrize("name", ["random_projection", "normal_projection"])
 def test_projected_odd_vectors_equal_sql_to_the_letter(spark, data, tmp_path, name):
     got, want = letters(spark, odd_embeddings(spark, data, tmp_path), name)
     assert got == want and any("None, None, None, None" in row for row in got)
 
 
-@pytest.mark.parametrize("name", ["random_projection"])
+@pytest.mark.parametrize("name", ["random_projection", "normal_projection"])
 def test_projection_that_rounds_to_a_negative_zero_equals_sql(spark, tmp_path, name):
     """Vectors of two numbers, the second a bit more or less than would make the first projected one zero."""
-    entries = memory.projected(np.eye(8), 4, 42, "sign" if name == "random_projection" else "normal")
-    patches = [[1.0, float(-entries[0, 0] / entries[1, 0]) + more, *[0.0] * 6] for more in (3e-7, -3e-7)]
+    entries = (memory.signs if name == "random_projection" else memory.normals)(8, 4, 42)
+    ratio = float(-entries[0, 0] / entries[1, 0])
+    more = float(2.5e-7 * np.linalg.norm(entries[0] + ratio * entries[1]) / entries[1, 0])
+    patches = [[1.0, ratio + x, *[0.0] * 6] for x in (more, -more)]
     spark.createDataFrame([(n, patch * 8, 1) for n, patch in enumerate(patches)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got, want = letters(spark, str(tmp_path), name)
-    assert got == want and any("-0.0" in row for row in got)
+    assert got == want and any("[-0.0," in row for row in got) and any("[0.0," in row for row in got)
+
+
+@pytest.mark.parametrize("name, entries", [("random_projection", "sign"), ("normal_projection", "normal")])
+def test_projection_equals_sql_to_the_last_bit_before_rounding(data, name, entries):
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{data}/embeddings.parquet'")
+    flow, made = registry.ORACLES[name].split("\nSELECT", 1)
+    p = registry.SIGNED if entries == "sign" else registry.NORMAL
+    assert p in made and registry.UNIT in made
+    found = db.sql(f"{flow}\nSELECT v, {registry.UNIT} AS unit FROM (SELECT v, {p} AS p FROM features)").fetchall()
+    v, unit = (np.array(x) for x in zip(*found, strict=True))
+    assert (memory.projected(v, 4, 42, entries) == unit).all()
 
 
 def test_entry(spark):
